@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatlake.llm import digests, hmm, mixing, packing, quality
+from beatlake.llm import digests, hmm, mixing, packing, quality, repeats
 from beatlake.llm._shared import Scratch, is_fold
 
 
@@ -38,9 +38,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "mix.source_size", "mix.target", "mix.taken")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", F.sha2("repeats.kept", 256).alias("kept_sha256"))
+
+
 def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.scored(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality, op4_fingerprints, op5_packing, op8_mixing, op10_hmm)}
+QUERIES = {f.__name__: f for f in (op3_quality, op4_fingerprints, op5_packing, op8_mixing, op9_repeats, op10_hmm)}
 ORACLE_SQL: dict[str, str] = {}
