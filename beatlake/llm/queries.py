@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatlake.llm import digests, hmm, mixing, packing, quality, repeats
+from beatlake.llm import digests, hmm, jaccard, mixing, packing, quality, repeats
 from beatlake.llm._shared import Scratch, is_fold
 
 
@@ -31,6 +31,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     sized = Scratch(spark, "sizes").table(documents.select("doc_id", "source", mixing.word_count().alias("size")))
@@ -47,5 +51,5 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.scored(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality, op4_fingerprints, op5_packing, op8_mixing, op9_repeats, op10_hmm)}
+QUERIES = {f.__name__: f for f in (op3_quality, op4_fingerprints, op5_packing, op7_jaccard, op8_mixing, op9_repeats, op10_hmm)}
 ORACLE_SQL: dict[str, str] = {}
