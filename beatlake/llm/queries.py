@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatlake.llm import digests, hmm, jaccard, mixing, packing, quality, repeats
+from beatlake.llm import ann, chat, digests, hmm, jaccard, licenses, mixing, packing, quality, repeats
 from beatlake.llm._shared import Scratch, is_fold
 
 
@@ -13,6 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op2_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = quality.fitted(documents, table(spark, sf_dir, "labels"))
@@ -31,6 +39,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,5 +63,11 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.scored(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality, op4_fingerprints, op5_packing, op7_jaccard, op8_mixing, op9_repeats, op10_hmm)}
-ORACLE_SQL: dict[str, str] = {}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_neighbours, op2_perspectives, op3_quality, op4_fingerprints, op5_packing, op6_licenses, op7_jaccard, op8_mixing, op9_repeats, op10_hmm, pipeline)}
+ORACLE_SQL = {"op2_perspectives": chat.PERSPECTIVES_SQL, "op6_licenses": licenses.SCAN_SQL}
