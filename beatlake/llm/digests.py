@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from beatlake.llm._shared import mix64, slices, text_or_empty, utf8_block
 
@@ -97,7 +98,7 @@ def fingerprints(documents: DataFrame, text_column: str = "text", name: str = "f
             yield batch.append_column(name, pa.array(as_text(bucket_codes(*utf8_block(column))), pa.string()))
 
     slim = documents.select(*kept)
-    return slim.mapInArrow(digest, slim.schema.add(name, "string"))
+    return slim.mapInArrow(digest, T.StructType([*slim.schema.fields, T.StructField(name, T.StringType())]))
 
 
 def with_next(documents: DataFrame) -> DataFrame:
