@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beatlake.llm._shared import Scratch, mix64, slices, small_enough, text_or_empty, utf8_block
+from beatlake.llm._shared import Scratch, mix64, slices, text_or_empty, utf8_block
 from beatlake.llm.suffixes import SEPARATOR, common_prefixes, suffix_array
 
 #: Bytes of a repeated string, and of the gram that anchors it.
@@ -262,9 +262,8 @@ def repeated_starts(documents: DataFrame, scratch: Scratch) -> DataFrame:
     each = scratch.table(found.groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "lo", "hi", "doc_id")).alias("at")))
     anchors = scratch.table(each.groupBy("anchor").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("different")).filter("n > 1"))
     met = scratch.table(each.join(anchors, "anchor"))
-    n_whole, n_mixed = met.agg(F.count_if(F.col("copies") > 1), F.count_if(F.col("different") > 1)).first()
+    n_mixed = met.agg(F.count_if(F.col("different") > 1)).first()[0]
     whole = met.filter("copies > 1").select("anchor", "region")
-    whole = F.broadcast(whole) if small_enough(n_whole, 96) else whole
     spans = found.join(whole, ["anchor", "region"]).select("key", "lo", "hi").distinct()
     if not n_mixed:
         return spans
@@ -272,7 +271,6 @@ def repeated_starts(documents: DataFrame, scratch: Scratch) -> DataFrame:
     wanted = met.filter("different > 1").select(F.col("at.key").alias("key"), F.col("at.doc_id").alias("doc_id"), F.struct("anchor", "region", "copies", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), shards.alias("shards")).alias("x"))
     by_text = scratch.table(wanted.groupBy("key", "doc_id").agg(F.collect_list("x").alias("regions")))  # a text's own regions
     side = by_text.withColumnsRenamed({"key": "_key", "doc_id": "_doc_id"})
-    side = F.broadcast(side) if small_enough(n_mixed, 120) else side
     texts = keyed.join(side, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))).select("key", F.encode("text", "utf-8").alias("bytes"), F.explode("regions").alias("x"))
     bodies = texts.select("key", "x.*", F.expr(f"substring(bytes, x.lo + 1, x.hi - x.lo + {LENGTH})").alias("body"))
     salted = bodies.withColumn("salt", F.pmod(F.hash("region"), F.col("shards")))
@@ -292,9 +290,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     name = free_name(documents, "repeats")
     spans = repeated_starts(documents.select("doc_id", "text"), scratch)
     by_key = scratch.table(spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("_spans")))
-    n, runs = by_key.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_spans")), F.lit(0))).first()
     side = by_key.withColumnRenamed("key", "_key")
-    side = F.broadcast(side) if small_enough(n, 80) and small_enough(runs, 24) else side
     joined = documents.withColumn("_bytes", F.encode(text_or_empty(), "utf-8")).withColumn("_own", text_key()).join(side, F.col("_own") == F.col("_key"), "left").drop("_own", "_key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
