@@ -190,8 +190,10 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted({str(c if d is not None else None) for d, c in classes(rows)})
 
 
-def test_near_duplicates_parted_by_a_lead(spark):
-    """Many chained variants: likeness falls with distance, so leads part similar pairs."""
+@pytest.mark.parametrize("most", [2048, 16])
+def test_near_duplicates_in_chains(spark, monkeypatch, most):
+    """Many chained variants: likeness falls with distance, so classes grow over rounds; also with buckets cut in parts."""
+    monkeypatch.setattr(jaccard, "MOST", most)
     rng = random.Random(9)
     base = words(rng, 160).split()
     rows = []
