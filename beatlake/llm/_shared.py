@@ -27,6 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def lean(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches small enough for workers that hold several of them and whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return spark
+
+
 class Scratch:
     """Tables in the shared folder, by which jobs cut their lineage; all go when the session ends, or on drop()."""
 

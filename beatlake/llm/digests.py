@@ -93,7 +93,7 @@ def fingerprints(documents: DataFrame, text_column: str = "text", name: str = "f
     kept = [c for c in documents.columns if c.lower() != name.lower()]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_column, 4 << 20):
+        for batch in slices(batches, text_column, 2 << 20):
             column = batch.column(batch.schema.names.index(text_column))
             yield batch.append_column(name, pa.array(as_text(bucket_codes(*utf8_block(column))), pa.string()))
 
@@ -139,7 +139,7 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held = None
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             for bucket, extra, _, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if held is not None:
                     yield *held, text

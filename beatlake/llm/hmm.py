@@ -69,7 +69,7 @@ def vocabulary(training: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = 0
-        for batch in slices(batches, "text", 16 << 20):
+        for batch in slices(batches, "text", 6 << 20):
             texts += batch.num_rows
             words, at, _ = words_of(batch.column(0))
             yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(endings(words)), pa.array(np.bincount(at, minlength=len(words)))], names=["word", "ending", "c"])
@@ -254,7 +254,7 @@ def trained(documents: DataFrame, vocab: DataFrame, held_out, states: int = STAT
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = shared.value  # noqa: B023
             total = np.zeros(size)
-            for batch in slices(batches, "text", 4 << 20):
+            for batch in slices(batches, "text", 2 << 20):
                 distinct, at, first = words_of(batch.column(0))
                 starts, moves, emits, _ = expected_counts(*with_end(m.classes(distinct)[at], first, m.end), m)
                 total += np.concatenate([starts, moves.ravel(), emits.ravel()])
@@ -281,7 +281,7 @@ def scored(documents: DataFrame, divisor: int = 7, remainder: int = 2, states: i
         m = shared.value
         base = np.log10(m.tokens + m.types + 1)
         row = TaskContext.get().partitionId() << 33
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             words, at, first = words_of(batch.column(2))
             ids = m.classes(words)
             found = pc.index_in(words.cast(pa.string()), value_set=m.head).fill_null(-1).to_numpy(zero_copy_only=False)

@@ -141,7 +141,7 @@ def tokenised_pieces(documents: DataFrame, path: str, max_length: int = 1024, en
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], dtype="<u4")
-        for batch in slices(batches, "text", 16 << 20):
+        for batch in slices(batches, "text", 6 << 20):
             ids, edges = block_ids(batch.column(1), path)
             total = np.diff(edges) + 1  # with the end id
             pieces = -(-total // max_length)

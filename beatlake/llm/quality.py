@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from beatlake.llm._shared import collect_model, cut_model, free_name, is_fold, mix64, model_rows, slices, sum_models, utf8_block
 
@@ -98,7 +99,7 @@ def context_sums(documents: DataFrame, text_column: str = "text", rows: int = RO
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plus, minus = index_vectors(rows, width)
         total = np.zeros(size, dtype=np.int64)
-        for batch in slices(batches, text_column, 4 << 20):
+        for batch in slices(batches, text_column, 1 << 20):
             ids, edges = tokens(*utf8_block(batch.column(0)), rows)
             doc = np.repeat(np.arange(len(edges) - 1, dtype=np.int32), np.diff(edges))
             for apart in range(1, WINDOW + 1):
@@ -209,7 +210,7 @@ def fitted(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, diviso
     shared = spark.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             ids, edges = tokens(*utf8_block(batch.column(2)))
             x = np.hstack([pooled(ids, edges, shared.value), np.log1p(np.diff(edges))[:, None]]).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "x"])
@@ -233,14 +234,15 @@ def scored(documents: DataFrame, model: Model, text_column: str = "text", keep:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 4 << 20):
-            got = shared.value.scores(*tokens(*utf8_block(batch.column(batch.num_columns - 1))))
-            out = batch.select(list(range(batch.num_columns - 1)))
+        for batch in slices(batches, text_column if text_column in kept else "_text", 1 << 20):
+            got = shared.value.scores(*tokens(*utf8_block(batch.column(text_column if text_column in kept else "_text"))))
+            out = batch.select(list(range(len(kept))))
             if least is not None:
                 yield out.filter(pa.array(got >= least))
             else:
                 yield out.append_column(name, pa.array(got, pa.float64()))
 
-    slim = documents.select(*kept, F.col(text_column).cast("string").alias("_text"))
-    schema = documents.select(*kept).schema
-    return slim.mapInArrow(score, schema if least is not None else schema.add(name, "double"))
+    twice = text_column in kept  # then the text is read where it stands
+    slim = documents.select(*kept) if twice else documents.select(*kept, F.col(text_column).cast("string").alias("_text"))
+    fields = documents.select(*kept).schema.fields
+    return slim.mapInArrow(score, T.StructType(fields if least is not None else [*fields, T.StructField(name, T.DoubleType())]))

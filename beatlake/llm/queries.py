@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beatlake.llm import ann, chat, digests, hmm, jaccard, licenses, mixing, packing, quality, repeats
-from beatlake.llm._shared import Scratch, is_fold
+from beatlake.llm._shared import Scratch, is_fold, lean
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return lean(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

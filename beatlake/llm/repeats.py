@@ -107,7 +107,7 @@ def text_key(column: str = "text"):
 
 def _rows(column_type: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             doc, anchor, whole, lo, hi = regions(*utf8_block(batch.column(2)))
             take = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
@@ -294,7 +294,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     joined = documents.withColumn("_bytes", F.encode(text_or_empty(), "utf-8")).withColumn("_own", text_key()).join(side, F.col("_own") == F.col("_key"), "left").drop("_own", "_key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_bytes", 8 << 20):
+        for batch in slices(batches, "_bytes", 4 << 20):
             kept, sizes, removed, counts = [], [], [], []
             for body, found in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_pylist()):
                 data = body.as_py() or b""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beatlake.llm import jaccard, mixing, packing, quality, repeats
-from beatlake.llm._shared import Scratch
+from beatlake.llm._shared import Scratch, lean
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -18,18 +18,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good. It learns from all labels of these documents outside the
     fold that op3_quality holds out."""
-    model = quality.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = quality.fitted(docs, lean(spark).read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.scored(docs.select(COLUMNS), model, least=quality.THRESHOLD)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the least doc_id) of each class of near duplicates."""
+    lean(spark)
     return jaccard.one_of_each(docs.select(COLUMNS))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of strings that start elsewhere too; a character that a span cuts goes as well. A document
     that nothing is left of goes."""
+    lean(spark)
     cut = repeats.without_repeats(docs.select(COLUMNS))
     n_removed = F.col("repeats.n_removed")
 
@@ -44,12 +46,14 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
+    lean(spark)
     mixed = mixing.mixed(docs.select(*COLUMNS, mixing.word_count().alias("size")))
     return mixed.withColumn("_copy", F.explode(F.expr("sequence(1, int(mix.copies))"))).filter("_copy <= mix.copies and mix.copies > 0").select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences of at most 1024 tokens."""
+    lean(spark)
     placed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
