@@ -192,7 +192,7 @@ def neighbours(vectors: DataFrame, divisor: int = 20, k: int = 20, short: int =
 
         def answer() -> Iterator[pa.RecordBatch]:
             waiting, state["waiting"] = state["waiting"], []
-            if not waiting or not state["ids"]:
+            if not waiting or not len(state["ids"]):
                 return
             if isinstance(state["codes"], list):
                 lists = np.array(state["lists"])
