@@ -1,6 +1,6 @@
 """The registered queries, each with the SQL that says what it must return."""
 
-from beatlake.plans import match, music, profile, sequence  # noqa: F401
+from beatlake.plans import match, music, plan, profile, sequence  # noqa: F401
 from beatlake.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
