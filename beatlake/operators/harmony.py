@@ -136,9 +136,9 @@ def dtw_pairs(a: DataFrame, b: DataFrame, by: str, gully: float = 0.96, every_s:
         columns = [by, "time_s", "to_s"]
         if not len(left) or not len(right):
             return pd.DataFrame(columns=columns)
-        left, right = left.sort_values("time_s"), right.sort_values("time_s")
+        left, right = left.sort_values("time_s"), right.sort_values("ref_s")
         unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-        cost = 1 - unit(np.stack(left["chroma"].to_numpy())) @ unit(np.stack(right["chroma"].to_numpy())).T
+        cost = 1 - unit(np.stack(left["chroma"].to_numpy())) @ unit(np.stack(right["ref"].to_numpy())).T
         n, m = cost.shape
         penalty = float(np.median(cost))
         total, step = np.full((n, m), np.inf), np.zeros((n, m), dtype=np.int8)
@@ -157,7 +157,7 @@ def dtw_pairs(a: DataFrame, b: DataFrame, by: str, gully: float = 0.96, every_s:
             path.append((i, j))
             i, j = (i - 1, j - 1) if step[i, j] == 0 else (i - 1, j) if step[i, j] == 1 else (i, j - 1)
         path.append((i, j))
-        t, u = left["time_s"].to_numpy(), right["time_s"].to_numpy()
+        t, u = left["time_s"].to_numpy(), right["ref_s"].to_numpy()
         rows, last = [], -np.inf
         for i, j in reversed(path):
             if t[i] - last >= every_s:
@@ -165,7 +165,8 @@ def dtw_pairs(a: DataFrame, b: DataFrame, by: str, gully: float = 0.96, every_s:
                 last = t[i]
         return pd.DataFrame(rows, columns=columns)
 
-    return a.groupBy(by).cogroup(b.groupBy(by)).applyInPandas(align, f"{by} {kind}, time_s double, to_s double")
+    other = b.select(F.col(by).alias("_by"), F.col("time_s").alias("ref_s"), F.col("chroma").alias("ref"))
+    return a.groupBy(by).cogroup(other.groupBy("_by")).applyInPandas(align, f"{by} {kind}, time_s double, to_s double")
 
 
 def annotate_sections(sections: DataFrame, contour: DataFrame, by: str) -> DataFrame:
