@@ -29,8 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def lean(spark: SparkSession) -> SparkSession:
     """The session, with Arrow batches small enough for workers that hold several of them and whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 
@@ -106,6 +106,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             stop = min(max(stop, start + 1), batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system when a task ends: a worker lives on and shares the executor's memory."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if give_back is not None:
+        give_back(0)
 
 
 def utf8_block(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

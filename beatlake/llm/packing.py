@@ -35,20 +35,19 @@ GROUPS = 256
 RANK_BLOCK = 20_000
 
 _encoders: dict[str, tuple] = {}
+_exact: dict = {}
 _widths: dict[str, np.ndarray] = {}
 
 
 def encoder(path: str) -> tuple:
-    """(fast encoder, exact encoder, strings of added tokens) of a byte-level BPE file; loaded once per process.
+    """(fast encoder, strings of added tokens) of a byte-level BPE file; loaded once per process.
 
     The fast one applies the file's own ranks; it is taken only if the file's merges are in the order of its ids and its
     pre-tokeniser is the standard byte-level pattern, for then both give the same ids.
     """
     if path not in _encoders:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        exact = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         vocab, merges = model["model"]["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["model"]["merges"]]
@@ -62,15 +61,24 @@ def encoder(path: str) -> tuple:
             ranks = {bytes(letters[c] for c in word): k for word, k in vocab.items() if word not in added}
             pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # the byte-level pre-tokeniser's fixed pattern
             fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _encoders[path] = fast, exact, added
+        _encoders[path] = fast, added
     return _encoders[path]
 
 
+def exact_encoder(path: str):
+    """The tokenizers library's own encoder, for files and texts that the fast one isn't for; loaded when first needed."""
+    if path not in _exact:
+        from tokenizers import Tokenizer
+
+        _exact[path] = Tokenizer.from_file(path)
+    return _exact[path]
+
+
 def token_ids(text: str, path: str) -> np.ndarray:
     """The ids of a text, without special tokens being added."""
-    fast, exact, added = encoder(path)
+    fast, added = encoder(path)
     if fast is None or any(x in text for x in added):
-        return np.asarray(exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.asarray(exact_encoder(path).encode(text, add_special_tokens=False).ids, dtype="<u4")
     return np.array(fast.encode_ordinary(text), dtype="<u4")
 
 
@@ -93,7 +101,7 @@ def block_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
     Distinct units between safe cuts are encoded once per block.
     """
-    fast, _, added = encoder(path)
+    fast, added = encoder(path)
     odd = np.zeros(len(texts), dtype=bool)
     for x in added:
         odd |= pc.match_substring(texts, x).fill_null(False).to_numpy(zero_copy_only=False)
@@ -141,7 +149,7 @@ def tokenised_pieces(documents: DataFrame, path: str, max_length: int = 1024, en
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], dtype="<u4")
-        for batch in slices(batches, "text", 6 << 20):
+        for batch in slices(batches, "text", 3 << 20):
             ids, edges = block_ids(batch.column(1), path)
             total = np.diff(edges) + 1  # with the end id
             pieces = -(-total // max_length)

@@ -33,7 +33,7 @@ from beatlake.llm.suffixes import SEPARATOR, common_prefixes, suffix_array
 #: Bytes of a repeated string, and of the gram that anchors it.
 LENGTH, GRAM = 400, 32
 #: Different regions of one anchor that go to one shard, and bytes that a shard takes before it is sorted.
-REGIONS, SHARD = 2000, 1 << 20
+REGIONS, SHARD = 2000, 1 << 19
 
 _STEP = np.uint64(0xD1342543DE82EF95)
 _BACK = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
