@@ -152,3 +152,12 @@ def test_ingest_keeps_one_document_per_content(spark, tmp_path):
     query = live.ingest_catalog(stream, str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(r["content_key"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+
+
+def test_sql_functions(spark):
+    from beatlake.functions.sql import register
+
+    register(spark)
+    row = spark.sql("SELECT camelot(9, 'minor') a, circle_distance(0, 7) b, family_root(4, 'minor') c, transpose_pc(1, -3) d, pitch_class(60.5) e").first()
+    assert tuple(row) == ("8A", 1, 7, 10, 0)
+    assert {tuple(r) for r in spark.sql("SELECT * FROM explode_questions(3.0D, 'no_voice', 'heavy')").collect()} == {("block", "length"), ("block", "voice"), ("warn", "noise")}
