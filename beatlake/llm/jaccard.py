@@ -7,11 +7,10 @@ Bands: `choose_bands` takes the rows and the number of bands, under a bound on h
 meet in some band with the target probability and unlike ones do least.
 
 Candidates: a bucket (sets with one band value) isn't turned into pairs. Its members carry sketches, two bits of each MinHash;
-a task compares the sketches of a bucket and sends, for each member, the few most like members of other classes that might
-reach the threshold (SIGMAS below it). These pairs are verified on full sets, classes are made of the links, and the next round
-looks for links between classes only, with eight times as many per member, until a round sends nothing new. So members of one
-class aren't compared with each other again, unlike members (of a shared passage, say) send nothing at all, and pairs stay
-in proportion to members. A bucket of more than MOST members is dealt at random to parts, anew in each round.
+a task compares the sketches of a bucket and names the members with a likely partner (within SIGMAS of the threshold) that they
+meet in no earlier band. Only these come again with full sets, and a task verifies each likely pair, once among all bands.
+A bucket of more than MOST members, or of over FULL bytes of sets, is dealt to parts by a hash, and every two parts meet in a
+task of their own.
 
 Defined results: null is the empty text; repeated rows are copies; ties of ids are one id; the class is named by its least
 doc_id (null if it has no other); an empty table gives an empty result.
@@ -26,15 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beatlake.llm._shared import Scratch, free_name, mix64, slices, small_enough, text_or_empty, utf8_block, word_spans
+from beatlake.llm._shared import Scratch, free_name, mix64, slices, small_enough, text_or_empty, trim, utf8_block, word_spans
 from beatlake.llm.links import components
 from beatlake.llm.repeats import prefix_sums, stretch_hash
 
 #: Words of a gram, least similarity of a link, wanted probability of a meeting at that similarity, and most hashes.
 WORDS, LEAST, RECALL, HASHES = 5, 0.8, 0.9995, 256
-#: Members that one task compares with each other; pairs that a member sends in the first round; margin of the sketch, in
-#: standard deviations.
-MOST, SENT, SIGMAS = 2048, 2, 5.0
+#: Members and bytes of sets of a part of a bucket; margin of the sketch, in standard deviations.
+MOST, FULL, SIGMAS = 2048, 8 << 20, 5.0
 
 _GRAM = mix64(np.arange(16, dtype=np.uint64) + np.uint64(501)) | np.uint64(1)
 
@@ -138,95 +136,134 @@ def full_sets(documents: DataFrame, wanted: DataFrame, n_wanted: int, words: int
     return texts.mapInArrow(collect, "set_id binary, set array<long>").dropDuplicates(["set_id"])
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with their exact Jaccard similarity; sets are read from a written table."""
-    one, two = sets.select(F.col("set_id").alias("a"), F.col("set").alias("_a")), sets.select(F.col("set_id").alias("b"), F.col("set").alias("_b"))
-    both = F.size(F.array_intersect("_a", "_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", (both / (F.size("_a") + F.size("_b") - both)).alias("likeness"))
-
-
-def likely(sketch: np.ndarray, classes: np.ndarray, hashes: int, least: float, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Places (a, b) of likely pairs of different classes in a bucket, at most `most` for each a, the likeliest first; and
-    whether some were held back. The class with fewer members here sends. The sketch agrees in a hash with probability
-    (1 + 3 J) / 4."""
-    own = np.bincount(classes)[classes]
+def members_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Of rows in order of (bucket, lo, hi): the bucket, its band, whether two parts meet, and the members' parts, ids, sketches,
+    bands and, where the rows have them, sets."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket, band, lo, hi, part = (batch.column(k).to_numpy() for k in range(5))
+        ids = utf8_block(batch.column(5))[1].reshape(-1, 16)
+        sketch = np.frombuffer(utf8_block(batch.column(6))[1].tobytes(), dtype=np.uint64).reshape(-1, 8)
+        bands = batch.column(7).flatten().to_numpy().reshape(batch.num_rows, -1)
+        sets = np.empty(batch.num_rows, dtype=object)
+        if batch.num_columns > 8:
+            edges = np.append(0, np.cumsum(batch.column(8).value_lengths().to_numpy()))
+            grams = batch.column(8).flatten().to_numpy()
+            for k in range(batch.num_rows):
+                sets[k] = grams[edges[k] : edges[k + 1]]
+        cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+        for start, stop in zip([0, *cuts], [*cuts, batch.num_rows]):
+            now = (bucket[start], band[start], lo[start], hi[start])
+            if held and now != last:
+                yield last[0], last[1], last[2] != last[3], *map(np.concatenate, zip(*held))
+                held = []
+            last = now
+            held.append((part[start:stop], ids[start:stop], sketch[start:stop], bands[start:stop], sets[start:stop]))
+    if held:
+        yield last[0], last[1], last[2] != last[3], *map(np.concatenate, zip(*held))
+    trim()
+
+
+def likely(band: int, two: bool, part: np.ndarray, sketch: np.ndarray, bands: np.ndarray, hashes: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b) of all likely pairs of a bucket that meet in no earlier band, a < b, in order; of two parts, pairs across them
+    only. The sketch agrees in a hash with probability (1 + 3 J) / 4."""
     chance = (1 + 3 * least) / 4
     apart_most = int(np.ceil(hashes * (1 - chance) + SIGMAS * np.sqrt(hashes * chance * (1 - chance))))
-    left, right, more = [], [], False
-    for start in range(0, len(sketch), 256):
-        block = sketch[start : start + 256, None, :] ^ sketch[None, :, :]
-        apart = np.bitwise_count(block[:, :, :4] | block[:, :, 4:]).sum(axis=2, dtype=np.int32)
-        near = (apart <= apart_most) & (classes[start : start + 256, None] != classes[None, :]) & (own[start : start + 256, None] <= own[None, :])
-        for row in np.flatnonzero(near.any(axis=1)):
-            at = np.flatnonzero(near[row])
-            at = at[np.argsort(apart[row, at], kind="stable")]
-            more |= len(at) > most
-            left += [start + row] * min(most, len(at))
-            right += at[:most].tolist()
-    return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64), more
+    n, cut = len(part), int(np.searchsorted(part, part[-1])) if two else 0
+    if two and part[0] == part[-1]:
+        return  # the other part has no members
+    step = max(1, (1 << 17) // n)
+    for start in range(0, cut if two else n - 1, step):
+        stop, first = min(start + step, cut if two else n - 1), cut if two else start + 1
+        block = sketch[start:stop, None, :] ^ sketch[None, first:, :]
+        near = np.bitwise_count(block[:, :, :4] | block[:, :, 4:]).sum(axis=2, dtype=np.int32) <= apart_most
+        a, b = np.nonzero(near)
+        a, b = a + start, b + first
+        if not two:
+            a, b = a[a < b], b[a < b]
+        for k in range(0, band, 1 if len(a) > 1000 else band or 1):
+            width = 1 if len(a) > 1000 else band - k
+            new = (bands[a, k : k + width] != bands[b, k : k + width]).all(axis=1)
+            a, b = a[new], b[new]
+        if len(a):
+            yield a, b
+
+
+def verified(pairs: Iterator[tuple[np.ndarray, np.ndarray]], sets: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each a of the pairs, the places b whose full sets have at least this Jaccard similarity with its own."""
+    size = np.array([len(x) for x in sets])
+    edges = np.append(0, np.cumsum(size))
+    grams, words = None, None
+    for left, right in pairs:
+        if grams is None:
+            words, grams = np.unique(np.concatenate(sets), return_inverse=True)
+            mine = np.zeros(len(words), dtype=bool)
+        cuts = np.flatnonzero(left[1:] != left[:-1]) + 1
+        for start, stop in zip([0, *cuts], [*cuts, len(left)]):
+            a, at = left[start], right[start:stop]
+            own = grams[edges[a] : edges[a + 1]]
+            mine[own] = True
+            if 4 * len(at) > len(sets) - at[0]:
+                both = np.add.reduceat(mine[grams[edges[at[0]] :]], edges[at[0] : -1] - edges[at[0]], dtype=np.int64)[at - at[0]]
+            else:
+                both = np.array([np.count_nonzero(mine[grams[edges[b] : edges[b + 1]]]) for b in at])
+            mine[own] = False
+            yield a, at[both / (size[a] + size[at] - both) >= least]
+
+
+def dealt(members: DataFrame, *columns: str) -> DataFrame:
+    """Members (bucket, band, set_id, parts, ...) by bucket and two of its parts, so that every two parts meet in one task."""
+    part = members.withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int"))
+    each = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
+    keyed = each.select("bucket", "band", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "set_id", *columns)
+    return keyed.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "part", "set_id")
 
 
 def linked(documents: DataFrame, scratch: Scratch, least: float = LEAST, recall: float = RECALL, words: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Signatures of all documents; verified links (a, b, likeness) between sets; and set components (node, component)."""
+    """Signatures of all documents; verified links (a, b) between sets; and set components (node, component)."""
     bands, rows = choose_bands(least, recall)
+    hashes = bands * rows
     signed = scratch.table(signatures(documents, bands, rows, words))
-    sets = signed.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("bands", "sketch")).alias("x"))
-    sets = scratch.table(sets.select("set_id", "doc_id", "x.bands", "x.sketch"))
-    spread = sets.select("set_id", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "set_id")
+    sets = signed.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("grams").alias("grams"), F.min(F.struct("bands", "sketch")).alias("x"))
+    sets = scratch.table(sets.select("set_id", "doc_id", "grams", "x.sketch", "x.bands"))
+    spread = sets.select("set_id", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "band", "set_id")
     # Buckets of one set drop out; what stays is in proportion to near duplicates.
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = scratch.table(spread.join(shared, "bucket"))
-    held = members.select("set_id").distinct().join(sets.select("set_id", "doc_id", "sketch"), "set_id")
-    members_with = scratch.table(members.join(held.select("set_id", "sketch"), "set_id"))
-    wanted = scratch.table(held.select("set_id", "doc_id"))
+    shared = spread.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / MOST).alias("parts"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    members = spread.join(shared, "bucket").join(sets.drop("doc_id"), "set_id")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for bucket, band, two, part, ids, sketch, values, _ in members_of(batches):
+            found = np.zeros(len(ids), dtype=bool)
+            for a, b in likely(band, two, part, sketch, values, hashes, least):
+                found[a], found[b] = True, True
+            rows += [(bucket, band, x.tobytes()) for x in ids[found]]
+            if len(rows) > 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], names=["bucket", "band", "set_id"])
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], names=["bucket", "band", "set_id"])
+
+    # Full sets go only to buckets where their likely pairs meet first.
+    needed = scratch.table(dealt(members, "sketch", "bands").mapInArrow(look, "bucket long, band int, set_id binary").distinct())
+    wanted = scratch.table(needed.select("set_id").distinct().join(sets.select("set_id", "doc_id"), "set_id").select("set_id", "doc_id"))
     sets_table = scratch.table(full_sets(documents, wanted, wanted.count(), words))
-    hashes = bands * rows
-
-    def pairs_of(sent: int):
-        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, bits, classes, last = [], [], [], None
-
-            def told() -> pa.RecordBatch:
-                a, b, more = likely(np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(-1, 8), np.unique(np.array(classes, dtype=object), return_inverse=True)[1], hashes, least, sent)
-                x, y = [ids[k] for k in a], [ids[k] for k in b]
-                return pa.RecordBatch.from_arrays([pa.array([min(p) for p in zip(x, y)], pa.binary()), pa.array([max(p) for p in zip(x, y)], pa.binary()), pa.array([more] * len(x), pa.bool_())], names=["a", "b", "more"])
-
-            for batch in batches:
-                for bucket, part, set_id, sketch, own in zip(*(c.to_pylist() for c in batch.columns)):
-                    if (bucket, part) != last:
-                        if len(ids) > 1:
-                            yield told()
-                        ids, bits, classes, last = [], [], [], (bucket, part)
-                    ids.append(set_id)
-                    bits.append(sketch)
-                    classes.append(own)
-            if len(ids) > 1:
-                yield told()
-
-        return look
-
-    known, whole, links, turn = None, None, None, 0
-    while True:
-        now = members_with.withColumn("own", F.col("set_id")) if whole is None else members_with.join(whole.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("own", F.coalesce("component", "set_id"))
-        if whole is not None:  # a bucket of one class has nothing left to find
-            open_ = now.groupBy("bucket").agg(F.min("own").alias("_lo"), F.max("own").alias("_hi")).filter("_lo <> _hi").select("bucket")
-            now = now.join(open_, "bucket")
-        part = F.pmod(F.xxhash64(F.lit(turn), "set_id"), F.ceil(F.col("n") / MOST)).cast("int")
-        dealt = now.select("bucket", part.alias("part"), "set_id", "sketch", "own").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "set_id")
-        sent = scratch.table(dealt.mapInArrow(pairs_of(SENT << 3 * turn), "a binary, b binary, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")))
-        fresh = sent if known is None else sent.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        checked = scratch.table(compared(fresh.select("a", "b"), sets_table))
-        n_new, n_links = checked.agg(F.count(F.lit(1)), F.count_if(F.col("likeness") >= least)).first()
-        more = not sent.filter("more").isEmpty()
-        known = checked if known is None else scratch.table(known.unionByName(checked)) if n_new else known
-        if n_links or whole is None:
-            links = scratch.table(known.filter(F.col("likeness") >= least))
-            whole = scratch.table(components(links, scratch))
-        turn += 1
-        if not n_links and not more:
-            break
-    return signed, links, whole
-
+    load = needed.join(sets.select("set_id", "grams"), "set_id").groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / MOST), F.ceil(8 * F.sum("grams") / FULL)).alias("parts"))
+    meeting = needed.join(load, "bucket").join(sets.select("set_id", "sketch", "bands"), "set_id").join(sets_table, "set_id")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, band, two, part, ids, sketch, values, full in members_of(batches):
+            x, y = [], []
+            for a, at in verified(likely(band, two, part, sketch, values, hashes, least), full, least):
+                x += [ids[a].tobytes()] * len(at)
+                y += [k.tobytes() for k in ids[at]]
+            if x:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["a", "b"])
+
+    links = scratch.table(dealt(meeting, "sketch", "bands", "set").mapInArrow(verify, "a binary, b binary"))
+    return signed, links, scratch.table(components(links, scratch))
 
 def near_duplicates(documents: DataFrame, least: float = LEAST, recall: float = RECALL, words: int = WORDS) -> DataFrame:
     """doc_id, class_id (the least doc_id among all documents linked to this one, directly or not), n_links (verified links of

@@ -207,6 +207,16 @@ def test_near_duplicates_in_chains(spark, monkeypatch, most):
     assert Counter((r["doc_id"], r["class_id"]) for r in got) == classes(rows)
 
 
+def test_near_duplicates_of_a_large_bucket_all_meet(spark, monkeypatch):
+    """100 texts, each linked with one hub alone and only by grams that all share: every bucket in which they meet has many parts."""
+    monkeypatch.setattr(jaccard, "MOST", 2)
+    rng = random.Random(13)
+    shared = words(rng, 204)
+    rows = [(0, shared + " " + words(rng, 2)), *((k, shared + " " + words(rng, 40)) for k in range(1, 101))]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["class_id"]) for r in got) == classes(rows) == Counter((k, 0) for k in range(101))
+
+
 def test_language_model(spark, docs, rows, empty):
     got = hmm.scored(docs, states=3, iterations=2).collect()
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
