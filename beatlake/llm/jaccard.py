@@ -9,6 +9,7 @@ meet in some band with the target probability and unlike ones do least.
 Candidates: a bucket (sets with one band value) isn't turned into pairs. Its members carry sketches, two bits of each MinHash;
 a task compares the sketches of a bucket and names the members with a likely partner (within SIGMAS of the threshold) that they
 meet in no earlier band. Only these come again with full sets, and a task verifies each likely pair, once among all bands.
+It tells the number of links of each set and as many links as join the same sets, so rows stay in proportion to members.
 A bucket of more than MOST members, or of over FULL bytes of sets, is dealt to parts by a hash, and every two parts meet in a
 task of their own.
 
@@ -222,7 +223,7 @@ def dealt(members: DataFrame, *columns: str) -> DataFrame:
 
 
 def linked(documents: DataFrame, scratch: Scratch, least: float = LEAST, recall: float = RECALL, words: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Signatures of all documents; verified links (a, b) between sets; and set components (node, component)."""
+    """Signatures of all documents; the number of verified links of each set (set_id, n_links); and set components (node, component)."""
     bands, rows = choose_bands(least, recall)
     hashes = bands * rows
     signed = scratch.table(signatures(documents, bands, rows, words))
@@ -254,24 +255,36 @@ def linked(documents: DataFrame, scratch: Scratch, least: float = LEAST, recall:
     meeting = needed.join(load, "bucket").join(sets.select("set_id", "sketch", "bands"), "set_id").join(sets_table, "set_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
         for _, band, two, part, ids, sketch, values, full in members_of(batches):
-            x, y = [], []
+            count, tree, names = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids)), [x.tobytes() for x in ids]
             for a, at in verified(likely(band, two, part, sketch, values, hashes, least), full, least):
-                x += [ids[a].tobytes()] * len(at)
-                y += [k.tobytes() for k in ids[at]]
-            if x:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["a", "b"])
+                count[a] += len(at)
+                count[at] += 1
+                new = at[tree[at] != tree[a]]
+                while len(new):
+                    rows.append((names[a], names[new[0]], 0))
+                    tree[tree == tree[new[0]]] = tree[a]
+                    new = new[tree[new] != tree[a]]
+            rows += [(names[k], None, int(count[k])) for k in np.flatnonzero(count)]
+            if len(rows) > 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.binary(), pa.binary(), pa.int64()))], names=["a", "b", "n"])
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.binary(), pa.binary(), pa.int64()))], names=["a", "b", "n"])
+
+    # Of its links a task tells each set's number and as many as join the same sets.
+    found = scratch.table(dealt(meeting, "sketch", "bands", "set").mapInArrow(verify, "a binary, b binary, n long"))
+    counts = found.filter("b is null").groupBy(F.col("a").alias("set_id")).agg(F.sum("n").alias("n_links"))
+    return signed, counts, scratch.table(components(found.filter("b is not null").select("a", "b"), scratch))
 
-    links = scratch.table(dealt(meeting, "sketch", "bands", "set").mapInArrow(verify, "a binary, b binary"))
-    return signed, links, scratch.table(components(links, scratch))
 
 def near_duplicates(documents: DataFrame, least: float = LEAST, recall: float = RECALL, words: int = WORDS) -> DataFrame:
-    """doc_id, class_id (the least doc_id among all documents linked to this one, directly or not), n_links (verified links of
-    its set to other sets), n_copies (documents with the same set) and set_id (hexadecimal, null without grams); a row per document."""
+    """doc_id, class_id (the least doc_id among all documents linked to this one, directly or not), n_links (all verified links
+    of its set to other sets), n_copies (documents with the same set) and set_id (hexadecimal, null without grams); a row per document."""
     scratch = Scratch(documents.sparkSession, "jaccard")
     documents = documents.select("doc_id", "text")
-    signed, links, whole = linked(documents, scratch, least, recall, words)
-    ends = links.select(F.col("a").alias("set_id")).unionByName(links.select(F.col("b").alias("set_id"))).groupBy("set_id").agg(F.count(F.lit(1)).alias("n_links"))
+    signed, ends, whole = linked(documents, scratch, least, recall, words)
     own = signed.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("n_copies"))
     own = scratch.table(own.join(ends, "set_id", "left").join(whole.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id")))
     classes = own.groupBy("component").agg(F.min("_least").alias("class_id"))

@@ -217,6 +217,21 @@ def test_near_duplicates_of_a_large_bucket_all_meet(spark, monkeypatch):
     assert Counter((r["doc_id"], r["class_id"]) for r in got) == classes(rows) == Counter((k, 0) for k in range(101))
 
 
+@pytest.mark.parametrize("most", [2048, 8])
+def test_near_duplicates_count_all_links(spark, monkeypatch, most):
+    """n_links of a group of many different texts, of a pair with a copy, and of lone texts, against all pairs."""
+    monkeypatch.setattr(jaccard, "MOST", most)
+    rng = random.Random(17)
+    shared, pair = words(rng, 200), words(rng, 100)
+    rows = [(k, shared + " " + words(rng, 1 + k % 20)) for k in range(60)]
+    rows += [(100, pair), (101, pair), (102, pair + " edited"), (103, words(rng, 30)), (104, "")]
+    sets = {frozenset(grams(x)) for _, x in rows if x}
+    want = Counter((k, sum(len(a & b) / len(a | b) >= 0.8 for a in [frozenset(grams(x))] for b in sets if a != b)) for k, x in rows)
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["n_links"]) for r in got) == want
+    assert want[(0, 59)] == 1 and want[(100, 1)] == want[(103, 0)] == want[(104, 0)] == 1
+
+
 def test_language_model(spark, docs, rows, empty):
     got = hmm.scored(docs, states=3, iterations=2).collect()
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
