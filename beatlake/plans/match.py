@@ -81,11 +81,21 @@ def _scored(spark, d):
     return found.withColumn("score", rounded("score", 6))
 
 
+def _sub_scores(got):
+    return got.select("take_id", "beat_id", F.col("shift").cast("int").alias("shift"), rounded("ratio", 6).alias("ratio"), rounded("sub_harmonic", 3).alias("harmonic"), rounded("sub_transform", 3).alias("transform"), rounded("score", 3).alias("score"))
+
+
 @query(_SCORED + " SELECT take_id, beat_id, shift, round(ratio + 1e-9, 6) AS ratio, round(round(harmonic + 1e-9, 4) + 1e-9, 3) AS harmonic, round(round(transform + 1e-9, 4) + 1e-9, 3) AS transform, round(round(score + 1e-9, 6) + 1e-9, 3) AS score FROM scored WHERE beat_id % 10 = take_id % 10")
 def j02_score_pairs(spark, d):
     """Reports the pairs whose ids agree in the last digit; all pairs are scored for the matches below."""
     got = _scored(spark, d).filter(F.col("beat_id") % 10 == F.col("take_id") % 10)
-    return got.select("take_id", "beat_id", F.col("shift").cast("int").alias("shift"), rounded("ratio", 6).alias("ratio"), rounded("sub_harmonic", 3).alias("harmonic"), rounded("sub_transform", 3).alias("transform"), rounded("score", 3).alias("score"))
+    return _sub_scores(got)
+
+
+@query(_SCORED + " SELECT take_id, beat_id, shift, round(ratio + 1e-9, 6) AS ratio, round(round(harmonic + 1e-9, 4) + 1e-9, 3) AS harmonic, round(round(transform + 1e-9, 4) + 1e-9, 3) AS transform, round(round(score + 1e-9, 6) + 1e-9, 3) AS score FROM scored")
+def j02_all_pairs(spark, d):
+    """The sub-scores of all scored pairs."""
+    return _sub_scores(_scored(spark, d))
 
 
 @query(_SCORED + " SELECT take_id, beat_id, rank, round(score + 1e-9, 4) AS score FROM ranked WHERE rank <= 5")

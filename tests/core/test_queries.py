@@ -41,6 +41,16 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).schema and QUERIES[name](spark, SF).count() >= 0
 
 
+def test_all_scored_pairs_are_returned(spark):
+    from beatlake.operators import matching
+    from beatlake.sources.fixtures import events
+
+    want = {tuple(r) for r in matching.candidates(events(spark, SF, "takes"), events(spark, SF, "catalog")).select("take_id", "beat_id").collect()}
+    got = [tuple(r) for r in QUERIES["j02_all_pairs"](spark, SF).select("take_id", "beat_id").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert any(a % 10 != b % 10 for a, b in got)
+
+
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
