@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +54,8 @@ def key_from_chroma(frames: DataFrame, by: str, tags: DataFrame | None = None) -
 
 def modulations(chords: DataFrame, by: str, window: int = 4, gain: float = 0.18) -> DataFrame:
     """Chords (bar, root, quality, duration_s) -> key regions. Scores of 24 keys over a sliding window are window sums; the
-    switch (a clearly better key of another family that lasts) depends on the key held so far, so it is one group per entity."""
+    switch (a clearly better key of another family that lasts) depends on the key held so far, which a task carries along the
+    bars of an entity."""
     from beatlake.functions.theory import chord_tones
 
     keys = chords.sparkSession.range(24).select((F.col("id") % 12).cast("int").alias("key_pc"), F.when(F.col("id") < 12, "major").otherwise("minor").alias("key_mode"))
@@ -63,24 +67,39 @@ def modulations(chords: DataFrame, by: str, window: int = 4, gain: float = 0.18)
     kind = chords.schema[by].dataType.simpleString()
     hold = max(2, window // 3)
 
-    def follow(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("bar")
-        scores = np.array([[k["score"] for k in ks] for ks in group["k"]])
-        pcs, minor = np.array([k["key_pc"] for k in group["k"].iloc[0]]), np.array([k["key_mode"] == "minor" for k in group["k"].iloc[0]])
-        family = (pcs + 3 * minor) % 12
-        now, start, count, rows_ = int(scores[0].argmax()), 0, 0, []
-        for n, s in enumerate(scores):
-            best = int(s.argmax())
-            count = count + 1 if family[best] != family[now] and s[best] - s[now] > gain else 0
-            if count >= hold:
-                first = n - count + 1
-                rows_.append((start, first, now))
-                now, start, count = best, first, 0
-        rows_.append((start, len(scores), now))
-        bars = group["bar"].to_numpy()
-        return pd.DataFrame([(group[by].iloc[0], int(bars[a]), int(bars[b - 1]) + 1, int(pcs[k]), "minor" if minor[k] else "major") for a, b, k in rows_], columns=[by, "start_bar", "end_bar", "key_pc", "key_mode"])
-
-    return rows.groupBy(by).applyInPandas(follow, f"{by} {kind}, start_bar long, end_bar long, key_pc int, key_mode string")
+    def told(regions: list[tuple], own: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in regions], t) for k, t in enumerate((own, pa.int64(), pa.int64(), pa.int32(), pa.string()))], names=names)
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, now, own = None, None, None
+        for batch in batches:
+            own, regions = batch.schema.field(0).type, []
+            for entity, bar, scores, pcs, modes in zip(*(c.to_pylist() for c in batch.columns)):
+                s = np.array(scores)
+                best = int(s.argmax())
+                if now is None or entity != last:
+                    if now is not None:
+                        regions.append((last, start, before + 1, *keys_[now]))
+                    keys_ = list(zip(pcs, modes))
+                    family = [(p + 3 * (m == "minor")) % 12 for p, m in keys_]
+                    last, now, start, count = entity, best, bar, 0
+                if family[best] != family[now] and s[best] - s[now] > gain:
+                    if not count:
+                        first, ended = bar, before + 1
+                    count += 1
+                else:
+                    count = 0
+                if count >= hold:
+                    regions.append((entity, start, ended, *keys_[now]))
+                    now, start, count = best, first, 0
+                before = bar
+            yield told(regions, own)
+        if now is not None:
+            yield told([(last, start, before + 1, *keys_[now])], own)
+
+    names = [by, "start_bar", "end_bar", "key_pc", "key_mode"]
+    slim = rows.select(by, "bar", F.col("k.score").alias("score"), F.col("k.key_pc").alias("key_pc"), F.col("k.key_mode").alias("key_mode"))
+    return slim.repartition(by).sortWithinPartitions(by, "bar").mapInArrow(follow, f"{by} {kind}, start_bar long, end_bar long, key_pc int, key_mode string")
 
 
 def groove_compat(pairs: DataFrame) -> DataFrame:

@@ -120,12 +120,21 @@ def live_cues(frames: DataFrame, idle_ms: int = 600_000) -> DataFrame:
 
 
 def batch_cues(frames: DataFrame) -> DataFrame:
-    """The same cues over a table of frames: what a replay gives."""
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(group["take_id"].iloc[0], *c) for c in coach_frames(group, Coach())], columns=["take_id", "cue", "severity", "at_s", "value"])
-
-    return frames.groupBy("take_id").applyInPandas(fold, CUES)
+    """The same cues over a table of frames: what a replay gives. A task streams its takes and holds one coach."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, coach = None, None
+        for batch in batches:
+            cues = []
+            for (none, take), some in batch.groupby(["_none", "take_id"], sort=False):
+                if (none, take) != last:
+                    last, coach = (none, take), Coach()
+                cues += [(None if none else take, *c) for c in coach_frames(some, coach)]
+            yield pd.DataFrame(cues, columns=["take_id", "cue", "severity", "at_s", "value"])
+
+    known = frames.withColumns({"_none": F.col("take_id").isNull(), "take_id": F.coalesce("take_id", F.lit(0))})
+    order = ["_none", "take_id", F.coalesce("time_s", F.lit(float("nan"))), F.col("event_id").asc_nulls_last()]
+    return known.repartition("_none", "take_id").sortWithinPartitions(*order).mapInPandas(fold, CUES)
 
 
 def voice_gate(frames: DataFrame) -> DataFrame:

@@ -134,6 +134,29 @@ def test_good_takes_are_left_alone_and_clipping_speaks(spark):
     assert [(r["cue"], r["severity"]) for r in cues] == [("clipping", "fatal")]
 
 
+def test_cues_and_modulations_stream_a_long_take(spark):
+    """No group of a whole take: state goes on from batch to batch, whatever their size, and starts anew with each take."""
+    from beatlake.operators import harmony
+
+    rows = [(take, *r[1:]) for take in (1, 2, None) for r in frames(400, clip=100 if take != 2 else 300)]
+    chords = [(e, bar, 0 if bar < 40 else 6, "maj", 2.0) for e in ("a", "b") for bar in range(80)]
+    data = spark.createDataFrame(rows, live.FRAMES), spark.createDataFrame(chords, "entity_id string, bar long, root int, quality string, duration_s double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        cues, keys = live.batch_cues(data[0]), harmony.modulations(data[1], "entity_id")
+        assert not any("FlatMapGroups" in x._jdf.queryExecution().toString() for x in (cues, keys))
+        got = [tuple(r) for r in cues.collect()]
+        regions = sorted(tuple(r) for r in keys.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    whole = pd.DataFrame(rows[:400], columns="take_id event_id ts time_s rms_db peak_db clipped is_voice low_mid_ratio is_plosive".split())
+    want = live.coach_frames(whole, live.Coach())
+    assert want and [r[1:] for r in got if r[0] == 1] == [r[1:] for r in got if r[0] is None] == want
+    assert [r[1] for r in got if r[0] == 2] == ["clipping"]
+    assert [r[0] for r in regions] == ["a", "a", "b", "b"] and [r[1:] for r in regions[:2]] == [r[1:] for r in regions[2:]]
+    assert regions[0][1] == 0 and regions[0][2] == regions[1][1] and regions[1][2] == 80 and (regions[0][3], regions[1][3]) == (0, 6)
+
+
 def test_stream_gives_the_replays_cues(spark, tmp_path):
     rows = frames(600, clip=100)
     for k in range(4):
