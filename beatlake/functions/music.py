@@ -1,4 +1,4 @@
-"""Tempo, salience, groove strength, energy and mix columns."""
+"""Tempo, salience, groove strength, energy and mix columns."""
 
 from __future__ import annotations
 

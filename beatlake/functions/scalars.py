@@ -1,4 +1,4 @@
-"""F1-F16: scalar helpers."""
+"""Scalar helpers."""
 
 from __future__ import annotations
 

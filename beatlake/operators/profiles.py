@@ -1,4 +1,4 @@
-"""Aggregations that profile takes and beats. Medians and percentiles are exact; `approximate=True` on the frame
+"""Aggregations that profile takes and beats. Medians and percentiles are exact; `approximate=True` on the frame
 aggregates trades that for percentile_approx on very long tables. Empty groups give null, never 0."""
 
 from __future__ import annotations

@@ -1,4 +1,4 @@
-"""Live takes. Frames carry event time; state is kept by take, and rows of a trigger are folded in event order."""
+"""Live takes. Frames carry event time; state is kept by take, and rows of a trigger are folded in event order."""
 
 from __future__ import annotations
 
