@@ -11,8 +11,9 @@
 As pooling and the first layer are both linear, scoring sums one row of the hidden layer's width per token.
 
 Defined results: a null text is the empty text and gets the network's score for no token; a document with several labels
-counts as good if their mean is at least 1/2; null labels and ids teach nothing; without labels of both kinds all scores are
-the share of good labels (1/2 without any); repeated rows get one score each; an empty table gives an empty result.
+counts as good if their mean is at least 1/2; null labels and ids teach nothing; ids may be of any type; of documents that
+repeat an id one teaches; without labels of both kinds all scores are the share of good labels (1/2 without any); repeated
+rows get one score each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from beatlake.llm._shared import collect_model, cut_model, free_name, is_fold, mix64, model_rows, slices, sum_models, utf8_block
+from beatlake.llm._shared import collect_model, cut_model, free_name, is_fold, mix64, model_rows, slices, sum_models, text_or_empty, trim, utf8_block
 
 #: Rows of word vectors (tokens are hashed to them), width of a vector, and tokens on either side that count as context.
 ROWS, WIDTH, WINDOW = 1 << 14, 64, 2
@@ -36,14 +37,31 @@ HIDDEN, EPOCHS, RATE, DECAY = 16, 150, 0.01, 1e-4
 #: Scores from here on predict good quality.
 THRESHOLD = 0.7
 SLICE = 1 << 16
+#: Bytes of text that a task works on at a time, and word vectors that it adds up at a time.
+BLOCK, ADDED = 1 << 19, 1 << 15
 
 _SHAPES = 64  # the first rows are shapes
 _CLASS = np.array([0 if b <= 0x20 or b == 0x7F else 1 if b >= 0x80 or chr(b).isalpha() else 2 if chr(b).isdigit() else b for b in range(256)], dtype=np.uint8)
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256)], dtype=np.uint8)
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
 _BYTE = mix64(np.arange(256, dtype=np.uint64))
+_BYTE_LOWER = _BYTE[_LOWER]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of the step and of its inverse, at least n of each; kept per process."""
+    if not _powers or len(_powers[0]) < n:
+        made = []
+        for base in (_STEP, _BACK):
+            x = np.full(max(n, BLOCK + 1), base, dtype=np.uint64)
+            x[0] = 1
+            np.multiply.accumulate(x, out=x)
+            made.append(x)
+        _powers[:] = made
+    return _powers
 
 
 def index_vectors(rows: int = ROWS, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -67,14 +85,12 @@ def tokens(offsets: np.ndarray, data: np.ndarray, rows: int = ROWS) -> tuple[np.
     what = kind[starts]
     keep = what > 0
     starts, ends, what = starts[keep], ends[keep], what[keep]
-    powers = np.full(len(data) + 1, _STEP, dtype=np.uint64)
-    powers[0] = 1
-    np.multiply.accumulate(powers, out=powers)
+    step, back = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[_LOWER[data]] * powers[:-1], out=sums[1:])
-    back = np.full(len(data) + 1, _BACK, dtype=np.uint64)
-    back[0] = 1
-    np.multiply.accumulate(back, out=back)
+    value = _BYTE_LOWER[data]
+    value *= step[: len(data)]
+    np.cumsum(value, out=sums[1:])
+    del value
     letters = what == 1
     size = ends - starts
     symbol = mix64((what.astype(np.uint64) << np.uint64(8)) + np.minimum(size, 4).astype(np.uint64))
@@ -99,7 +115,7 @@ def context_sums(documents: DataFrame, text_column: str = "text", rows: int = RO
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plus, minus = index_vectors(rows, width)
         total = np.zeros(size, dtype=np.int64)
-        for batch in slices(batches, text_column, 1 << 20):
+        for batch in slices(batches, text_column, BLOCK):
             ids, edges = tokens(*utf8_block(batch.column(0)), rows)
             doc = np.repeat(np.arange(len(edges) - 1, dtype=np.int32), np.diff(edges))
             for apart in range(1, WINDOW + 1):
@@ -136,11 +152,11 @@ def word_vectors(contexts: np.ndarray) -> np.ndarray:
 def pooled(ids: np.ndarray, edges: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Mean of the vectors of each document's tokens; documents without tokens get 0."""
     out = np.zeros((len(edges) - 1, vectors.shape[1]))
-    full = np.flatnonzero(np.diff(edges))
-    for some in np.array_split(full, max(1, len(ids) // 200_000)):  # a bounded number of vectors at a time
-        if len(some):
-            own = vectors[ids[edges[some[0]] : edges[some[-1] + 1]]]
-            out[some] = np.add.reduceat(own, edges[some] - edges[some[0]], axis=0, dtype=np.float64)
+    for at in range(0, len(ids), ADDED):  # a document may lie in several of these
+        stop = min(at + ADDED, len(ids))
+        some = np.arange(np.searchsorted(edges, at, side="right") - 1, np.searchsorted(edges, stop, side="left"))
+        some = some[np.minimum(edges[some + 1], stop) > np.maximum(edges[some], at)]
+        out[some] += np.add.reduceat(vectors[ids[at:stop]], np.maximum(edges[some], at) - at, axis=0, dtype=np.float64)
     return out / np.maximum(np.diff(edges), 1)[:, None]
 
 
@@ -210,39 +226,46 @@ def fitted(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, diviso
     shared = spark.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", BLOCK):
             ids, edges = tokens(*utf8_block(batch.column(2)))
             x = np.hstack([pooled(ids, edges, shared.value), np.log1p(np.diff(edges))[:, None]]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["key", "quality", "x"])
 
-    slim = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "text")
-    rows = sorted(slim.mapInArrow(features, "doc_id long, quality int, x binary").collect(), key=lambda r: (r["doc_id"], r["x"]))
+    key = F.col("doc_id").cast("long") if isinstance(documents.schema["doc_id"].dataType, T.IntegralType) else F.xxhash64("doc_id")
+    slim = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select(key.alias("key"), "quality", "text")
+    # One row for each id, so what comes to the driver is bounded by the sample.
+    one = slim.mapInArrow(features, "key long, quality int, x binary").groupBy("key").agg(F.min(F.struct("quality", "x")).alias("r")).select("key", "r.*")
+    rows = sorted(one.collect(), key=lambda r: r["key"])
     x = np.array([np.frombuffer(r["x"], dtype=np.float32) for r in rows], dtype=np.float64)
     y = np.array([r["quality"] for r in rows])
     if not len(y) or y.min() == y.max():
         return Model(np.zeros((ROWS, 1), np.float32), np.zeros(1), np.zeros(1), np.zeros(1), 0.0, 1.0, constant=float(share))
-    fold = mix64(np.array([r["doc_id"] for r in rows], dtype=np.int64).astype(np.uint64)) % np.uint64(CALIBRATION) == 0
+    fold = mix64(np.array([r["key"] for r in rows], dtype=np.int64).astype(np.uint64)) % np.uint64(CALIBRATION) == 0
     net = fit_network(x, y, fold)
     return Model((vectors.astype(np.float64) @ net["inner"][:-1]).astype(np.float32), net["inner"][-1], net["bias"], net["out"], net["out_bias"], net["temperature"])
 
 
-def scored(documents: DataFrame, model: Model, text_column: str = "text", keep: list[str] | None = None, least: float | None = None) -> DataFrame:
-    """documents (or the columns `keep`) with a quality score, under `score` or a free name; with `least`, the rows that
-    reach it alone, without the score."""
-    name = free_name(documents, "score") if keep is None or least is not None else "score"
+def score_of(spark: SparkSession, model: Model, text_column: str = "text") -> Column:
+    """The score of a text: tasks send texts to Python and get a number back."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            parts = [shared.value.scores(*tokens(*utf8_block(x.column(0)))) for x in slices(iter([pa.record_batch([column], names=["text"])]), "text", BLOCK)]
+            yield pa.array(np.concatenate([*parts, np.zeros(0)]), pa.float64())
+        trim()
+
+    return score(text_or_empty(text_column))
+
+
+def scored(documents: DataFrame, model: Model, text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """documents (or the columns `keep`) with a quality score, under `score` or a free name."""
+    name = free_name(documents, "score") if keep is None else "score"
     kept = documents.columns if keep is None else keep
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_column if text_column in kept else "_text", 1 << 20):
-            got = shared.value.scores(*tokens(*utf8_block(batch.column(text_column if text_column in kept else "_text"))))
-            out = batch.select(list(range(len(kept))))
-            if least is not None:
-                yield out.filter(pa.array(got >= least))
-            else:
-                yield out.append_column(name, pa.array(got, pa.float64()))
-
-    twice = text_column in kept  # then the text is read where it stands
-    slim = documents.select(*kept) if twice else documents.select(*kept, F.col(text_column).cast("string").alias("_text"))
-    fields = documents.select(*kept).schema.fields
-    return slim.mapInArrow(score, T.StructType(fields if least is not None else [*fields, T.StructField(name, T.DoubleType())]))
+    return documents.select(*kept, score_of(documents.sparkSession, model, text_column).alias(name))
+
+
+def good_only(documents: DataFrame, model: Model, least: float = THRESHOLD, text_column: str = "text") -> DataFrame:
+    """The rows of documents whose score reaches `least`, as they are."""
+    return documents.filter(score_of(documents.sparkSession, model, text_column) >= least)

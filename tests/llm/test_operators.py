@@ -267,7 +267,7 @@ def test_quality(spark, docs, rows, empty):
     out = quality.scored(docs, model)
     assert out.columns[:-1] == docs.columns and out.count() == len(rows)
     assert all(0 <= r[-1] <= 1 for r in out.collect())
-    kept = quality.scored(docs, model, least=0.5)
+    kept = quality.good_only(docs, model, 0.5)
     assert kept.columns == docs.columns
     none = quality.fitted(empty, marks.limit(0))
     assert quality.scored(empty, none).count() == 0 and none.constant == 0.5
