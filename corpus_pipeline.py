@@ -19,7 +19,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good. It learns from all labels of these documents outside the
     fold that op3_quality holds out."""
     model = quality.fitted(docs, lean(spark).read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs.select(COLUMNS), model, least=quality.THRESHOLD)
+    return quality.good_only(docs.select(COLUMNS), model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
