@@ -144,11 +144,12 @@ def scanned(documents: DataFrame, known: DataFrame | None = None, text_column: s
     """documents with digest (of the canonical text) and license_id (null unless the whole text is a known one)."""
     digest, licence = free_name(documents, "digest"), free_name(documents, "license_id")
     side = known_digests(documents.sparkSession) if known is None else known
-    side = side.select(F.col("digest").alias("_known"), F.col("license_id").alias("_license"))
+    known_name, name = free_name(documents, "known"), free_name(documents, "license")
+    side = side.select(F.col("digest").alias(known_name), F.col("license_id").alias(name))
     if known is None:
         side = F.broadcast(side)  # as many rows as KNOWN has
-    found = documents.withColumn("_digest", F.sha2(canonical(text_or_empty(text_column)), 256)).join(side, F.col("_digest") == F.col("_known"), "left")
-    return found.select(*documents.columns, F.col("_digest").alias(digest), F.col("_license").alias(licence))
+    found = documents.withColumn(digest, F.sha2(canonical(text_or_empty(text_column)), 256)).join(side, F.col(digest) == F.col(known_name), "left")
+    return found.select(*documents.columns, digest, F.col(name).alias(licence))
 
 
 def _quoted(text: str) -> str:

@@ -148,15 +148,17 @@ def mixed(sized: DataFrame, seed: int = 8, weights: tuple[float, ...] = WEIGHTS,
     side = F.broadcast(slim) if small_enough(n_sources, 200) else slim
     share = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
     near = F.when(F.abs(share - F.round(share)) < 1e-9, F.round(share)).otherwise(share)
-    dice = F.xxhash64(F.lit(seed), "doc_id", "size", *([tie] if tie else []))
+    dice = F.xxhash64(F.lit(seed), "doc_id", "size", *(["_tie"] if tie else []))
+    # All columns of sized go along as one, so none clashes with those added here.
+    own = sized.select(F.struct(*sized.columns).alias("_row"), "doc_id", "source", "size", *([F.col(tie).alias("_tie")] if tie else []))
     rows = (
-        sized.join(side, F.col("source").eqNullSafe(F.col("_source")))
+        own.join(side, F.col("source").eqNullSafe(F.col("_source")))
         .withColumn("_share", near)
         .withColumn("_p", F.col("_share") - F.floor("_share"))
         .withColumn("_dice", dice)
         .withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "_dice"), F.ceil(F.col("documents") / BLOCK)).cast("long"))
         .withColumn("_copy", F.lit(None).cast("int"))
-        .drop("_source", "documents")
+        .drop("_source", "documents", "_tie")
     )
     most_blocks = targets.agg(F.max(F.ceil(F.col("documents") / BLOCK))).first()[0] or 1
     parts, schema = [], rows.schema
@@ -177,4 +179,4 @@ def mixed(sized: DataFrame, seed: int = 8, weights: tuple[float, ...] = WEIGHTS,
     copies = (F.floor("_share") + F.col("_copy")).cast("long")
     name = free_name(sized, "mix")
     made = F.struct(F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
-    return whole.select(*sized.columns, made.alias(name))
+    return whole.select(*(F.col("_row")[c].alias(c) for c in sized.columns), made.alias(name))

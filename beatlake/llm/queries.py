@@ -55,8 +55,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", F.sha2("repeats.kept", 256).alias("kept_sha256"))
+    """Beside the contract's columns, n_passage_words: words in passages of over 50 words that stand elsewhere too."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    passages = repeats.passage_words(documents)
+    out = repeats.without_repeats(documents.join(passages, repeats.text_key() == F.col("key"), "left").select("doc_id", "text", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_passage_words")))
+    return out.select("doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", F.sha2("repeats.kept", 256).alias("kept_sha256"), "n_passage_words")
 
 
 def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
-"""Suffix-array dedup: bytes covered by a string of `length` bytes that starts anywhere else too, over all documents.
+"""Suffix-array dedup: what is covered by a string of a fixed length that starts anywhere else too, over all documents.
 
-Every string of `length` bytes has an anchor, the byte gram in it whose hash is least (the leftmost of equals); equal
+Strings are of bytes (400 of them), or of words (51): then a word is a symbol, known by 32 bits of its hash. Lengths, places
+and spans are in symbols.
+
+Every string has an anchor, the gram in it whose hash is least (the leftmost of equals); equal
 strings have equal anchors at equal places. A document's starts fall into runs with one anchor; the text of such a run (from
 its first start to the end of its last string) is a region. So
 
-1. each document gives its regions as rows (anchor, region hash, place), about one for 185 bytes;
+1. each document gives its regions as rows (anchor, region hash, place), about two for a string's length;
 2. regions that occur twice as a whole are repeated throughout: no text is looked at;
 3. anchors that occur once have no repeated string: dropped;
 4. what is left, anchors with different regions, goes to shards by anchor with one copy of each region's text. A shard's
@@ -12,28 +15,53 @@ its first start to the end of its last string) is a region. So
 5. an anchor with many different regions is cut over several shards. These send the hashes of their distinct strings, sorted
    and cut at fixed values, to one merger for each cut, which finds strings of other shards by binary search.
 
-Region and string hashes have 64 and 128 bits. Defined results: null is the empty text; texts shorter than `length` lose
-nothing; repeated rows are copies of each other; bytes are UTF-8 and spans may cut characters; an empty table gives an empty
-result; columns other than the id and the text are kept under their own names.
+Region and string hashes have 64 and 128 bits. Defined results: null is the empty text; texts shorter than a string lose
+nothing; repeated rows are copies of each other; bytes are UTF-8 and their spans may cut characters; an empty table gives an
+empty result; columns other than the id and the text are kept under their own names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from beatlake.llm._shared import Scratch, mix64, slices, text_or_empty, utf8_block
-from beatlake.llm.suffixes import SEPARATOR, common_prefixes, suffix_array
+from beatlake.llm._shared import Scratch, free_name, mix64, slices, text_or_empty, trim, utf8_block, word_spans
+from beatlake.llm.suffixes import common_prefixes, separator, suffix_array
 
 #: Bytes of a repeated string, and of the gram that anchors it.
 LENGTH, GRAM = 400, 32
-#: Different regions of one anchor that go to one shard, and bytes that a shard takes before it is sorted.
-REGIONS, SHARD = 2000, 1 << 19
+#: Symbols that a shard takes before it is sorted, and bytes of text that a task works on at a time.
+SHARD, BLOCK = 1 << 19, 1 << 19
+#: Bits of a place in a block; a gram's hash keeps the others, whatever the block's size, so equal strings choose equal anchors.
+PLACE = np.uint64(31)
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What strings are made of: `length` symbols of `kind`, anchored by grams of `gram` symbols."""
+
+    length: int = LENGTH
+    gram: int = GRAM
+    kind: str = "u1"
+
+    def coded(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each document's symbols begin (documents + 1), and the symbols of a block."""
+        if self.kind == "u1":
+            return offsets, data
+        starts, ends, first = word_spans(offsets, data)
+        if not len(starts):
+            return first, np.zeros(0, np.uint32)
+        return first, (stretch_hash(prefix_sums(data), starts, ends) % np.uint64(0xFFFFFFFF)).astype(np.uint32)  # one value is the separator's
+
+
+BYTES, PASSAGES = Unit(), Unit(51, 8, "<u4")
 
 _STEP = np.uint64(0xD1342543DE82EF95)
 _BACK = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
@@ -46,7 +74,7 @@ def powers(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         made = []
         for base in (_STEP, _BACK):
-            x = np.full(max(n, 1 << 20), base, dtype=np.uint64)
+            x = np.full(max(n, BLOCK + 2), base, dtype=np.uint64)
             x[0] = 1
             np.multiply.accumulate(x, out=x)
             made.append(x)
@@ -57,7 +85,9 @@ def powers(n: int) -> list[np.ndarray]:
 def prefix_sums(data: np.ndarray, table: int = 0) -> np.ndarray:
     """Sums from which the hash of any stretch of data can be read."""
     out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[table][data] * powers(len(data) + 1)[0][: len(data)], out=out[1:])
+    value = _BYTES[table][data] if data.dtype == np.uint8 else mix64(data.astype(np.uint64) + _BYTES[table][0])
+    value *= powers(len(data) + 1)[0][: len(data)]
+    np.cumsum(value, out=out[1:])
     return out
 
 
@@ -67,7 +97,7 @@ def stretch_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 
 
 def regions(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Document, anchor hash, region hash, first and last start (in the document) of all regions of a block."""
+    """By symbols: document, anchor hash, region hash, first and last start (in the document) of all regions of a block."""
     n, grams = len(data), len(data) - gram + 1
     sizes = np.diff(offsets)
     if n < length or not (sizes >= length).any():
@@ -76,15 +106,14 @@ def regions(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH, gram: i
     back = powers(n + 1)[1]
     hashes = (sums[gram:] - sums[:grams]) * back[:grams]
     hashes = mix64(hashes)
-    bits = np.uint64(max(1, int(n).bit_length()))
-    least = (hashes >> bits << bits) | np.arange(grams, dtype=np.uint64)
+    least = (hashes >> PLACE << PLACE) | np.arange(grams, dtype=np.uint64)
     window, wide = length - gram + 1, 1
     while wide * 2 <= window:
         least = np.minimum(least[:-wide], least[wide:])
         wide *= 2
     if window > wide:
         least = np.minimum(least[: len(least) - (window - wide)], least[window - wide :])
-    anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)  # of the string that starts here
+    anchor = (least & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)  # of the string that starts here
     good = np.zeros(n + 1, dtype=np.int8)
     long_ = sizes >= length
     good[offsets[:-1][long_]] += 1
@@ -105,10 +134,10 @@ def text_key(column: str = "text"):
     return F.substring(F.unhex(F.sha2(text_or_empty(column), 256)), 1, 16)
 
 
-def _rows(column_type: str):
+def _rows(column_type: str, unit: Unit):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
-            doc, anchor, whole, lo, hi = regions(*utf8_block(batch.column(2)))
+        for batch in slices(batches, "text", BLOCK):
+            doc, anchor, whole, lo, hi = regions(*unit.coded(*utf8_block(batch.column(2))), unit.length, unit.gram)
             take = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(take), batch.column(1).take(take), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))],
@@ -135,15 +164,16 @@ def _batch(spans: list[tuple], sent: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["key", "lo", "hi", "anchor", "slice", "keys", "body"])
 
 
-def shard_repeats(parts: list[dict], length: int = LENGTH) -> tuple[list[tuple], list[tuple]]:
+def shard_repeats(parts: list[dict], length: int = LENGTH, kind: str = "u1") -> tuple[list[tuple], list[tuple]]:
     """Repeated starts of one shard as (key, lo, hi), and for the anchors that other shards have too, sorted hashes of the
-    distinct strings as (anchor, slice, keys, body). parts: key, anchor, copies, lo, shards, body (the region's text)."""
-    edges = np.concatenate([[0], np.cumsum([len(p["body"]) + 1 for p in parts])])
-    text = np.full(edges[-1], SEPARATOR, dtype=np.uint8)
+    distinct strings as (anchor, slice, keys, body). parts: key, anchor, copies, lo, shards, body (the region's symbols)."""
+    bodies = [np.frombuffer(p["body"], kind) for p in parts]
+    edges = np.concatenate([[0], np.cumsum([len(x) + 1 for x in bodies])])
+    text = np.full(edges[-1], separator(np.dtype(kind)), dtype=kind)
     real = np.zeros(len(text), dtype=bool)
-    for p, at in zip(parts, edges):
-        text[at : at + len(p["body"])] = np.frombuffer(p["body"], np.uint8)
-        real[at : at + len(p["body"]) - length + 1] = True
+    for x, at in zip(bodies, edges):
+        text[at : at + len(x)] = x
+        real[at : at + len(x) - length + 1] = True
     order = suffix_array(text)
     shared = common_prefixes(text, order, length)
     with_next = np.append(shared[1:] >= length, False)
@@ -151,9 +181,9 @@ def shard_repeats(parts: list[dict], length: int = LENGTH) -> tuple[list[tuple],
     again[order] = (shared >= length) | with_next
     again &= real
     spans = []
-    for p, at in zip(parts, edges):
+    for p, x, at in zip(parts, bodies, edges):
         if p["copies"] == 1:
-            first, last = _runs(again[at : at + len(p["body"])])
+            first, last = _runs(again[at : at + len(x)])
             spans += [(p["key"], int(p["lo"] + a), int(p["lo"] + b)) for a, b in zip(first, last)]
     sent: list[tuple] = []
     split: dict[int, list[int]] = {}
@@ -168,7 +198,8 @@ def shard_repeats(parts: list[dict], length: int = LENGTH) -> tuple[list[tuple],
             found = []
             for number, k in enumerate(own):
                 at, p = edges[k], parts[k]
-                starts = at + np.flatnonzero(leads[at : at + len(p["body"])] & real[at : at + len(p["body"])])
+                to = at + len(bodies[k])
+                starts = at + np.flatnonzero(leads[at:to] & real[at:to])
                 x = np.empty(len(starts), dtype=_ENTRY)
                 x["f"], x["g"] = stretch_hash(f, starts, starts + length), stretch_hash(g, starts, starts + length)
                 x["region"] = np.where(again[starts] | (p["copies"] > 1), _NOBODY, number)
@@ -183,25 +214,34 @@ def shard_repeats(parts: list[dict], length: int = LENGTH) -> tuple[list[tuple],
     return spans, sent
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shards(unit: Unit):
     """Regions sorted by anchor and salt: whole anchors are gathered to a shard's size, then sorted."""
-    parts: list[dict] = []
-    group: list[dict] = []
-    size, last = 0, None
-    for batch in batches:
-        for row in batch.to_pylist():
-            if last is not None and (row["anchor"], row["salt"]) != (last["anchor"], last["salt"]):
-                parts, group = parts + group, []
-                if size > SHARD:
-                    yield _batch(*shard_repeats(parts))
-                    parts, size = [], 0
-            elif last is not None and row["region"] == last["region"]:
-                continue  # a row that the table holds twice
-            group.append(row)
-            size += len(row["body"]) + 1
-            last = row
-    if parts or group:
-        yield _batch(*shard_repeats(parts + group))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = np.dtype(unit.kind).itemsize
+        parts: list[dict] = []
+        group: list[dict] = []
+        size, own, last = 0, 0, None  # symbols of parts and of group
+        for batch in batches:
+            for row in batch.to_pylist():
+                if last is not None and (row["anchor"], row["salt"]) != (last["anchor"], last["salt"]):
+                    if parts and size + own > SHARD:  # a group never joins a shard that it would make too large
+                        yield _batch(*shard_repeats(parts, unit.length, unit.kind))
+                        parts, size = [], 0
+                    parts, group, size, own = parts + group, [], size + own, 0
+                elif last is not None and row["region"] == last["region"]:
+                    continue  # a row that the table holds twice
+                group.append(row)
+                own += len(row["body"]) // wide + 1
+                last = row
+        if parts and size + own > SHARD:
+            yield _batch(*shard_repeats(parts, unit.length, unit.kind))
+            parts = []
+        if parts or group:
+            yield _batch(*shard_repeats(parts + group, unit.length, unit.kind))
+        trim()
+
+    return gather
 
 
 def merged(runs: list[tuple[np.ndarray, bytes]]) -> list[tuple[bytes, int]]:
@@ -252,80 +292,154 @@ def _spans(starts: list[tuple[bytes, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k for k, _ in starts], pa.binary()), at, at], names=["key", "lo", "hi"])
 
 
-def repeated_starts(documents: DataFrame, scratch: Scratch) -> DataFrame:
+def _bodies(unit: Unit):
+    """Rows (key, text, regions) as a row for each region, with the region's symbols."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", BLOCK):
+            edges, data = unit.coded(*utf8_block(batch.column(1)))
+            lists = batch.column(2)
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            x = lists.flatten()
+            fields = [x.field(k) for k in range(x.type.num_fields)]
+            lo, hi = (x.field(k).to_numpy() for k in ("lo", "hi"))
+            body = [data[edges[r] + a : edges[r] + b + unit.length].tobytes() for r, a, b in zip(row, lo, hi)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *fields, pa.array(body, pa.binary())], names=["key", *(f.name for f in x.type), "body"])
+        trim()
+
+    return cut
+
+
+def repeated_starts(documents: DataFrame, scratch: Scratch, unit: Unit = BYTES) -> DataFrame:
     """key (of the text), and lo and hi of runs of starts whose string starts somewhere else too; runs may overlap."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows, schema = _rows(kind)
+    rows, schema = _rows(kind, unit)
     keyed = documents.select(text_key().alias("key"), "doc_id", text_or_empty().alias("text"))
-    found = scratch.table(keyed.filter(F.octet_length("text") >= LENGTH).mapInArrow(rows, schema))
+    least = unit.length if unit.kind == "u1" else 2 * unit.length - 1  # words have a byte at least, and one between them
+    found = scratch.table(keyed.filter(F.octet_length("text") >= least).mapInArrow(rows, schema))
     # Equal regions are counted where they are read first; then an anchor's different regions are.
     each = scratch.table(found.groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "lo", "hi", "doc_id")).alias("at")))
-    anchors = scratch.table(each.groupBy("anchor").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("different")).filter("n > 1"))
+    size = F.sum(F.col("at.hi") - F.col("at.lo") + unit.length + 1)
+    anchors = scratch.table(each.groupBy("anchor").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("different"), size.alias("symbols")).filter("n > 1"))
     met = scratch.table(each.join(anchors, "anchor"))
+    scratch.drop(each, anchors)
     n_mixed = met.agg(F.count_if(F.col("different") > 1)).first()[0]
     whole = met.filter("copies > 1").select("anchor", "region")
-    spans = found.join(whole, ["anchor", "region"]).select("key", "lo", "hi").distinct()
+    spans = scratch.table(found.join(whole, ["anchor", "region"]).select("key", "lo", "hi").distinct())
+    scratch.drop(found)
     if not n_mixed:
         return spans
-    shards = F.ceil(F.col("different") / REGIONS).cast("int")
+    # Regions are dealt to an anchor's shards by a hash, so a shard gets half of its size on average.
+    shards = F.ceil(2 * F.col("symbols") / SHARD).cast("int")
     wanted = met.filter("different > 1").select(F.col("at.key").alias("key"), F.col("at.doc_id").alias("doc_id"), F.struct("anchor", "region", "copies", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), shards.alias("shards")).alias("x"))
     by_text = scratch.table(wanted.groupBy("key", "doc_id").agg(F.collect_list("x").alias("regions")))  # a text's own regions
+    scratch.drop(met)
     side = by_text.withColumnsRenamed({"key": "_key", "doc_id": "_doc_id"})
-    texts = keyed.join(side, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))).select("key", F.encode("text", "utf-8").alias("bytes"), F.explode("regions").alias("x"))
-    bodies = texts.select("key", "x.*", F.expr(f"substring(bytes, x.lo + 1, x.hi - x.lo + {LENGTH})").alias("body"))
+    texts = keyed.join(side, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")))
+    if unit.kind == "u1":
+        each_region = texts.select("key", F.encode("text", "utf-8").alias("bytes"), F.explode("regions").alias("x"))
+        bodies = each_region.select("key", "x.*", F.expr(f"substring(bytes, x.lo + 1, x.hi - x.lo + {unit.length})").alias("body"))
+    else:
+        bodies = texts.select("key", "text", "regions").mapInArrow(_bodies(unit), "key binary, anchor long, region long, copies long, lo int, hi int, shards int, body binary")
     salted = bodies.withColumn("salt", F.pmod(F.hash("region"), F.col("shards")))
     dealt = salted.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "region")
-    sorted_ = scratch.table(dealt.mapInArrow(_shards, _OUT))
-    spans = spans.unionByName(sorted_.filter("key is not null").select("key", "lo", "hi"))
+    sorted_ = scratch.table(dealt.mapInArrow(_shards(unit), _OUT))
+    scratch.drop(by_text)
     sent = sorted_.filter("key is null").select("anchor", "slice", "keys", "body")
     over = sent.repartition("anchor", "slice").sortWithinPartitions("anchor", "slice").mapInArrow(_mergers, "key binary, lo int, hi int")
-    return spans.unionByName(over)
+    return spans.unionByName(sorted_.filter("key is not null").select("key", "lo", "hi")).unionByName(scratch.table(over))
+
+
+def with_spans(documents: DataFrame, scratch: Scratch, unit: Unit = BYTES, text_column: str = "text") -> tuple[DataFrame, str]:
+    """documents with the runs of repeated starts of their texts, under the name that is returned too."""
+    spans = repeated_starts(documents.select("doc_id", F.col(text_column).alias("text")), scratch, unit)
+    by_key = scratch.table(spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
+    key, spans_name = free_name(documents, "key"), free_name(documents, "spans")
+    side = by_key.withColumnsRenamed({"key": key, "spans": spans_name})
+    return documents.join(side, text_key(text_column) == F.col(key), "left").drop(key), spans_name
+
+
+def covered(found: list[dict] | None, length: int) -> list[tuple[int, int]]:
+    """Runs of starts as maximal spans [lo, hi) of what their strings cover, in order."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted((x["lo"], x["hi"] + length) for x in found or ()):
+        if out and lo <= out[-1][1]:  # runs that touch are one
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def left_of(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """What is left of data without these spans."""
+    edges = [0, *(x for span in spans for x in span), len(data)]
+    return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])) if spans else data
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
     """documents' columns plus kept (bytes left), n_bytes, n_removed and n_spans in a struct column `repeats`."""
-    from beatlake.llm._shared import free_name
-
     scratch = Scratch(documents.sparkSession, "repeats")
     name = free_name(documents, "repeats")
-    spans = repeated_starts(documents.select("doc_id", "text"), scratch)
-    by_key = scratch.table(spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("_spans")))
-    side = by_key.withColumnRenamed("key", "_key")
-    joined = documents.withColumn("_bytes", F.encode(text_or_empty(), "utf-8")).withColumn("_own", text_key()).join(side, F.col("_own") == F.col("_key"), "left").drop("_own", "_key")
+    found, spans_name = with_spans(documents, scratch)
+    body_name = free_name(found, "bytes")
+    n = len(documents.columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_bytes", 4 << 20):
+        for batch in slices(batches, body_name, 2 << 20):
             kept, sizes, removed, counts = [], [], [], []
-            for body, found in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_pylist()):
-                data = body.as_py() or b""
-                out, gone, spans_, at = [], 0, 0, 0
-                end = 0
-                for lo, hi in sorted((x["lo"], x["hi"]) for x in found or ()):
-                    hi += LENGTH
-                    if spans_ and lo <= end:  # runs that touch are one
-                        if hi > end:
-                            gone += hi - end
-                            end = hi
-                    else:
-                        if spans_:
-                            at = end
-                        out.append(data[at:lo])
-                        spans_, gone, end = spans_ + 1, gone + hi - lo, hi
-                out.append(data[end:] if spans_ else data)
-                kept.append(b"".join(out))
+            for body, starts in zip(batch.column(n), batch.column(n + 1).to_pylist()):
+                data, spans = body.as_py() or b"", covered(starts, LENGTH)
+                kept.append(left_of(data, spans))
                 sizes.append(len(data))
-                removed.append(gone)
-                counts.append(spans_)
+                removed.append(len(data) - len(kept[-1]))
+                counts.append(len(spans))
             made = pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64())], names=["kept", "n_bytes", "n_removed", "n_spans"])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], made], names=[*batch.schema.names[:-2], name])
-
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], made], names=[*batch.schema.names[:n], name])
 
     made = T.StructType().add("kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
-    out = joined.select(*documents.columns, "_bytes", "_spans")
+    out = found.select(*documents.columns, F.encode(text_or_empty(), "utf-8").alias(body_name), spans_name)
+    return out.mapInArrow(cut, T.StructType([*documents.schema.fields, T.StructField(name, made)]))
+
+
+def without_passages(documents: DataFrame) -> DataFrame:
+    """documents with a struct column `repeats`: kept (the text without passages of over 50 words that start elsewhere too),
+    n_words and n_removed (words). Spans reach from a word's first byte to a word's last, so they cut no character."""
+    scratch = Scratch(documents.sparkSession, "passages")
+    name = free_name(documents, "repeats")
+    found, spans_name = with_spans(documents, scratch, PASSAGES)
+    body_name = free_name(found, "body")
+    n = len(documents.columns)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, body_name, BLOCK):
+            offsets, data = utf8_block(batch.column(n))
+            starts, ends, first = word_spans(offsets, data)
+            kept, removed = [], []
+            for k, runs in enumerate(batch.column(n + 1).to_pylist()):
+                spans = covered(runs, PASSAGES.length)
+                at = offsets[k]
+                own = data[at : offsets[k + 1]].tobytes()
+                kept.append(left_of(own, [(starts[first[k] + a] - at, ends[first[k] + b - 1] - at) for a, b in spans]).decode("utf-8", "replace"))
+                removed.append(sum(b - a for a, b in spans))
+            made = pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(np.diff(first), pa.int64()), pa.array(removed, pa.int64())], names=["kept", "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], made], names=[*batch.schema.names[:n], name])
+
+    made = T.StructType().add("kept", "string").add("n_words", "long").add("n_removed", "long")
+    out = found.select(*documents.columns, text_or_empty().alias(body_name), spans_name)
     return out.mapInArrow(cut, T.StructType([*documents.schema.fields, T.StructField(name, made)]))
 
 
+def passage_words(documents: DataFrame) -> DataFrame:
+    """key (of the text) and n_words, the number of its words that such passages cover, for the texts that have some."""
+    scratch = Scratch(documents.sparkSession, "passages")
+    spans = repeated_starts(documents.select("doc_id", "text"), scratch, PASSAGES)
+    runs = spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("lo", (F.col("hi") + PASSAGES.length).alias("hi")))).alias("runs"))
+    # Of runs in order of their first word, each adds what lies beyond those before it.
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+    total = F.aggregate("runs", start, lambda s, x: F.struct(F.greatest(s["end"], x["hi"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["hi"] - F.greatest(s["end"], x["lo"]))).alias("n")))
+    return scratch.table(runs.select("key", total["n"].alias("n_words")))
+
+
 def kept_digest(kept: bytes) -> str:
     """The digest of what is left, as queries report it."""
     return hashlib.sha256(kept).hexdigest()

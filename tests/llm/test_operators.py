@@ -137,7 +137,7 @@ def test_packing(spark, docs, rows, empty):
 @pytest.mark.parametrize("hot", [False, True])
 def test_repeats(spark, docs, rows, empty, monkeypatch, hot):
     if hot:  # the anchors' regions are cut over several shards and merged
-        monkeypatch.setattr(repeats, "REGIONS", 1)
+        monkeypatch.setattr(repeats, "SHARD", 1500)
     data = [(r[0], (r[1] or "").encode()) for r in rows]
     seen = Counter(b[k : k + 400] for _, b in data for k in range(len(b) - 399))
     want = Counter()
@@ -156,6 +156,76 @@ def test_repeats(spark, docs, rows, empty, monkeypatch, hot):
     assert repeats.without_repeats(empty).count() == 0
 
 
+def without_passages(texts, n=51):
+    """Plain version: (text left, words removed) of each text."""
+    spans = [[m.span() for m in WORDS.finditer(t)] for t in texts]
+    tokens = [[t[a:b] for a, b in s] for t, s in zip(texts, spans)]
+    seen = Counter(tuple(w[k : k + n]) for w in tokens for k in range(len(w) - n + 1))
+    out = []
+    for t, s, w in zip(texts, spans, tokens):
+        mark = [False] * len(w)
+        for k in range(len(w) - n + 1):
+            if seen[tuple(w[k : k + n])] > 1:
+                mark[k : k + n] = [True] * n
+        gone, k = [False] * len(t), 0
+        while k < len(w):
+            if mark[k]:
+                first = k
+                while k < len(w) and mark[k]:
+                    k += 1
+                gone[s[first][0] : s[k - 1][1]] = [True] * (s[k - 1][1] - s[first][0])
+            k += 1
+        out.append(("".join(c for c, x in zip(t, gone) if not x), sum(mark)))
+    return out
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_passages(spark, docs, rows, empty, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(repeats, "SHARD", 150)
+    want = Counter((r[0], *x) for r, x in zip(rows, without_passages([r[1] or "" for r in rows])))
+    out = repeats.without_passages(docs)
+    assert out.columns[: len(docs.columns)] == docs.columns
+    name = out.columns[-1]
+    assert Counter((r["doc_id"], r[name]["kept"], r[name]["n_removed"]) for r in out.collect()) == want and any(k[2] for k in want)
+    assert repeats.without_passages(empty).count() == 0
+    counted = {bytes(r["key"]): r["n_words"] for r in repeats.passage_words(docs).collect()}
+    assert counted == {hashlib.sha256((r[1] or "").encode()).digest()[:16]: x[1] for r, x in zip(rows, without_passages([r[1] or "" for r in rows])) if x[1]}
+    assert repeats.passage_words(empty).count() == 0
+
+
+def test_helper_columns_do_not_clash(spark):
+    """Columns named as operators might name their own stay as they are."""
+    names = ("key", "_key", "spans", "bytes", "_bytes", "body", "_digest", "_known", "_license", "_p", "_share", "_dice", "_block", "_copy", "_place", "_source", "_row", "documents", "_text", "score")
+    data = [(k, "some words here " * (k + 1), "s", 3 * (k + 1), *names) for k in range(4)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, source string, size long, " + ", ".join(f"`{n}` string" for n in names))
+    model = quality.fitted(frame, spark.createDataFrame([], "doc_id long, quality int"))
+    for out in (repeats.without_repeats(frame), repeats.without_passages(frame), licenses.scanned(frame), mixing.mixed(frame), quality.scored(frame, model), quality.good_only(frame, model, 0.0)):
+        assert out.columns[: len(frame.columns)] == frame.columns
+        assert sorted(tuple(r)[: len(frame.columns)] for r in out.collect()) == data
+
+
+def test_quality_of_ids_that_are_texts_and_repeat(spark):
+    data = [(f"d{k}", ("good words here " if k % 2 else "### $$$ !!! ") * 8) for k in range(80)]
+    frame = spark.createDataFrame(data * 3, "doc_id string, text string")
+    marks = spark.createDataFrame([(f"d{k}", k % 2) for k in range(80)], "doc_id string, quality int")
+    got = quality.scored(frame, quality.fitted(frame, marks)).collect()
+    assert len(got) == 240 and all((r["score"] >= 0.7) == (int(r["doc_id"][1:]) % 2 == 1) for r in got)
+
+
+def test_pipeline_stages_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for rows_ in ([], [(1, None, None, None, None), (None, "", "en", "s", 0)]):
+        docs = spark.createDataFrame(rows_, schema)
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            got = stage(spark, docs, str(tmp_path)).collect()
+            assert len(got) == len(rows_) or rows_, name
+        assert corpus_pipeline.keep_good(spark, docs, str(tmp_path)).count() == 0  # a score of 1/2 isn't good
+
+
 def grams(text):
     w = WORDS.findall(text or "")
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
@@ -343,14 +413,9 @@ def test_pipeline_stages_keep_the_columns(spark, tmp_path):
             want = classes([(r["doc_id"], r["text"]) for r in before.collect()])
             assert sorted(r["doc_id"] for r in docs.collect()) == sorted({c for _, c in want})
         if name == "repeats":
-            data = {r["doc_id"]: (r["text"] or "").encode() for r in before.collect()}
-            seen = Counter(b[k : k + 400] for b in data.values() for k in range(len(b) - 399))
+            data = {r["doc_id"]: r["text"] or "" for r in before.collect()}
             got = {r["doc_id"]: r["text"] for r in docs.collect()}
-            for doc_id, b in data.items():
-                mark = np.zeros(len(b), dtype=bool)
-                for k in range(len(b) - 399):
-                    if seen[b[k : k + 400]] > 1:
-                        mark[k : k + 400] = True
-                assert got.get(doc_id, "") == np.frombuffer(b, np.uint8)[~mark].tobytes().decode("utf-8", "ignore")
+            for (doc_id, text), (left, removed) in zip(data.items(), without_passages(list(data.values()))):
+                assert got.get(doc_id) == (None if removed and removed == len(WORDS.findall(text)) else left)
     assert counts[1] > 0.6 * counts[0]
     assert set(QUERIES) >= {"pipeline"}
