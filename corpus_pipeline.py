@@ -29,19 +29,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of strings that start elsewhere too; a character that a span cuts goes as well. A document
-    that nothing is left of goes."""
+    """Texts without their passages of over 50 words that start elsewhere too. A document of which no word is left goes."""
     lean(spark)
-    cut = repeats.without_repeats(docs.select(COLUMNS))
-    n_removed = F.col("repeats.n_removed")
-
-    @F.pandas_udf("string")
-    def decoded(kept):
-        return kept.map(lambda x: x.decode("utf-8", "ignore"))
-
-    touched = cut.filter(n_removed > 0).withColumn("text", decoded("repeats.kept"))
-    touched = touched.filter(F.length("text") > 0).withColumn("n_chars", F.length("text").cast("long"))
-    return cut.filter(n_removed == 0).select(COLUMNS).unionByName(touched.select(COLUMNS))
+    cut = repeats.without_passages(docs.select(COLUMNS))
+    left, touched = F.col("repeats.kept"), F.col("repeats.n_removed") > 0
+    kept = cut.filter(~touched | (F.col("repeats.n_removed") < F.col("repeats.n_words")))
+    return kept.withColumns({"text": F.when(touched, left).otherwise(F.col("text")), "n_chars": F.when(touched, F.length(left).cast("long")).otherwise(F.col("n_chars"))}).select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
