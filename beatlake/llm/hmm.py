@@ -6,9 +6,9 @@ probability (c + 1) / (tokens of the class + words of the class + 1). So the mod
 word counts, over all training texts, grow with the corpus: they stay a distributed table. Frequent words' counts (HEAD at
 most, by another threshold) are broadcast, the others meet their documents in a join on the word.
 
-Training runs Baum-Welch over every training text in each iteration; long texts are cut into stretches of STRETCH tokens for
-that. Scoring is exact: the forward recursion over a whole text, scaled, with the stretches of long texts turned into transfer
-matrices so that all texts of a block advance in step.
+Training runs Baum-Welch over every training text in each iteration, scoring the forward recursion over every text, scaled. Both
+are exact for whole texts: stretches of STRETCH tokens of long texts become transfer matrices, so that all texts of a block
+advance in step and what one stretch needs of those before and after it passes over the cuts.
 
 Defined results: a null or empty text is the end token alone; null ids count as the empty text for the folds; repeated rows
 are counted and scored each; without training texts all counts are 0; an empty table gives an empty result.
@@ -31,6 +31,8 @@ from beatlake.llm._shared import IN_WORD, Scratch, collect_model, cut_model, is_
 STATES, ITERATIONS = 8, 4
 #: Words with a class of their own, classes of the other words, and words whose counts are broadcast: at most so many.
 OWN, ENDINGS, HEAD = 16_384, 2048, 262_144
+#: Bytes of the longest word that is broadcast; longer ones meet their documents in the join on the word.
+WORD_BYTES = 64
 STRETCH = 256
 #: Weight, in tokens, of the corpus's class frequencies in each state's emissions.
 PRIOR = 200.0
@@ -157,8 +159,7 @@ def log_likelihood(flat: np.ndarray, edges: np.ndarray, model: Model) -> np.ndar
     later = np.flatnonzero(~opening)
     if len(later):
         # A later stretch as a matrix: one run for each state that the stretch may be entered from.
-        ends, logs = forward(flat, np.repeat(at[later], k), np.repeat(size[later], k), np.tile(model.move.T, len(later)), model.move, model.emit)
-        ends, logs = ends.T.reshape(len(later), k, k), logs.reshape(len(later), k)
+        ends, logs = stretch_matrices(flat, at[later], size[later], model)
         order = np.argsort(nth[later], kind="stable")
         for some in np.split(order, np.flatnonzero(np.diff(nth[later][order])) + 1):
             who = text[later[some]]
@@ -171,22 +172,69 @@ def log_likelihood(flat: np.ndarray, edges: np.ndarray, model: Model) -> np.ndar
     return log
 
 
+def stretch_matrices(flat: np.ndarray, at: np.ndarray, size: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Each stretch as a matrix (entered from, left in), whose rows are scaled, and the logarithms of the scales."""
+    order = np.argsort(-size, kind="stable")
+    at, n, k = at[order], size[order], len(model.start)
+    emit = np.ascontiguousarray(model.emit.T)
+    out, log = np.empty((len(at), k, k)), np.zeros((len(at), k))
+    active = np.searchsorted(-n, -np.arange(n[0] if len(n) else 0), side="left")
+    for t, m in enumerate(active):
+        x = (model.move[None] if t == 0 else (out[:m].reshape(-1, k) @ model.move).reshape(m, k, k)) * emit[flat[at[:m] + t]][:, None, :]
+        if t % 8 == 7 or t + 1 == len(active) or active[t + 1] < m:
+            total = x.sum(axis=2)
+            x /= total[:, :, None]
+            log[:m] += np.log(total)
+        out[:m] = x
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return out[back], log[back]
+
+
+def boundaries(flat: np.ndarray, at: np.ndarray, size: np.ndarray, text: np.ndarray, nth: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """For each stretch (a text's in order), the state distribution after the stretch before it (None's is start) and the
+    backward weights of what follows it (1 after the last), both scaled to sum to 1."""
+    k, n = len(model.start), len(at)
+    entry, after = np.full((n, k), np.nan), np.full((n, k), 1.0 / k)
+    several = np.flatnonzero((nth > 0) | (np.append(nth[1:], 0) > 0)) if n else np.zeros(0, np.int64)
+    if not len(several):
+        return entry, after
+    opening = several[nth[several] == 0]
+    first, _ = forward(flat, at[opening], size[opening], np.repeat(model.start[:, None], len(opening), axis=1), model.move, model.emit)
+    later = several[nth[several] > 0]
+    matrix = np.zeros((n, k, k))
+    made, logs = stretch_matrices(flat, at[later], size[later], model)
+    matrix[later] = made * np.exp(logs - logs.max(axis=1, keepdims=True))[:, :, None]
+    entry[opening + 1] = first.T
+    by_place = np.argsort(nth[later], kind="stable")
+    steps = np.split(later[by_place], np.flatnonzero(np.diff(nth[later][by_place])) + 1)
+    for some in steps:
+        x = np.einsum("nk,nkj->nj", entry[some], matrix[some])
+        go = (some + 1 < n) & (nth[np.minimum(some + 1, n - 1)] > 0)
+        entry[some[go] + 1] = (x / x.sum(axis=1, keepdims=True))[go]
+    for some in steps[::-1]:
+        x = np.einsum("nkj,nj->nk", matrix[some], after[some])
+        after[some - 1] = x / x.sum(axis=1, keepdims=True)
+    return entry, after
+
+
 def expected_counts(flat: np.ndarray, edges: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts of starts, moves and emissions over stretches, and the logarithm of their likelihood."""
+    """Baum-Welch counts of starts, moves and emissions, and the logarithm of the likelihood: those of whole texts. Stretches
+    of a text advance in step; what they need of the text before and after them comes from the stretches' matrices."""
     n = np.diff(edges)
     stretches = -(-n // STRETCH)
     text = np.repeat(np.arange(len(n)), stretches)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(stretches) - stretches, stretches)
     at = edges[:-1][text] + nth * STRETCH
     size = np.minimum(STRETCH, edges[1:][text] - at)
+    entry, after = boundaries(flat, at, size, text, nth, model)
     order = np.argsort(-size, kind="stable")
-    at, size, nth = at[order], size[order], nth[order]
+    at, size, nth, entry, after = at[order], size[order], nth[order], entry[order].T, after[order].T
     k = len(model.start)
-    middle = np.full(k, 1.0 / k)  # a later stretch may begin in any state
     active = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), side="left")
     alphas, scales, seen = [], [], []
     turned = np.ascontiguousarray(model.move.T)
-    alpha = np.where(nth == 0, model.start[:, None], middle[:, None])
+    alpha = np.where(nth == 0, model.start[:, None], turned @ np.nan_to_num(entry))
     for t, m in enumerate(active):
         ids = flat[at[:m] + t]
         a = (alpha[:, :m] if t == 0 else turned @ alpha[:, :m]) * model.emit[:, ids]
@@ -200,19 +248,26 @@ def expected_counts(flat: np.ndarray, edges: np.ndarray, model: Model) -> tuple[
     beta, gammas = np.ones((k, 0)), []
     for t in range(len(active) - 1, -1, -1):
         m = active[t]
-        grown = np.ones((k, m))
-        if t + 1 < len(active):
-            next_m = active[t + 1]
+        grown = np.empty((k, m))
+        next_m = active[t + 1] if t + 1 < len(active) else 0
+        # A stretch that ends here: its weights are those of what follows, scaled so that they and alpha sum to 1.
+        own = after[:, next_m:m]
+        grown[:, next_m:] = own / (alphas[t][:, next_m:] * own).sum(axis=0)
+        if next_m:
             ahead = model.emit[:, seen[t + 1]] * beta / scales[t + 1]
             moves += alphas[t][:, :next_m] @ ahead.T
             grown[:, :next_m] = model.move @ ahead
         beta = grown
         gammas.append(alphas[t] * beta)
+    if gammas:
+        starts = gammas[-1][:, nth == 0].sum(axis=1)
+        cut = np.flatnonzero(nth > 0)  # the move into a stretch from the one before it
+        if len(cut):
+            ahead = model.emit[:, seen[0][cut]] * beta[:, cut] / scales[0][cut]
+            moves += entry[:, cut] @ ahead.T
     moves *= model.move
     ids = np.concatenate([*seen[::-1], np.zeros(0, np.int64)]).astype(np.int64)
     gamma = np.concatenate([*gammas, np.zeros((k, 0))], axis=1)
-    if gammas:
-        starts = gammas[-1][:, nth == 0].sum(axis=1)
     emits = np.stack([np.bincount(ids, weights=gamma[j], minlength=model.emit.shape[1]) for j in range(k)])
     return starts, moves, emits, float(sum(np.log(s).sum() for s in scales))
 
@@ -227,7 +282,8 @@ def trained(documents: DataFrame, vocab: DataFrame, held_out, states: int = STAT
     spark = documents.sparkSession
     tokens, types = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     words = vocab.filter(F.col("ending") >= 0)
-    own, head = frequent(words, OWN), frequent(words, HEAD)
+    short = words.filter(F.octet_length("word") <= WORD_BYTES)
+    own, head = frequent(short, OWN), frequent(short, HEAD)
     own_words = own.column("word").combine_chunks()
     ends = vocab.filter(F.col("ending") < 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     per = {r["ending"]: (r["n"], r["v"]) for r in words.groupBy("ending").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}  # ENDINGS rows at most
@@ -312,7 +368,7 @@ def scored(documents: DataFrame, divisor: int = 7, remainder: int = 2, states: i
     slim = documents.select("doc_id", held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
     rows = scratch.table(slim.mapInArrow(score, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<string>, times array<int>"))
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    counts = vocab.select("word", "c").hint("shuffle_hash")
+    counts = vocab.select("word", "c")
     met = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("_more"))
     more, seen = F.coalesce("_more", F.lit(0.0)), F.coalesce("_known", F.lit(0))
     return rows.drop("rare", "times").join(met, "row", "left").select(

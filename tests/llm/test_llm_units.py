@@ -176,6 +176,10 @@ def test_likelihood_and_counts_match_the_plain_recursion(monkeypatch):
     monkeypatch.setattr(hmm, "STRETCH", 100)
     starts, moves, emits, log = hmm.expected_counts(flat, edges, m)
     assert np.isclose(log, sum(want)) and np.isclose(starts.sum(), len(lengths)) and np.isclose(emits.sum(), len(flat)) and np.isclose(moves.sum(), len(flat) - len(lengths))
+    for stretch in (1, 4, 7):  # counts pass over the cuts of long texts
+        monkeypatch.setattr(hmm, "STRETCH", stretch)
+        for got, whole in zip(hmm.expected_counts(flat, edges, m), (starts, moves, emits, log)):
+            assert np.allclose(got, whole)
     better = hmm.replace(m, start=starts / starts.sum(), move=moves / moves.sum(axis=1, keepdims=True), emit=emits / emits.sum(axis=1, keepdims=True))
     assert hmm.log_likelihood(flat, edges, better).sum() > sum(want)  # Baum-Welch never loses
 
