@@ -31,8 +31,8 @@ from beatlake.llm._shared import Scratch, slices, utf8_block
 SMALL_SHARE = 4
 #: Groups of equal cardinality (sizes that configurations are made of).
 GROUPS = 256
-#: Pieces for which one task ranks the pieces of a length.
-RANK_BLOCK = 20_000
+#: Bytes of pieces of a length that are ranked together: blocks of the common and long lengths are many, of rare ones few.
+RANK_BYTES = 4 << 20
 
 _encoders: dict[str, tuple] = {}
 _exact: dict = {}
@@ -285,8 +285,8 @@ def packed(pieces: DataFrame, max_length: int = 1024) -> DataFrame:
     lengths = pieces.groupBy("length").count()
     counts = {int(r["length"]): int(r["count"]) for r in lengths.collect()}  # at most max_length rows
     places, _ = plan(counts, max_length)
-    blocks = max(1, -(-sum(counts.values()) // RANK_BLOCK))
-    salted = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.lit(blocks)).cast("int"))
+    blocks = F.array(*(F.lit(max(1, -(-4 * k * counts.get(k, 0) // RANK_BYTES))) for k in range(1, max_length + 1)))
+    salted = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.element_at(blocks, F.col("length").cast("int"))).cast("int"))
     starts = salted.groupBy("length", "_block").count().select("length", "_block", (F.sum("count").over(Window.partitionBy("length").orderBy("_block")) - F.col("count")).alias("_before"))
     ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_block").orderBy("doc_id", "piece")) - 1)
     ranked = ranked.join(starts, ["length", "_block"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
