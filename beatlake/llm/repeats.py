@@ -135,16 +135,23 @@ def text_key(column: str = "text"):
 
 
 def _rows(column_type: str, unit: Unit):
+    """A row for each region of a block of texts, with all its places there: what many texts share is gathered before it is
+    shuffled."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BLOCK):
             doc, anchor, whole, lo, hi = regions(*unit.coded(*utf8_block(batch.column(2))), unit.length, unit.gram)
-            take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))],
-                names=["key", "doc_id", "anchor", "region", "lo", "hi"],
-            )
+            order = np.lexsort((doc, whole, anchor))
+            doc, anchor, whole, lo, hi = (x[order] for x in (doc, anchor, whole, lo, hi))
+            new = np.ones(len(doc), dtype=bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])
+            first, take = np.flatnonzero(new), pa.array(doc)
+            places = pa.StructArray.from_arrays([batch.column(0).take(take), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), batch.column(1).take(take)], names=["key", "lo", "hi", "doc_id"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), places)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(whole[first].view(np.int64)), lists], names=["anchor", "region", "places"])
+        trim()
 
-    return rows, f"key binary, doc_id {column_type}, anchor long, region long, lo int, hi int"
+    return rows, f"anchor long, region long, places array<struct<key: binary, lo: int, hi: int, doc_id: {column_type}>>"
 
 
 def _runs(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -318,14 +325,14 @@ def repeated_starts(documents: DataFrame, scratch: Scratch, unit: Unit = BYTES)
     least = unit.length if unit.kind == "u1" else 2 * unit.length - 1  # words have a byte at least, and one between them
     found = scratch.table(keyed.filter(F.octet_length("text") >= least).mapInArrow(rows, schema))
     # Equal regions are counted where they are read first; then an anchor's different regions are.
-    each = scratch.table(found.groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "lo", "hi", "doc_id")).alias("at")))
+    each = scratch.table(found.groupBy("anchor", "region").agg(F.sum(F.size("places")).alias("copies"), F.min(F.col("places")[0]).alias("at")))
     size = F.sum(F.col("at.hi") - F.col("at.lo") + unit.length + 1)
     anchors = scratch.table(each.groupBy("anchor").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("different"), size.alias("symbols")).filter("n > 1"))
     met = scratch.table(each.join(anchors, "anchor"))
     scratch.drop(each, anchors)
     n_mixed = met.agg(F.count_if(F.col("different") > 1)).first()[0]
     whole = met.filter("copies > 1").select("anchor", "region")
-    spans = scratch.table(found.join(whole, ["anchor", "region"]).select("key", "lo", "hi").distinct())
+    spans = scratch.table(found.join(whole, ["anchor", "region"]).select(F.explode("places").alias("x")).select("x.key", "x.lo", "x.hi").distinct())
     scratch.drop(found)
     if not n_mixed:
         return spans
@@ -429,17 +436,6 @@ def without_passages(documents: DataFrame) -> DataFrame:
     return out.mapInArrow(cut, T.StructType([*documents.schema.fields, T.StructField(name, made)]))
 
 
-def passage_words(documents: DataFrame) -> DataFrame:
-    """key (of the text) and n_words, the number of its words that such passages cover, for the texts that have some."""
-    scratch = Scratch(documents.sparkSession, "passages")
-    spans = repeated_starts(documents.select("doc_id", "text"), scratch, PASSAGES)
-    runs = spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("lo", (F.col("hi") + PASSAGES.length).alias("hi")))).alias("runs"))
-    # Of runs in order of their first word, each adds what lies beyond those before it.
-    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
-    total = F.aggregate("runs", start, lambda s, x: F.struct(F.greatest(s["end"], x["hi"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["hi"] - F.greatest(s["end"], x["lo"]))).alias("n")))
-    return scratch.table(runs.select("key", total["n"].alias("n_words")))
-
-
 def kept_digest(kept: bytes) -> str:
     """The digest of what is left, as queries report it."""
     return hashlib.sha256(kept).hexdigest()
