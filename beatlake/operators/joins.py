@@ -1,7 +1,9 @@
 """Joins of points and intervals in time. Intervals are half open, [start, end).
 
 Interval joins meet on the entity and a time bucket, so a long entity spreads over many tasks; an interval is repeated for
-each bucket that it touches. As-of joins are one union and one window over (entity, time): a single shuffle, no pairs.
+each bucket that it touches. As-of joins are one union and running windows over (entity, time span): a single shuffle of
+points and grid, no pairs. A long entity is cut into spans of time; each span starts with the last grid row before it and
+ends with the first one after it, so no span reads another.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_S = 8.0
+#: Seconds of a span of an as-of join.
+SPAN_S = 3600.0
 
 
 def _bucket(t: Column, width: float) -> Column:
@@ -35,26 +39,35 @@ def overlap_join(a: DataFrame, b: DataFrame, by: str, width: float = BUCKET_S) -
     return both.filter((F.col("a_end") > F.col("b_start")) & (F.col("a_start") < F.col("b_end")) & (F.col("_bucket") == first)).drop("_bucket")
 
 
-def _merged(points: DataFrame, grid: DataFrame, by: str, time: str, keep: list[str]) -> DataFrame:
-    """Points and grid rows of an entity in one table; grid rows sort first at equal times."""
-    g = grid.select(F.col(by), F.col(time), F.lit(0).alias("_kind"), F.struct(F.col(time).alias("time"), *keep).alias("_grid"), F.lit(None).cast(points.schema.simpleString()).alias("_point"))
-    p = points.select(F.col(by), F.col(time), F.lit(1).alias("_kind"), F.lit(None).cast(g.schema["_grid"].dataType).alias("_grid"), F.struct(*points.columns).alias("_point"))
-    return g.unionByName(p)
+def _merged(points: DataFrame, grid: DataFrame, by: str, time: str, keep: list[str], span: float) -> DataFrame:
+    """Points and grid rows of an entity's span in one table; grid rows sort first at equal times. The outermost grid rows of
+    each span stand in the spans between them too, where they are what comes before the first point and after the last."""
+    g = grid.select(F.col(by), F.col(time), F.lit(0).alias("_kind"), F.struct(F.col(time).alias("time"), *keep).alias("_grid"), F.lit(None).cast(points.schema.simpleString()).alias("_point"), _bucket(F.col(time), span).alias("_span"))
+    p = points.select(F.col(by), F.col(time), F.lit(1).alias("_kind"), F.lit(None).cast(g.schema["_grid"].dataType).alias("_grid"), F.struct(*points.columns).alias("_point"), _bucket(F.col(time), span).alias("_span"))
+    # One row for each span of an entity that holds grid rows or points: its outermost grid rows.
+    ends = g.filter(F.col(time).isNotNull()).groupBy(by, "_span").agg(F.min_by("_grid", time).alias("_first"), F.max_by("_grid", time).alias("_last"))
+    used = ends.unionByName(p.filter(F.col(time).isNotNull()).select(by, "_span").distinct(), allowMissingColumns=True).groupBy(by, "_span").agg(F.first("_first", ignorenulls=True).alias("_first"), F.first("_last", ignorenulls=True).alias("_last"))
+    down, up = Window.partitionBy(by).orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    beside = used.select(by, "_span", F.last("_last", ignorenulls=True).over(up).alias("_before"), F.last("_first", ignorenulls=True).over(down).alias("_after"))
+    beside = beside.select(by, "_span", F.explode(F.array("_before", "_after")).alias("_grid")).filter("_grid is not null")
+    lead = beside.select(F.col(by), F.col("_grid.time").alias(time), F.lit(0).alias("_kind"), "_grid", F.lit(None).cast(points.schema.simpleString()).alias("_point"), "_span")
+    return g.unionByName(lead).unionByName(p)
 
 
-def asof_backward(points: DataFrame, grid: DataFrame, by: str, time: str = "time_s", keep: list[str] | None = None) -> DataFrame:
+def asof_backward(points: DataFrame, grid: DataFrame, by: str, time: str = "time_s", keep: list[str] | None = None, span: float = SPAN_S) -> DataFrame:
     """Points with the last grid row at or before them, as struct `grid` (null before the first)."""
-    w = Window.partitionBy(by).orderBy(time, "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    out = _merged(points, grid, by, time, keep or []).withColumn("grid", F.last("_grid", ignorenulls=True).over(w))
+    w = Window.partitionBy(by, "_span").orderBy(time, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    out = _merged(points, grid, by, time, keep or [], span).withColumn("grid", F.last("_grid", ignorenulls=True).over(w))
     return out.filter("_kind = 1").select("_point.*", "grid")
 
 
-def asof_nearest(points: DataFrame, grid: DataFrame, by: str, time: str = "time_s", keep: list[str] | None = None) -> DataFrame:
+def asof_nearest(points: DataFrame, grid: DataFrame, by: str, time: str = "time_s", keep: list[str] | None = None, span: float = SPAN_S) -> DataFrame:
     """Points with the nearest grid row as struct `grid` and the signed error_s; the earlier one of equals."""
-    order = Window.partitionBy(by).orderBy(time, "_kind")
-    both = _merged(points, grid, by, time, keep or [])
-    both = both.withColumn("_before", F.last("_grid", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_after", F.first("_grid", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    both = _merged(points, grid, by, time, keep or [], span)
+    # Both windows run from their own first row on, so each row costs the same whatever an entity's length.
+    running = lambda *order: Window.partitionBy(by, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_before", F.last("_grid", ignorenulls=True).over(running(time, "_kind")))
+    both = both.withColumn("_after", F.last("_grid", ignorenulls=True).over(running(F.desc(time), F.col("_kind"))))
     t = F.col(time)
     nearer = F.col("_before").isNull() | (F.col("_after.time") - t < t - F.col("_before.time"))
     out = both.filter("_kind = 1").withColumn("grid", F.when(nearer & F.col("_after").isNotNull(), F.col("_after")).otherwise(F.col("_before")))
@@ -88,4 +101,5 @@ def onsets_in_phrases(onsets: DataFrame, phrases: DataFrame, by: str, duration:
     sung = phrases.groupBy(by).agg(F.sum(F.col("end_s") - F.col("start_s")).alias("sung_s"))
     every = onsets.groupBy(by).agg(F.count(F.lit(1)).alias("n_all"))
     out = every.join(counts, by, "left").join(sung, by, "left").join(duration, by, "left")
-    return out.withColumn("syllable_rate", F.when(F.col("sung_s") > 0, F.coalesce("n_inside", F.lit(0)) / F.col("sung_s")).otherwise(F.col("n_all") / F.col("duration_s")))
+    inside = F.coalesce("n_inside", F.lit(0))
+    return out.withColumn("syllable_rate", F.when(F.col("sung_s") > 0, inside / F.col("sung_s")).otherwise(F.col("n_all") / F.col("duration_s")))
