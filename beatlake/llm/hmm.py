@@ -33,7 +33,7 @@ STATES, ITERATIONS = 8, 4
 OWN, ENDINGS, HEAD = 16_384, 2048, 262_144
 #: Bytes of the longest word that is broadcast; longer ones meet their documents in the join on the word.
 WORD_BYTES = 64
-STRETCH = 256
+STRETCH = 1024
 #: Weight, in tokens, of the corpus's class frequencies in each state's emissions.
 PRIOR = 200.0
 SLICE = 1 << 14
