@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from beatlake import constants as C
 from beatlake.functions import keys
-from beatlake.functions.music import genre_slug, tempo_options
+from beatlake.functions.music import genre_slug
 from beatlake.functions.scalars import clip, cosine, rounded
 
 #: Tempo buckets per octave: pairs meet in a hash join on them instead of a nested loop.
@@ -48,41 +48,100 @@ def _qualities(spark) -> DataFrame:
     )
 
 
-def pairs(takes: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Pairs that some level lets through, with the first level that does. Every test only loosens from level to
-    level, so a pair's level is the greatest of the first levels of its tests. Columns: t_* of the take, b_* of the beat."""
+def _takes(takes: DataFrame) -> DataFrame:
+    """Takes with what pairing looks at as one value (`_sig`): takes that agree in it have the same candidates."""
     t = requirements(takes).selectExpr("take_id", "bpm t_bpm", "key_pc t_pc", "key_mode t_mode", "key_confidence t_conf", "performance_type", "syllable_rate", "genres", "min_pocket")
-    t = t.withColumn("_log", F.log2("t_bpm")).withColumn("_bucket", F.explode(F.array_distinct(F.transform(F.sequence(F.floor((F.col("_log") - 0.515) * BUCKETS), F.floor((F.col("_log") + 0.379) * BUCKETS)), lambda b: F.pmod(b, F.lit(BUCKETS))))))
+    return t.withColumn("_sig", F.struct("t_bpm", "t_pc", "t_mode", "performance_type", "min_pocket"))
+
+
+def _beats(catalog: DataFrame) -> DataFrame:
+    """Beats with what pairing looks at as one value (`_cell`); of the pocket score that is the highest bound it reaches."""
     b = catalog.selectExpr("beat_id", "title", "owner", "genre", "bpm b_bpm", "key_pc b_pc", "key_mode b_mode", "key_confidence b_conf", "is_atonal", "pocket_score", "grid_stability", "play_count", "playlist_count", "has_vocal_content", "vocal_content_ratio")
-    b = b.withColumn("_bucket", F.pmod(F.floor(F.log2("b_bpm") * BUCKETS), F.lit(BUCKETS)))
-    both = t.join(b, "_bucket").drop("_bucket", "_log")
-    err = F.least(*(F.abs(F.col("b_bpm") * m / F.col("t_bpm") - 1) for m in (1.0, 2.0, 0.5)))
-    both = both.withColumn("err", err).filter(F.col("err") <= 2 * C.TEMPO_WINDOWS[2])
-    q = _qualities(takes.sparkSession).withColumnsRenamed({"v_pc": "_vp", "v_mode": "_vm", "b_pc": "_bp", "b_mode": "_bm"})
-    both = both.join(F.broadcast(q), (F.col("t_pc") == F.col("_vp")) & (F.col("t_mode") == F.col("_vm")) & (F.col("b_pc") == F.col("_bp")) & (F.col("b_mode") == F.col("_bm"))).drop("_vp", "_vm", "_bp", "_bm")
+    floor = F.lit(None).cast("double")
+    for bound in sorted(C.POCKET_BOUNDS):
+        floor = F.when(F.col("pocket_score") >= bound, bound).otherwise(floor)
+    return b.withColumn("_cell", F.struct("b_bpm", "b_pc", "b_mode", "is_atonal", genre_slug(F.col("genre")).alias("slug"), floor.alias("pocket")))
+
+
+def _levels(signatures: DataFrame, cells: DataFrame) -> DataFrame:
+    """(_sig, _cell) with the first level that lets them through. Every test only loosens from level to level, so it is
+    the greatest of the first levels of its tests. Signatures and cells are far fewer than takes and beats."""
+    log = F.log2("_sig.t_bpm")
+    ring = F.array_distinct(F.transform(F.sequence(F.floor((log - 0.515) * BUCKETS), F.floor((log + 0.379) * BUCKETS)), lambda b: F.pmod(b, F.lit(BUCKETS))))
+    s = signatures.withColumn("_bucket", F.explode(ring))
+    c = cells.withColumn("_bucket", F.pmod(F.floor(F.log2("_cell.b_bpm") * BUCKETS), F.lit(BUCKETS)))
+    both = s.join(c, "_bucket").drop("_bucket")
+    col = lambda name: F.col(f"_sig.{name}" if name in ("t_bpm", "t_pc", "t_mode", "performance_type", "min_pocket") else f"_cell.{name}")
+    both = both.withColumn("err", F.least(*(F.abs(col("b_bpm") * m / col("t_bpm") - 1) for m in (1.0, 2.0, 0.5)))).filter(F.col("err") <= 2 * C.TEMPO_WINDOWS[2])
+    both = _with_qualities(both, "inner")
     tempo = F.when(F.col("err") <= 2 * C.TEMPO_WINDOWS[0], 0).when(F.col("err") <= 2 * C.TEMPO_WINDOWS[1], 1).otherwise(2)
-    key = F.when(F.col("is_atonal") | (F.col("q0") >= 0.80), 0).when(F.col("q1") >= 0.62, 2).when(F.col("q2") >= 0.40, 4)
-    slug = genre_slug(F.col("genre"))
-    genre = F.when((slug == "") | F.array_contains("genres", slug), 0).when(F.array_contains(with_neighbours(F.col("genres")), slug), 1).otherwise(5)
-    pocket = F.when(F.col("pocket_score") >= F.col("min_pocket"), 0).when(F.col("pocket_score") >= F.least("min_pocket", F.lit(0.45)), 3).otherwise(4)
+    key = F.when(col("is_atonal") | (F.col("q0") >= 0.80), 0).when(F.col("q1") >= 0.62, 2).when(F.col("q2") >= 0.40, 4)
+    genres, slug = genres_for(col("performance_type")), col("slug")
+    genre = F.when((slug == "") | F.array_contains(genres, slug), 0).when(F.array_contains(with_neighbours(genres), slug), 1).otherwise(5)
+    pocket = F.when(col("pocket") >= col("min_pocket"), 0).when(col("pocket") >= F.least(col("min_pocket"), F.lit(0.45)), 3).otherwise(4)
     return both.withColumn("first_level", F.greatest(tempo, key, genre, pocket)).filter(key.isNotNull())
 
 
-def candidates(takes: DataFrame, catalog: DataFrame, n: int = C.RESULTS) -> DataFrame:
-    """The pairs of the first level that has enough: max(3n, 10), or n from level 2 on; else all of level 5.
+def _with_qualities(both: DataFrame, how: str) -> DataFrame:
+    q = _qualities(both.sparkSession).withColumnsRenamed({"v_pc": "_vp", "v_mode": "_vm", "b_pc": "_bp", "b_mode": "_bm"})
+    on = (F.col("_sig.t_pc") == F.col("_vp")) & (F.col("_sig.t_mode") == F.col("_vm")) & (F.col("_cell.b_pc") == F.col("_bp")) & (F.col("_cell.b_mode") == F.col("_bm"))
+    return both.join(F.broadcast(q), on, how).drop("_vp", "_vm", "_bp", "_bm")
 
-    Takes that no pair passes for are left to `unmatched`.
-    """
-    every = pairs(takes, catalog)
-    per = every.groupBy("take_id", "first_level").count()
+
+def _counted(takes: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Takes and beats with signature and cell, and the levels of signatures and cells, each with its number of rows."""
+    t, b = _takes(takes), _beats(catalog)
+    signatures = t.groupBy("_sig").agg(F.count(F.lit(1)).alias("n_takes"))
+    cells = b.groupBy("_cell").agg(F.count(F.lit(1)).alias("n_beats"), F.sum("beat_id").alias("beats"))
+    return t, b, _levels(signatures, cells)
+
+
+def level_counts(takes: DataFrame, catalog: DataFrame) -> DataFrame:
+    """By take and first level, the number of its pairs and the sum of their beats' ids; no pair is made."""
+    t, _, levels = _counted(takes, catalog)
+    per = levels.groupBy("_sig", "first_level").agg(F.sum("n_beats").alias("n"), F.sum("beats").alias("beats"))
+    return t.select("take_id", "_sig").join(per, "_sig").drop("_sig")
+
+
+def pairs(takes: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Pairs that some level lets through, with that level. Columns: t_* of the take, b_* of the beat."""
+    t, b, levels = _counted(takes, catalog)
+    return levels.drop("n_takes", "n_beats", "beats").join(b, "_cell").join(t, "_sig").drop("_sig", "_cell")
+
+
+def _chosen(levels: DataFrame, signatures: DataFrame, cells: DataFrame, n: int) -> DataFrame:
+    """(_sig, _cell) of the first level that has enough: max(3n, 10) pairs, or n from level 2 on; else all of level 5. A
+    signature that nothing passes for gets every cell, at level 6."""
+    per = levels.groupBy("_sig", "first_level").agg(F.sum("n_beats").alias("n"))
     # Counts up to each level: six columns, no loop over levels.
-    upto = per.groupBy("take_id").agg(*(F.sum(F.when(F.col("first_level") <= k, F.col("count")).otherwise(0)).alias(f"_n{k}") for k in range(6)))
+    upto = per.groupBy("_sig").agg(*(F.sum(F.when(F.col("first_level") <= k, F.col("n")).otherwise(0)).alias(f"_n{k}") for k in range(6)))
     level = F.lit(None).cast("int")
     for k in reversed(range(6)):
         enough = F.col(f"_n{k}") >= (max(3 * n, 10) if k < 2 else min(n, max(3 * n, 10)))
         level = F.when(enough, k).otherwise(level if k < 5 else 5)
-    chosen = upto.select("take_id", level.alias("level"))
-    return every.join(chosen, "take_id").filter(F.col("first_level") <= F.col("level"))
+    some = upto.select("_sig", level.alias("level"))
+    passed = levels.join(some, "_sig").filter(F.col("first_level") <= F.col("level"))
+    # The whole catalog, for such signatures alone: they meet every tempo bucket.
+    bucket = F.coalesce(F.pmod(F.floor(F.log2("_cell.b_bpm") * BUCKETS), F.lit(BUCKETS)), F.lit(0))
+    none = signatures.join(some, "_sig", "left_anti").withColumn("_bucket", F.explode(F.array(*(F.lit(k).cast("long") for k in range(BUCKETS)))))
+    rest = none.join(cells.withColumn("_bucket", bucket), "_bucket").drop("_bucket")
+    err = F.least(*(F.abs(F.col("_cell.b_bpm") * m / F.col("_sig.t_bpm") - 1) for m in (1.0, 2.0, 0.5)))
+    rest = _with_qualities(rest.withColumn("err", err), "left").withColumns({"first_level": F.lit(6), "level": F.lit(6)})
+    return passed.unionByName(rest)
+
+
+def candidate_counts(takes: DataFrame, catalog: DataFrame, n: int = C.RESULTS) -> DataFrame:
+    """J1 by signature and cell: `_sig`, `_cell`, level and n, the number of candidate pairs."""
+    t, b, levels = _counted(takes, catalog)
+    signatures, cells = t.groupBy("_sig").agg(F.count(F.lit(1)).alias("n_takes")), b.groupBy("_cell").agg(F.count(F.lit(1)).alias("n_beats"), F.sum("beat_id").alias("beats"))
+    return _chosen(levels, signatures, cells, n).withColumn("n", F.col("n_takes") * F.col("n_beats"))
+
+
+def candidates(takes: DataFrame, catalog: DataFrame, n: int = C.RESULTS) -> DataFrame:
+    """Candidate pairs. The level is chosen on counts of signatures and cells; only the pairs of that level are made."""
+    t, b = _takes(takes), _beats(catalog)
+    chosen = candidate_counts(takes, catalog, n).drop("n", "n_takes", "n_beats", "beats")
+    return chosen.join(b, "_cell").join(t, "_sig").drop("_sig", "_cell")
 
 
 def scored(found: DataFrame) -> DataFrame:
@@ -95,8 +154,8 @@ def scored(found: DataFrame) -> DataFrame:
     trust = clip(conf / C.SHIFT_CONFIDENCE, 0.0, 1.0)
     harmonic = F.when(F.col("is_atonal"), 0.85).otherwise(fit * trust + 0.5 * (1 - trust))
     window = F.when(F.col("level") == 0, C.TEMPO_WINDOWS[0]).when(F.col("level") == 1, C.TEMPO_WINDOWS[1]).otherwise(C.TEMPO_WINDOWS[2])
-    best = F.element_at(tempo_options(F.col("t_bpm"), F.col("b_bpm"), window), 1)
-    out = found.withColumns({"shift": shift, "_harmonic": harmonic, "_best": best}).withColumns({"ratio": F.col("_best.ratio"), "reading": F.col("_best.reading")})
+    reading, ratio = best_tempo(F.col("t_bpm"), F.col("b_bpm"), window)
+    out = found.withColumns({"shift": shift, "_harmonic": F.coalesce(harmonic, F.lit(0.5)), "ratio": ratio, "reading": reading})
     stretch = F.abs(F.col("ratio") - 1)
     transform = clip(1 - (0.55 * F.abs("shift") / C.SHIFT_LIMIT + 0.45 * F.least(stretch / C.STRETCH_LIMIT, F.lit(1.0))), 0.0, 1.0)
     cliff = F.when(stretch > C.STRETCH_LIMIT, clip(1 - (stretch - C.STRETCH_LIMIT) / C.STRETCH_LIMIT * 0.85, 0.05, 1.0)).otherwise(1.0)
@@ -108,7 +167,17 @@ def scored(found: DataFrame) -> DataFrame:
     total = sum((F.col(f"sub_{k}") * w for k, w in C.WEIGHTS.items()), F.lit(0.0))
     clash = F.when(F.col("is_atonal") | ~(F.col("dissonance") > 0.02), 0.0).otherwise(rounded(F.col("dissonance") * C.DISSONANCE, 4)) if "dissonance" in has else F.lit(0.0)
     voices = F.when(F.col("has_vocal_content"), rounded(F.least(F.coalesce("vocal_content_ratio", F.lit(0.0)), F.lit(1.0)) * C.COLLISION, 4)).otherwise(0.0)
-    return out.withColumns({"penalty_dissonance": clash, "penalty_collision": voices}).withColumn("score", clip(total - F.col("penalty_dissonance") - F.col("penalty_collision"), 0.0, 1.0)).drop("_harmonic", "_best")
+    return out.withColumns({"penalty_dissonance": clash, "penalty_collision": voices}).withColumn("score", clip(total - F.col("penalty_dissonance") - F.col("penalty_collision"), 0.0, 1.0)).drop("_harmonic")
+
+
+def best_tempo(v: Column, b: Column, window: Column) -> tuple[Column, Column]:
+    """P20's first option in plain columns: reading and ratio."""
+    readings = (("direct", 1.0), ("halftime", 2.0), ("doubletime", 0.5))
+    errors = [F.abs(b * m / v - 1) for _, m in readings]
+    least = F.least(*errors)
+    known = (v > 0) & (b > 0)
+    pick = lambda values: F.when(~F.coalesce(known, F.lit(False)), values[3]).when((least > window * 2.5) | (errors[0] == least), values[0]).when(errors[1] == least, values[1]).otherwise(values[2])
+    return pick([F.lit(name) for name, _ in readings] + [F.lit("unknown")]), pick([b * m / v for _, m in readings] + [F.lit(1.0)])
 
 
 def rhythmic_fit() -> Column:
@@ -192,28 +261,35 @@ def diversified(matches: DataFrame, n: int = C.RESULTS, per_owner: int = C.PER_O
     rows = matches.withColumns({"_owner": F.coalesce("owner", F.lit("unknown")), "_genre": F.lower(F.coalesce("genre", F.lit("unknown")))})
     rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("take_id").orderBy(*order)))
     rows = rows.withColumn("_own", F.row_number().over(Window.partitionBy("take_id", "_genre", "_owner").orderBy(*order)))
+    rows = rows.filter((F.col("_rank") <= n) | (F.col("_own") == 1))  # the best of each owner and genre, and the best of all
     rows = rows.withColumn("_nth", F.sum(F.when(F.col("_own") == 1, 1).otherwise(0)).over(Window.partitionBy("take_id", "_genre").orderBy(*order)))
     short = rows.filter((F.col("_rank") <= n) | ((F.col("_own") == 1) & (F.col("_nth") <= cap + n - 1)))
-    listed = short.groupBy("take_id").agg(F.array_sort(F.collect_list(F.struct("_rank", "beat_id", "_owner", "_genre"))).alias("_list"))
-    empty = F.array().cast(listed.schema["_list"].dataType)
+    listed = short.groupBy("take_id").agg(F.array_sort(F.collect_list(F.struct("_rank", "_owner", "_genre", F.struct(*(c for c in matches.columns if c != "take_id")).alias("_row")))).alias("_list"))
+    # The fold names places in the list, not rows.
+    places = F.transform("_list", lambda x, k: F.struct(k.alias("at"), x["_owner"].alias("_owner"), x["_genre"].alias("_genre")))
+    listed = listed.withColumn("_places", places)
+    empty = F.array().cast(listed.schema["_places"].dataType)
     count = lambda chosen, field, value: F.size(F.filter(chosen, lambda c: c[field] == value))
     may = lambda chosen, x: (F.size(chosen) < n) & (count(chosen, "_owner", x["_owner"]) < 1) & (count(chosen, "_genre", x["_genre"]) < cap)
-    greedy = F.aggregate("_list", empty, lambda chosen, x: F.when(may(chosen, x), F.concat(chosen, F.array(x))).otherwise(chosen))
-    listed = listed.withColumn("_chosen", greedy)
-    rest = F.filter("_list", lambda x: ~F.exists("_chosen", lambda c: c["_rank"] == x["_rank"]))
-    final = listed.select("take_id", F.posexplode(F.slice(F.concat("_chosen", rest), 1, n)).alias("_at", "_x")).select("take_id", F.col("_x._rank").alias("_rank"), (F.col("_at") + 1).alias("position"))
-    return short.join(final, ["take_id", "_rank"]).drop("_rank", "_own", "_nth", "_owner", "_genre")
+    greedy = F.aggregate("_places", empty, lambda chosen, x: F.when(may(chosen, x), F.concat(chosen, F.array(x))).otherwise(chosen))
+    listed = listed.withColumn("_chosen", F.transform(greedy, lambda c: c["at"]))
+    every = F.transform("_places", lambda x: x["at"])
+    final = listed.select("take_id", "_list", F.slice(F.concat("_chosen", F.array_except(every, F.col("_chosen"))), 1, n).alias("_at"))
+    final = final.select("take_id", F.posexplode(F.transform("_at", lambda k: F.get("_list", k)["_row"])).alias("_k", "_x"))
+    return final.select("take_id", "_x.*", (F.col("_k") + 1).alias("position"))
 
 
-def unmatched(takes: DataFrame, matches: DataFrame) -> DataFrame:
+def unmatched(takes: DataFrame, matches: DataFrame, viable: float = C.VIABLE) -> DataFrame:
     """Takes without a viable match."""
-    return takes.join(matches.filter(F.col("score") >= C.VIABLE), "take_id", "left_anti")
+    best = matches.groupBy("take_id").agg(F.max("score").alias("best")).filter(F.col("best") >= viable)
+    return takes.join(best, "take_id", "left_anti")
 
 
-def catalog_gaps(found: DataFrame) -> DataFrame:
-    """Candidates by genre, key code and level, with all subtotals."""
-    code = keys.camelot(F.col("b_pc"), F.col("b_mode"))
-    return found.withColumn("camelot", code).cube("genre", "camelot", "level").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("grouping"))
+def catalog_gaps(counts: DataFrame) -> DataFrame:
+    """Candidate counts (of candidate_counts) by genre, key code and level, with all subtotals."""
+    code = keys.camelot(F.col("_cell.b_pc"), F.col("_cell.b_mode"))
+    found = counts.select(F.col("_cell.slug").alias("genre"), code.alias("camelot"), "level", "n")
+    return found.cube("genre", "camelot", "level").agg(F.sum("n").alias("n"), F.grouping_id().alias("grouping"))
 
 
 def explained(matches: DataFrame) -> DataFrame:

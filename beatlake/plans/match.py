@@ -51,7 +51,7 @@ def p25_build_requirements(spark, d):
 @query(_PAIRS + " SELECT take_id, first_level, count(*) AS n, sum(beat_id) AS beats FROM pairs GROUP BY 1, 2")
 def p26_passes_filter(spark, d):
     """Pairs by the first level that lets them through."""
-    return matching.pairs(events(spark, d, "takes"), events(spark, d, "catalog")).groupBy("take_id", "first_level").agg(F.count(F.lit(1)).alias("n"), F.sum("beat_id").alias("beats"))
+    return matching.level_counts(events(spark, d, "takes"), events(spark, d, "catalog")).select("take_id", "first_level", "n", "beats")
 
 
 @query(_PAIRS + " SELECT take_id, beat_id, level, first_level FROM cand")
@@ -85,11 +85,11 @@ def _sub_scores(got):
     return got.select("take_id", "beat_id", F.col("shift").cast("int").alias("shift"), rounded("ratio", 6).alias("ratio"), rounded("sub_harmonic", 3).alias("harmonic"), rounded("sub_transform", 3).alias("transform"), rounded("score", 3).alias("score"))
 
 
-@query(_SCORED + " SELECT take_id, beat_id, shift, round(ratio + 1e-9, 6) AS ratio, round(round(harmonic + 1e-9, 4) + 1e-9, 3) AS harmonic, round(round(transform + 1e-9, 4) + 1e-9, 3) AS transform, round(round(score + 1e-9, 6) + 1e-9, 3) AS score FROM scored WHERE beat_id % 10 = take_id % 10")
+@query(_SCORED + " SELECT take_id, beat_id, round(round(rhythmic + 1e-9, 4) + 1e-9, 3) AS rhythmic, round(round(pocket + 1e-9, 4) + 1e-9, 3) AS pocket, round(metadata, 3) AS metadata, round(round(popularity + 1e-9, 4) + 1e-9, 3) AS popularity, round(collision, 3) AS collision, round(round(score + 1e-9, 6) + 1e-9, 3) AS score FROM scored")
 def j02_score_pairs(spark, d):
-    """Reports the pairs whose ids agree in the last digit; all pairs are scored for the matches below."""
-    got = _scored(spark, d).filter(F.col("beat_id") % 10 == F.col("take_id") % 10)
-    return _sub_scores(got)
+    """The sub-scores of all scored pairs that don't depend on their keys and tempos."""
+    got = _scored(spark, d)
+    return got.select("take_id", "beat_id", *(rounded(f"sub_{k}", 3).alias(k) for k in ("rhythmic", "pocket")), F.round("sub_metadata", 3).alias("metadata"), rounded("sub_popularity", 3).alias("popularity"), F.round("penalty_collision", 3).alias("collision"), rounded("score", 3).alias("score"))
 
 
 @query(_SCORED + " SELECT take_id, beat_id, shift, round(ratio + 1e-9, 6) AS ratio, round(round(harmonic + 1e-9, 4) + 1e-9, 3) AS harmonic, round(round(transform + 1e-9, 4) + 1e-9, 3) AS transform, round(round(score + 1e-9, 6) + 1e-9, 3) AS score FROM scored")
@@ -124,15 +124,14 @@ def j01_k02_match(spark, d):
 , s AS (SELECT take_id, max(score) AS best FROM scored GROUP BY 1) SELECT take_id FROM takes LEFT JOIN s USING (take_id) WHERE coalesce(round(best + 1e-9, 6), 0) < 0.8""")
 def j30_unmatched(spark, d):
     """Takes without a match of 0.8 (the adapters' takes all have viable ones)."""
-    strong = _scored(spark, d).filter(F.col("score") >= 0.8)
-    return events(spark, d, "takes").join(strong, "take_id", "left_anti").select("take_id")
+    return matching.unmatched(events(spark, d, "takes"), _scored(spark, d), 0.8).select("take_id")
 
 
 @query(_PAIRS + """
 , x AS (SELECT genre, CAST((7 * CASE WHEN key_mode = 'minor' THEN (key_pc + 3) % 12 ELSE key_pc END + 7) % 12 + 1 AS VARCHAR) || CASE WHEN key_mode = 'minor' THEN 'A' ELSE 'B' END AS camelot, level FROM cand)
 SELECT genre, camelot, level, count(*) AS n, grouping(genre, camelot, level) AS "grouping" FROM x GROUP BY CUBE (genre, camelot, level)""")
 def a45_catalog_gaps(spark, d):
-    return matching.catalog_gaps(matching.candidates(events(spark, d, "takes"), events(spark, d, "catalog"))).select("genre", "camelot", "level", "n", "grouping")
+    return matching.catalog_gaps(matching.candidate_counts(events(spark, d, "takes"), events(spark, d, "catalog"))).select("genre", "camelot", "level", "n", "grouping")
 
 
 @query(as_cte("catalog") + """
