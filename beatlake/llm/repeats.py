@@ -332,7 +332,9 @@ def repeated_starts(documents: DataFrame, scratch: Scratch, unit: Unit = BYTES)
     scratch.drop(each, anchors)
     n_mixed = met.agg(F.count_if(F.col("different") > 1)).first()[0]
     whole = met.filter("copies > 1").select("anchor", "region")
-    spans = scratch.table(found.join(whole, ["anchor", "region"]).select(F.explode("places").alias("x")).select("x.key", "x.lo", "x.hi").distinct())
+    # What many texts share comes out of few tasks of the join: it is dealt evenly before its places become rows.
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spans = scratch.table(found.join(whole, ["anchor", "region"]).select("places").repartition(parts).select(F.explode("places").alias("x")).select("x.key", "x.lo", "x.hi").distinct())
     scratch.drop(found)
     if not n_mixed:
         return spans
