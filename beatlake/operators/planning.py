@@ -231,13 +231,23 @@ def assign_onsets(onsets: DataFrame, grid: DataFrame, by: str, slot_s: float, mo
 
 def pitch_targets(notes: DataFrame, strength: float = 0.6) -> DataFrame:
     """Notes with root, quality, key_pc, key_mode, genre, exposed, gesture, is_melisma and salience -> decision and
-    target. Gestures and runs stay; a target past 1.2 semitones is another note; under 4 cents nothing is heard."""
+    target. Gestures and runs stay; a target past 1.2 semitones is another note; under 4 cents nothing is heard. Pitch classes
+    are found once for each harmony (chord, key, genre, exposure) and not for each note; as 12 bits they meet the notes in a
+    hash join, and of the seven semitones around a note the nearest whose bit is set is its target."""
     from beatlake.functions.scalars import clip
-    from beatlake.functions.theory import nearest_target, tuning_candidates
-
-    found = tuning_candidates(*map(F.col, ("root", "quality", "key_pc", "key_mode", "genre", "exposed")))
-    to = nearest_target(F.col("midi"), found, 1.2)
-    rows = notes.withColumn("_to", to).withColumn("_off", F.col("_to") - F.col("midi"))
+    from beatlake.functions.theory import tuning_candidates
+
+    harmony = F.struct("root", "quality", "key_pc", "key_mode", "genre", "exposed")
+    one = notes.select(harmony.alias("_harmony")).distinct()
+    bits = F.aggregate(tuning_candidates(*(F.col(f"_harmony.{c}") for c in ("root", "quality", "key_pc", "key_mode", "genre", "exposed"))), F.lit(0), lambda s, pc: s.bitwiseOR(F.call_function("shiftleft", F.lit(1), pc.cast("int"))))
+    rows = notes.withColumn("_harmony", harmony).join(one.withColumn("_bits", bits), "_harmony").drop("_harmony")
+    rows = rows.withColumn("_base", F.bround("midi").cast("int"))
+    near = []
+    for step in range(-3, 4):
+        x = F.col("_base") + step
+        listed = F.expr(f"getbit(_bits, pmod(_base + {step}, 12)) = 1")
+        near.append(F.when(listed & (F.abs(F.col("midi") - x) <= 1.2), F.struct(F.abs(F.col("midi") - x).alias("a"), x.alias("x"))))
+    rows = rows.withColumn("_to", F.least(*near)["x"].cast("double")).withColumn("_off", F.col("_to") - F.col("midi")).drop("_bits", "_base")
     decision = F.when(F.col("gesture").isNotNull() | F.col("is_melisma"), "keep").when(F.col("root").isNull() & F.col("key_pc").isNull(), "no_target").when(F.col("_to").isNull(), "too_far").when(F.abs("_off") * 100 < 4, "in_tune").otherwise("move")
     moved = F.col("midi") + F.col("_off") * clip(strength * F.col("salience"), 0.0, 0.95)
     return rows.withColumn("decision", decision).withColumn("target", F.when(F.col("decision") == "move", moved).otherwise(F.col("midi"))).drop("_to", "_off")

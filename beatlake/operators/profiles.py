@@ -15,12 +15,6 @@ def percentile(x: Column | str, p: float, approximate: bool = False) -> Column:
     return F.percentile_approx(x, p) if approximate else F.percentile(x, p)
 
 
-def _key_templates(spark) -> DataFrame:
-    """24 rows: key_pc, key_mode and the profile rotated to it."""
-    rows = [(pc, mode, [float(profile[(k - pc) % 12]) for k in range(12)]) for mode, profile in (("major", C.KK_MAJOR), ("minor", C.KK_MINOR)) for pc in range(12)]
-    return spark.createDataFrame(rows, "key_pc int, key_mode string, template array<double>")
-
-
 def correlation(a: Column, b: Column) -> Column:
     """Pearson's, of two arrays of one length; null if one is flat."""
     n = F.size(a)
@@ -31,12 +25,27 @@ def correlation(a: Column, b: Column) -> Column:
     return F.when((va > 0) & (vb > 0), cross / F.sqrt(va * vb))
 
 
+def _unit(profile: tuple, pc: int) -> list[float]:
+    """A key's template, centred and of length 1."""
+    x = [float(profile[(k - pc) % 12]) for k in range(12)]
+    centred = [v - sum(x) / 12 for v in x]
+    length = sum(v * v for v in centred) ** 0.5
+    return [v / length for v in centred]
+
+
 def key_of_histogram(histograms: DataFrame, by: str) -> DataFrame:
-    """A1, K6: by, bins (12 numbers) -> the best key, its correlation, the confidence, and the five best keys."""
-    scored = histograms.crossJoin(F.broadcast(_key_templates(histograms.sparkSession))).withColumn("r", correlation(F.col("bins"), F.col("template"))).filter("r is not null")
-    ranked = scored.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.round("r", 9).alias("r"), (-F.col("key_pc")).alias("n"), F.col("key_mode"))), asc=False).alias("x"))  # 24 rows
+    """A1, K6: by, bins (12 numbers) -> the best key, its correlation, the confidence, and the five best keys. Against templates
+    of length 1 a correlation is one dot product over the length of the centred bins: 24 of them in plain columns."""
+    bins = [f"_b{k}" for k in range(12)]
+    x = histograms.select(by, *(F.col("bins")[k].cast("double").alias(name) for k, name in enumerate(bins)))
+    mean = sum((F.col(b) for b in bins[1:]), F.col(bins[0])) / 12
+    x = x.withColumn("_mean", mean).select(by, *((F.col(b) - F.col("_mean")).alias(b) for b in bins))
+    x = x.withColumn("_length", F.sqrt(sum((F.col(b) * F.col(b) for b in bins[1:]), F.col(bins[0]) * F.col(bins[0])))).filter("_length > 0")
+    score = lambda unit: F.round(sum((F.col(b) * u for b, u in zip(bins[1:], unit[1:])), F.col(bins[0]) * unit[0]) / F.col("_length"), 9)
+    keys = [F.struct(score(_unit(profile, pc)).alias("r"), F.lit(-pc).alias("n"), F.lit(mode).alias("key_mode")) for mode, profile in (("major", C.KK_MAJOR), ("minor", C.KK_MINOR)) for pc in range(12)]
+    ranked = x.select(by, F.slice(F.sort_array(F.array(*keys), asc=False), 1, 5).alias("x"))
     best, second = F.col("x")[0]["r"], F.col("x")[1]["r"]
-    top = F.transform(F.slice("x", 1, 5), lambda k: F.struct((-k["n"]).alias("pc"), k["key_mode"].alias("mode"), k["r"].alias("score")))
+    top = F.transform("x", lambda k: F.struct((-k["n"]).alias("pc"), k["key_mode"].alias("mode"), k["r"].alias("score")))
     return ranked.select(by, (-F.col("x")[0]["n"]).alias("key_pc"), F.col("x")[0]["key_mode"].alias("key_mode"), best.alias("correlation"), clip((best - second) * 4 + best * 0.4, 0.0, 1.0).alias("confidence"), top.alias("candidates"))
 
 
