@@ -1,4 +1,4 @@
-"""Tempo, salience, groove strength, energy and mix columns."""
+"""Tempo, salience, groove strength, energy and mix columns."""
 
 from __future__ import annotations
 
@@ -174,3 +174,73 @@ def stage_gain(level: Column, peak: Column) -> Column:
 def constant_tempo(bpm: Column, duration: Column) -> Column:
     """A curve of two points."""
     return F.array(F.struct(F.lit(0.0).alias("time_s"), bpm.alias("bpm")), F.struct(F.greatest(duration, F.lit(0.0)).alias("time_s"), bpm.alias("bpm")))
+
+
+def loop_points(sections: Column) -> Column:
+    """Bar ranges of verses and choruses, of an array of sections with label, start_bar and end_bar."""
+    long = F.filter(sections, lambda s: s["label"].isin("verse", "chorus") & (s["end_bar"] > s["start_bar"]))
+    return F.transform(long, lambda s: F.array(s["start_bar"], s["end_bar"]))
+
+
+def is_mastered(lufs: Column, loudness_range: Column) -> Column:
+    """Loud and narrow enough to be left as it is; an unknown or infinite loudness isn't."""
+    return F.coalesce((F.abs(lufs) < float("inf")) & (lufs > -11.0) & (loudness_range < 6.0), F.lit(False))
+
+
+def crest_db(peak_db: Column, rms_db: Column) -> Column:
+    """Peak over level; 0 where one isn't finite."""
+    finite = (F.abs(peak_db) < float("inf")) & (F.abs(rms_db) < float("inf"))
+    return F.when(finite, peak_db - rms_db).otherwise(0.0)
+
+
+def is_dry(rt60_s: Column) -> Column:
+    """P52."""
+    return rt60_s < 0.25
+
+
+def is_usable_space(rt60_s: Column) -> Column:
+    """Whether a room can be taken out again."""
+    return rt60_s < 0.6
+
+
+def resolved_key(stated: Column, detected: Column, confidence: Column) -> Column:
+    """A stated key wins with a confidence of .95; keys are structs of pc and mode."""
+    said = F.struct(stated["pc"].alias("pc"), stated["mode"].alias("mode"), F.lit(0.95).alias("confidence"), F.lit("user").alias("source"))
+    heard = F.struct(detected["pc"].alias("pc"), detected["mode"].alias("mode"), confidence.alias("confidence"), F.lit("detected").alias("source"))
+    return F.when(stated["pc"].isNotNull(), said).otherwise(heard)
+
+
+def reconciled_tempo(h_bpm: Column, h_conf: Column, a_bpm: Column, a_strength: Column, n_onsets: Column) -> Column:
+    """The histogram's tempo (A6) and the autocorrelation's (A7) as one: bpm, confidence, agreement and alternates. Octave
+    agreement raises the confidence, disagreement halves it and puts the other reading first among the alternates; one reading
+    alone is worth .45 at most; fewer than six onsets give none."""
+    h, a = F.coalesce(h_bpm, F.lit(0.0)), F.coalesce(a_bpm, F.lit(0.0))
+    none = F.array().cast("array<double>")
+    made = lambda bpm, conf, how, other: F.struct(F.round(bpm, 2).alias("bpm"), F.round(conf, 3).alias("confidence"), F.lit(how).alias("agreement") if isinstance(how, str) else how.alias("agreement"), other.alias("alternates"))
+    short = lambda x: F.transform(x, lambda t: F.round(t, 2))
+    single = made(F.when(h > 0, h).otherwise(a), F.when(h > 0, F.least(h_conf, F.lit(0.45))).otherwise(F.least(a_strength * 0.6, F.lit(0.45))), "single", short(tempo_alternates(F.when(h > 0, h).otherwise(a))))
+    agree = made(h, clip(F.greatest(h_conf, F.lit(0.3)) + 0.25 * a_strength + 0.15, 0.0, 0.9), F.when(F.abs(h - a) / h < 0.05, "exact").otherwise("octave"), short(tempo_alternates(h)))
+    others = F.concat(F.array(F.round(a, 2)), short(F.filter(tempo_alternates(h), lambda x: ~octave_related(x, a))))
+    apart = made(h, clip(h_conf * 0.5, 0.0, 0.35), "disagree", others)
+    nothing = made(F.lit(0.0), F.lit(0.0), "none", none)
+    return F.when((n_onsets < 6) | ((h <= 0) & (a <= 0)), nothing).when((h <= 0) | (a <= 0), single).when(octave_related(h, a), agree).otherwise(apart)
+
+
+def words_of(lines: Column, least: float = 0.4) -> Column:
+    """the words of lines (arrays of structs with text, start, end, probability) that are sure enough, in time order."""
+    every = F.filter(F.flatten(F.transform(lines, lambda ln: ln["words"])), lambda w: (w["probability"] >= least) & (w["text"] != ""))
+    timed = F.array_sort(F.transform(every, lambda w, k: F.struct(w["start"].alias("start"), k.alias("k"), w["text"].alias("text"), w["end"].alias("end"), w["probability"].alias("probability"))))
+    return F.transform(timed, lambda w: F.struct(w["text"].alias("text"), w["start"].alias("start"), w["end"].alias("end"), w["probability"].alias("probability")))
+
+
+def word_onsets(lines: Column, usable: Column | None = None, least: float = 0.4) -> Column:
+    """their start times; none where the timing can't be used."""
+    found = F.transform(words_of(lines, least), lambda w: w["start"])
+    return found if usable is None else F.when(usable, found).otherwise(F.array().cast("array<double>"))
+
+
+def line_starts(lines: Column, usable: Column | None = None, least: float = 0.4) -> Column:
+    """the start of each line's first sure word, in order."""
+    first = F.transform(lines, lambda ln: F.get(F.filter(ln["words"], lambda w: (w["probability"] >= least) & (F.trim(w["text"]) != "")), F.lit(0))["start"])
+    found = F.array_sort(F.filter(first, lambda t: t.isNotNull()))
+    return found if usable is None else F.when(usable, found).otherwise(F.array().cast("array<double>"))

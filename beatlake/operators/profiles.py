@@ -100,7 +100,19 @@ def tempo_autocorr(onsets: DataFrame, by: str, bin_s: float = 0.005) -> DataFram
     w = Window.partitionBy(by).orderBy("bin")
     near = lambda f: F.when(f("bin").over(w) == F.col("bin") + (1 if f is F.lead else -1), f("w").over(w)).otherwise(0.0)
     peaks = smooth.withColumns({"_l": near(F.lag), "_r": near(F.lead), "_top": F.max("w").over(Window.partitionBy(by))}).filter((F.col("w") >= 0.6 * F.col("_top")) & (F.col("w") >= F.col("_l")) & (F.col("w") > F.col("_r")))
-    return peaks.groupBy(by).agg(F.min("bin").alias("bin")).select(by, ((F.col("bin") + 0.5) * bin_s).alias("period_s"), (60 / ((F.col("bin") + 0.5) * bin_s)).alias("bpm"))
+    first = peaks.groupBy(by).agg(F.min(F.struct("bin", (F.col("w") / F.col("_top")).alias("strength"))).alias("m")).select(by, ((F.col("m.bin") + 0.5) * bin_s).alias("period_s"), "m.strength")
+    return first.select(by, "period_s", (60 / F.col("period_s")).alias("bpm"), "strength")
+
+
+def tempo(onsets: DataFrame, by: str, *tie: str) -> DataFrame:
+    """A6 and A7 of each entity, reconciled, as struct `tempo`. The strength of A7 is its peak's share of the greatest."""
+    from beatlake.functions.music import reconciled_tempo
+
+    n = onsets.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    h = tempo_histogram(onsets, by, *tie).withColumnsRenamed({"bpm": "_h", "confidence": "_hc"})
+    a = tempo_autocorr(onsets, by).select(by, F.col("bpm").alias("_a"), F.col("strength").alias("_s"))
+    x = n.join(h, by, "left").join(a, by, "left")
+    return x.select(by, reconciled_tempo(F.col("_h"), F.coalesce("_hc", F.lit(0.0)), F.col("_a"), F.coalesce("_s", F.lit(0.0)), F.col("_n")).alias("tempo"))
 
 
 def grid_fit(onsets: DataFrame, grids: DataFrame, by: list[str], how: str = "median") -> DataFrame:

@@ -200,7 +200,8 @@ def fallback_hook_regions(phrases: DataFrame, by: str, order: str = "idx") -> Da
 
 def smooth(frames: DataFrame, by: str, value: str, half_s: float) -> DataFrame:
     """The mean within half_s either way (an approximation of zero-phase smoothing)."""
-    w = Window.partitionBy(by).orderBy(F.col("time_s")).rangeBetween(-half_s, half_s)
+    half = round(half_s * 1e6)  # ranges are whole numbers, of microseconds
+    w = Window.partitionBy(by).orderBy(F.round(F.col("time_s") * 1e6).cast("long")).rangeBetween(-half, half)
     return frames.withColumn(value, F.avg(value).over(w))
 
 
