@@ -39,6 +39,8 @@ from beatlake.llm.suffixes import common_prefixes, separator, suffix_array
 LENGTH, GRAM = 400, 32
 #: Symbols that a shard takes before it is sorted, and bytes of text that a task works on at a time.
 SHARD, BLOCK = 1 << 19, 1 << 19
+#: Places of one region that a row holds; more of them in a block are several rows, so that rows can be dealt evenly.
+PLACES = 16
 #: Bits of a place in a block; a gram's hash keeps the others, whatever the block's size, so equal strings choose equal anchors.
 PLACE = np.uint64(31)
 
@@ -145,7 +147,9 @@ def _rows(column_type: str, unit: Unit):
             doc, anchor, whole, lo, hi = (x[order] for x in (doc, anchor, whole, lo, hi))
             new = np.ones(len(doc), dtype=bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])
-            first, take = np.flatnonzero(new), pa.array(doc)
+            group = np.flatnonzero(new)
+            within = np.arange(len(doc)) - np.repeat(group, np.diff(np.append(group, len(doc))))
+            first, take = np.flatnonzero(within % PLACES == 0), pa.array(doc)
             places = pa.StructArray.from_arrays([batch.column(0).take(take), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), batch.column(1).take(take)], names=["key", "lo", "hi", "doc_id"])
             lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), places)
             yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(whole[first].view(np.int64)), lists], names=["anchor", "region", "places"])
