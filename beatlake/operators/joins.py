@@ -61,13 +61,18 @@ def asof_backward(points: DataFrame, grid: DataFrame, by: str, time: str = "time
     return out.filter("_kind = 1").select("_point.*", "grid")
 
 
-def asof_nearest(points: DataFrame, grid: DataFrame, by: str, time: str = "time_s", keep: list[str] | None = None, span: float = SPAN_S) -> DataFrame:
-    """Points with the nearest grid row as struct `grid` and the signed error_s; the earlier one of equals."""
-    both = _merged(points, grid, by, time, keep or [], span)
+def between(points: DataFrame, grid: DataFrame, by: str, time: str, keep: list[str], span: float = SPAN_S) -> DataFrame:
+    """Points (in `_point`, where `_kind` is 1) with the grid rows around them, `_before` and `_after`."""
+    both = _merged(points, grid, by, time, keep, span)
     # Both windows run from their own first row on, so each row costs the same whatever an entity's length.
     running = lambda *order: Window.partitionBy(by, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("_before", F.last("_grid", ignorenulls=True).over(running(time, "_kind")))
-    both = both.withColumn("_after", F.last("_grid", ignorenulls=True).over(running(F.desc(time), F.col("_kind"))))
+    return both.withColumn("_after", F.last("_grid", ignorenulls=True).over(running(F.desc(time), F.col("_kind"))))
+
+
+def asof_nearest(points: DataFrame, grid: DataFrame, by: str, time: str = "time_s", keep: list[str] | None = None, span: float = SPAN_S) -> DataFrame:
+    """Points with the nearest grid row as struct `grid` and the signed error_s; the earlier one of equals."""
+    both = between(points, grid, by, time, keep or [], span)
     t = F.col(time)
     nearer = F.col("_before").isNull() | (F.col("_after.time") - t < t - F.col("_before.time"))
     out = both.filter("_kind = 1").withColumn("grid", F.when(nearer & F.col("_after").isNotNull(), F.col("_after")).otherwise(F.col("_before")))

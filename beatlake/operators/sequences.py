@@ -94,13 +94,11 @@ def subdivide(beats: DataFrame, by: str, n: int) -> DataFrame:
 
 
 def map_times(events: DataFrame, anchors: DataFrame, by: str) -> DataFrame:
-    """Piecewise linear from anchors (time_s, to_s), held beyond the edges. One union and one window."""
-    from beatlake.operators.joins import _merged
+    """Piecewise linear from anchors (time_s, to_s), held beyond the edges: between the anchors around each event."""
+    from beatlake.operators.joins import between
 
-    both = _merged(events, anchors, by, "time_s", ["to_s"])
-    w = Window.partitionBy(by).orderBy("time_s", "_kind")
-    both = both.withColumns({"_a": F.last("_grid", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.first("_grid", True).over(w.rowsBetween(0, Window.unboundedFollowing))})
-    a, b = F.col("_a"), F.col("_b")
+    both = between(events, anchors, by, "time_s", ["to_s"])
+    a, b = F.col("_before"), F.col("_after")
     inner = a["to_s"] + (F.col("time_s") - a["time"]) * (b["to_s"] - a["to_s"]) / (b["time"] - a["time"])
     to = F.when(a.isNull(), b["to_s"]).when(b.isNull() | (a["time"] == b["time"]) | (F.col("time_s") == a["time"]), a["to_s"]).otherwise(inner)
     return both.withColumn("_to", to).filter("_kind = 1").select("_point.*", F.col("_to").alias("mapped_s"))
