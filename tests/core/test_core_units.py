@@ -184,3 +184,44 @@ def test_sql_functions(spark):
     row = spark.sql("SELECT camelot(9, 'minor') a, circle_distance(0, 7) b, family_root(4, 'minor') c, transpose_pc(1, -3) d, pitch_class(60.5) e").first()
     assert tuple(row) == ("8A", 1, 7, 10, 0)
     assert {tuple(r) for r in spark.sql("SELECT * FROM explode_questions(3.0D, 'no_voice', 'heavy')").collect()} == {("block", "length"), ("block", "voice"), ("warn", "noise")}
+
+
+def test_asof_joins_do_not_depend_on_spans(spark):
+    from beatlake.operators import joins
+
+    rng = random.Random(6)
+    points = [(k % 2, round(rng.uniform(-50, 50), 3)) for k in range(80)]
+    lines = [(0, round(rng.uniform(-50, 50), 3)) for _ in range(12)] + [(1, 44.0)]
+    p, g = (spark.createDataFrame(x, "take_id long, time_s double") for x in (points, lines))
+    for span in (0.5, 7.0, 3600.0):
+        near = {(r["take_id"], r["time_s"]): r["grid"]["time"] for r in joins.asof_nearest(p, g, "take_id", span=span).collect()}
+        last = {(r["take_id"], r["time_s"]): r["grid"] and r["grid"]["time"] for r in joins.asof_backward(p, g, "take_id", span=span).collect()}
+        for take, t in points:
+            own = [x for k, x in lines if k == take]
+            assert near[take, t] == min(own, key=lambda x: (round(abs(x - t), 9), x))
+            assert last[take, t] == max((x for x in own if x <= t), default=None)
+
+
+def test_a_take_that_nothing_passes_for_meets_the_whole_catalog(spark):
+    from beatlake.operators import matching
+    from beatlake.sources.fixtures import events
+
+    sf = "/root/testdata/sf0.001"
+    beats = events(spark, sf, "catalog").filter("bpm = 100")
+    takes = spark.createDataFrame([(1, 74.0, 0, "major", 0.9, "rap", 3.0), (2, 100.0, 0, "major", 0.9, "sung", 3.0)], "take_id long, bpm double, key_pc int, key_mode string, key_confidence double, performance_type string, syllable_rate double")
+    got = matching.candidates(takes, beats).groupBy("take_id").agg(F.min("level").alias("level"), F.count(F.lit(1)).alias("n")).collect()
+    by = {r["take_id"]: (r["level"], r["n"]) for r in got}
+    assert by[1] == (6, beats.count()) and by[2][0] < 6
+    assert matching.scored(matching.candidates(takes, beats)).filter("score is null").count() == 0
+
+
+def test_tempo_readings_are_reconciled(spark):
+    def got(*x):
+        r = one(spark, music.reconciled_tempo(*map(F.lit, x)))
+        return r["bpm"], r["confidence"], r["agreement"], r["alternates"]
+
+    assert got(90.0, 0.5, 180.0, 0.8, 20)[:3] == (90.0, 0.85, "octave")
+    assert got(90.0, 0.5, 91.0, 0.8, 20)[2] == "exact"
+    assert got(90.0, 0.6, 117.0, 0.8, 20)[:3] == (90.0, 0.3, "disagree") and got(90.0, 0.6, 117.0, 0.8, 20)[3][0] == 117.0
+    assert got(90.0, 0.6, 0.0, 0.0, 20)[:3] == (90.0, 0.45, "single")
+    assert got(90.0, 0.6, 117.0, 0.8, 5)[:3] == (0.0, 0.0, "none")
