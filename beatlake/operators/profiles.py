@@ -96,7 +96,7 @@ def tempo_autocorr(onsets: DataFrame, by: str, bin_s: float = 0.005) -> DataFram
     h = lag_histogram(onsets, by, 2.0, bin_s)
     kernel = {0: 1.0, 1: 0.8825, 2: 0.6065, 3: 0.3247, 4: 0.1353}  # a Gaussian of two bins
     spread = h.select(by, F.explode(F.array(*(F.struct((F.col("bin") + k).alias("bin"), (F.col("n") * w).alias("w")) for j, w in kernel.items() for k in {j, -j}))).alias("x"))
-    smooth = spread.groupBy(by, F.col("x.bin").alias("bin")).agg(F.sum("x.w").alias("w")).filter((F.col("bin") * bin_s >= 60 / 210) & (F.col("bin") * bin_s <= 2.0))
+    smooth = spread.groupBy(by, F.col("x.bin").alias("bin")).agg(F.round(F.sum("x.w"), 4).alias("w")).filter((F.col("bin") * bin_s >= 60 / 210) & (F.col("bin") * bin_s <= 2.0))
     w = Window.partitionBy(by).orderBy("bin")
     near = lambda f: F.when(f("bin").over(w) == F.col("bin") + (1 if f is F.lead else -1), f("w").over(w)).otherwise(0.0)
     peaks = smooth.withColumns({"_l": near(F.lag), "_r": near(F.lead), "_top": F.max("w").over(Window.partitionBy(by))}).filter((F.col("w") >= 0.6 * F.col("_top")) & (F.col("w") >= F.col("_l")) & (F.col("w") > F.col("_r")))

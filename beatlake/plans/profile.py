@@ -51,9 +51,14 @@ def j19_lag_histogram(spark, d):
     return profiles.lag_histogram(events(spark, d, "onsets"), "take_id")
 
 
-@query()
+@query(as_cte("onsets") + """, p AS (SELECT a.take_id, CAST(floor((b.time_s - a.time_s) / 0.005) AS BIGINT) AS bin FROM onsets a JOIN onsets b ON a.take_id = b.take_id AND b.time_s > a.time_s AND b.time_s - a.time_s <= 2), h AS (SELECT take_id, bin, count(*) AS n FROM p GROUP BY 1, 2),
+k(j, kw) AS (VALUES (0, 1.0::DOUBLE), (1, 0.8825), (-1, 0.8825), (2, 0.6065), (-2, 0.6065), (3, 0.3247), (-3, 0.3247), (4, 0.1353), (-4, 0.1353)), s AS (SELECT take_id, bin + j AS bin, round(sum(n * kw), 4) AS w FROM h, k GROUP BY 1, 2),
+f AS (SELECT * FROM s WHERE bin * 0.005::DOUBLE >= 60 / 210 AND bin * 0.005::DOUBLE <= 2), n AS (SELECT *, CASE WHEN lag(bin) OVER o = bin - 1 THEN lag(w) OVER o ELSE 0 END AS l, CASE WHEN lead(bin) OVER o = bin + 1 THEN lead(w) OVER o ELSE 0 END AS r, max(w) OVER (PARTITION BY take_id) AS top FROM f WINDOW o AS (PARTITION BY take_id ORDER BY bin)),
+m AS (SELECT take_id, min(bin) AS bin, arg_min(w / top, bin) AS strength FROM n WHERE w >= 0.6::DOUBLE * top AND w >= l AND w > r GROUP BY 1)
+SELECT take_id, round((bin + 0.5) * 0.005 + 1e-9, 6) AS period_s, round(60 / ((bin + 0.5) * 0.005) + 1e-9, 4) AS bpm, round(strength + 1e-9, 6) AS strength FROM m""")
 def a07_tempo_autocorr(spark, d):
-    return profiles.tempo_autocorr(events(spark, d, "onsets"), "take_id")
+    got = profiles.tempo_autocorr(events(spark, d, "onsets"), "take_id")
+    return got.select("take_id", rounded("period_s", 6).alias("period_s"), rounded("bpm", 4).alias("bpm"), rounded("strength", 6).alias("strength"))
 
 
 @query(as_cte("onsets", "sections") + f""", {_TSEC}, h AS (SELECT 1.0::DOUBLE AS ratio UNION ALL SELECT 2.0 UNION ALL SELECT 0.5), g AS (SELECT entity_id, ratio, start_s * ratio AS t FROM tsec, h),
@@ -69,10 +74,12 @@ def a09_grid_fit(spark, d):
     return got.select("take_id", "ratio", rounded("fit_error_s", 6).alias("fit_error_s"), "n")
 
 
-@query()
+@query(as_cte("onsets") + """, r AS (SELECT round(0.96::DOUBLE + 0.08::DOUBLE * k / 800, 6) AS ratio FROM range(801) t(k)), a AS (SELECT take_id, ratio, time_s * ratio / 0.125::DOUBLE AS a FROM onsets, r),
+c AS (SELECT take_id, ratio, round(avg(abs(a - round_even(a, 0)) * 0.125::DOUBLE) + 0.0001::DOUBLE * abs(ratio - 1), 9) AS cost FROM a GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY take_id ORDER BY cost, ratio) AS n FROM c)
+SELECT take_id, ratio, round(cost + 1e-9, 6) AS cost FROM o WHERE n = 1""")
 def a10_tempo_ratio_search(spark, d):
     pairs = events(spark, d, "onsets").select("take_id", "time_s", F.lit(0.125).alias("slot_s"))
-    return profiles.tempo_ratio_search(pairs, "take_id")
+    return profiles.tempo_ratio_search(pairs, "take_id").select("take_id", "ratio", rounded("cost", 6).alias("cost"))
 
 
 @query(as_cte("onsets", "sections") + f", {_NEAR} SELECT take_id, round(regr_slope(time_s - slot, time_s) + 1e-9, 6) AS slope, round(regr_intercept(time_s - slot, time_s) + 1e-9, 5) AS intercept FROM near WHERE slot IS NOT NULL GROUP BY 1")
@@ -88,19 +95,36 @@ def a12_grid_stability(spark, d):
     return got.select("take_id", rounded("stability", 6).alias("stability"), rounded("median_bpm", 4).alias("median_bpm"))
 
 
-@query()
+_BARS = f"{_TSEC}, bars AS (SELECT entity_id, start_s, lead(start_s) OVER (PARTITION BY entity_id ORDER BY start_s) - start_s AS len FROM tsec)"
+
+
+def _groove_sql(element):
+    key = "take_id, element, slot" if element else "take_id, slot"
+    return as_cte("onsets", "sections") + f""", {_BARS}, ok AS (SELECT * FROM (SELECT *, quantile_cont(len, 0.5) OVER (PARTITION BY entity_id) AS m FROM bars) WHERE len >= 0.5 * m AND len <= 2 * m),
+s AS (SELECT o.take_id, element, strength AS v, time_s, start_s, len, CAST(round_even((time_s - start_s) / len * 16, 0) AS INT) % 16 AS slot FROM onsets o ASOF JOIN ok ON o.take_id = ok.entity_id AND o.time_s >= ok.start_s),
+o AS (SELECT {key}, v, (time_s - start_s - slot * len / 16) * 1000 AS off, len FROM s WHERE time_s < start_s + len), b AS (SELECT * FROM o WHERE abs(off) <= 90 AND abs(off) <= 0.4 * len / 16 * 1000), m AS (SELECT {key}, quantile_cont(off, 0.5) AS med FROM b GROUP BY ALL HAVING count(*) >= 3),
+e AS (SELECT b.*, abs(off - med) AS d FROM b JOIN m USING ({key})), g AS (SELECT {key}, quantile_cont(d, 0.5) AS mad FROM e GROUP BY ALL), h AS (SELECT {key}, sum(off * greatest(v, 1e-6)) / sum(greatest(v, 1e-6)) AS offset_ms, avg(v) AS v, count(*) AS n FROM e JOIN g USING ({key}) WHERE d <= greatest(15.0::DOUBLE, 2.5::DOUBLE * 1.4826::DOUBLE * mad) GROUP BY ALL)
+SELECT {key}, round(offset_ms + 1e-9, 5) AS offset_ms, round(v / max(v) OVER (PARTITION BY {key.removesuffix(', slot')}) + 1e-9, 6) AS velocity, n FROM h"""
+
+
+@query(as_cte("onsets", "sections") + f""", {_BARS}, a AS (SELECT o.take_id, (time_s - start_s) / len AS phase FROM onsets o ASOF JOIN bars b ON o.take_id = b.entity_id AND o.time_s >= b.start_s),
+x AS (SELECT take_id, CAST(floor((phase - 0.42::DOUBLE) / (0.31::DOUBLE / 24)) AS INT) AS bin, count(*) AS n, sum(phase) AS p FROM a WHERE phase >= 0.42 AND phase < 0.73 GROUP BY 1, 2), k AS (SELECT *, first_value(bin) OVER (PARTITION BY take_id ORDER BY n DESC, bin) AS peak, sum(n) OVER (PARTITION BY take_id) AS total FROM x),
+c AS (SELECT take_id, total, sum(p) / sum(n) AS c FROM k WHERE abs(bin - peak) <= 1 GROUP BY 1, 2)
+SELECT e.entity_id AS take_id, round(CASE WHEN total >= 4 THEN least(greatest(c, 0.3), 0.78) ELSE 0.5 END::DOUBLE + 1e-9, 6) AS swing FROM (SELECT DISTINCT entity_id FROM sections) e LEFT JOIN c ON take_id = entity_id""")
 def a14_swing(spark, d):
-    return profiles.swing(events(spark, d, "onsets"), bar_lines(spark, d).select("take_id", "time_s"), "take_id")
+    return profiles.swing(events(spark, d, "onsets"), bar_lines(spark, d).select("take_id", "time_s"), "take_id").select("take_id", rounded("swing", 6).alias("swing"))
 
 
-@query()
+@query(_groove_sql(""))
 def a15_groove(spark, d):
-    return profiles.groove(events(spark, d, "onsets"), bar_lines(spark, d).select("take_id", "time_s"), "take_id")
+    got = profiles.groove(events(spark, d, "onsets"), bar_lines(spark, d).select("take_id", "time_s"), "take_id")
+    return got.select("take_id", "slot", rounded("offset_ms", 5).alias("offset_ms"), rounded("velocity", 6).alias("velocity"), "n")
 
 
-@query()
+@query(_groove_sql("element"))
 def a16_groove_per_element(spark, d):
-    return profiles.groove(events(spark, d, "onsets"), bar_lines(spark, d).select("take_id", "time_s"), "take_id", extra=("element",))
+    got = profiles.groove(events(spark, d, "onsets"), bar_lines(spark, d).select("take_id", "time_s"), "take_id", extra=("element",))
+    return got.select("take_id", "element", "slot", rounded("offset_ms", 5).alias("offset_ms"), rounded("velocity", 6).alias("velocity"), "n")
 
 
 @query(as_cte("onsets", "sections") + f", {_NEAR} SELECT take_id, round(quantile_cont(time_s - slot, 0.5) + 1e-9, 6) AS bias_s, round(stddev_pop(time_s - slot) + 1e-9, 6) AS spread_s, count(*) AS n FROM near WHERE abs(time_s - slot) <= 0.09 GROUP BY 1")
@@ -152,10 +176,13 @@ def a24_spectral_bands(spark, d):
     return profiles.spectral_bands(bins, "vec_id").select("vec_id", *(rounded(k, 6).alias(k) for k in ("low", "mid", "pocket", "clarity")))
 
 
-@query()
+@query("""
+WITH b AS (SELECT vec_id, unnest(embedding)::DOUBLE * 60 AS m, 100 * generate_subscripts(embedding, 1) AS hz FROM embeddings), w AS (SELECT *, avg(m) OVER (PARTITION BY vec_id ORDER BY hz ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS t, lag(m) OVER o AS l, lead(m) OVER o AS r FROM b WINDOW o AS (PARTITION BY vec_id ORDER BY hz)),
+p AS (SELECT vec_id, hz, round(m - t, 9) AS prominence FROM w WHERE m > l AND m >= r AND hz BETWEEN 150 AND 6000), o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY prominence DESC, hz) AS place FROM p WHERE prominence > 0)
+SELECT vec_id, CAST(place AS INT) AS place, CAST(hz AS INT) AS freq_hz, round(prominence + 1e-9, 6) AS prominence FROM o WHERE place <= 5""")
 def a36_resonances(spark, d):
     bins = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", (100 * (F.col("i") + 1)).alias("freq_hz"), (F.col("x").cast("double") * 60).alias("mag_db"))
-    return profiles.resonances(bins, "vec_id")
+    return profiles.resonances(bins, "vec_id").select("vec_id", "place", "freq_hz", rounded("prominence", 6).alias("prominence"))
 
 
 @query(as_cte("notes") + """, p AS (SELECT take_id, quantile_cont(midi, [0.05, 0.5, 0.95]) AS p FROM notes GROUP BY 1), h AS (SELECT *, 440 * power(2, (p[2] - 69) / 12) AS hz FROM p)

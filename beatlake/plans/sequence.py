@@ -266,7 +266,9 @@ def w13_limit_by_neighbours(spark, d):
     return sequences.limit_by_neighbours(targets, "take_id").select("event_id", F.round("limited_s", 6).alias("limited_s"))
 
 
-@query()
+@query(as_cte("onsets").replace("WITH", "WITH RECURSIVE", 1) + """, v AS (SELECT take_id, time_s, time_s * 1.02::DOUBLE AS to_s, row_number() OVER (PARTITION BY take_id ORDER BY time_s) AS n FROM onsets), f AS (SELECT take_id, n, time_s, to_s, true AS kept FROM v WHERE n = 1
+UNION ALL SELECT take_id, n, CASE WHEN k THEN t ELSE t0 END, CASE WHEN k THEN y ELSE y0 END, k FROM (SELECT v.take_id, v.n, v.time_s AS t, v.to_s AS y, f.time_s AS t0, f.to_s AS y0, coalesce(v.time_s - f.time_s >= 0.045 AND (v.to_s - f.to_s) / (v.time_s - f.time_s) >= 0.8 AND (v.to_s - f.to_s) / (v.time_s - f.time_s) <= 1.25, false) AS k FROM f JOIN v ON v.take_id = f.take_id AND v.n = f.n + 1))
+SELECT take_id, time_s, to_s FROM f WHERE kept""")
 def w14_sanitise_anchors(spark, d):
     anchors = events(spark, d, "onsets").select("take_id", "time_s", (F.col("time_s") * 1.02).alias("to_s"))
     return sequences.sanitised_anchors(anchors, "take_id")
