@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from beatlake.functions.scalars import clip
 from beatlake.operators.joins import asof_backward, interval_join
+from beatlake.operators.sequences import folded
 
 RT60_BANDS = (125, 250, 500, 1000, 2000, 4000)
 
@@ -106,19 +107,19 @@ def extend_lattice(bars: DataFrame, by: str, until: DataFrame) -> DataFrame:
 
 def octave_repair(f0: DataFrame, by: str, smooth: float = 0.35) -> DataFrame:
     """Within a voiced run a jump of 12 or 24 semitones from the last output is undone, and outputs are smoothed: a fold over
-    the run, as it depends on its own output."""
-    w = Window.partitionBy(by).orderBy("time_s")
+    the run, as it depends on its own output. Runs of one take go to different tasks; frames without time or pitch are dropped."""
+    w = Window.partitionBy(by).orderBy("time_s", "midi")
     runs = f0.withColumn("_run", F.sum((~F.col("voiced")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("voiced")
-    listed = runs.groupBy(by, "_run").agg(F.array_sort(F.collect_list(F.struct(F.col("time_s").cast("double").alias("time_s"), F.col("midi").cast("double").alias("midi")))).alias("x"))
-    last = lambda acc: F.element_at(acc, -1)["midi"]
 
-    def step(acc: Column, v: Column) -> Column:
-        d = v["midi"] - last(acc)
-        folded = v["midi"] - F.when(F.abs(F.abs(d) - 12) < 1, 12 * F.signum(d)).when(F.abs(F.abs(d) - 24) < 1, 24 * F.signum(d)).otherwise(0.0)
-        return F.concat(acc, F.array(F.struct(v["time_s"].alias("time_s"), (folded * (1 - smooth) + last(acc) * smooth).alias("midi"))))
+    def step(last: float | None, time_s: float, midi: float) -> tuple:
+        if last is not None:
+            d = midi - last
+            jump = next((k for k in (12, 24) if abs(abs(d) - k) < 1), 0)
+            midi = (midi - (jump if d > 0 else -jump)) * (1 - smooth) + last * smooth
+        return midi, (time_s, midi)
 
-    out = F.aggregate(F.slice("x", F.lit(2), F.greatest(F.lit(1), F.size("x"))), F.slice("x", 1, 1), step)
-    return listed.withColumn("y", F.explode(out)).select(by, "y.time_s", "y.midi")
+    pitch = runs.select(by, "_run", F.col("time_s").cast("double").alias("time_s"), F.col("midi").cast("double").alias("midi"))
+    return folded(pitch, [by, "_run"], step, "time_s", "midi").drop("_run")
 
 
 def preroll_guidance(takes: DataFrame) -> DataFrame:

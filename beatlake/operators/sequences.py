@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,16 +107,42 @@ def map_times(events: DataFrame, anchors: DataFrame, by: str) -> DataFrame:
     return both.withColumn("_to", to).filter("_kind = 1").select("_point.*", F.col("_to").alias("mapped_s"))
 
 
+def folded(rows: DataFrame, by: list[str], step: Callable, *told: str) -> DataFrame:
+    """A fold over each key's rows in the order of the columns after `by` (numbers, none null): step(state, *row) gives the next
+    state and a tuple of doubles, named by `told`, or None. The state is None at a key's first row. Rows stream through sorted
+    partitions, so a task holds a batch and one state, however many rows a key has."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    n = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:n] != key:
+                    key, state = row[:n], None
+                state, one = step(state, *row[n:])
+                if one is not None:
+                    out.append((*key, *one))
+            types = [*batch.schema.types[:n], *[pa.float64()] * len(told)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=[*by, *told])
+
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in by] + [f"`{c}` double" for c in told])
+    return rows.dropna(subset=[c for c in rows.columns if c not in by]).repartition(*by).sortWithinPartitions(*rows.columns).mapInArrow(run, schema)
+
+
 def sanitised_anchors(anchors: DataFrame, by: str, gap_s: float = 0.045, lo: float = 0.8, hi: float = 1.25) -> DataFrame:
     """Anchors in order of time_s; one is dropped if it is too near to the last kept one or stretches too much from it.
-    A fold over one entity's anchors, as each decision depends on the last kept."""
-    kind = "array<struct<time_s:double,to_s:double>>"
-    listed = anchors.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col("time_s").cast("double").alias("time_s"), F.col("to_s").cast("double").alias("to_s")))).alias("x"))
-    last = lambda kept: F.element_at(kept, -1)
-    ratio = lambda kept, x: (x["to_s"] - last(kept)["to_s"]) / (x["time_s"] - last(kept)["time_s"])
-    good = lambda kept, x: (x["time_s"] - last(kept)["time_s"] >= gap_s) & (ratio(kept, x) >= lo) & (ratio(kept, x) <= hi)
-    kept = F.aggregate("x", F.array().cast(kind), lambda acc, x: F.when((F.size(acc) == 0) | good(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    return listed.withColumn("a", F.explode(kept)).select(by, "a.time_s", "a.to_s")
+    A fold, as each decision depends on the last kept. Anchors with a null time are dropped."""
+
+    def step(last: tuple | None, time_s: float, to_s: float) -> tuple:
+        apart = time_s - last[0] if last else None
+        if last is None or (apart >= gap_s and lo <= (to_s - last[1]) / apart <= hi):
+            return (time_s, to_s), (time_s, to_s)
+        return last, None
+
+    times = [F.col(c).cast("double").alias(c) for c in ("time_s", "to_s")]
+    return folded(anchors.select(by, *times), [by], step, "time_s", "to_s")
 
 
 def label_sections(sections: DataFrame, by: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from beatlake.functions.scalars import rounded
 from beatlake.operators import arrangement, grading, planning
 from beatlake.plans.music import _GENRE, _SETS, _chords_in_key, _genre
+from beatlake.plans.profile import _RANKED
 from beatlake.plans.registry import query
 from beatlake.plans.sequence import _SPANS, _TSEC, bar_lines, note_spans, timed_sections
 from beatlake.sources.catalog_io import score_rows
@@ -136,7 +137,10 @@ def j18_relationship(spark, d):
     return planning.relationships(rows).select("take_id", "relationship", "offset_s")
 
 
-@query()
+@query(as_cte("notes", "catalog") + f"""{_RANKED}, g AS (SELECT a.take_id, least(greatest((a.r - b.r) * 4 + a.r * 0.4, 0), 1) AS t_conf FROM o a JOIN o b ON a.take_id = b.take_id AND a.n = 1 AND b.n = 2),
+x AS (SELECT o.take_id, round(o.r * b.key_confidence, 9) AS p, o.key_pc AS pc, o.key_mode AS mode, b.key_pc AS b_pc, b.key_confidence AS b_conf, abs(7 * (o.key_pc + CASE o.key_mode WHEN 'minor' THEN 3 ELSE 0 END) % 12 - 7 * (b.key_pc + CASE b.key_mode WHEN 'minor' THEN 3 ELSE 0 END) % 12) AS d FROM o JOIN catalog b ON o.take_id = b.beat_id WHERE o.n <= 2),
+y AS (SELECT *, pc = b_pc OR least(d, 12 - d) <= 1 AS related FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY take_id ORDER BY related DESC, p DESC, pc, b_pc, mode DESC) AS k FROM y)
+SELECT take_id, CASE WHEN take_id % 10 = 0 THEN 5 WHEN related THEN pc END AS key_pc, CASE WHEN take_id % 10 = 0 THEN 'minor' WHEN related THEN mode END AS key_mode, CASE WHEN take_id % 10 = 0 THEN 'stated' WHEN related THEN 'related' WHEN t_conf >= 0.55 AND b_conf >= 0.55 THEN 'shift' ELSE 'shared_scale' END AS action FROM z JOIN g USING (take_id) WHERE k = 1""")
 def j17_decide_key(spark, d):
     """Takes' two best keys against the catalog's key of the same number."""
     from beatlake.operators.profiles import key_profile
@@ -147,14 +151,19 @@ def j17_decide_key(spark, d):
     return planning.decide_keys(pairs).select("take_id", "key_pc", "key_mode", "action")
 
 
-@query()
+@query(as_cte("onsets") + """, v AS (SELECT a.take_id, CAST(round((b.time_s + 0.7::DOUBLE - a.time_s) / 0.01::DOUBLE) AS INT) AS bin, count(*) AS n FROM onsets a JOIN onsets b ON a.take_id = b.take_id AND abs(b.time_s + 0.7::DOUBLE - a.time_s) <= 20 GROUP BY 1, 2), s AS (SELECT take_id, bin + j AS bin, CAST(sum(n) AS BIGINT) AS n FROM v, (VALUES (-1), (0), (1)) t(j) GROUP BY 1, 2),
+p AS (SELECT *, row_number() OVER (PARTITION BY take_id ORDER BY n DESC, abs(bin), bin) AS k FROM s), b AS (SELECT take_id, bin AS best, n AS top FROM p WHERE k = 1), r AS (SELECT take_id, max(n) AS next FROM s JOIN b USING (take_id) WHERE abs(bin - best) * 0.01::DOUBLE > 0.15 GROUP BY 1)
+SELECT take_id, round(best * 0.01::DOUBLE + 1e-9, 6) AS lag_s, round(CASE WHEN next > 0 THEN top / next END + 1e-9, 6) AS lag_ratio FROM b LEFT JOIN r USING (take_id)""")
 def j19_best_lag(spark, d):
     """Each take against itself 0.7 s later."""
     a = events(spark, d, "onsets").select("take_id", "time_s")
-    return planning.best_lag(a, a.withColumn("time_s", F.col("time_s") + 0.7), "take_id")
+    return planning.best_lag(a, a.withColumn("time_s", F.col("time_s") + 0.7), "take_id").select("take_id", rounded("lag_s", 6).alias("lag_s"), rounded("lag_ratio", 6).alias("lag_ratio"))
 
 
-@query()
+@query(as_cte("onsets") + """, h AS (SELECT a.take_id, CAST(floor((b.time_s - a.time_s) / 0.01::DOUBLE) AS BIGINT) AS bin, count(*) AS n FROM onsets a JOIN onsets b ON a.take_id = b.take_id AND b.time_s > a.time_s AND b.time_s - a.time_s <= 2 GROUP BY 1, 2),
+a AS (SELECT *, row_number() OVER (PARTITION BY take_id ORDER BY n DESC, bin) AS k FROM h), a1 AS (SELECT * FROM a WHERE k = 1), b AS (SELECT h.*, row_number() OVER (PARTITION BY h.take_id ORDER BY h.n DESC, h.bin) AS k FROM h JOIN a1 USING (take_id) WHERE abs(h.bin - a1.bin) >= 12), b1 AS (SELECT * FROM b WHERE k = 1),
+c AS (SELECT b.take_id, b.bin, b.n, row_number() OVER (PARTITION BY b.take_id ORDER BY b.n DESC, b.bin) AS k FROM b JOIN b1 USING (take_id) WHERE abs(b.bin - b1.bin) >= 12)
+SELECT take_id, 0 AS place, bin, n FROM a1 UNION ALL SELECT take_id, 1, bin, n FROM b1 UNION ALL SELECT take_id, 2, bin, n FROM c WHERE k = 1""")
 def j20_offset_candidates(spark, d):
     from beatlake.operators.profiles import lag_histogram
 
@@ -179,10 +188,12 @@ def j23_snap_sections(spark, d):
     return planning.snap_sections(moved, base, "entity_id").select("entity_id", "seq", rounded("snapped_s", 6).alias("snapped_s"))
 
 
-@query()
+@query(as_cte("sections") + """, b AS (SELECT entity_id, seq * 4.0::DOUBLE AS t FROM sections), e AS (SELECT s.entity_id, s.t, turn, min(abs(s.t + s.entity_id % 4 - b.t - turn)) AS e FROM b s CROSS JOIN range(4) r(turn) JOIN b ON s.entity_id = b.entity_id GROUP BY 1, 2, 3),
+c AS (SELECT entity_id, turn, round(avg(least(e, 2.0) / 4.0), 9) AS cost FROM e GROUP BY 1, 2), m AS (SELECT entity_id, min(struct_pack(cost := cost, turn := turn)) AS m, max(cost) FILTER (turn = 0) AS plain FROM c GROUP BY 1), g AS (SELECT *, m.cost <= 0.12 AND m.cost <= 0.5 * plain AS good FROM m)
+SELECT entity_id AS take_id, CAST(CASE WHEN good THEN m.turn ELSE 0 END AS INT) AS turn, round(CASE WHEN good THEN m.cost ELSE plain END + 1e-9, 6) AS cost FROM g""")
 def j24_bar_phase(spark, d):
     starts = bar_lines(spark, d).withColumn("time_s", F.col("time_s") + F.col("take_id") % 4)
-    return planning.bar_phase(starts, bar_lines(spark, d), "take_id", 4.0)
+    return planning.bar_phase(starts, bar_lines(spark, d), "take_id", 4.0).withColumn("cost", rounded("cost", 6))
 
 
 @query(as_cte("takes") + """, x AS (SELECT take_id, CAST(20 + take_id % 60 AS DOUBLE) AS v, CAST(30 + take_id % 37 AS DOUBLE) AS b, 2.0::DOUBLE AS bar, CASE WHEN take_id % 2 = 0 THEN 8.0 END AS ch, CAST(take_id % 9 AS DOUBLE) AS ve FROM takes)
@@ -207,10 +218,13 @@ def w30_pitch_targets(spark, d):
     return planning.pitch_targets(notes).select("entity_id", "bar", "decision", rounded("target", 6).alias("target"))
 
 
-@query()
+@query(as_cte("notes", "sections") + f""", {_SPANS}, g AS (SELECT entity_id, seq * 4.0::DOUBLE + k * 0.25 + 0.03::DOUBLE * (k % 3) AS t FROM sections, range(16) r(k)), b AS (SELECT sn.*, g.t AS t0 FROM sn ASOF LEFT JOIN g ON sn.take_id = g.entity_id AND sn.start_s >= g.t),
+c AS (SELECT b.*, g.t AS t1 FROM b ASOF LEFT JOIN g ON b.take_id = g.entity_id AND b.start_s <= g.t), e AS (SELECT *, start_s - CASE WHEN t0 IS NULL OR t1 - start_s < start_s - t0 THEN coalesce(t1, t0) ELSE t0 END AS e FROM c)
+SELECT take_id, order_key, idx, round(start_s + CASE WHEN abs(e) <= 0.12 THEN -e * 0.6 ELSE 0 END + 1e-9, 6) AS new_start_s FROM e""")
 def w31_time_targets(spark, d):
-    grid = bar_lines(spark, d).select("take_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.col("time_s") + k * 0.25)).alias("time_s"))
-    return planning.time_targets(note_spans(spark, d).withColumn("salience", F.lit(1.0)), grid, "take_id").select("take_id", "order_key", "idx", F.round("new_start_s", 6).alias("new_start_s"))
+    """Slots of a quarter second, of which two in three are late by 30 and 60 ms."""
+    grid = bar_lines(spark, d).select("take_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.col("time_s") + k * 0.25 + 0.03 * (k % 3))).alias("time_s"))
+    return planning.time_targets(note_spans(spark, d).withColumn("salience", F.lit(1.0)), grid, "take_id").select("take_id", "order_key", "idx", rounded("new_start_s", 6).alias("new_start_s"))
 
 
 @query(as_cte("onsets", "notes") + f""", {_SPANS}, nn AS (SELECT take_id, row_number() OVER (PARTITION BY take_id ORDER BY start_s) AS note_id, start_s AS b, end_s AS e FROM sn), w AS (SELECT take_id, event_id, element, time_s - 0.06::DOUBLE AS a, greatest(time_s + 0.2::DOUBLE, time_s + 0.05::DOUBLE) + 0.06::DOUBLE AS z FROM onsets),

@@ -14,9 +14,13 @@ from beatlake.sources.fixtures import as_cte, events, table
 _PROFILES = "VALUES " + ", ".join(f"({pc}, '{mode}', {[profile[(k - pc) % 12] for k in range(12)]}::DOUBLE[])" for mode, profile in (("major", C.KK_MAJOR), ("minor", C.KK_MINOR)) for pc in range(12))
 
 
-@query(as_cte("notes") + f""", p(key_pc, key_mode, t) AS ({_PROFILES}), s AS (SELECT take_id, CAST(round_even(midi, 0) AS INT) % 12 AS pc, sum(duration_s) AS d FROM notes GROUP BY 1, 2),
+# The 24 keys of each take, best first.
+_RANKED = f""", p(key_pc, key_mode, t) AS ({_PROFILES}), s AS (SELECT take_id, CAST(round_even(midi, 0) AS INT) % 12 AS pc, sum(duration_s) AS d FROM notes GROUP BY 1, 2),
 f AS (SELECT take_id, pc, coalesce(d, 0) AS d FROM (SELECT DISTINCT take_id FROM s) CROSS JOIN (SELECT unnest(range(12)) AS pc) LEFT JOIN s USING (take_id, pc)),
-r AS (SELECT take_id, key_pc, key_mode, round(corr(d, t[pc + 1]), 9) AS r FROM f, p GROUP BY 1, 2, 3), o AS (SELECT *, row_number() OVER (PARTITION BY take_id ORDER BY r DESC, key_pc, key_mode DESC) AS n FROM r)
+r AS (SELECT take_id, key_pc, key_mode, round(corr(d, t[pc + 1]), 9) AS r FROM f, p GROUP BY 1, 2, 3), o AS (SELECT *, row_number() OVER (PARTITION BY take_id ORDER BY r DESC, key_pc, key_mode DESC) AS n FROM r)"""
+
+
+@query(as_cte("notes") + f"""{_RANKED}
 SELECT a.take_id, a.key_pc, a.key_mode, round(a.r + 1e-9, 5) AS correlation, round(least(greatest((a.r - b.r) * 4 + a.r * 0.4, 0), 1) + 1e-9, 4) AS confidence FROM o a JOIN o b ON a.take_id = b.take_id AND a.n = 1 AND b.n = 2""")
 def a01_key_profile(spark, d):
     """A1, K6."""
