@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beatlake.functions import keys, music, theory
-from beatlake.operators import arrangement, planning, profiles, sequences
+from beatlake.operators import acoustics, arrangement, planning, profiles, sequences
 from beatlake.sources import catalog_io
 from beatlake.streaming import live
 
@@ -225,3 +225,30 @@ def test_tempo_readings_are_reconciled(spark):
     assert got(90.0, 0.6, 117.0, 0.8, 20)[:3] == (90.0, 0.3, "disagree") and got(90.0, 0.6, 117.0, 0.8, 20)[3][0] == 117.0
     assert got(90.0, 0.6, 0.0, 0.0, 20)[:3] == (90.0, 0.45, "single")
     assert got(90.0, 0.6, 117.0, 0.8, 5)[:3] == (0.0, 0.0, "none")
+
+
+def test_vibrato_is_measured(spark):
+    import math
+
+    note = lambda n, cents: [(1, n, k * 0.01, 60 + cents / 100 * math.sin(2 * math.pi * 5.5 * k * 0.01)) for k in range(200)]
+    got = acoustics.note_vibrato(spark.createDataFrame(note(1, 50) + note(2, 3), "take_id long, note int, time_s double, midi double"), ["take_id", "note"]).orderBy("note").collect()
+    assert got[0]["rate_hz"] == 5.5 and 40 < got[0]["depth_cents"] < 60
+    assert got[1]["rate_hz"] is None and got[1]["depth_cents"] is None
+
+
+def test_octave_jumps_are_undone(spark):
+    rows = [(1, 0.0, 60.0, True), (1, 0.1, 72.0, True), (1, 0.2, 36.0, True), (1, 0.3, None, True), (1, 0.4, 0.0, False), (1, 0.5, 72.0, True), (2, 0.0, 48.0, True)]
+    got = acoustics.octave_repair(spark.createDataFrame(rows, "take_id long, time_s double, midi double, voiced boolean"), "take_id").orderBy("take_id", "time_s").collect()
+    assert [(r["take_id"], r["midi"]) for r in got] == [(1, 60.0), (1, 60.0), (1, 60.0), (1, 72.0), (2, 48.0)]
+
+
+def test_folds_keep_keys_apart(spark):
+    rows = spark.createDataFrame([(k % 3 if k % 3 else None, float(k)) for k in range(300)] + [(1, None)], "k long, x double")
+
+    def add(state, x):
+        total = (state or 0.0) + x
+        return total, (total,)
+
+    got = sequences.folded(rows, ["k"], add, "total").groupBy("k").agg(F.count("*").alias("n"), F.max("total").alias("total")).collect()
+    assert {r["k"]: (r["n"], r["total"]) for r in got} == {i or None: (100, float(sum(range(i, 300, 3)))) for i in range(3)}
+    assert sequences.folded(rows.filter("x < 0"), ["k"], add, "total").count() == 0
