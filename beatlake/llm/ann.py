@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from beatlake.llm._shared import Scratch
 
 SAMPLE, SHARD = 16_384, 8192
-#: Recall that the number of probes is measured for, candidates ranked again, codewords per part, components per part.
+#: Recall that the number of probes is measured for, candidates ranked again at least, codewords per part, components per part.
 RECALL, SHORT, WORDS, PART = 0.97, 200, 256, 2
+#: Share of the sample's queries whose neighbours the list of candidates must hold.
+PLACED = 0.99
 ROUNDS = 12
 
 
@@ -71,11 +73,13 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Coarse centroids, codebooks (parts x words x components) and the number of lists that a query probes at least."""
+    """Coarse centroids, codebooks (parts x words x components), the number of lists that a query probes at least, and the
+    number of candidates that are ranked again by exact scores."""
 
     coarse: np.ndarray
     books: np.ndarray
     probes: int
+    short: int = SHORT
 
     def split(self, x: np.ndarray) -> np.ndarray:
         """Vectors in parts, with zeros after the last component if the width isn't a multiple."""
@@ -88,13 +92,27 @@ class Index:
         rest = self.split(x - self.coarse[own])
         return own, np.stack([nearest(rest[:, j], self.books[j]) for j in range(self.books.shape[0])], axis=1).astype(np.uint8)
 
+    def approximate(self, queries: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Inner products of queries and vectors as the vectors' codes tell them (queries x vectors)."""
+        own, codes = self.encode(x)
+        out = (queries @ self.coarse.T)[:, own].astype(np.float32)
+        tables = self.tables(queries)
+        for j in range(codes.shape[1]):
+            out += tables[:, j][:, codes[:, j]]
+        return out
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Inner products of each query's parts with all codewords (queries x parts x words)."""
         return np.einsum("qpc,pwc->qpw", self.split(queries), self.books).astype(np.float32)
 
 
-def fitted(sample: np.ndarray, lists: int, k: int = 20, seed: int = 1) -> Index:
-    """The index of a sample of vectors."""
+def fitted(sample: np.ndarray, lists: int, k: int = 20, seed: int = 1, of: int = 0, short: int = SHORT) -> Index:
+    """The index of a sample of `of` vectors.
+
+    The list of candidates is as long as the sample shows to be needed, so that codes which tell neighbours less well in a
+    denser table cost time and not recall: a table's k nearest are as far out as the sample's k * sample / of nearest, and
+    what codes rank before those in the sample comes of / sample times as often in the table.
+    """
     rng = np.random.default_rng(seed)
     coarse = means(sample, lists, rng)
     rest = sample - coarse[nearest(sample, coarse)]
@@ -109,7 +127,15 @@ def fitted(sample: np.ndarray, lists: int, k: int = 20, seed: int = 1) -> Index:
     rank = np.argsort(np.argsort(-(sample[asked] @ coarse.T), axis=1), axis=1)
     needed = np.sort(rank[np.arange(len(asked))[:, None], own[best]].ravel())
     probes = int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))))]) + 1 if len(needed) else len(coarse)
-    return Index(coarse, books, min(probes, len(coarse)))
+    index = Index(coarse, books, min(probes, len(coarse)), short)
+    if len(asked) and len(sample) > 1:
+        more = max(1.0, of / len(sample))
+        by_codes = index.approximate(sample[asked], sample)
+        by_codes[np.arange(len(asked)), asked] = -np.inf
+        extreme = best[:, : max(1, min(best.shape[1], int(k / more)))]
+        place = [np.count_nonzero(row > row[nearest_].min()) + 1 for row, nearest_ in zip(by_codes, extreme)]
+        index.short = max(short, int(np.ceil(np.quantile(place, PLACED) * more)))
+    return index
 
 
 def _filled(book: np.ndarray) -> np.ndarray:
@@ -138,7 +164,8 @@ def neighbours(vectors: DataFrame, divisor: int = 20, k: int = 20, short: int =
     if not take.num_rows:
         take = real.limit(SAMPLE).toArrow()
     take = take.sort_by("vec_id")
-    index = fitted(matrix(take.column("vector").combine_chunks()), max(8, min(4096, int(np.sqrt(n) / 4))), k)
+    index = fitted(matrix(take.column("vector").combine_chunks()), max(8, min(4096, int(np.sqrt(n) / 4))), k, of=n, short=short)
+    short = index.short
     shared = spark.sparkContext.broadcast(index)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
