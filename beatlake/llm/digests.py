@@ -108,26 +108,41 @@ def with_next(documents: DataFrame) -> DataFrame:
     the first. The cuts and these first ids are as many as the ranges, whatever the number of documents.
     """
     spark = documents.sparkSession
-    lowest = -(1 << 63)
-    slim = documents.select("doc_id", text_or_empty().alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("_key"))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     ranges = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("_key"))
-    cuts = sorted({int(x) for x in keys.approxQuantile("_key", [k / ranges for k in range(1, ranges)], 1 / (4 * ranges))})
-    bucket = F.lit(0)
-    edges = spark.sparkContext.broadcast(np.array(cuts, dtype=np.int64))
+    cuts = [int(x) for x in documents.select(key.alias("_key")).approxQuantile("_key", [k / ranges for k in range(1, ranges)], 1 / (4 * ranges))]
+    # An id that many rows share (or lack) fills whole ranges: its rows are dealt by the hash that orders them.
+    often = {x: n for x in set(cuts) if (n := cuts.count(x)) > 1}
+    hashed = F.when(key.isin(*often), F.xxhash64(text_or_empty())).otherwise(F.lit(0)) if often else F.lit(0).cast("long")
+    edges = [(x, step) for x in sorted(set(cuts)) for step in range(often.get(x, 1))]
+    # Ranges in ascending order of (id, descending hash): an id's own ranges are equal steps of the hash.
+    steps = F.create_map(*(F.lit(v) for x, n in often.items() for v in (x, n))) if often else None
+    first_of = np.array([k for k, (_, step) in enumerate(edges) if step == 0], dtype=np.int64)
+    shared = spark.sparkContext.broadcast((np.array(sorted(set(cuts)), dtype=np.int64), first_of, len(edges)))
 
     @F.pandas_udf("int")
-    def bucket_of(key):
+    def range_of(ids):
         import pandas as pd
 
-        return pd.Series(len(edges.value) - np.searchsorted(edges.value, key.to_numpy(), side="left")).astype("int32")
-
-    bucket = bucket_of("_key")
-    heads = [(r["_bucket"], r["_head"]) for r in keys.groupBy(bucket.alias("_bucket")).agg(F.max("_key").alias("_head")).orderBy("_bucket").collect()]
-    to = [(heads[k - 1][0], head) for k, (_, head) in enumerate(heads)]  # the first range's head goes to the last range
-    extra = spark.createDataFrame(to, "_bucket int, _head long")
-    first = slim.join(F.broadcast(extra), F.col("_key") == F.col("_head")).select("_bucket", F.lit(1).alias("_extra"), "_key", "doc_id", "text")
-    own = slim.select(bucket.alias("_bucket"), F.lit(0).alias("_extra"), "_key", "doc_id", "text")
+        values, starts, n = shared.value
+        at = np.searchsorted(values, ids.to_numpy(), side="left")
+        return pd.Series(np.append(starts, n)[at]).astype("int32")
+
+    bucket = F.lit(len(edges)) - range_of("_key")
+    if often:
+        # Hashes ascend, so of an id's n ranges the least hashes have the last (the bucket read first).
+        within = F.floor((F.col("_hash") / F.lit(2.0**64) + 0.5) * steps[F.col("_key")]).cast("int")
+        last = steps[F.col("_key")] - 1
+        bucket = bucket - F.coalesce(last - F.least(within, last), F.lit(0))
+    placed = documents.select("doc_id", text_or_empty().alias("text"), key.alias("_key"), hashed.alias("_hash")).withColumn("_bucket", bucket.cast("int"))
+    head = F.max(F.struct("_key", F.bitwise_not("_hash").alias("_not")))
+    heads = [(r["_bucket"], r["_head"]["_key"], ~r["_head"]["_not"]) for r in placed.groupBy("_bucket").agg(head.alias("_head")).orderBy("_bucket").collect()]
+    to = [(heads[k - 1][0], x, h) for k, (_, x, h) in enumerate(heads)]  # the first range's head goes to the last range
+    extra = spark.createDataFrame(to, "_to int, _head long, _least long")
+    met = placed.join(F.broadcast(extra), (F.col("_key") == F.col("_head")) & (F.col("_hash") == F.col("_least")))
+    # Of rows that share an id the one with the least hash follows; rows beyond the first of a range say nothing.
+    first = met.select(F.col("_to").alias("_bucket"), F.lit(1).alias("_extra"), "_key", "doc_id", "text")
+    own = placed.select("_bucket", F.lit(0).alias("_extra"), "_key", "doc_id", "text")
     return own.unionByName(first).repartition("_bucket").sortWithinPartitions("_bucket", "_extra", F.desc("_key"), F.xxhash64("text"))
 
 
