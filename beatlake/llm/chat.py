@@ -38,7 +38,10 @@ def perspectives(turns: DataFrame) -> DataFrame:
     body_end (the trained span, in the view; null if the turn isn't trained on)."""
     placed = ordered_turns(turns)
     who = turns.select("conv_id", F.when(F.coalesce(F.col("role"), F.lit("")) == "", "unknown").otherwise(F.col("role")).alias("perspective")).filter(F.col("perspective") != SYSTEM).distinct()
-    views = placed.join(who.withColumnRenamed("conv_id", "_c"), F.col("conv_id").eqNullSafe(F.col("_c"))).drop("_c")
+    # Participants meet a conversation's blocks first, so that a long conversation's turns are spread over many keys.
+    blocks = placed.select("conv_id", "block").distinct().withColumnsRenamed({"conv_id": "_c", "block": "_b"})
+    who = blocks.join(who, F.col("_c").eqNullSafe(F.col("conv_id"))).select("_c", "_b", "perspective")
+    views = placed.join(who, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b"))).drop("_c", "_b")
     mine = F.col("speaker") == F.col("perspective")
     role = F.when(F.col("speaker") == SYSTEM, SYSTEM).when(mine, "assistant").otherwise("user")
     name = F.when((F.col("speaker") != SYSTEM) & ~mine, F.col("speaker"))
