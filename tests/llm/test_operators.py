@@ -66,6 +66,19 @@ def test_fingerprints(docs, rows, empty):
     assert digests.fingerprints(docs).count() == len(rows)
 
 
+def test_fingerprints_of_an_id_that_most_rows_share(spark):
+    """Rows that share an id, or have none, are dealt to many ranges and still follow each other in the order of their hashes."""
+    from pyspark.sql import functions as F
+
+    texts = [(None if k % 2 else 7, f"text number {k} " * (1 + k % 3)) for k in range(400)] + [(k, f"own {k}") for k in range(20)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    buckets = digests.with_next(frame).groupBy("_bucket").count().collect()
+    assert len(buckets) > 8 and max(r["count"] for r in buckets) < 120
+    order = [r["text"] for r in frame.orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text")).collect()]
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest() for t, n in zip(order, order[1:] + order[:1]))
+    assert sorted(r["edited_sha256"] for r in digests.edited_fingerprints(frame).collect()) == want
+
+
 def test_mixing(spark, docs, rows, empty):
     sized = docs.select("doc_id", "source", mixing.word_count().alias("size"))
     got = [r.asDict(recursive=True) for r in mixing.mixed(sized).collect()]
@@ -365,6 +378,19 @@ def test_neighbours(spark):
     assert ann.neighbours(frame.limit(0)).count() == 0
 
 
+def test_the_list_of_candidates_grows_where_codes_tell_less():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    small, large = ann.fitted(x, 16, of=4000), ann.fitted(x, 16, of=4_000_000)
+    assert small.short >= ann.SHORT and large.short > 4 * small.short
+    scores, codes = x[:200] @ x.T, small.approximate(x[:200], x)
+    for scored in (scores, codes):
+        scored[np.arange(200), np.arange(200)] = -np.inf
+    held = [len(set(np.argsort(-a)[:20]) & set(np.argsort(-b)[: small.short])) / 20 for a, b in zip(scores, codes)]
+    assert np.mean(held) > 0.97
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, "ann", "bye"), (2, 0, "", "x"), (2, 0, None, "x"), (3, 0, "system", "alone"), (None, None, "zoe", "é"), (None, 5, "ann", "")]
     rows += [(9, k, f"p{k % 3}", "t" * (k % 7)) for k in range(1500)]
@@ -381,11 +407,26 @@ def test_perspectives(spark):
     assert chat.perspectives(frame.limit(0)).count() == 0
 
 
+def known_texts():
+    """Whole licence texts, where the system has them."""
+    from pathlib import Path
+
+    at = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    found = [(name, Path("/usr/share/common-licenses") / file) for name, file in at.items()]
+    return [(name, file.read_text(encoding="utf-8")) for name, file in found if file.exists()] or [("MIT", "Released under the MIT License.")]
+
+
 def test_licenses(spark, docs, rows, empty):
     mit = next(t for name, t in licenses.KNOWN if name == "MIT")
     texts = [(1, "MIT Licence\n\nCopyright (c) 2020 Somebody\n(c) 2021 Another\nAll rights reserved.\n\n" + mit.replace(". ", ".\n\n* ").upper()), (2, mit + " more"), (3, None), (4, ""), (5, "released under the mit licence"), (5, "released under the mit licence")]
     got = licenses.scanned(spark.createDataFrame(texts, "doc_id long, text string"))
     assert Counter((r["doc_id"], r["license_id"]) for r in got.collect()) == {(1, "MIT"): 1, (2, None): 1, (3, None): 1, (4, None): 1, (5, "MIT"): 2}
+    long = [(name, text) for name, text in licenses.KNOWN if name in ("GPL-3.0", "Unlicense", "MPL-2.0", "Apache-2.0")]
+    found = licenses.scanned(spark.createDataFrame([(k, "Copyright 2024 Somebody\n\n  " + text) for k, (_, text) in enumerate(long)], "doc_id long, text string"))
+    assert {r["doc_id"]: r["license_id"] for r in found.collect()} == {k: name for k, (name, _) in enumerate(long)}
+    whole = known_texts()
+    found = licenses.scanned(spark.createDataFrame([(k, text) for k, (_, text) in enumerate(whole)], "doc_id long, text string"))
+    assert {r["doc_id"]: r["license_id"] for r in found.collect()} == {k: name for k, (name, _) in enumerate(whole)}
     out = licenses.scanned(docs)
     assert out.columns[: len(docs.columns)] == docs.columns and out.count() == len(rows) and licenses.scanned(empty).count() == 0
     assert "Python" not in (plan := got._jdf.queryExecution().toString()) and "Arrow" not in plan
