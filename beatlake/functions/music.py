@@ -1,4 +1,4 @@
-"""Tempo, salience, groove strength, energy and mix columns."""
+"""Tempo, salience, groove strength, energy and mix columns."""
 
 from __future__ import annotations
 
@@ -244,3 +244,55 @@ def line_starts(lines: Column, usable: Column | None = None, least: float = 0.4)
     first = F.transform(lines, lambda ln: F.get(F.filter(ln["words"], lambda w: (w["probability"] >= least) & (F.trim(w["text"]) != "")), F.lit(0))["start"])
     found = F.array_sort(F.filter(first, lambda t: t.isNotNull()))
     return found if usable is None else F.when(usable, found).otherwise(F.array().cast("array<double>"))
+
+
+# The sentences that tell what was done to a take, by what they need.
+NOTES = {
+    "bleed": "the beat was playing in the room when this was recorded and came through the microphone; it was cancelled out of the vocal by %.0f dB",
+    "hum": "a hum at %s Hz was notched out of the vocal",
+    "separated": "the voice was separated from the background noise under it",
+    "denoised": "background noise was reduced under the vocal",
+    "dereverb": "room reverb was reduced on the vocal",
+    "gated": "the gaps between lines were muted",
+    "gain": "the take was %s by %.0f dB to a working level",
+    "span": "the vocal was %s",
+    "stretch": "the vocal was %s by %.2f%% to sit on the beat's tempo",
+    "moved": "the vocal was moved %+.2f s so its first bar lands where the beat's %s arrives (%.1f s)",
+    "looped": "the beat (%.0f s) was shorter than the take; its %.0f-%.0f s section was looped to cover %.0f s",
+    "trimmed": "the beat was trimmed on a bar line from %.0f s to %.0f s to fit the take",
+    "padded": "the beat was padded with silence from %.0f s to %.0f s for the vocal's tail",
+    "tuned": "the vocal was tuned: %s",
+    "untuned": "the pitch was left exactly as sung: %s",
+    "stated": "treated as %s, as you said",
+}
+
+
+def render_notes(plan: dict[str, Column]) -> Column:
+    """What a plan changes, as an array of sentences in a fixed order. plan names columns; those that it lacks say nothing.
+
+    bleed_db, hum_hz (array), separated, denoised, dereverb, gated, gain_db, span_note, ratio, moved_s with section and entry_s,
+    fit (looped, trimmed_to_bar, padded) with beat_s, loop_from_s, loop_to_s, result_s and target_s, n_tuned with tuned_how,
+    untuned_why, stated_type. A null column says nothing.
+    """
+    col = lambda name: plan.get(name, F.lit(None))
+    number = lambda name: F.coalesce(col(name).cast("double"), F.lit(0.0))
+    yes = lambda name: col(name).cast("boolean")
+    tell = lambda name, *x: F.format_string(NOTES[name], *x)
+    ratio, gain, fit = F.coalesce(col("ratio").cast("double"), F.lit(1.0)), number("gain_db"), col("fit").cast("string")
+    hum = F.transform(col("hum_hz").cast("array<double>"), lambda x: F.format_string("%.0f", x))
+    rows = [
+        F.when(col("bleed_db").isNotNull(), tell("bleed", number("bleed_db"))),
+        F.when(F.size(hum) > 0, tell("hum", F.array_join(hum, ", "))),
+        F.when(yes("separated"), F.lit(NOTES["separated"])).when(yes("denoised"), F.lit(NOTES["denoised"])),
+        *(F.when(yes(name), F.lit(NOTES[name])) for name in ("dereverb", "gated")),
+        F.when(gain != 0, tell("gain", F.when(gain > 0, "raised").otherwise("lowered"), F.abs(gain))),
+        F.when(col("span_note").cast("string") != "", tell("span", col("span_note").cast("string"))),
+        F.when(F.abs(ratio - 1) >= 0.0005, tell("stretch", F.when(ratio > 1, "slowed").otherwise("sped up"), F.abs(ratio - 1) * 100)),
+        F.when(col("section").cast("string") != "", tell("moved", number("moved_s"), col("section").cast("string"), number("entry_s"))),
+        F.when((fit == "looped") & col("loop_from_s").isNotNull(), tell("looped", *map(number, ("beat_s", "loop_from_s", "loop_to_s", "result_s"))))
+        .when(fit == "trimmed_to_bar", tell("trimmed", number("beat_s"), number("result_s")))
+        .when(fit == "padded", tell("padded", number("beat_s"), number("target_s"))),
+        F.when(number("n_tuned") > 0, tell("tuned", F.coalesce(col("tuned_how").cast("string"), F.lit("")))).when(col("untuned_why").cast("string") != "", tell("untuned", col("untuned_why").cast("string"))),
+        F.when(col("stated_type").isNotNull(), tell("stated", F.translate(col("stated_type").cast("string"), "_", " "))),
+    ]
+    return F.array_compact(F.array(*rows))

@@ -105,6 +105,15 @@ def extend_lattice(bars: DataFrame, by: str, until: DataFrame) -> DataFrame:
     return bars.select(by, "time_s").unionByName(more)
 
 
+def continued(last: float | None, midi: float, smooth: float = 0.35) -> float:
+    """The next output of W28 and T5: a jump of 12 or 24 semitones from the last output is undone, and the two are blended."""
+    if last is None:
+        return midi
+    d = midi - last
+    jump = next((k for k in (12, 24) if abs(abs(d) - k) < 1), 0)
+    return (midi - (jump if d > 0 else -jump)) * (1 - smooth) + last * smooth
+
+
 def octave_repair(f0: DataFrame, by: str, smooth: float = 0.35) -> DataFrame:
     """Within a voiced run a jump of 12 or 24 semitones from the last output is undone, and outputs are smoothed: a fold over
     the run, as it depends on its own output. Runs of one take go to different tasks; frames without time or pitch are dropped."""
@@ -112,11 +121,8 @@ def octave_repair(f0: DataFrame, by: str, smooth: float = 0.35) -> DataFrame:
     runs = f0.withColumn("_run", F.sum((~F.col("voiced")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("voiced")
 
     def step(last: float | None, time_s: float, midi: float) -> tuple:
-        if last is not None:
-            d = midi - last
-            jump = next((k for k in (12, 24) if abs(abs(d) - k) < 1), 0)
-            midi = (midi - (jump if d > 0 else -jump)) * (1 - smooth) + last * smooth
-        return midi, (time_s, midi)
+        out = continued(last, midi, smooth)
+        return out, (time_s, out)
 
     pitch = runs.select(by, "_run", F.col("time_s").cast("double").alias("time_s"), F.col("midi").cast("double").alias("midi"))
     return folded(pitch, [by, "_run"], step, "time_s", "midi").drop("_run")

@@ -1,9 +1,12 @@
-"""Q2, Q4-Q6, Q9: whole jobs, each a table of what several operators tell of one take or section."""
+"""Whole jobs, each a table of what several operators tell of one take or section."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import functions as F
+
+from beatlake.functions.music import render_notes
 from beatlake.plans import match, plan, profile, rest, sequence  # noqa: F401
 from beatlake.plans.registry import ORACLE_SQL, QUERIES, query
 from beatlake.sources.fixtures import as_cte, events
@@ -30,6 +33,7 @@ _TAKES = {"a22_take_report": _same("duration_s", "peak_db", "snr_db", "usable",
 _PAIRS = {"j18_relationship": _same("relationship", "offset_s"), "j17_decide_key": {"key_pc": "key_pc", "key_mode": "key_mode", "action": "key_action"}, "p44_render_policy": _same("denoise", "placement", "stretch", "shift", "tuning", "timing")}
 _PERFORMANCE = {"a17_timing_bias": {"bias_s": "bias_s", "spread_s": "spread_s"}, "j26_placement": {"bar_s": "bar_s", "offset_s": "offset_s"}, "j32_stretch_decision": {"stretch": "stretch"}, "a14_swing": {"swing": "swing"}}
 _ARRANGEMENT = {"w22_energy_contour": {"energy": "energy"}, "w18_label_sections": {"label": "label"}, "w24_transitions": {"jump": "jump", "n_effects": "n_effects"}}
+_GRADES = {"a30_graded": _same("errors", "warnings", "score", "passed"), "k04_rank_renders": {"place": "place"}, "k05_best_attempt": {"attempt": "best_attempt", "score": "best_score"}}
 _REVIEW = {"a22_take_report": _same("usable", "grade", "snr_db", "level_spread_db"), "a19_noise_verdict": {"verdict": "noise", "floor_db": "floor_db"}, "a33_tuning_error": {"tuning_cents": "tuning_cents"}}
 
 
@@ -53,6 +57,22 @@ def q06_plan_arrangement(spark, d):
     return _joined(spark, d, events(spark, d, "sections"), ("entity_id", "seq"), _ARRANGEMENT)
 
 
+@query(_sql(as_cte("renders") + " SELECT render_id FROM renders", ("render_id",), _GRADES))
+def q07_grade_renders(spark, d):
+    return _joined(spark, d, events(spark, d, "renders"), ("render_id",), _GRADES)
+
+
+@query(as_cte("takes") + """ SELECT take_id, array_to_string([x for x in [
+  CASE WHEN performance_type = 'spoken' THEN 'background noise was reduced under the vocal' END,
+  CASE WHEN take_id % 13 <> 6 THEN 'the take was ' || CASE WHEN take_id % 13 > 6 THEN 'raised' ELSE 'lowered' END || ' by ' || abs(take_id % 13 - 6) || ' dB to a working level' END,
+  CASE WHEN take_id % 41 <> 20 THEN 'the vocal was ' || CASE WHEN take_id % 41 > 20 THEN 'slowed' ELSE 'sped up' END || ' by ' || abs(take_id % 41 - 20) || '.00% to sit on the beat''s tempo' END,
+  'treated as ' || replace(performance_type, '_', ' ') || ', as you said'] if x IS NOT NULL], '; ') AS notes FROM takes""")
+def p54_render_notes(spark, d):
+    """P54 over takes whose plan comes from their numbers."""
+    plan = {"denoised": F.col("performance_type") == "spoken", "gain_db": F.col("take_id") % 13 - 6, "ratio": 1 + (F.col("take_id") % 41 - 20) / 100, "stated_type": F.col("performance_type")}
+    return events(spark, d, "takes").select("take_id", F.array_join(render_notes(plan), "; ").alias("notes"))
+
+
 @query(_sql(as_cte("takes") + " SELECT take_id FROM takes", ("take_id",), _REVIEW))
 def q09_review_takes(spark, d):
     return _joined(spark, d, events(spark, d, "takes"), ("take_id",), _REVIEW)

@@ -1,4 +1,4 @@
-"""Live takes. Frames carry event time; state is kept by take, and rows of a trigger are folded in event order."""
+"""Live takes. Frames carry event time; state is kept by take, and rows of a trigger are folded in event order."""
 
 from __future__ import annotations
 
@@ -119,6 +119,30 @@ def live_cues(frames: DataFrame, idle_ms: int = 600_000) -> DataFrame:
     return frames.groupBy("take_id").applyInPandasWithState(fold, CUES, "coach binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def octave_continuity(pitch: DataFrame, idle_ms: int = 600_000) -> DataFrame:
+    """T5: W28 over a stream of take_id, ts, time_s, midi and voiced. The state is a take's last output, null after a frame
+    without voice; frames without time or pitch are passed over."""
+    from beatlake.operators.acoustics import continued
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        every, out = pd.concat(list(batches)), []
+        for time_s, midi, voiced in every.sort_values(["time_s", "midi"])[["time_s", "midi", "voiced"]].itertuples(index=False):
+            if not voiced:
+                last = None
+            elif not pd.isna(midi) and not pd.isna(time_s):
+                last = continued(last, float(midi))
+                out.append((key[0], float(time_s), last))
+        state.update((last,))
+        state.setTimeoutTimestamp(int(every["ts"].max().timestamp() * 1000) + idle_ms)
+        yield pd.DataFrame(out, columns=["take_id", "time_s", "midi"])
+
+    return pitch.groupBy("take_id").applyInPandasWithState(fold, "take_id long, time_s double, midi double", "last double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def batch_cues(frames: DataFrame) -> DataFrame:
     """The same cues over a table of frames: what a replay gives. A task streams its takes and holds one coach."""
 
@@ -158,11 +182,31 @@ def take_sessions(frames: DataFrame, gap: str = "2 seconds") -> DataFrame:
 
 
 def split_late(batch: DataFrame, watermark_ts) -> tuple[DataFrame, DataFrame]:
-    """T13, in foreachBatch: rows in time, and rows behind the watermark for a side table."""
-    late = F.col("ts") < F.lit(watermark_ts)
+    """T13, in foreachBatch: rows in time (those without a time too), and rows behind the watermark for a side table."""
+    late = F.coalesce(F.col("ts") < F.lit(watermark_ts), F.lit(False))
     return batch.filter(~late), batch.filter(late)
 
 
+def store_with_late(frames: DataFrame, path: str, delay_s: float = 10.0):
+    """T13 as a stream's sink: frames in time go to path/in_time, those behind the watermark to path/late. The watermark is the
+    latest event time of earlier triggers less the delay; it is stored by trigger, so one that is run again decides alike."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = f"{path}/seen"
+        # Times of earlier triggers, a row each; the first trigger writes an empty one, so the folder exists.
+        if batch_id == 0:
+            batch.limit(0).select(F.col("ts").alias("until")).write.mode("overwrite").parquet(f"{seen}/batch=-1")
+        earlier = spark.read.schema("until timestamp, batch long").option("basePath", seen).parquet(seen).filter(F.col("batch") < batch_id)
+        until = earlier.agg((F.max("until") - F.make_dt_interval(secs=F.lit(delay_s))).alias("until")).first()["until"]
+        in_time, late = (batch, batch.limit(0)) if until is None else split_late(batch, until)
+        in_time.write.mode("overwrite").parquet(f"{path}/in_time/batch={batch_id}")
+        late.write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+        batch.agg(F.max("ts").alias("until")).write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
+
+    return frames.writeStream.foreachBatch(store)
+
+
 def live_match(takes: DataFrame, catalog: DataFrame, sink, n: int = 5):
     """A stream of takes against a static catalog; sink(matches, batch_id) stores each trigger's matches."""
     from beatlake.operators import matching
