@@ -1,4 +1,4 @@
-"""Whole jobs, each a table of what several operators tell of one take or section."""
+"""Whole jobs, each a table of what several operators tell of one take or section."""
 
 from __future__ import annotations
 
@@ -7,20 +7,20 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from beatlake.functions.music import render_notes
-from beatlake.plans import match, plan, profile, rest, sequence  # noqa: F401
+from beatlake.plans import match, more, plan, profile, rest, sequence  # noqa: F401
 from beatlake.plans.registry import ORACLE_SQL, QUERIES, query
 from beatlake.sources.fixtures import as_cte, events
 
 
-def _sql(base: str, by: tuple[str, ...], parts: dict[str, dict[str, str]]) -> str:
+def _sql(base: str, by: tuple[str, ...], parts: dict[str, dict[str, str]], id_of: dict[str, str] | None = None) -> str:
     names = ", ".join(["x." + k for k in by] + [f"p{k}.{c} AS {n}" for k, columns in enumerate(parts.values()) for c, n in columns.items()])
-    joins = " ".join(f"LEFT JOIN ({ORACLE_SQL[name]}) p{k} ON " + " AND ".join(f"x.{b} = p{k}.{b}" for b in by) for k, name in enumerate(parts))
+    joins = " ".join(f"LEFT JOIN ({ORACLE_SQL[name]}) p{k} ON " + " AND ".join(f"x.{b} = p{k}.{(id_of or {}).get(name, b)}" for b in by) for k, name in enumerate(parts))
     return f"SELECT {names} FROM ({base}) x {joins}"
 
 
-def _joined(spark, d, base, by: tuple[str, ...], parts: dict[str, dict[str, str]]):
-    """Left joins on one key, which all sides are shuffled by once."""
-    sides = [QUERIES[name](spark, d).selectExpr(*by, *(f"{c} AS {n}" for c, n in columns.items())) for name, columns in parts.items()]
+def _joined(spark, d, base, by: tuple[str, ...], parts: dict[str, dict[str, str]], id_of: dict[str, str] | None = None):
+    """Left joins on one key, which all sides are shuffled by once. id_of names a part's own column for it."""
+    sides = [QUERIES[name](spark, d).selectExpr(*(f"{(id_of or {}).get(name, b)} AS {b}" for b in by), *(f"{c} AS {n}" for c, n in columns.items())) for name, columns in parts.items()]
     return reduce(lambda a, b: a.join(b, list(by), "left"), sides, base.select(*by))
 
 
@@ -28,6 +28,10 @@ def _same(*names: str) -> dict[str, str]:
     return {n: n for n in names}
 
 
+_BEATS = {"j21_genre_scores": {"genre": "genre", "score": "genre_score"}, "a47_dominant_key": {"key_pc": "key_pc", "key_mode": "key_mode"}, "a05_atonality": _same("is_atonal"), "p49_loop_points": {"n": "n_loops"},
+          "a12_grid_stability": {"stability": "grid_stability", "median_bpm": "median_bpm"}, "a14_swing": {"swing": "swing"}, "a43_onset_rate": _same("onset_rate", "hat_density")}
+#: By what those know a beat.
+_ID_OF = {"a47_dominant_key": "entity_id", "a05_atonality": "entity_id", "p49_loop_points": "entity_id", "a12_grid_stability": "take_id", "a14_swing": "take_id", "a43_onset_rate": "take_id"}
 _TAKES = {"a22_take_report": _same("duration_s", "peak_db", "snr_db", "usable", "grade"), "a26_voice_profile": {"low": "voice_low", "median": "voice_median", "high": "voice_high", "voice": "voice"}, "a18_vocal_state": _same("in_tune", "state"),
           "p29_classify_performance": {"performance_type": "performance_type", "confidence": "performance_confidence"}, "a01_key_profile": {"key_pc": "key_pc", "key_mode": "key_mode", "confidence": "key_confidence"}, "a06_tempo_histogram": {"bpm": "bpm", "confidence": "bpm_confidence"}}
 _PAIRS = {"j18_relationship": _same("relationship", "offset_s"), "j17_decide_key": {"key_pc": "key_pc", "key_mode": "key_mode", "action": "key_action"}, "p44_render_policy": _same("denoise", "placement", "stretch", "shift", "tuning", "timing")}
@@ -37,6 +41,12 @@ _GRADES = {"a30_graded": _same("errors", "warnings", "score", "passed"), "k04_ra
 _REVIEW = {"a22_take_report": _same("usable", "grade", "snr_db", "level_spread_db"), "a19_noise_verdict": {"verdict": "noise", "floor_db": "floor_db"}, "a33_tuning_error": {"tuning_cents": "tuning_cents"}}
 
 
+@query(_sql(as_cte("catalog") + " SELECT beat_id FROM catalog", ("beat_id",), _BEATS, _ID_OF))
+def q01_profile_catalog(spark, d):
+    """The tables know a beat's chords, sections and onsets by the number of the beat."""
+    return _joined(spark, d, events(spark, d, "catalog"), ("beat_id",), _BEATS, _ID_OF)
+
+
 @query(_sql(as_cte("takes") + " SELECT take_id FROM takes", ("take_id",), _TAKES))
 def q02_profile_takes(spark, d):
     return _joined(spark, d, events(spark, d, "takes"), ("take_id",), _TAKES)
