@@ -141,10 +141,11 @@ def utf8_block(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 IN_WORD = np.array([not (b == 0x20 or 9 <= b <= 13) for b in range(256)])
 
 
-def word_spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words `[^\\x20\\x09-\\x0D]+`, and each document's first word (documents + 1)."""
+def word_spans(offsets: np.ndarray, data: np.ndarray, in_word: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, maximal runs of bytes that in_word holds to be in words (by default
+    `[^\\x20\\x09-\\x0D]+`), and each document's first word (documents + 1)."""
     inside = np.zeros(len(data) + 2, dtype=bool)
-    inside[1:-1] = IN_WORD[data]
+    inside[1:-1] = in_word[data]
     begins, ends = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
     edge = offsets[1:-1]
     edge = edge[(edge > 0) & (edge < len(data))]  # words never cross documents
@@ -154,6 +155,33 @@ def word_spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
+def cut_between_words(offsets: np.ndarray, data: np.ndarray, in_word: np.ndarray = IN_WORD, most: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of about `most` bytes of a block of texts, with the offsets of all its documents inside each; cuts lie between
+    words, so a long text needs no more memory than its longest word."""
+    start = 0
+    while start < len(data):
+        stop = min(start + most, len(data))
+        while stop < len(data):
+            gap = np.flatnonzero(~in_word[data[stop : stop + most]])
+            stop = min(stop + (int(gap[0]) if len(gap) else most), len(data))
+            if len(gap):
+                break
+        yield np.clip(offsets, start, stop) - start, data[start:stop]
+        start = stop
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, by: str, n: str, total: int) -> DataFrame:
+    """rows joined on `by` with groups, whose rows are unique and tell in column n how many of the `total` rows each has.
+
+    A group of over a thousandth of the rows is broadcast (at most a thousand are), so its rows stay where they are; the
+    others meet in a shuffle, where none is large. Rows whose `by` is null or has no group are left out.
+    """
+    bound = max(10_000, total // 1000)
+    hot, rest = F.broadcast(groups.filter(F.col(n) > bound).drop(n)), groups.filter(F.col(n) <= bound).drop(n)
+    keys = F.broadcast(groups.filter(F.col(n) > bound).select(by))
+    return rows.join(hot, by).unionByName(rows.join(keys, by, "left_anti").join(rest, by))
+
+
 def sum_models(df: DataFrame, parts: int) -> DataFrame:
     """Sum rows (slice int, body binary) of float64 arrays by slice, with each partial sum held once per task.
 
