@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatlake.llm import ann, chat, digests, hmm, jaccard, licenses, mixing, packing, quality, repeats, resampling
+from beatlake.llm import ann, audit, chat, digests, hmm, jaccard, licenses, mixing, packing, quality, repeats, resampling
 from beatlake.llm._shared import Scratch, is_fold, lean
 
 
@@ -67,11 +67,15 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_neighbours, op2_perspectives, op3_quality, op4_fingerprints, op5_packing, op6_licenses, op7_jaccard, op8_mixing, op9_repeats, op10_hmm, op11_resampling, pipeline)}
-ORACLE_SQL = {"op2_perspectives": chat.PERSPECTIVES_SQL, "op6_licenses": licenses.SCAN_SQL, "op11_resampling": resampling.RESAMPLING_SQL}
+QUERIES = {f.__name__: f for f in (op1_neighbours, op2_perspectives, op3_quality, op4_fingerprints, op5_packing, op6_licenses, op7_jaccard, op8_mixing, op9_repeats, op10_hmm, op11_resampling, op13_audit, pipeline)}
+ORACLE_SQL = {"op2_perspectives": chat.PERSPECTIVES_SQL, "op6_licenses": licenses.SCAN_SQL, "op11_resampling": resampling.RESAMPLING_SQL, "op13_audit": audit.AUDIT_SQL}
