@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatlake.llm import ann, audit, chat, digests, hmm, jaccard, licenses, mixing, packing, quality, repeats, resampling
+from beatlake.llm import ann, audit, chat, digests, hmm, jaccard, licenses, mixing, packing, quality, repeats, resampling, warc
 from beatlake.llm._shared import Scratch, is_fold, lean
 
 
@@ -67,6 +67,13 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = f"{Scratch(spark, 'archives').root}/pages"
+    warc.write_archives(table(spark, sf_dir, "pages"), archives, "page_id", "url", "html")
+    read = warc.read_records(spark, archives)
+    return read.select(F.col("record_key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -77,5 +84,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_neighbours, op2_perspectives, op3_quality, op4_fingerprints, op5_packing, op6_licenses, op7_jaccard, op8_mixing, op9_repeats, op10_hmm, op11_resampling, op13_audit, pipeline)}
-ORACLE_SQL = {"op2_perspectives": chat.PERSPECTIVES_SQL, "op6_licenses": licenses.SCAN_SQL, "op11_resampling": resampling.RESAMPLING_SQL, "op13_audit": audit.AUDIT_SQL}
+QUERIES = {f.__name__: f for f in (op1_neighbours, op2_perspectives, op3_quality, op4_fingerprints, op5_packing, op6_licenses, op7_jaccard, op8_mixing, op9_repeats, op10_hmm, op11_resampling, op12_warc, op13_audit, pipeline)}
+ORACLE_SQL = {"op2_perspectives": chat.PERSPECTIVES_SQL, "op6_licenses": licenses.SCAN_SQL, "op11_resampling": resampling.RESAMPLING_SQL, "op12_warc": warc.WARC_SQL, "op13_audit": audit.AUDIT_SQL}
