@@ -79,6 +79,30 @@ def asof_nearest(points: DataFrame, grid: DataFrame, by: str, time: str = "time_
     return out.withColumn("_error", t - F.col("grid.time")).select("_point.*", "grid", F.col("_error").alias("error_s"))
 
 
+def running_max(rows: DataFrame, by: str, order: list[str], values: dict[str, tuple[Column, bool]], span: float = SPAN_S) -> DataFrame:
+    """rows with, by name, the greatest value so far among an entity's rows in their order (of which the first column is time):
+    of the rows before alone, or of the row itself too where the second entry is true. Times that grow with the order give
+    the last one so far. A long entity is cut into spans: each has the greatest values of the spans before it from a table with a
+    row for each span, so spans go to different tasks."""
+    known = {f"_v{k}": v for k, (v, _) in enumerate(values.values())}
+    cut = rows.withColumns({"_span": _bucket(F.col(order[0]), span), **known})
+    ends = cut.groupBy(F.col(by).alias("_by"), F.col("_span").alias("_of")).agg(*(F.max(v).alias(v) for v in known))
+    w = Window.partitionBy("_by").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select("_by", "_of", *(F.max(v).over(w).alias(f"{v}_") for v in known))
+    both = cut.join(before, F.col(by).eqNullSafe(F.col("_by")) & F.col("_span").eqNullSafe(F.col("_of")))
+    own = Window.partitionBy(by, "_span").orderBy(*order)
+    out = {name: F.greatest(f"{v}_", F.max(v).over(own.rowsBetween(Window.unboundedPreceding, 0 if itself else -1))) for v, (name, (_, itself)) in zip(known, values.items())}
+    return both.withColumns(out).select(*rows.columns, *values)
+
+
+def parts(rows: DataFrame, by: str, order: list[str], lo: Column, hi: Column) -> DataFrame:
+    """rows with `_part`, a number of a stretch of an entity's rows: a new one begins at a row whose lo is over the hi of all rows
+    before it. What is decided inside of [lo, hi] never crosses from one part to another."""
+    reach = running_max(rows.withColumns({"_lo": lo, "_hi": hi}), by, order, {"_reach": (F.col("_hi"), False)})
+    first = F.when(F.coalesce(F.col("_reach") < F.col("_lo"), F.lit(True)), F.col(order[0]).cast("double"))
+    return running_max(reach, by, order, {"_part": (first, True)}).drop("_lo", "_hi", "_reach")
+
+
 def proximity_semi(points: DataFrame, events: DataFrame, by: str, tolerance: float = 0.25, time: str = "time_s", strict: bool = False) -> DataFrame:
     """Points with an event within the tolerance (inclusive unless strict)."""
     near = asof_nearest(points, events, by, time)

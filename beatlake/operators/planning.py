@@ -195,38 +195,60 @@ def render_policy(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({**plan, "timing_strength": strength})
 
 
+class _Slots:
+    """J12 over a stretch of onsets: the cheapest choices so far by their last slot, each with its chain of choices."""
+
+    def __init__(self, slot_s: float, skip: float, pull: float):
+        self.slot_s, self.skip, self.pull = slot_s, skip, pull
+        self.states = [(0.0, float("-inf"), None)]  # cost, last slot, chain of (event, slot, chain)
+
+    def push(self, time_s: float, event_id, strength: float, slots: list[float]) -> list[tuple]:
+        told = []
+        # What ended before the first slot in reach only differs in its cost.
+        ended = min((x for x in self.states if x[1] < slots[0]), key=lambda x: x[0], default=None)
+        self.states = ([ended] if ended else []) + [x for x in self.states if x[1] >= slots[0]]
+        if len(self.states) == 1:  # all later choices go on from here
+            told, (_, last, _) = self.close(), self.states[0]
+            self.states = [(0.0, last, None)]
+        found = [(c + self.skip, s, chain) for c, s, chain in self.states]
+        for slot in slots:
+            best = min(((c, chain) for c, s, chain in self.states if s < slot), key=lambda x: x[0], default=None)
+            if best:
+                found.append((best[0] + abs(time_s - slot) / self.slot_s - self.pull * strength, slot, (event_id, slot, best[1])))
+        found.sort(key=lambda x: (x[1], x[0]))
+        self.states = []
+        for state in found:  # a state must be cheaper than all with earlier last slots
+            if not self.states or state[0] < self.states[-1][0] - 1e-12:
+                self.states.append(state)
+        return told
+
+    def close(self) -> list[tuple]:
+        chain, rows = min(self.states, key=lambda x: x[0])[2], []
+        while chain:
+            rows.append(chain[:2])
+            chain = chain[2]
+        return rows
+
+
 def assign_onsets(onsets: DataFrame, grid: DataFrame, by: str, slot_s: float, most_s: float = 0.12, skip: float = 0.85, pull: float = 0.2) -> DataFrame:
     """Each onset takes a later slot than the one before it, or none: least total of distance / slot - pull x strength, and
-    `skip` for none. Candidates are found in Spark (slots within most_s); the order-dependent choice is one group per take."""
-    import pandas as pd
+    `skip` for none, in the order of time_s and event_id.
 
-    near = grid.select(F.col(by).alias("_by"), F.col("time_s").alias("slot_at"), F.floor(F.col("time_s") / most_s).alias("_k"))
-    spread = onsets.select(by, "event_id", "time_s", "strength", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda j: F.floor(F.col("time_s") / most_s) + j)).alias("_at"))
-    pairs = spread.join(near, (F.col(by) == F.col("_by")) & (F.col("_at") == F.col("_k")) & (F.abs(F.col("time_s") - F.col("slot_at")) <= most_s)).select(by, "event_id", "time_s", "strength", "slot_at")
-    kind = onsets.schema[by].dataType.simpleString()
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["time_s", "event_id", "slot_at"])
-        states = [(0.0, float("-inf"), None)]  # cost, last slot, chain of (event, slot)
-        for (_, event, strength), some in group.groupby(["time_s", "event_id", "strength"], sort=False):
-            found = [(c + skip, s, chain) for c, s, chain in states]
-            for slot, t in zip(some["slot_at"], some["time_s"]):
-                best = min(((c, chain) for c, s, chain in states if s < slot), key=lambda x: x[0], default=None)
-                if best:
-                    found.append((best[0] + abs(t - slot) / slot_s - pull * strength, slot, (event, slot, best[1])))
-            found.sort(key=lambda x: (x[1], x[0]))
-            states = []
-            for state in found:  # a state must be cheaper than all with earlier last slots
-                if not states or state[0] < states[-1][0] - 1e-12:
-                    states.append(state)
-        chain, rows = min(states, key=lambda x: x[0])[2], []
-        while chain:
-            rows.append((group[by].iloc[0], chain[0], chain[1]))
-            chain = chain[2]
-        return pd.DataFrame(rows, columns=[by, "event_id", "slot_at"])
+    Slots in reach (within most_s) are found by a join on (entity, time bucket). A take is cut where no slot is in reach of
+    onsets on both sides, as no choice crosses there; the stretches go to different tasks, which stream them and hold the cheapest
+    choices of one. Onsets without time or any slot in reach have no row; no strength counts as 0.
+    """
+    from beatlake.operators.joins import parts
+    from beatlake.operators.sequences import streamed
 
-    weighed = pairs.withColumn("strength", F.col("strength") / F.lit(100.0))
-    return weighed.groupBy(by).applyInPandas(choose, f"{by} {kind}, event_id long, slot_at double")
+    near = grid.select(F.col(by).alias("_by"), F.col("time_s").alias("slot_at"), F.floor(F.col("time_s") / most_s).alias("_k"))
+    spread = onsets.select(by, "event_id", F.col("time_s").cast("double").alias("time_s"), (F.coalesce("strength", F.lit(0)) / F.lit(100.0)).alias("strength"))
+    spread = spread.withColumn("_at", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda j: F.floor(F.col("time_s") / most_s) + j)))
+    pairs = spread.join(near, (F.col(by) == F.col("_by")) & (F.col("_at") == F.col("_k")) & (F.abs(F.col("time_s") - F.col("slot_at")) <= most_s))
+    reach = pairs.groupBy(by, "time_s", "event_id", "strength").agg(F.array_sort(F.collect_set(F.col("slot_at").cast("double"))).alias("slots"))  # those of a fraction of a second
+    cut = parts(reach, by, ["time_s", "event_id"], F.col("slots")[0], F.element_at("slots", -1))
+    kind = onsets.schema["event_id"].dataType.simpleString()
+    return streamed(cut.select(by, "_part", "time_s", "event_id", "strength", "slots"), by, ["time_s", "event_id"], lambda: _Slots(slot_s, skip, pull), f"event_id {kind}, slot_at double")
 
 
 def pitch_targets(notes: DataFrame, strength: float = 0.6) -> DataFrame:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush, heappushpop
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from beatlake import constants as C
 from beatlake.functions.music import transition_before
 from beatlake.functions.scalars import clip, mapped
 from beatlake.functions.theory import degree_of, harmonic_function, roman_numeral
+from beatlake.operators.joins import parts, running_max
 
 
 def in_time(by: str, *order: str) -> Window:
@@ -131,6 +132,36 @@ def folded(rows: DataFrame, by: list[str], step: Callable, *told: str) -> DataFr
     return rows.dropna(subset=[c for c in rows.columns if c not in by]).repartition(*by).sortWithinPartitions(*rows.columns).mapInArrow(run, schema)
 
 
+def streamed(rows: DataFrame, by: str, order: list[str], start: Callable, told: str) -> DataFrame:
+    """A fold over the rows of each (by, `_part`) in their order: start() gives an object whose push(*row) and close() give lists of
+    tuples; row has all columns but by and `_part`. The tuples become rows of by and the columns of `told` ("name kind, ..."; kinds are
+    double or that of a column of the rows). Rows stream through sorted partitions, so a task holds a batch and one object."""
+    rest = [c for c in rows.columns if c not in (by, "_part")]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    names = [x.split()[0] for x in told.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = fold = types = None
+
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=[by, *names])
+
+        for batch in batches:
+            known = dict(zip(batch.schema.names, batch.schema.types))
+            types, out = [known[by], *(known.get(n, pa.float64()) for n in names)], []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if fold is None or row[:2] != key:
+                    out += [(key[0], *x) for x in fold.close()] if fold is not None else []
+                    key, fold = row[:2], start()
+                out += [(key[0], *x) for x in fold.push(*row[2:])]
+            yield made(out)
+        if fold is not None:
+            yield made([(key[0], *x) for x in fold.close()])
+
+    schema = ", ".join([f"`{by}` {kinds[by]}"] + [f"`{n}` {kinds.get(n, 'double')}" for n in names])
+    return rows.select(by, "_part", *rest).repartition(by, "_part").sortWithinPartitions(by, "_part", *order).mapInArrow(run, schema)
+
+
 def sanitised_anchors(anchors: DataFrame, by: str, gap_s: float = 0.045, lo: float = 0.8, hi: float = 1.25) -> DataFrame:
     """Anchors in order of time_s; one is dropped if it is too near to the last kept one or stretches too much from it.
     A fold, as each decision depends on the last kept. Anchors with a null time are dropped."""
@@ -232,54 +263,119 @@ def smooth(frames: DataFrame, by: str, value: str, half_s: float) -> DataFrame:
     return frames.withColumn(value, F.avg(value).over(w))
 
 
+class _Note:
+    """W3 over a voiced run: the note so far as two heaps around its median, and its moments."""
+
+    def __init__(self, least_s: float, jump: float):
+        self.least_s, self.jump = least_s, jump
+        self._begin()
+
+    def _begin(self) -> None:
+        self.low, self.high, self.first, self.last, self.n, self.mean, self.square = [], [], None, None, 0, 0.0, 0.0
+
+    def median(self) -> float:
+        return -self.low[0] if len(self.low) > len(self.high) else (self.high[0] - self.low[0]) / 2
+
+    def push(self, time_s: float, midi: float) -> list[tuple]:
+        told = []
+        if self.n and abs(midi - self.median()) > self.jump:
+            told = self.close()
+            self._begin()
+        heappush(self.high, -heappushpop(self.low, -midi))
+        if len(self.high) > len(self.low):
+            heappush(self.low, -heappop(self.high))
+        self.first, self.last, self.n = time_s if self.n == 0 else self.first, time_s, self.n + 1
+        step = midi - self.mean
+        self.mean += step / self.n
+        self.square += step * (midi - self.mean)
+        return told
+
+    def close(self) -> list[tuple]:
+        if not self.n or self.last - self.first < self.least_s:
+            return []
+        return [(self.first, self.last, self.median(), (self.square / self.n) ** 0.5 * 100)]
+
+
 def segment_notes(f0: DataFrame, by: str, least_s: float = 0.06, jump: float = 1.0) -> DataFrame:
-    """Notes of pitch frames (time_s, midi, voiced): voiced runs in Spark; within a run a new note begins where the pitch
-    is more than a semitone from the running median, which depends on the note so far, so each run is one group."""
-    w = in_time(by)
-    run = F.sum((~F.col("voiced")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    runs = f0.withColumn("_run", run).filter("voiced")
-    kind = f0.schema[by].dataType.simpleString()
-
-    def split(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("time_s")
-        times, pitch = group["time_s"].to_numpy(), group["midi"].to_numpy()
-        rows, start = [], 0
-        for k in range(1, len(pitch) + 1):
-            if k == len(pitch) or abs(pitch[k] - pd.Series(pitch[start:k]).median()) > jump:
-                part = pd.Series(pitch[start:k])
-                if times[k - 1] - times[start] >= least_s:
-                    middle = part.median()
-                    rows.append((group[by].iloc[0], times[start], times[k - 1], middle, (part - middle).std(ddof=0) * 100))
-                start = k
-        return pd.DataFrame(rows, columns=[by, "start_s", "end_s", "midi", "spread_cents"])
-
-    return runs.groupBy(by, "_run").applyInPandas(split, f"{by} {kind}, start_s double, end_s double, midi double, spread_cents double")
+    """Notes of pitch frames (time_s, midi, voiced): within a voiced run a new note begins where the pitch is more than a semitone
+    from the running median of the note so far. Runs of a take go to different tasks, which stream them; a frame costs the
+    logarithm of its note's length. Frames without time or voice part nothing and end runs; those without pitch are passed over."""
+    known = f0.filter(F.col("time_s").isNotNull()).select(by, "time_s", "midi", F.coalesce("voiced", F.lit(False)).alias("voiced"))
+    runs = running_max(known, by, ["time_s"], {"_part": (F.when(~F.col("voiced"), F.col("time_s").cast("double")), True)})
+    sung = runs.filter(F.col("voiced") & F.col("midi").isNotNull()).select(by, "_part", F.col("time_s").cast("double").alias("time_s"), F.col("midi").cast("double").alias("midi"))
+    return streamed(sung, by, ["time_s", "midi"], lambda: _Note(least_s, jump), "start_s double, end_s double, midi double, spread_cents double")
+
+
+class _Limits:
+    """W13 over a stretch: pass p works on a pair as soon as pass p - 1 has done the next one, so all passes run through the rows
+    once, side by side, and only the last few rows are held."""
+
+    def __init__(self, lo: float, hi: float, passes: int):
+        self.lo, self.hi, self.passes = lo, hi, passes
+        self.rows, self.base, self.n, self.last = [], 0, 0, None  # rows: [time, move, what else a row has]
+
+    def _pair(self, k: int) -> None:
+        """Pull the moves of rows k - 1 and k together if their gap changes too much."""
+        if not 1 <= k < self.n or k - 1 < self.base:
+            return
+        a, b = self.rows[k - 1 - self.base], self.rows[k - self.base]
+        gap, change = b[0] - a[0], b[1] - a[1]
+        if gap <= 1e-9:
+            b[1] = a[1]
+            return
+        ratio = 1 + change / gap
+        if self.lo <= ratio <= self.hi:
+            return
+        excess = change - ((self.hi if ratio > self.hi else self.lo) - 1) * gap
+        a[1] += excess / 2
+        b[1] -= excess / 2
+
+    def _settle(self, upto: int) -> list[tuple]:
+        told = []
+        while self.base < upto:
+            t, move, rest = self.rows.pop(0)
+            if self.last is not None:
+                gap = t - self.last[0]
+                move = self.last[1] if gap <= 1e-9 else min(max(move, self.last[1] + (self.lo - 1) * gap), self.last[1] + (self.hi - 1) * gap)
+            self.last, self.base = (t, move), self.base + 1
+            told.append((t, *rest, t + move))
+        return told
+
+    def push(self, time_s: float, target_s: float, *rest) -> list[tuple]:
+        self.rows.append([time_s, target_s - time_s, (target_s, *rest)])
+        self.n += 1
+        for p in range(self.passes):
+            self._pair(self.n - 1 - p)
+        return self._settle(self.n - self.passes)
+
+    def close(self) -> list[tuple]:
+        for k in range(self.n, self.n + self.passes):  # passes that are still behind
+            for p in range(self.passes):
+                self._pair(k - p)
+        return self._settle(self.n)
 
 
 def limit_by_neighbours(targets: DataFrame, by: str, lo: float = 0.8, hi: float = 1.25, passes: int = 8) -> DataFrame:
-    """Targets (time_s, target_s) pulled back until each gap changes by lo to hi: relaxation passes, then a forward clamp.
-    Order-dependent, so one take is one group."""
-    out = [f for f in targets.columns if f != "limited_s"]
+    """Targets (time_s, target_s) whose moves are pulled together until each gap changes by lo to hi: relaxation passes, then a
+    forward clamp, in the order of time_s and target_s.
 
-    def relax(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("time_s").reset_index(drop=True)
-        t, x = group["time_s"].to_numpy(float), group["target_s"].to_numpy(float).copy()
-        for _ in range(passes):
-            for k in range(1, len(t)):
-                gap = t[k] - t[k - 1]
-                if gap <= 0:
-                    continue
-                want = min(max((x[k] - x[k - 1]) / gap, lo), hi) * gap
-                off = (x[k] - x[k - 1]) - want
-                x[k - 1], x[k] = x[k - 1] + off / 2, x[k] - off / 2
-        for k in range(1, len(t)):
-            gap = t[k] - t[k - 1]
-            x[k] = min(max(x[k], x[k - 1] + lo * gap), x[k - 1] + hi * gap)
-        group["limited_s"] = x
-        return group[[*out, "limited_s"]]
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in targets.schema.fields if f.name != "limited_s")
-    return targets.groupBy(by).applyInPandas(relax, f"{schema}, limited_s double")
+    Moves only ever come together, so where a gap is so long that even a take's outermost moves may stand at its ends, nothing
+    passes: takes are cut there, and the stretches go to different tasks, which stream them. Rows without times have no limited_s.
+    """
+    out = [f for f in targets.columns if f != "limited_s"]
+    rest = [c for c in out if c not in (by, "time_s", "target_s")]
+    kinds = {f.name: f.dataType for f in targets.schema}
+    rows = targets.select(by, F.col("time_s").cast("double").alias("time_s"), F.col("target_s").cast("double").alias("target_s"), *rest)
+    timed = F.col("time_s").isNotNull() & F.col("target_s").isNotNull()
+    move = F.col("target_s") - F.col("time_s")
+    reach = rows.filter(timed).groupBy(F.col(by).alias("_by")).agg((F.max(move) - F.min(move)).alias("_range"))
+    wide = F.col("_range") / min(1 - lo, hi - 1) if min(1 - lo, hi - 1) > 0 else F.lit(float("inf"))
+    ranged = rows.filter(timed).join(reach, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+    cut = parts(ranged, by, ["time_s", "target_s"], F.col("time_s"), F.col("time_s") + F.greatest(wide, F.lit(1e-9))).drop("_range")
+    told = ", ".join(["time_s double", "target_s double", *(f"{c} {kinds[c].simpleString()}" for c in rest), "limited_s double"])
+    done = streamed(cut.select(by, "_part", "time_s", "target_s", *rest), by, ["time_s", "target_s"], lambda: _Limits(lo, hi, passes), told)
+    untimed = rows.filter(~timed).withColumn("limited_s", F.lit(None).cast("double"))
+    return done.unionByName(untimed).select(*(F.col(c).cast(kinds[c]).alias(c) for c in out), "limited_s")
 
 
 def split_overlong(regions_: DataFrame, frames: DataFrame, by: str, most_s: float = 12.0) -> DataFrame:
