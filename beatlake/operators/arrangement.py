@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from beatlake.functions.scalars import dot, normalised_tokens
+from beatlake.sources.lineage import materialised
 
 SIMILAR = 0.82
 
@@ -72,7 +73,7 @@ def repeat_groups(phrases: DataFrame, similar: DataFrame, by: str = "take_id", l
         near = both.join(labels.select(by, F.col("node").alias("other"), F.col("label").alias("_l")), [by, "other"]).groupBy(by, "node").agg(F.min("_l").alias("_l"))
         step = labels.join(near, [by, "node"], "left").select(by, "node", F.least("label", F.coalesce("_l", "label")).alias("label"), F.col("label").alias("_was"))
         jump = step.join(step.select(by, F.col("node").alias("label"), F.col("label").alias("_r")), [by, "label"]).select(by, "node", F.least("label", "_r").alias("label"), "_was")
-        now = jump.checkpoint() if phrases.sparkSession.sparkContext.getCheckpointDir() else jump.persist()
+        now = materialised(jump)
         if not now.filter(F.col("label") != F.col("_was")).limit(1).count():
             break
         labels = now.drop("_was")

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from beatlake.functions.keys import scale_pcs
 from beatlake.functions.scalars import clip
 from beatlake.functions.theory import avoid_notes
-from beatlake.operators.joins import interval_join
+from beatlake.operators.joins import interval_join, running_max
 from beatlake.operators.planning import assign_onsets
 from beatlake.operators.profiles import grid_fit, key_of_histogram, residual_drift
 from beatlake.operators.sequences import limit_by_neighbours
+from beatlake.sources.lineage import materialised
 
 
 def harmony_note(lead: Column, root: Column, quality: Column, key_pc: Column, mode: Column, steps: int = 2, lo: float = 48, hi: float = 84) -> Column:
@@ -146,46 +147,135 @@ def timing_plan(onsets: DataFrame, grid: DataFrame, by: str, slot_s: float, stre
     return limit_by_neighbours(x.select(by, "event_id", "time_s", target.alias("target_s")), by)
 
 
-def dtw_pairs(a: DataFrame, b: DataFrame, by: str, gully: float = 0.96, every_s: float = 0.25) -> DataFrame:
-    """Chroma frames (time_s, chroma) of take and reference -> anchors (time_s, to_s) of the cheapest warping path with cosine
-    costs, a penalty for slanting of the median cost, and an end anywhere in the last (1 - gully) of b. One pair is one group."""
-    kind = a.schema[by].dataType.simpleString()
+#: Frames of either side that a task aligns at once; how many pieces a longer pair is cut into, and by how many coarse frames a
+#: piece reaches over its ends on the reference's side.
+FRAMES, PIECES, MARGIN = 2048, 16, 6
+
+
+def warping_path(a: np.ndarray, b: np.ndarray, first_end: int) -> list[tuple[int, int]]:
+    """The cheapest path of frames a through frames b (unit rows) by antidiagonals: cosine costs; a step along one side alone costs
+    the median cost more and never follows another of its kind; it starts anywhere in b and ends at b's frame first_end or later.
+    Of equal ways the diagonal one, then the step of a alone. Empty if there is no path."""
+    cost = np.clip(1 - a @ b.T, 0.0, 2.0)
+    n, m = cost.shape
+    penalty = float(np.median(cost))
+    before = last = np.full(n, np.inf)  # totals of the two antidiagonals before, by a's frame
+    kind_last = np.zeros(n, dtype=np.int8)
+    kinds, end = [], np.full(m, np.inf)
+    for s in range(n + m - 1):
+        lo, hi = max(0, s - m + 1), min(n - 1, s) + 1
+        diagonal, down, along = np.full(n, np.inf), np.full(n, np.inf), np.full(n, np.inf)
+        diagonal[1:] = before[:-1]
+        down[1:] = np.where(kind_last[:-1] == 1, np.inf, last[:-1] + penalty)
+        along[:] = np.where(kind_last == 2, np.inf, last + penalty)
+        best, kind = diagonal, np.zeros(n, dtype=np.int8)
+        for k, way in ((1, down), (2, along)):
+            better = way < best
+            best, kind = np.where(better, way, best), np.where(better, k, kind)
+        if lo == 0:
+            best[0], kind[0] = 0.0, 0
+        at = np.arange(lo, hi)
+        now = np.full(n, np.inf)
+        now[lo:hi] = best[lo:hi] + cost[at, s - at]
+        before, last, kind_last = last, now, kind.astype(np.int8)
+        kinds.append(kind_last)
+        if hi == n:
+            end[s - n + 1] = now[n - 1]
+    j = min(first_end, m - 1) + int(end[min(first_end, m - 1) :].argmin())
+    if not np.isfinite(end[j]):
+        return []
+    i, path = n - 1, []
+    while i > 0:
+        path.append((i, j))
+        i, j = {0: (i - 1, j - 1), 1: (i - 1, j), 2: (i, j - 1)}[int(kinds[i + j][i])]
+    return [(i, j), *reversed(path)]
+
+
+def _unit(column: pd.Series) -> np.ndarray:
+    m = np.stack(column.to_numpy()).astype(float)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
 
-    def align(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = [by, "time_s", "to_s"]
-        if not len(left) or not len(right):
+
+def dtw_pairs(a: DataFrame, b: DataFrame, by: str, gully: float = 0.96, every_s: float = 0.25, frames: int = FRAMES) -> DataFrame:
+    """Chroma frames (time_s, chroma) of take and reference -> anchors (time_s, to_s) of the cheapest warping path
+    (warping_path), about every_s apart; it ends in the last (1 - gully) of b. Frames without time, chroma or `by` are passed over.
+
+    A pair of at most `frames` a side is one group. A longer one is first aligned by means of its chroma over coarse frames, and cut
+    along that path into PIECES, each with the reference's frames up to MARGIN coarse frames beyond its ends; pieces that are still
+    too long are cut again. So a task holds a few thousand frames, whatever a pair's length; a long pair's path is the best one
+    inside those margins, each piece takes its own median cost, and anchors that fall behind an earlier one where pieces meet go.
+    """
+    kind = a.schema[by].dataType.simpleString()
+    size = a.agg(F.max(F.size("chroma"))).first()[0] or 0
+    known = lambda x: x.filter(F.col("time_s").isNotNull() & F.col("chroma").isNotNull() & F.col(by).isNotNull()).select(by, F.col("time_s").cast("double").alias("time_s"), "chroma")
+    left, right = known(a), known(b)
+    ends = lambda x, n: x.groupBy(by).agg(F.min("time_s").alias(f"{n}_lo"), F.max("time_s").alias(f"{n}_hi"))
+    pieces = ends(left, "a").join(ends(right, "b"), by).withColumns({"b_end": F.lit(None).cast("double"), "a_hi": F.col("a_hi") + 1e-6, "b_hi": F.col("b_hi") + 1e-6, "piece": F.lit("")})
+    fields = f"{by} {kind}, piece string, a_lo double, a_hi double, b_lo double, b_hi double, b_end double"
+
+    def own(x: DataFrame, some: DataFrame, n: str) -> DataFrame:
+        spans = some.select(by, "piece", F.col(f"{n}_lo").alias("start_s"), F.col(f"{n}_hi").alias("end_s"), "a_lo", "a_hi", "b_lo", "b_hi", "b_end")
+        out = interval_join(x, spans, by, width=60.0).drop("start_s", "end_s")
+        return out.toDF(*out.columns)  # both sides of a cogroup come from the same pieces
+
+    def first_end(times: np.ndarray, b_end) -> int:
+        return int(gully * (len(times) - 1)) if b_end is None or np.isnan(b_end) else int(np.searchsorted(times, b_end))
+
+    def cut(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        names = [x.split()[0] for x in fields.split(", ")]
+        if not len(one) or not len(other):
+            return pd.DataFrame(columns=names)
+        one, other = one.sort_values("bin"), other.sort_values("bin")
+        piece, w = one.iloc[0], float(one["w"].iloc[0])
+        path = warping_path(_unit(one["chroma"]), _unit(other["chroma"]), first_end(piece["b_lo"] + other["bin"].to_numpy() * w, piece["b_end"])) or [(0, 0), (len(one) - 1, len(other) - 1)]
+        at = lambda k: piece["b_lo"] + float(other["bin"].iloc[k]) * w
+        step = -(-len(one) // PIECES)
+        marks = [next(x for x in path if x[0] >= k) for k in range(0, len(one), step)] + [(len(one), path[-1][1])]
+        rows = []
+        for k, ((i0, j0), (i1, j1)) in enumerate(zip(marks, marks[1:])):
+            final = k == len(marks) - 2
+            starts, stops = piece["a_lo"] + float(one["bin"].iloc[i0]) * w, piece["a_hi"] if final else piece["a_lo"] + float(one["bin"].iloc[i1]) * w
+            end = max(at(j1) - MARGIN * w, piece["b_lo"]) if not final else piece["b_end"] if piece["b_end"] == piece["b_end"] and piece["b_end"] is not None else piece["b_lo"] + gully * (piece["b_hi"] - piece["b_lo"])
+            rows.append((piece[by], f"{piece['piece']}.{k:03}", starts, stops, max(at(j0) - MARGIN * w, piece["b_lo"]), min(at(j1) + (MARGIN + 1) * w, piece["b_hi"]), end))
+        return pd.DataFrame(rows, columns=names)
+
+    done = None
+    for _ in range(8):  # each round cuts a piece into PIECES
+        count = lambda x, n: own(x, pieces, n).groupBy(by, "piece").agg(F.count(F.lit(1)).alias(f"n_{n}"))
+        sized = materialised(pieces.join(count(left, "a"), [by, "piece"]).join(count(right, "b"), [by, "piece"], "left").withColumn("fits", F.greatest("n_a", F.coalesce("n_b", F.lit(0))) <= frames).drop("n_a", "n_b"))
+        fit = sized.filter("fits").drop("fits")
+        done = fit if done is None else done.unionByName(fit)
+        large = sized.filter("NOT fits").drop("fits")
+        if large.isEmpty():
+            break
+        width = F.greatest(F.col("a_hi") - F.col("a_lo"), F.col("b_hi") - F.col("b_lo")) / (frames // 2)
+
+        def coarse(x: DataFrame, n: str, large=large) -> DataFrame:
+            rows = own(x, large, n).withColumn("w", width)
+            binned = rows.withColumn("bin", F.floor((F.col("time_s") - F.col(f"{n}_lo")) / F.col("w")))
+            means = F.array(*(F.avg(F.get("chroma", F.lit(k))) for k in range(size)))
+            return binned.groupBy(by, "piece", "a_lo", "a_hi", "b_lo", "b_hi", "b_end", "w", "bin").agg(means.alias("chroma"))
+
+        pieces = materialised(coarse(left, "a").groupBy(by, "piece").cogroup(coarse(right, "b").groupBy(by, "piece")).applyInPandas(cut, fields))
+    else:
+        done = done.unionByName(pieces)
+
+    def align(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        columns = [by, "piece", "time_s", "to_s"]
+        if not len(one) or not len(other):
             return pd.DataFrame(columns=columns)
-        left, right = left.sort_values("time_s"), right.sort_values("ref_s")
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-        cost = 1 - unit(np.stack(left["chroma"].to_numpy())) @ unit(np.stack(right["ref"].to_numpy())).T
-        n, m = cost.shape
-        penalty = float(np.median(cost))
-        total, step = np.full((n, m), np.inf), np.zeros((n, m), dtype=np.int8)
-        total[0] = cost[0]
-        for i in range(1, n):
-            diagonal, up = np.append(np.inf, total[i - 1, :-1]), total[i - 1] + penalty
-            step[i] = up < diagonal
-            total[i] = np.minimum(diagonal, up) + cost[i]
-            for j in range(1, m):  # along the reference
-                side = total[i, j - 1] + penalty + cost[i, j]
-                if side < total[i, j]:
-                    total[i, j], step[i, j] = side, 2
-        start = min(m - 1, int(gully * m))
-        i, j, path = n - 1, start + int(total[-1, start:].argmin()), []
-        while i > 0:
-            path.append((i, j))
-            i, j = (i - 1, j - 1) if step[i, j] == 0 else (i - 1, j) if step[i, j] == 1 else (i, j - 1)
-        path.append((i, j))
-        t, u = left["time_s"].to_numpy(), right["ref_s"].to_numpy()
+        one, other = one.sort_values("time_s"), other.sort_values("time_s")
+        t, u = one["time_s"].to_numpy(), other["time_s"].to_numpy()
         rows, last = [], -np.inf
-        for i, j in reversed(path):
+        for i, j in warping_path(_unit(one["chroma"]), _unit(other["chroma"]), first_end(u, one["b_end"].iloc[0])):
             if t[i] - last >= every_s:
-                rows.append((left[by].iloc[0], float(t[i]), float(u[j])))
+                rows.append((one[by].iloc[0], one["piece"].iloc[0], float(t[i]), float(u[j])))
                 last = t[i]
         return pd.DataFrame(rows, columns=columns)
 
-    other = b.select(F.col(by).alias("_by"), F.col("time_s").alias("ref_s"), F.col("chroma").alias("ref"))
-    return a.groupBy(by).cogroup(other.groupBy("_by")).applyInPandas(align, f"{by} {kind}, time_s double, to_s double")
+    anchors = own(left, done, "a").groupBy(by, "piece").cogroup(own(right, done, "b").groupBy(by, "piece")).applyInPandas(align, f"{by} {kind}, piece string, time_s double, to_s double")
+    met = running_max(anchors, by, ["time_s"], {"_before": (F.col("to_s"), False)})
+    return met.filter((F.col("piece") == "") | F.col("_before").isNull() | (F.col("to_s") > F.col("_before"))).select(by, "time_s", "to_s")
 
 
 def annotate_sections(sections: DataFrame, contour: DataFrame, by: str) -> DataFrame:
