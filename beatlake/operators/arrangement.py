@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +20,7 @@ SIMILAR = 0.82
 @F.pandas_udf(T.DoubleType())
 def line_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of token lists; not symmetric."""
-    return pd.Series([difflib.SequenceMatcher(None, list(x), list(y), autojunk=False).ratio() if len(x) and len(y) else 0.0 for x, y in zip(a, b)])
+    return pd.Series([difflib.SequenceMatcher(None, list(x), list(y), autojunk=False).ratio() if x is not None and y is not None and len(x) and len(y) else 0.0 for x, y in zip(a, b)])
 
 
 def token_overlap(a: Column, b: Column) -> Column:
@@ -27,20 +29,70 @@ def token_overlap(a: Column, b: Column) -> Column:
     return both / F.greatest(F.lit(1), F.size(F.array_union(a, b)))
 
 
+#: Weights of J14's parts.
+PARTS = {"chroma": 0.5, "contour": 0.3, "duration_s": 0.1, "rate": 0.1, "text": 0.6}
+
+
+def phrase_pairs(phrases: DataFrame, by: str, least: float) -> DataFrame:
+    """by, i and j: all pairs i < j of a take's phrases whose similarity can reach `least`, whatever their other parts are.
+
+    With both texts of two tokens or more, their ratio 2 M / (a + b) must be at least x, as all other parts are 1 at most: then
+    the shorter one has x / (2 - x) of the longer one's tokens, and the two share one of each one's rarest a (1 - x / (2 - x)) + 1
+    tokens (counted with repeats), so pairs meet on these alone. Without both texts, durations must be within a ratio, and
+    pairs meet on bands of its width. Where the threshold rules nothing out, all pairs of a take are candidates.
+    """
+    has = [c for c in PARTS if c in phrases.columns]
+    rest = sum(PARTS[c] for c in has if c != "text")
+    x = 1 - (rest + PARTS["text"]) * (1 - least) / PARTS["text"]
+    ratio = 1 - rest * (1 - least) / PARTS["duration_s"] if "duration_s" in has else 0.0
+    rows = phrases.select(by, "idx", *(["_tokens"] if "text" in has else []), *(["duration_s"] if "duration_s" in has else []))
+    rows = rows.withColumn("_worded", F.coalesce(F.size("_tokens") >= 2, F.lit(False)) if "text" in has else F.lit(False))
+
+    def met(side: DataFrame, on: list[str], other: DataFrame | None = None) -> DataFrame:
+        a = side.select(*on, F.col("idx").alias("_i"), F.col("_worded").alias("_wi"), *(["n"] if "n" in side.columns else []))
+        b = (side if other is None else other).select(*on, F.col("idx").alias("_j"), F.col("_worded").alias("_wj"), *([F.col("n").alias("m")] if "n" in side.columns else []))
+        return a.join(b, on).filter("_i <> _j").withColumns({"i": F.least("_i", "_j"), "j": F.greatest("_i", "_j")})
+
+    both = F.col("_wi") & F.col("_wj")
+    pairs = []
+    if "text" in has and x > 0:
+        # Tokens with their number among equal ones, the rarest in the take first.
+        token = rows.filter("_worded").select(by, "idx", F.size("_tokens").alias("n"), F.explode("_tokens").alias("_t"))
+        token = token.withColumn("_k", F.row_number().over(Window.partitionBy(by, "idx", "_t").orderBy("_t")))
+        seen = token.groupBy(by, "_t", "_k").agg(F.count(F.lit(1)).alias("_seen"))
+        token = token.join(seen, [by, "_t", "_k"]).withColumn("_place", F.row_number().over(Window.partitionBy(by, "idx").orderBy("_seen", "_t", "_k")))
+        share = x / (2 - x)
+        rare = token.filter(F.col("_place") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).withColumn("_worded", F.lit(True))
+        pairs.append(met(rare, [by, "_t", "_k"]).filter(F.least("n", "m") >= F.greatest("n", "m") * share - 1e-9))
+    elif "text" in has:
+        pairs.append(met(rows.filter("_worded"), [by]))
+    if ratio > 0:
+        width = -math.log(ratio) if ratio < 1 else 1e-9
+        known = rows.filter("duration_s > 0").withColumn("_band", F.floor(F.log("duration_s") / width))
+        near = known.withColumn("_band", F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)))
+        pairs.append(met(known, [by, "_band"], near).filter(~both))
+        unknown = rows.filter(~F.coalesce(F.col("duration_s") > 0, F.lit(False)))  # these may be alike in all else
+        pairs.append(met(unknown, [by], rows).filter(~both))
+    else:
+        pairs.append(met(rows.filter("NOT _worded"), [by], rows))
+    return reduce(DataFrame.unionByName, (p.select(by, "i", "j") for p in pairs)).distinct()
+
+
 def phrase_similarity(phrases: DataFrame, by: str = "take_id", least: float = 0.5) -> DataFrame:
     """Pairs i < j of a take's phrases with a weighted mean of what both have: chroma cosine .5, contour exp(-mad / 1.5) .3
-    (the best of one slide either way), duration ratio .1, rate ratio .1, tokens .6 (both of two tokens or more). Phrases
-    have idx and any of chroma, contour, duration_s, rate, text."""
+    (the best of one slide either way), duration ratio .1, rate ratio .1, tokens .6 (both of two tokens or more), if it is at
+    least `least`. Phrases have idx, once in a take, and any of chroma, contour, duration_s, rate, text. Only pairs that can
+    reach the threshold meet (phrase_pairs)."""
     has = set(phrases.columns)
     rows = phrases.withColumn("_tokens", normalised_tokens(F.col("text"))) if "text" in has else phrases
-    left = rows.select(by, *(F.col(c).alias(f"a_{c}") for c in rows.columns if c != by))
-    right = rows.select(by, *(F.col(c).alias(f"b_{c}") for c in rows.columns if c != by))
-    # Pairs of one take's phrases, which are few; takes are spread over tasks.
-    pairs = left.join(right, by).filter(F.col("a_idx") < F.col("b_idx"))
+    of = [c for c in rows.columns if c in (*PARTS, "_tokens") and c != "text"]
+    left = rows.select(by, F.col("idx").alias("i"), *(F.col(c).alias(f"a_{c}") for c in of))
+    right = rows.select(by, F.col("idx").alias("j"), *(F.col(c).alias(f"b_{c}") for c in of))
+    pairs = phrase_pairs(rows, by, least).join(left, [by, "i"]).join(right, [by, "j"])
     parts: list[tuple[Column, float]] = []
     if "chroma" in has:
         norm = F.sqrt(dot(F.col("a_chroma"), F.col("a_chroma"))) * F.sqrt(dot(F.col("b_chroma"), F.col("b_chroma")))
-        parts.append((F.when(norm > 0, dot(F.col("a_chroma"), F.col("b_chroma")) / norm), 0.5))
+        parts.append((F.when(norm > 0, dot(F.col("a_chroma"), F.col("b_chroma")) / norm), PARTS["chroma"]))
     if "contour" in has:
         def mad(a: Column, b: Column) -> Column:
             both = F.zip_with(a, b, lambda x, y: F.abs(x - y))
@@ -49,18 +101,19 @@ def phrase_similarity(phrases: DataFrame, by: str = "take_id", least: float = 0.
 
         a, b = F.col("a_contour"), F.col("b_contour")
         n = F.least(F.size(a), F.size(b)) - 1
-        parts.append((F.exp(-F.least(mad(a, b), mad(F.slice(a, F.lit(2), n), F.slice(b, F.lit(1), n)), mad(F.slice(a, F.lit(1), n), F.slice(b, F.lit(2), n))) / 1.5), 0.3))
+        parts.append((F.exp(-F.least(mad(a, b), mad(F.slice(a, F.lit(2), n), F.slice(b, F.lit(1), n)), mad(F.slice(a, F.lit(1), n), F.slice(b, F.lit(2), n))) / 1.5), PARTS["contour"]))
     for name in ("duration_s", "rate"):
         if name in has:
-            parts.append((F.least(f"a_{name}", f"b_{name}") / F.greatest(F.greatest(f"a_{name}", f"b_{name}"), F.lit(1e-9)), 0.1))
+            known = F.col(f"a_{name}").isNotNull() & F.col(f"b_{name}").isNotNull()
+            parts.append((F.when(known, F.least(f"a_{name}", f"b_{name}") / F.greatest(f"a_{name}", f"b_{name}", F.lit(1e-9))), PARTS[name]))
     if "text" in has:
         words = (F.size("a__tokens") >= 2) & (F.size("b__tokens") >= 2)
         pairs = pairs.withColumn("_text", F.when(words, F.when(token_overlap(F.col("a__tokens"), F.col("b__tokens")) > 0, line_similarity(F.col("a__tokens"), F.col("b__tokens"))).otherwise(0.0)))
-        parts.append((F.col("_text"), 0.6))
+        parts.append((F.col("_text"), PARTS["text"]))
     weight = sum((F.when(x.isNotNull(), w).otherwise(0.0) for x, w in parts), F.lit(0.0))
     total = sum((F.coalesce(x * w, F.lit(0.0)) for x, w in parts), F.lit(0.0))
     out = pairs.withColumn("similarity", F.when(weight > 0, total / weight))
-    return out.filter(F.col("similarity") >= least).select(by, F.col("a_idx").alias("i"), F.col("b_idx").alias("j"), "similarity")
+    return out.filter(F.col("similarity") >= least).select(by, "i", "j", "similarity")
 
 
 def repeat_groups(phrases: DataFrame, similar: DataFrame, by: str = "take_id", least: float = SIMILAR) -> DataFrame:

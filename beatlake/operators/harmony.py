@@ -137,8 +137,8 @@ def timing_plan(onsets: DataFrame, grid: DataFrame, by: str, slot_s: float, stre
 
     near = asof_nearest(onsets, grid, by).filter("error_s is not null")
     drift = residual_drift(near, by).select(by, F.when(F.abs("slope") >= 0.0008, F.col("slope")).otherwise(0.0).alias("drift"))
-    straight = onsets.join(drift, by, "left").withColumn("plain_s", F.col("time_s")).withColumn("time_s", F.col("time_s") * (1 - F.coalesce("drift", F.lit(0.0)))).drop("drift")
-    chosen = assign_onsets(straight.select(by, "event_id", "time_s", "strength"), grid, by, slot_s)
+    straight = materialised(onsets.join(drift, by, "left").withColumn("plain_s", F.col("time_s")).withColumn("time_s", F.col("time_s") * (1 - F.coalesce("drift", F.lit(0.0)))).drop("drift"))
+    chosen = materialised(assign_onsets(straight.select(by, "event_id", "time_s", "strength"), grid, by, slot_s))
     enough = chosen.groupBy(by).count().filter("count >= 6").select(by)
     x = straight.join(chosen.join(enough, by, "left_semi"), [by, "event_id"], "left")
     off = F.col("slot_at") - F.col("time_s")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from beatlake.sources.lineage import materialised
+
 BUCKET_S = 8.0
 #: Seconds of a span of an as-of join.
 SPAN_S = 3600.0
@@ -98,7 +100,8 @@ def running_max(rows: DataFrame, by: str, order: list[str], values: dict[str, tu
 def parts(rows: DataFrame, by: str, order: list[str], lo: Column, hi: Column) -> DataFrame:
     """rows with `_part`, a number of a stretch of an entity's rows: a new one begins at a row whose lo is over the hi of all rows
     before it. What is decided inside of [lo, hi] never crosses from one part to another."""
-    reach = running_max(rows.withColumns({"_lo": lo, "_hi": hi}), by, order, {"_reach": (F.col("_hi"), False)})
+    known = materialised(rows.withColumns({"_lo": lo, "_hi": hi}))  # read several times below
+    reach = running_max(known, by, order, {"_reach": (F.col("_hi"), False)})
     first = F.when(F.coalesce(F.col("_reach") < F.col("_lo"), F.lit(True)), F.col(order[0]).cast("double"))
     return running_max(reach, by, order, {"_part": (first, True)}).drop("_lo", "_hi", "_reach")
 

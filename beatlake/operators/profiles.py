@@ -3,12 +3,16 @@ aggregates trades that for percentile_approx on very long tables. Empty groups g
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beatlake import constants as C
 from beatlake.functions.scalars import clip, range_score
-from beatlake.operators.joins import asof_backward, asof_nearest, interval_join
+from beatlake.operators.joins import SPAN_S, asof_backward, asof_nearest, interval_join
 
 
 def percentile(x: Column | str, p: float, approximate: bool = False) -> Column:
@@ -124,16 +128,74 @@ def grid_fit(onsets: DataFrame, grids: DataFrame, by: list[str], how: str = "med
     return near.groupBy(*by).agg((F.percentile(size, 0.5) if how == "median" else F.avg(size)).alias("fit_error_s"), F.count(F.lit(1)).alias("n"))
 
 
+def _runs(batch: pa.RecordBatch, n_keys: int) -> list[tuple[int, int]]:
+    """Starts and stops of runs of rows with equal first columns."""
+    new = np.zeros(max(batch.num_rows - 1, 0), dtype=bool)
+    for k in range(n_keys):
+        codes = batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new |= codes[1:] != codes[:-1]
+    edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+    return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
+
+
 def tempo_ratio_search(pairs: DataFrame, by: str, lo: float = 0.96, hi: float = 1.04, steps: int = 801) -> DataFrame:
     """A10: time_s and slot_s (seconds per slot): the ratio whose scaled onsets lie nearest to whole slots on the average, with
-    a slight cost for moving. Ratios are summed inside one pass over the onsets."""
-    ratios = [round(lo + (hi - lo) * k / (steps - 1), 6) for k in range(steps)]
-    r = F.explode(F.array(*map(F.lit, ratios)))
-    rows = pairs.select(by, "time_s", "slot_s", r.alias("ratio"))
-    at = F.col("time_s") * F.col("ratio") / F.col("slot_s")
-    error = rows.groupBy(by, "ratio").agg((F.avg(F.abs(at - F.bround(at)) * F.col("slot_s"))).alias("e"))
-    cost = F.round(F.col("e") + 1e-4 * F.abs(F.col("ratio") - 1), 9)
-    return error.groupBy(by).agg(F.min(F.struct(cost.alias("cost"), "ratio")).alias("m")).select(by, F.col("m.ratio").alias("ratio"), F.col("m.cost").alias("cost"))
+    a slight cost for moving; the smallest of equal ones. Onsets without time or slot are passed over.
+
+    Onsets meet by entity and span of time, where a task adds up an array with an error for each ratio; an entity's arrays, one
+    for each span, are then added up. No onset is repeated, and a task holds one array.
+    """
+    ratios = np.array([round(lo + (hi - lo) * k / (steps - 1), 6) for k in range(steps)])
+    kind = pairs.schema[by].dataType.simpleString()
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, n, own = None, np.zeros(steps), 0, None
+
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], own), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=[by, "n", "errors"])
+
+        for batch in batches:
+            own, out = batch.schema.field(0).type, []
+            t, slot = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            for start, stop in _runs(batch, 2):
+                this = (batch.column(0)[start].as_py(), batch.column(1)[start].as_py())
+                if this != key:
+                    if n:
+                        out.append((key[0], n, total.tobytes()))
+                    key, total, n = this, np.zeros(steps), 0
+                for a in range(start, stop, 2048):
+                    b = min(a + 2048, stop)
+                    at = t[a:b, None] * ratios / slot[a:b, None]
+                    total += (np.abs(at - np.rint(at)) * slot[a:b, None]).sum(axis=0)
+                n += stop - start
+            yield told(out)
+        if n:
+            yield told([(key[0], n, total.tobytes())])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, n, own = None, np.zeros(steps), 0, None
+
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], own), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.float64())], names=[by, "ratio", "cost"])
+
+        def choice() -> tuple:
+            cost = np.round(total / n + 1e-4 * np.abs(ratios - 1), 9)
+            return (key, float(ratios[cost.argmin()]), float(cost.min()))
+
+        for batch in batches:
+            own, out = batch.schema.field(0).type, []
+            for this, count, errors in zip(*(c.to_pylist() for c in batch.columns)):
+                if n and this != key:
+                    out.append(choice())
+                    total, n = np.zeros(steps), 0
+                key, total, n = this, total + np.frombuffer(errors), n + count
+            yield told(out)
+        if n:
+            yield told([choice()])
+
+    rows = pairs.filter("time_s IS NOT NULL AND slot_s IS NOT NULL").select(by, F.floor(F.col("time_s") / SPAN_S).alias("_span"), F.col("time_s").cast("double"), F.col("slot_s").cast("double"))
+    sums = rows.repartition(by, "_span").sortWithinPartitions(by, "_span").mapInArrow(summed, f"`{by}` {kind}, n long, errors binary")
+    return sums.repartition(by).sortWithinPartitions(by).mapInArrow(best, f"`{by}` {kind}, ratio double, cost double")
 
 
 def residual_drift(pairs: DataFrame, by: str) -> DataFrame:
