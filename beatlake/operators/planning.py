@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beatlake.constants import GENRE_PROFILES, PROFILE_FIELDS, VARIANTS
@@ -195,6 +195,27 @@ def render_policy(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({**plan, "timing_strength": strength})
 
 
+def effective_strengths(pairs: DataFrame) -> DataFrame:
+    """tuning_strength with tuning_off (why there is none) and timing_strength. Planned tuning counts as it is; without a plan it is
+    the genre's with the user's change, none for rap; up to .02 is off. Timing is the larger of the plan's and P36's on a grid,
+    none for a single offset, else the plan's."""
+    from beatlake.functions.music import quantise_strength
+
+    planned = F.col("plan_tuning").isNotNull()
+    own = F.greatest(F.lit(0.0), F.col("genre_tuning") + F.coalesce("tuning_change", F.lit(0.0)))
+    tuning = F.when(planned, F.col("plan_tuning")).when(F.col("performance_type") == "rap", 0.0).otherwise(own)
+    why = F.when(tuning > 0.02, F.lit(None).cast("string")).when(planned, F.coalesce("plan_reason", F.lit("planned"))).when(F.col("performance_type") == "rap", "rap").otherwise("genre")
+    genre = quantise_strength(F.col("genre"), F.col("performance_type"), F.coalesce("grid_stability", F.lit(0.0)))
+    base = F.coalesce("plan_timing", F.lit(0.0))
+    timing = F.when(F.col("timing_method") == "single_offset", 0.0).when(F.coalesce(F.col("timing_method") == "grid_align", F.lit(True)), F.greatest(base, genre)).otherwise(base)
+    return pairs.withColumns({"tuning_strength": F.when(tuning > 0.02, tuning).otherwise(0.0), "tuning_off": why, "timing_strength": timing})
+
+
+def nudged(offset_s: Column, beats: Column, bpm: Column) -> Column:
+    """An offset moved by beats of the beat's own tempo; without either it stays."""
+    return offset_s + F.coalesce(F.when(bpm > 0, beats * 60 / bpm), F.lit(0.0))
+
+
 class _Slots:
     """J12 over a stretch of onsets: the cheapest choices so far by their last slot, each with its chain of choices."""
 

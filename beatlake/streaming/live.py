@@ -217,20 +217,29 @@ def live_match(takes: DataFrame, catalog: DataFrame, sink, n: int = 5):
     return takes.writeStream.foreachBatch(match)
 
 
-def ingest_catalog(documents: DataFrame, path: str):
-    """Documents by content key, each stored once: a batch's new keys are appended under the batch's own folder, so a
-    batch that is run again overwrites itself."""
+def stored_keys(spark: SparkSession, path: str, prefixes: list[str], batch_id: int) -> DataFrame | None:
+    """Keys under path with one of these prefixes, from other batches; no other folders are listed or read."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = [at for p in prefixes if files.exists(spark._jvm.org.apache.hadoop.fs.Path(at := f"{path}/prefix={p}"))]
+    return spark.read.schema("content_key string, batch long").option("basePath", path).parquet(*there).filter(F.col("batch") != batch_id).select("content_key") if there else None
+
+
+def ingest_catalog(documents: DataFrame, path: str, digits: int = 2, event_time: str | None = None, within: str = "1 hour"):
+    """Documents by content key, each stored once; rows without a key are passed over.
+
+    Keys are stored under their first digits (hexadecimal: at most 16 ** digits folders), so a trigger reads the folders of its own
+    keys. Its new documents go into folders of the batch, which replace those of an earlier attempt. With event_time, copies
+    that come within so much of each other are dropped before, by state.
+    """
+    if event_time:
+        documents = documents.withWatermark(event_time, within).dropDuplicatesWithinWatermark(["content_key"])
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(path).filter(F.col("batch") != batch_id).select("content_key")
-        except Exception as e:  # nothing stored yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            old = None
-        new = batch.dropDuplicates(["content_key"])
+        prefix = F.substring("content_key", 1, digits)
+        new = batch.filter(F.col("content_key").isNotNull()).dropDuplicates(["content_key"]).withColumns({"prefix": prefix, "batch": F.lit(batch_id).cast("long")})
+        old = stored_keys(batch.sparkSession, path, [r[0] for r in new.select("prefix").distinct().collect()], batch_id)
         new = new if old is None else new.join(old, "content_key", "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix", "batch").parquet(path)
 
     return documents.writeStream.foreachBatch(store)

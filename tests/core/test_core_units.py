@@ -175,6 +175,10 @@ def test_ingest_keeps_one_document_per_content(spark, tmp_path):
     query = live.ingest_catalog(stream, str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(r["content_key"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+    # A trigger reads the folders of its own keys alone, and a batch that comes again reads what others have stored.
+    files = live.stored_keys(spark, str(tmp_path / "out"), ["a", "x"], 7).inputFiles()
+    assert files and all("prefix=a/" in f for f in files)
+    assert live.stored_keys(spark, str(tmp_path / "out"), ["a"], 0).count() == 0 and live.stored_keys(spark, str(tmp_path / "out"), ["x"], 0) is None
 
 
 def test_sql_functions(spark):
