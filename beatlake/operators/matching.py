@@ -144,12 +144,36 @@ def candidates(takes: DataFrame, catalog: DataFrame, n: int = C.RESULTS) -> Data
     return chosen.join(b, "_cell").join(t, "_sig").drop("_sig", "_cell")
 
 
+def _confidence() -> Column:
+    return F.least(F.coalesce("t_conf", F.lit(0.0)), F.coalesce("b_conf", F.lit(0.0)))
+
+
+def shift_of() -> Column:
+    """By how many semitones a pair's beat is shifted: not at all without a key, or if the keys aren't sure enough."""
+    return F.when(F.col("is_atonal"), 0).when((F.col("s2") != 0) & (_confidence() < C.SHIFT_CONFIDENCE), 0).otherwise(F.col("s2"))
+
+
+def with_evidence(found: DataFrame, vibes: tuple[DataFrame, DataFrame] | None = None, moods: tuple[DataFrame, DataFrame] | None = None, notes: DataFrame | None = None, chords: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs with what J2 takes besides their own columns: t_vibe and b_vibe (from tables take_id, vibe and beat_id, vibe),
+    take_mood and beat_mood (mood), and dissonance (J5) from takes' notes and the chords of beats (entity_id). Each table meets the
+    pairs once, by take or by beat, with one row for each of them; those it doesn't have stay null."""
+    if vibes:
+        found = found.join(vibes[0].select("take_id", F.col("vibe").alias("t_vibe")), "take_id", "left").join(vibes[1].select("beat_id", F.col("vibe").alias("b_vibe")), "beat_id", "left")
+    if moods:
+        found = found.join(moods[0].select("take_id", F.col("mood").alias("take_mood")), "take_id", "left").join(moods[1].select("beat_id", F.col("mood").alias("beat_mood")), "beat_id", "left")
+    if notes is not None and chords is not None:
+        masks = chord_masks(chords).select(F.col("entity_id").alias("beat_id"), F.col("mask").alias("_mask"))
+        both = found.join(held_classes(notes), "take_id", "left").join(masks, "beat_id", "left")
+        found = both.withColumn("dissonance", clash(F.col("_mask"), shift_of())).drop("_mask", *(f"_t{k}" for k in range(12)))
+    return found
+
+
 def scored(found: DataFrame) -> DataFrame:
     """Candidate pairs (optionally with dissonance, take_mood and beat_mood, t_vibe and b_vibe) with sub-scores and score."""
     has = set(found.columns)
-    conf = F.least(F.coalesce("t_conf", F.lit(0.0)), F.coalesce("b_conf", F.lit(0.0)))
+    conf = _confidence()
     sure = conf >= C.SHIFT_CONFIDENCE
-    shift = F.when(F.col("is_atonal"), 0).when((F.col("s2") != 0) & ~sure, 0).otherwise(F.col("s2"))
+    shift = shift_of()
     fit = F.when((F.col("s2") != 0) & ~sure, F.col("q0")).otherwise(F.col("q2"))
     trust = clip(conf / C.SHIFT_CONFIDENCE, 0.0, 1.0)
     harmonic = F.when(F.col("is_atonal"), 0.85).otherwise(fit * trust + 0.5 * (1 - trust))
@@ -231,15 +255,25 @@ def chord_masks(chords: DataFrame) -> DataFrame:
     return chords.filter(F.col("bar") < 64).groupBy("entity_id").agg(F.bit_or(mask).alias("mask"))
 
 
+def held_classes(notes: DataFrame) -> DataFrame:
+    """By take, the sustained note time (0.22 s and more) of each pitch class, `_t0` to `_t11`."""
+    pc = F.pmod(F.bround("midi").cast("int"), F.lit(12))
+    return notes.filter(F.col("duration_s") >= 0.22).groupBy("take_id").agg(*(F.sum(F.when(pc == k, F.col("duration_s")).otherwise(0.0)).alias(f"_t{k}") for k in range(12)))
+
+
+def clash(mask: Column, shift: Column) -> Column:
+    """The share of note time (`_t0` to `_t11`) in no chord tone of a mask shifted so; 0 without notes or chords."""
+    tone = lambda k: mask.bitwiseAND(F.pow(F.lit(2.0), F.pmod(F.lit(k) - shift, F.lit(12))).cast("int")) > 0
+    total = sum((F.col(f"_t{k}") for k in range(12)), F.lit(0.0))
+    bad = sum((F.when(~tone(k), F.col(f"_t{k}")).otherwise(0.0) for k in range(12)), F.lit(0.0))
+    return F.coalesce(F.when(total > 0, bad / total), F.lit(0.0))
+
+
 def dissonance(notes: DataFrame, masks: DataFrame, wanted: DataFrame) -> DataFrame:
     """For pairs (take_id, entity_id, shift), the share of sustained note time (0.22 s and more) in no chord of the
     shifted progression. Notes are first summed to 12 pitch classes for each take, so pairs meet 12 numbers and not notes."""
-    held = notes.filter(F.col("duration_s") >= 0.22).groupBy("take_id").agg(*(F.sum(F.when(F.pmod(F.bround("midi").cast("int"), F.lit(12)) == k, F.col("duration_s")).otherwise(0.0)).alias(f"_t{k}") for k in range(12)))
-    both = wanted.join(held, "take_id", "left").join(masks, "entity_id", "left")
-    tone = lambda k: F.col("mask").bitwiseAND(F.pow(F.lit(2.0), F.pmod(F.lit(k) - F.col("shift"), F.lit(12))).cast("int")) > 0
-    total = sum((F.col(f"_t{k}") for k in range(12)), F.lit(0.0))
-    bad = sum((F.when(~tone(k), F.col(f"_t{k}")).otherwise(0.0) for k in range(12)), F.lit(0.0))
-    return both.select(*wanted.columns, F.coalesce(F.when(total > 0, bad / total), F.lit(0.0)).alias("dissonance"))
+    both = wanted.join(held_classes(notes), "take_id", "left").join(masks, "entity_id", "left")
+    return both.select(*wanted.columns, clash(F.col("mask"), F.col("shift")).alias("dissonance"))
 
 
 def top_matches(matches: DataFrame, n: int = C.RESULTS) -> DataFrame:

@@ -141,3 +141,59 @@ def f12_beat_summaries(spark, d):
     n = F.col("beat_id")
     said = accessors.beat_text(F.col("title"), F.col("is_atonal"), F.col("key_pc"), F.col("key_mode"), F.col("bpm"), F.when(n % 2 == 0, 0.62), n % 3, n % 4)
     return events(spark, d, "catalog").select("beat_id", said.alias("said"))
+
+
+_AVERAGES = {"harmonic": "harmonic", "transform": "transform", "rhythmic": "rhythmic", "pocket": "pocket", "metadata": "metadata", "popularity": "popularity"}
+
+
+@query(_SCORED + " SELECT take_id, count(*) AS n, " + ", ".join(f"round(avg(round({v} + 1e-9, 4)) + 1e-9, 4) AS {k}" for k, v in _AVERAGES.items()) + ", CAST(sum(abs(shift)) AS BIGINT) AS shifts, round(avg(ratio) + 1e-9, 5) AS ratio, round(avg(collision) + 1e-9, 5) AS collision, round(avg(score) + 1e-9, 4) AS score, round(max(score) + 1e-9, 4) AS best FROM scored GROUP BY 1")
+def j02_take_scores(spark, d):
+    """Sub-scores of all scored pairs, averaged by take."""
+    got = _scored(spark, d).groupBy("take_id").agg(
+        F.count(F.lit(1)).alias("n"), *(F.avg(f"sub_{k}").alias(k) for k in _AVERAGES), F.sum(F.abs("shift")).cast("long").alias("shifts"), F.avg("ratio").alias("ratio"), F.avg("penalty_collision").alias("collision"), F.avg("score").alias("score"), F.max("score").alias("best"))
+    return got.select("take_id", "n", *(rounded(k, 4).alias(k) for k in _AVERAGES), "shifts", rounded("ratio", 5).alias("ratio"), rounded("collision", 5).alias("collision"), rounded("score", 4).alias("score"), rounded("best", 4).alias("best"))
+
+
+#: Vectors of takes and beats by their numbers, moods by rule, notes of takes, and chords of beats.
+_TAKE_MOOD = "CASE take_id % 3 WHEN 0 THEN ['dark', 'calm'] WHEN 1 THEN ['happy'] ELSE [] END"
+_BEAT_MOOD = "CASE WHEN beat_id % 5 = 0 THEN [] WHEN beat_id % 2 = 0 THEN ['calm'] ELSE ['dark', 'loud'] END"
+_FULL = _SCORED[: _SCORED.index("scored AS (")].replace("WITH ", "WITH " + as_cte("notes", "chords")[len("WITH "):] + ", ", 1) + f"""
+vn AS (SELECT count(*) AS n FROM embeddings), vv AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS l FROM embeddings),
+tv AS (SELECT take_id, x, l FROM takes, vn JOIN vv ON vec_id = take_id % n), bv AS (SELECT beat_id, x, l FROM catalog, vn JOIN vv ON vec_id = (beat_id * 7 + 1) % n),
+held AS (SELECT take_id, list(pc) AS pcs, list(t) AS ts, sum(t) AS total FROM (SELECT take_id, CAST(round_even(midi, 0) AS INT) % 12 AS pc, sum(duration_s) AS t FROM notes WHERE duration_s >= 0.22 GROUP BY 1, 2) GROUP BY 1),
+tones AS (SELECT entity_id, list_distinct(flatten(list([root, (root + CASE WHEN quality = 'maj' THEN 4 ELSE 3 END) % 12, (root + 7) % 12]))) AS tones FROM chords WHERE bar < 64 GROUP BY 1),
+ev AS (SELECT e.*, least(greatest((list_dot_product(tv.x, bv.x) / (tv.l * bv.l) + 1) / 2, 0), 1) AS vibe, {_TAKE_MOOD} AS tm, {_BEAT_MOOD} AS bm,
+  CASE WHEN tones IS NULL OR coalesce(total, 0) <= 0 THEN 0 ELSE list_sum([CASE WHEN list_contains(tones, (p + 12 - shift)::INT % 12) THEN 0 ELSE t END for p, t in list_zip(pcs, ts)]) / total END AS diss
+  FROM e JOIN tv USING (take_id) JOIN bv USING (beat_id) LEFT JOIN held USING (take_id) LEFT JOIN tones ON entity_id = beat_id),
+ew AS (SELECT *, CASE WHEN len(tm) > 0 AND len(bm) > 0 THEN (metadata + CASE WHEN list_has_any(tm, bm) THEN 1 ELSE 0.3 END) / 2 ELSE metadata END::DOUBLE AS meta, CASE WHEN is_atonal OR NOT diss > 0.02 THEN 0 ELSE round(diss * 0.25::DOUBLE + 1e-9, 4) END AS clash FROM ev),
+full_ AS (SELECT *, least(greatest(0.3::DOUBLE * round(harmonic + 1e-9, 4) + 0.2::DOUBLE * round(transform + 1e-9, 4) + 0.15::DOUBLE * round(rhythmic + 1e-9, 4) + 0.15::DOUBLE * round(pocket + 1e-9, 4) + 0.1::DOUBLE * round(vibe + 1e-9, 4) + 0.05::DOUBLE * round(meta + 1e-9, 4) + 0.05::DOUBLE * round(popularity + 1e-9, 4) - clash - collision, 0), 1) AS score FROM ew),
+best AS (SELECT *, row_number() OVER (PARTITION BY take_id ORDER BY round(score + 1e-9, 6) DESC, beat_id) AS rank FROM full_)"""
+_FULL = _FULL.replace("for p, t in list_zip(pcs, ts)]", "for z in list_zip(pcs, ts)]").replace("(p + 12 - shift)", "(z[1] + 12 - shift)").replace("ELSE t END for z", "ELSE z[2] END for z")
+
+
+def full_scores(spark, d):
+    """All candidate pairs scored with vibe, moods and dissonance too."""
+    takes, catalog, e = events(spark, d, "takes"), events(spark, d, "catalog"), table(spark, d, "embeddings")
+    n = e.count()
+    of = lambda rows, key, at: rows.select(key, at.alias("vec_id")).join(e.select("vec_id", F.col("embedding").cast("array<double>").alias("vibe")), "vec_id").drop("vec_id")
+    words = lambda *xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    t, b = F.col("take_id"), F.col("beat_id")
+    moods = (takes.select("take_id", F.when(t % 3 == 0, words("Dark", "calm")).when(t % 3 == 1, words("happy")).otherwise(words()).alias("mood")), catalog.select("beat_id", F.when(b % 5 == 0, words()).when(b % 2 == 0, words("CALM")).otherwise(words("dark", "loud")).alias("mood")))
+    found = matching.with_evidence(matching.candidates(takes, catalog), (of(takes, "take_id", t % n), of(catalog, "beat_id", (b * 7 + 1) % n)), moods, events(spark, d, "notes"), events(spark, d, "chords"))
+    return matching.scored(found).withColumn("score", rounded("score", 6))
+
+
+@query(_FULL + " SELECT take_id, beat_id, rank, CAST(shift AS INT) AS shift, round(round(vibe + 1e-9, 4) + 1e-9, 3) AS vibe, round(round(meta + 1e-9, 4) + 1e-9, 3) AS metadata, round(clash + 1e-9, 3) AS clash, round(score + 1e-9, 4) AS score FROM best WHERE rank <= 5")
+def j02_full_scores(spark, d):
+    """The five best of all pairs by their whole score."""
+    got = matching.top_matches(full_scores(spark, d))
+    return got.select("take_id", "beat_id", "rank", F.col("shift").cast("int").alias("shift"), rounded("sub_vibe", 3).alias("vibe"), rounded("sub_metadata", 3).alias("metadata"), rounded("penalty_dissonance", 3).alias("clash"), rounded("score", 4).alias("score"))
+
+
+@query(_SCORED + """, strict AS (SELECT take_id, max(score) AS best FROM scored WHERE beat_id % 6 = 0 AND take_id % 4 > 0 AND st > 0.05 AND pocket_score < 0.5 GROUP BY 1) SELECT take_id FROM takes LEFT JOIN strict USING (take_id) WHERE coalesce(round(best + 1e-9, 6), 0) < 0.45""")
+def j30_without_viable(spark, d):
+    """J30 at its own threshold: of the scored pairs those that a strict taste leaves (stretched, with busy mids), so that many
+    takes have none, or none that is viable."""
+    n = F.col("beat_id")
+    left = _scored(spark, d).filter((n % 6 == 0) & (F.col("take_id") % 4 > 0) & (F.abs(F.col("ratio") - 1) > 0.05) & (F.col("pocket_score") < 0.5))
+    return matching.unmatched(events(spark, d, "takes"), left).select("take_id")
