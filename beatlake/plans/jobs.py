@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from beatlake.functions.music import render_notes
-from beatlake.plans import match, more, plan, profile, rest, sequence  # noqa: F401
+from beatlake.plans import extra, match, more, plan, profile, rest, sequence  # noqa: F401
 from beatlake.plans.registry import ORACLE_SQL, QUERIES, query
 from beatlake.sources.fixtures import as_cte, events
 
@@ -29,16 +29,20 @@ def _same(*names: str) -> dict[str, str]:
 
 
 _BEATS = {"j21_genre_scores": {"genre": "genre", "score": "genre_score"}, "a47_dominant_key": {"key_pc": "key_pc", "key_mode": "key_mode"}, "a05_atonality": _same("is_atonal"), "p49_loop_points": {"n": "n_loops"},
-          "a12_grid_stability": {"stability": "grid_stability", "median_bpm": "median_bpm"}, "a14_swing": {"swing": "swing"}, "a43_onset_rate": _same("onset_rate", "hat_density")}
+          "a12_grid_stability": {"stability": "grid_stability", "median_bpm": "median_bpm"}, "a14_swing": {"swing": "swing"}, "a43_onset_rate": _same("onset_rate", "hat_density"),
+          "a13_downbeat_phase": {"phase": "downbeat_phase"}, "p24_reconcile_tags": {"source": "bpm_source", "bpm": "bpm"}, "w11_progression_fingerprint": _same("progression")}
 #: By what those know a beat.
-_ID_OF = {"a47_dominant_key": "entity_id", "a05_atonality": "entity_id", "p49_loop_points": "entity_id", "a12_grid_stability": "take_id", "a14_swing": "take_id", "a43_onset_rate": "take_id"}
+_ID_OF = {"a47_dominant_key": "entity_id", "a05_atonality": "entity_id", "p49_loop_points": "entity_id", "a12_grid_stability": "take_id", "a14_swing": "take_id", "a43_onset_rate": "take_id", "a13_downbeat_phase": "entity_id", "w11_progression_fingerprint": "entity_id"}
 _TAKES = {"a22_take_report": _same("duration_s", "peak_db", "snr_db", "usable", "grade"), "a26_voice_profile": {"low": "voice_low", "median": "voice_median", "high": "voice_high", "voice": "voice"}, "a18_vocal_state": _same("in_tune", "state"),
-          "p29_classify_performance": {"performance_type": "performance_type", "confidence": "performance_confidence"}, "a01_key_profile": {"key_pc": "key_pc", "key_mode": "key_mode", "confidence": "key_confidence"}, "a06_tempo_histogram": {"bpm": "bpm", "confidence": "bpm_confidence"}}
-_PAIRS = {"j18_relationship": _same("relationship", "offset_s"), "j17_decide_key": {"key_pc": "key_pc", "key_mode": "key_mode", "action": "key_action"}, "p44_render_policy": _same("denoise", "placement", "stretch", "shift", "tuning", "timing")}
+          "p29_classify_performance": {"performance_type": "performance_type", "confidence": "performance_confidence"}, "a01_key_profile": {"key_pc": "key_pc", "key_mode": "key_mode", "confidence": "key_confidence"}, "a06_tempo_histogram": {"bpm": "bpm", "confidence": "bpm_confidence"},
+          "a07_tempo_autocorr": {"bpm": "pulse_bpm", "strength": "pulse_strength"}, "w04_voice_activity": _same("open_db", "close_db"), "w08_performance_span": _same("start_s", "end_s"), "a19_noise_verdict": {"verdict": "noise", "floor_db": "floor_db"}, "a21_voice_presence": _same("presence"), "a28_vibrato": _same("rate_hz", "depth_cents"),
+          "a29_expression_profile": _same("scoop_share", "melisma_share", "intonation_cents", "intonation_spread"), "p25_build_requirements": {"low": "tempo_low", "high": "tempo_high", "genres": "genres", "min_pocket": "min_pocket"}}
+_PAIRS = {"j18_relationship": _same("relationship", "offset_s"), "j17_decide_key": {"key_pc": "key_pc", "key_mode": "key_mode", "action": "key_action"}, "p44_render_policy": _same("denoise", "placement", "stretch", "shift", "tuning", "timing"),
+          "j19_best_lag": _same("lag_s", "lag_ratio"), "j24_bar_phase": {"turn": "bar_turn"}, "j25_grid_shift": {"shift_s": "grid_shift_s"}, "j26_placement": {"bar_s": "bar_s"}, "j27_beat_fit": _same("fit", "target_s"), "p60_p61_strengths_and_nudge": _same("tuning_strength", "timing_strength")}
 _PERFORMANCE = {"a17_timing_bias": {"bias_s": "bias_s", "spread_s": "spread_s"}, "j26_placement": {"bar_s": "bar_s", "offset_s": "offset_s"}, "j32_stretch_decision": {"stretch": "stretch"}, "a14_swing": {"swing": "swing"}}
 _ARRANGEMENT = {"w22_energy_contour": {"energy": "energy"}, "w18_label_sections": {"label": "label"}, "w24_transitions": {"jump": "jump", "n_effects": "n_effects"}}
 _GRADES = {"a30_graded": _same("errors", "warnings", "score", "passed"), "k04_rank_renders": {"place": "place"}, "k05_best_attempt": {"attempt": "best_attempt", "score": "best_score"}}
-_REVIEW = {"a22_take_report": _same("usable", "grade", "snr_db", "level_spread_db"), "a19_noise_verdict": {"verdict": "noise", "floor_db": "floor_db"}, "a33_tuning_error": {"tuning_cents": "tuning_cents"}}
+_REVIEW = {"a22_take_report": _same("usable", "grade", "snr_db", "level_spread_db"), "a19_noise_verdict": {"verdict": "noise", "floor_db": "floor_db"}, "a33_tuning_error": {"tuning_cents": "tuning_cents"}, "w26_longest_silence": _same("silent_frames"), "k03_rank_takes": {"place": "place"}}
 
 
 @query(_sql(as_cte("catalog") + " SELECT beat_id FROM catalog", ("beat_id",), _BEATS, _ID_OF))
