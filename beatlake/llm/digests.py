@@ -105,8 +105,11 @@ def with_next(documents: DataFrame) -> DataFrame:
     """_bucket, _extra, doc_id and text dealt so that every document can be read beside the next one, descending doc_id.
 
     Ids are cut into ranges; each range also gets the first document of the range that follows it, the last one that of
-    the first. The cuts and these first ids are as many as the ranges, whatever the number of documents.
+    the first. The cuts and these first ids are as many as the ranges, whatever the number of documents. Ids must be of an
+    integral type, as ranges are cut between numbers; rows that share an id follow each other by a hash of their texts.
     """
+    if not isinstance(documents.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be of an integral type: documents follow each other by its numbers")
     spark = documents.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     ranges = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -148,7 +151,8 @@ def with_next(documents: DataFrame) -> DataFrame:
 
 def edited_fingerprints(documents: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text (its later half replaced by the beginning of the next document), and
-    how like the fingerprint is to the edited text's and to the next document's."""
+    how like the fingerprint is to the edited text's and to the next document's. Null texts are empty; ids are integers, a null
+    one comes last; an empty table gives no rows."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 

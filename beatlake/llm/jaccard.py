@@ -295,23 +295,19 @@ def near_duplicates(documents: DataFrame, least: float = LEAST, recall: float =
 
 
 def one_of_each(documents: DataFrame, least: float = LEAST) -> DataFrame:
-    """documents without those that another one of their class stands for: the one with the least doc_id stays.
+    """documents without those that another one of their class stands for: the row with the least doc_id stays (a null id comes
+    last; of rows that share it any one, but one alone).
 
-    Ids are taken to tell documents apart; of rows that repeat an id and a text, one stays (a window over these alone).
+    Rows are told apart by a number of their own, so rows that share an id, or have none, stay or go each for its own text. Texts
+    without words stay. All columns are kept under their own names.
     """
     scratch = Scratch(documents.sparkSession, "classes")
-    found = scratch.table(near_duplicates(documents, least))
-    extra = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    n = extra.count()
-    side = extra.withColumnRenamed("doc_id", free_name(documents, "_dropped"))
-    name = side.columns[0]
-    twice = found.filter((F.col("doc_id") == F.col("class_id")) & F.col("set_id").isNotNull()).groupBy("doc_id", "set_id").count().filter("count > 1").select("doc_id").distinct()
-    kept = documents.join(F.broadcast(side) if small_enough(n, 32) else side, F.col("doc_id") == F.col(name), "left_anti")
-    if twice.isEmpty():
-        return kept
-    from pyspark.sql import Window
-
-    again = kept.join(twice, "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    first = again.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
-    return kept.join(twice, "doc_id", "left_anti").unionByName(first)
+    row = free_name(documents, "_row")
+    rows = scratch.table(documents.withColumn(row, F.monotonically_increasing_id()))
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), least).filter("set_id IS NOT NULL").select(F.col("doc_id").alias("_of"), F.col("class_id").alias("_class"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("at"))
+    classed = scratch.table(rows.select(F.col(row).alias("_of"), order.alias("_order")).join(found, "_of"))
+    stay = classed.groupBy("_class").agg(F.min("_order").alias("_first")).select(F.col("_first.at").alias("_of"))
+    extra = scratch.table(classed.select("_of").join(stay, "_of", "left_anti"))
+    side = F.broadcast(extra) if small_enough(extra.count(), 32) else extra
+    return rows.join(side.withColumnRenamed("_of", f"_{row}"), F.col(row) == F.col(f"_{row}"), "left_anti").drop(row)

@@ -228,14 +228,36 @@ def test_pipeline_stages_on_an_empty_table(spark, tmp_path):
 
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    # Texts without words: near duplicates and repeats keep them, a mix takes no words of them, and each is one packed piece.
+    want = {"near duplicates": 2, "repeats": 2, "mix": 0, "packing": 2}
     for rows_ in ([], [(1, None, None, None, None), (None, "", "en", "s", 0)]):
         docs = spark.createDataFrame(rows_, schema)
         for name, stage in corpus_pipeline.STAGES[1:]:
             got = stage(spark, docs, str(tmp_path)).collect()
-            assert len(got) == len(rows_) or rows_, name
+            assert len(got) == (want[name] if rows_ else 0), name
         assert corpus_pipeline.keep_good(spark, docs, str(tmp_path)).count() == 0  # a score of 1/2 isn't good
 
 
+def test_one_of_each_class_by_row(spark):
+    """Rows without an id, an unlike text under an id whose other row goes, and columns with names that helpers could take."""
+    rng = random.Random(5)
+    text, other = words(rng, 90), words(rng, 80)
+    near = text.split()
+    near[40] = "edited"
+    rows_ = [(3, text), (2, " ".join(near)), (2, other), (None, text), (None, " ".join(near)), (None, ""), (7, None), (2, " ".join(near)), (9, words(rng, 70)), (None, "only here " + words(rng, 30))]
+    frame = spark.createDataFrame([(*r, k, 1, 2) for k, r in enumerate(rows_)], "doc_id long, text string, _n int, _row int, _dropped int").repartition(3)
+    got = jaccard.one_of_each(frame)
+    assert got.columns == frame.columns
+    kept = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in got.collect()))
+    want = sorted((d is None, d or 0, t or "") for d, t in [(2, " ".join(near)), (2, other), (None, ""), (7, None), rows_[8], rows_[9]])
+    assert kept == want
+
+
+def test_ids_of_text_are_told(spark):
+    with pytest.raises(TypeError, match="integral"):
+        digests.edited_fingerprints(spark.createDataFrame([("a", "x"), ("b", "y")], "doc_id string, text string"))
+
+
 def grams(text):
     w = WORDS.findall(text or "")
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
