@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from beatlake.llm._shared import slices, text_or_empty
+from beatlake.llm._shared import Scratch, slices, text_or_empty
 
 #: The filters, each with what fails it. E is told from the whole table, the others from a text alone.
 FILTERS = "ABCDE"
@@ -61,8 +61,9 @@ def marked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part: st
 
 
 def labelled(marks: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """marks, repeated rows as one with their number n, with good and toxic (booleans; of several labels of an id, any)."""
-    once = marks.groupBy("id", "part", "digest", "fails").agg(F.count(F.lit(1)).alias("n"))
+    """marks, repeated rows as one with their number n, with good and toxic (booleans; of several labels of an id, any). They are
+    written once, as rows with and without an id are read from them."""
+    once = Scratch(marks.sparkSession, "audit").table(marks.groupBy("id", "part", "digest", "fails").agg(F.count(F.lit(1)).alias("n")))
     of = labels.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("of")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     known = once.filter("id IS NOT NULL").join(of, F.col("id") == F.col("of"), "left").drop("of")
     none = once.filter("id IS NULL").withColumns({"good": F.lit(None).cast("boolean"), "toxic": F.lit(None).cast("boolean")})
