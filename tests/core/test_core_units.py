@@ -190,6 +190,28 @@ def test_sql_functions(spark):
     assert {tuple(r) for r in spark.sql("SELECT * FROM explode_questions(3.0D, 'no_voice', 'heavy')").collect()} == {("block", "length"), ("block", "voice"), ("warn", "noise")}
 
 
+def test_sql_functions_of_keys_equal_the_columns(spark):
+    from pyspark.sql import functions as F
+
+    from beatlake.functions import keys
+    from beatlake.functions.sql import register
+
+    register(spark)
+    tags = ["eb_minor", "F# Minor", "ebm", "2A", " 12b", "C♯ maj", "a", "B♭ / minor", "Gmin7", "h minor", "13A", "", None, "d  dorian", "e#", "Abmaj", "fb-m"]
+    spark.createDataFrame([(t,) for t in tags], "tag string").withColumn("want", keys.parse_key(F.col("tag"))).createOrReplaceTempView("tags")
+    for r in spark.sql("SELECT tag, want, normalise_key(tag) AS got FROM tags").collect():
+        assert r["got"] == r["want"], r["tag"]
+    two = [(a, m, b, n) for a in range(12) for m in ("major", "minor") for b in range(0, 12, 5) for n in ("major", "minor")]
+    k, mode = F.col("a"), F.col("m")
+    frame = spark.createDataFrame(two, "a int, m string, b int, n string").withColumns({"code": keys.camelot(k, mode), "scale": keys.scale_pcs(k, mode), "near": keys.camelot_neighbours(keys.camelot(k, mode)), "set1": keys.compatible_set(k, mode, 1)})
+    frame.createOrReplaceTempView("two")
+    keys.shift_table(spark).createOrReplaceTempView("shifts")
+    got = spark.sql("""SELECT count(*) AS n, count_if(camelot(a, m) = code AND scale_pcs(a, m) = scale AND camelot_neighbours(code) = near AND compatible_set(a, m, 1) = set1 AND key_from_camelot(code) = named_struct('pc', a, 'mode', m)
+      AND best_shift(a, m, b, n, 2).shift = s.shift AND abs(best_shift(a, m, b, n, 2).quality - s.quality) < 1e-9 AND in_key(a, a, m)) AS same
+      FROM two JOIN shifts s ON s.v_pc = a AND s.v_mode = m AND s.b_pc = b AND s.b_mode = n AND most = 2""").first()
+    assert got["n"] == got["same"] == len(two)
+
+
 def test_asof_joins_do_not_depend_on_spans(spark):
     from beatlake.operators import joins
 
