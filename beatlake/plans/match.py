@@ -116,7 +116,8 @@ final AS (SELECT *, row_number() OVER (PARTITION BY take_id ORDER BY o) AS posit
 SELECT take_id, beat_id, CAST(position AS INT) AS position, level, round(score + 1e-9, 4) AS score FROM final WHERE position <= 5""")
 def j01_k02_match(spark, d):
     """Q3: all takes matched to the catalog, diversified."""
-    got = matching.diversified(_scored(spark, d))
+    # What is returned alone passes through the windows of all pairs.
+    got = matching.diversified(_scored(spark, d).select("take_id", "beat_id", "owner", "genre", "level", "score"))
     return got.select("take_id", "beat_id", "position", "level", rounded("score", 4).alias("score"))
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from beatlake.functions import music, scalars
 from beatlake.functions.scalars import joined, rounded
 from beatlake.operators import acoustics, grading, matching, profiles, sequences
 from beatlake.plans.profile import chroma
-from beatlake.plans.registry import query
+from beatlake.plans.registry import ORACLE_SQL, query
 from beatlake.sources import catalog_io
 from beatlake.sources.fixtures import as_cte, events, table
 
@@ -75,7 +77,16 @@ def a08_tempo_rule(spark, d):
     return got.select("take_id", "t.agreement", F.col("t.bpm").alias("bpm"), rounded("t.confidence", 2).alias("confidence"))
 
 
-@query()
+def _unrounded(name: str) -> str:
+    """Another query's SQL with its results as they are."""
+    return re.sub(r"\+ 1e-9, \d\)", "+ 0, 13)", ORACLE_SQL[name])
+
+
+@query(f"""WITH h AS ({_unrounded('a06_tempo_histogram')}), a AS ({_unrounded('a07_tempo_autocorr')}), n AS (SELECT user_id AS take_id, count(*) AS n FROM events GROUP BY 1),
+x AS (SELECT n.take_id, n.n, h.bpm AS h, coalesce(h.confidence, 0) AS hc, coalesce(a.bpm, 0) AS a, coalesce(a.strength, 0) AS s FROM n LEFT JOIN h USING (take_id) LEFT JOIN a USING (take_id)),
+y AS (SELECT *, abs(log2(h / nullif(a, 0)) - round_even(log2(h / nullif(a, 0)), 0)) <= 0.05 AND abs(round_even(log2(h / nullif(a, 0)), 0)) <= 2 AS oct FROM x),
+z AS (SELECT *, CASE WHEN n < 6 OR (h IS NULL AND a = 0) THEN 'none' WHEN h IS NULL OR a = 0 THEN 'single' WHEN oct THEN CASE WHEN abs(h - a) / h < 0.05 THEN 'exact' ELSE 'octave' END ELSE 'disagree' END AS agreement FROM y)
+SELECT take_id, agreement, round(CASE WHEN agreement = 'none' THEN 0 ELSE coalesce(h, a) END + 1e-9, 2) AS bpm, round(CASE WHEN agreement = 'none' THEN 0 WHEN agreement = 'single' THEN CASE WHEN h IS NOT NULL THEN least(hc, 0.45) ELSE least(s * 0.6, 0.45) END WHEN agreement = 'disagree' THEN least(greatest(hc * 0.5, 0), 0.35) ELSE least(greatest(greatest(hc, 0.3) + 0.25 * s + 0.15, 0), 0.9) END + 1e-9, 3) AS confidence FROM z""")
 def a08_tempo(spark, d):
     """A6 and A7 of all takes, reconciled."""
     return profiles.tempo(events(spark, d, "onsets"), "take_id", "event_id").select("take_id", "tempo.bpm", "tempo.confidence", "tempo.agreement")

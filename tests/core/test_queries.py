@@ -38,7 +38,7 @@ def test_equals_its_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).schema and QUERIES[name](spark, SF).count() >= 0
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_all_scored_pairs_are_returned(spark):
