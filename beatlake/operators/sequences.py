@@ -14,6 +14,7 @@ from beatlake.functions.music import transition_before
 from beatlake.functions.scalars import clip, mapped
 from beatlake.functions.theory import degree_of, harmonic_function, roman_numeral
 from beatlake.operators.joins import parts, running_max
+from beatlake.sources.lineage import materialised
 
 
 def in_time(by: str, *order: str) -> Window:
@@ -380,19 +381,17 @@ def limit_by_neighbours(targets: DataFrame, by: str, lo: float = 0.8, hi: float
 
 def split_overlong(regions_: DataFrame, frames: DataFrame, by: str, most_s: float = 12.0) -> DataFrame:
     """Regions longer than most_s are cut at the quietest frame of their middle 60 %, again and again; the number of rounds
-    is the logarithm of the longest region."""
+    is the logarithm of the longest region, and each is written."""
     from beatlake.operators.joins import interval_join
 
-    done, todo = regions_.filter(F.col("end_s") - F.col("start_s") <= most_s).select(by, "start_s", "end_s"), regions_.filter(F.col("end_s") - F.col("start_s") > most_s).select(by, "start_s", "end_s")
-    rounds = int((regions_.agg(F.max(F.log2((F.col("end_s") - F.col("start_s")) / most_s) / 0.32)).first()[0] or 0) // 1 + 1)
-    for _ in range(max(0, rounds)):
+    long_ = F.col("end_s") - F.col("start_s") > most_s
+    cut_at = materialised(regions_.select(by, "start_s", "end_s"))
+    done, todo = cut_at.filter(~long_), cut_at.filter(long_)
+    while not todo.isEmpty():
         inner = todo.withColumns({"_s": F.col("start_s"), "_e": F.col("end_s")}).withColumns({"start_s": F.col("_s") + 0.2 * (F.col("_e") - F.col("_s")), "end_s": F.col("_s") + 0.8 * (F.col("_e") - F.col("_s"))})
         cut = interval_join(frames.select(by, "time_s", "rms_db"), inner, by).groupBy(by, "_s", "_e").agg(F.min(F.struct("rms_db", "time_s")).alias("m")).select(by, F.col("_s").alias("start_s"), F.col("_e").alias("end_s"), F.col("m.time_s").alias("cut"))
-        both = todo.join(cut, [by, "start_s", "end_s"], "left")
+        both = materialised(todo.join(cut, [by, "start_s", "end_s"], "left"))  # read several times, and the next round's beginning
         whole = both.filter("cut is null").select(by, "start_s", "end_s")
-        parts = both.filter("cut is not null").select(by, F.explode(F.array(F.struct(F.col("start_s").alias("s"), F.col("cut").alias("e")), F.struct(F.col("cut").alias("s"), F.col("end_s").alias("e")))).alias("p")).select(by, F.col("p.s").alias("start_s"), F.col("p.e").alias("end_s"))
-        long_ = F.col("end_s") - F.col("start_s") > most_s
-        done, todo = done.unionByName(whole).unionByName(parts.filter(~long_)), parts.filter(long_)
-    return done.unionByName(todo)
-
-
+        parts_ = both.filter("cut is not null").select(by, F.explode(F.array(F.struct(F.col("start_s").alias("s"), F.col("cut").alias("e")), F.struct(F.col("cut").alias("s"), F.col("end_s").alias("e")))).alias("p")).select(by, F.col("p.s").alias("start_s"), F.col("p.e").alias("end_s"))
+        done, todo = done.unionByName(whole).unionByName(parts_.filter(~long_)), parts_.filter(long_)
+    return done
