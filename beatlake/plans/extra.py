@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from beatlake import constants as C
-from beatlake.functions import accessors, music
+from beatlake.functions import accessors
 from beatlake.functions.scalars import rounded
 from beatlake.operators import acoustics, arrangement, matching, planning, profiles
 from beatlake.plans.match import _GENRES, _SCORED, _scored
