@@ -413,9 +413,16 @@ def resonances(bins: DataFrame, by: str, n: int = 5, half: int = 4) -> DataFrame
 
 
 def channel_check(frames: DataFrame, by: str) -> DataFrame:
-    """Correlation of two channels; inverted under -.9, one signal twice over .9995."""
-    x = frames.groupBy(by).agg(F.corr("left", "right").alias("corr"))
-    return x.withColumn("verdict", F.when(F.col("corr") < -0.9, "inverted").when(F.col("corr") > 0.9995, "fake_stereo").otherwise("stereo"))
+    """Correlation of two channels; inverted under -.9, one signal twice over .9995. A flat channel has none: NaN, and stereo."""
+    both = F.col("left").isNotNull() & F.col("right").isNotNull()
+    of = lambda side: F.when(both, F.col(side))
+    flat = lambda side: F.min(of(side)) == F.max(of(side))
+    # F.corr divides by zero in a flat group, which fails the job under ANSI.
+    spread = F.stddev_pop(of("left")) * F.stddev_pop(of("right"))
+    corr = F.when(flat("left") | flat("right"), float("nan")).otherwise(F.try_divide(F.covar_pop("left", "right"), spread))
+    x = frames.groupBy(by).agg(corr.alias("corr"))
+    known = ~F.isnan("corr")
+    return x.withColumn("verdict", F.when(F.col("corr") < -0.9, "inverted").when(known & (F.col("corr") > 0.9995), "fake_stereo").otherwise("stereo"))
 
 
 def dominant_key(regions: DataFrame, by: str) -> DataFrame:

@@ -146,3 +146,13 @@ def test_structure(spark, song):
     assert got_labels == want_labels
     got_sections = sorted((tuple(r[c] for c in ("take_id", "seq", "label", "start_s", "end_s")) for r in arrangement.sections_from_labels(labelled, "take_id").collect()), key=lambda x: x[:2])
     assert got_sections == want_sections
+
+
+def test_flat_channels_have_no_correlation(spark):
+    from beatlake.operators import profiles
+
+    rows = [(1, 1.0, 2.0), (1, 1.0, 3.0), (2, 1.0, 2.0), (3, None, 2.0), (4, 1.0, 2.0), (4, 2.0, 4.0), (4, None, 9.0), (5, 1.0, 2.0), (5, 2.0, 1.0)]
+    got = {r.k: (r.corr, r.verdict) for r in profiles.channel_check(spark.createDataFrame(rows, "k int, left double, right double"), "k").collect()}
+    assert got[1][0] != got[1][0] and got[2][0] != got[2][0] and got[1][1] == got[2][1] == "stereo"
+    assert got[3] == (None, "stereo")
+    assert abs(got[4][0] - 1) < 1e-12 and got[4][1] == "fake_stereo" and abs(got[5][0] + 1) < 1e-12 and got[5][1] == "inverted"
