@@ -156,3 +156,15 @@ def test_flat_channels_have_no_correlation(spark):
     assert got[1][0] != got[1][0] and got[2][0] != got[2][0] and got[1][1] == got[2][1] == "stereo"
     assert got[3] == (None, "stereo")
     assert abs(got[4][0] - 1) < 1e-12 and got[4][1] == "fake_stereo" and abs(got[5][0] + 1) < 1e-12 and got[5][1] == "inverted"
+
+
+def test_takes_of_a_kind_share_their_scored_pairs(spark):
+    from beatlake.operators import matching
+
+    rows = [(k, 90.0, 0, "major", 0.5, "rap", None if k % 2 else 2.0) for k in range(40)]
+    kinds, members = matching.alike(spark.createDataFrame(rows, "take_id long, bpm double, key_pc int, key_mode string, key_confidence double, performance_type string, syllable_rate double"))
+    assert kinds.count() == 2
+    of = {r.take_id: r._kind for r in members.collect()}
+    assert len(of) == 40 and all((of[k] == of[0]) == (k % 2 == 0) for k in range(40))
+    got = matching.of_takes(kinds.select("take_id", "syllable_rate"), members).collect()
+    assert sorted((r.take_id, r.syllable_rate) for r in got) == [(k, None if k % 2 else 2.0) for k in range(40)]
