@@ -252,9 +252,16 @@ def timing_bias(onsets: DataFrame, grid: DataFrame, by: str, within_s: float = 0
 
 def vocal_state(notes: DataFrame, levels: DataFrame, by: str = "take_id") -> DataFrame:
     """The share of note time within 20 cents of a semitone, whether the take is tuned, and whether it is finished too (an
-    even level, spread_db in levels)."""
+    even level, spread_db in levels). Where notes have their place in the table, `_at`, times are added up in its order, so the share
+    doesn't depend on partitions."""
     cents = F.abs(F.col("midi") - F.bround("midi")) * 100
-    x = notes.groupBy(by).agg((F.sum(F.when(cents <= 20, F.col("duration_s")).otherwise(0.0)) / F.sum("duration_s")).alias("in_tune"), F.percentile(cents, 0.5).alias("deviation"), F.count(F.lit(1)).alias("n")).join(levels, by, "left")
+    good, share = F.when(cents <= 20, F.col("duration_s")).otherwise(0.0), F.sum("_good") / F.sum("duration_s")
+    notes = notes.withColumn("_good", good)
+    if "_at" in notes.columns:
+        w = Window.partitionBy(by).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        notes = notes.withColumns({"_good": F.sum("_good").over(w), "_all": F.sum("duration_s").over(w)})
+        share = F.max_by("_good", "_at") / F.max_by("_all", "_at")
+    x = notes.groupBy(by).agg(share.alias("in_tune"), F.percentile(cents, 0.5).alias("deviation"), F.count(F.lit(1)).alias("n")).join(levels, by, "left")
     tuned = (F.col("in_tune") >= 0.55) | ((F.col("deviation") > 0) & (F.col("deviation") <= 22) & (F.col("n") >= 12))
     finished = tuned & F.coalesce((F.col("spread_db") > 0) & (F.col("spread_db") <= 1.5), F.lit(False))
     return x.withColumn("state", F.when(finished, "finished").when(tuned, "tuned").otherwise("raw"))

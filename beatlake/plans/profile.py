@@ -143,7 +143,7 @@ y AS (SELECT x.*, t >= 0.55 OR (dev > 0 AND dev <= 22 AND n >= 12) AS tuned, coa
 SELECT take_id, round(t + 1e-9, 6) AS in_tune, CASE WHEN tuned AND even THEN 'finished' WHEN tuned THEN 'tuned' ELSE 'raw' END AS state FROM y""")
 def a18_vocal_state(spark, d):
     levels = events(spark, d, "takes").select("take_id", (F.col("key_confidence") * 3).alias("spread_db"))
-    return profiles.vocal_state(events(spark, d, "notes"), levels).select("take_id", rounded("in_tune", 6).alias("in_tune"), "state")
+    return profiles.vocal_state(events(spark, d, "notes", at=True), levels).select("take_id", rounded("in_tune", 6).alias("in_tune"), "state")
 
 
 _INSIDE = f"""{_TSEC}, fi AS (SELECT f.*, exists(SELECT 1 FROM tsec s WHERE s.entity_id = f.take_id AND f.time_s >= s.start_s AND f.time_s < s.end_s) AS inside FROM level_frames f)"""

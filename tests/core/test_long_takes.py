@@ -139,3 +139,32 @@ def test_a_note_of_a_million_frames(spark):
     began = time.time()
     got = sequences.segment_notes(frame, "take_id").collect()
     assert len(got) == 1 and got[0]["midi"] == pytest.approx(60, abs=1e-3) and time.time() - began < 60
+
+
+def test_means_are_those_of_the_files_order(spark, tmp_path):
+    """Sums of doubles by the order of rows in the files (part-0 before part-1), however partitions split them."""
+    from beatlake.operators import profiles
+    from beatlake.sources.fixtures import events
+
+    discounts, taxes = [0.01, 0.01, 0.02, 0.05], [0.01, 0.01, 0.01, 0.08]
+    lines = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+    rows = [(1, 1, 1, k + 1, 10.0 + 2 * (k // 2), 1.0, discounts[k], taxes[k]) for k in range(4)]
+    for k in range(2):
+        spark.createDataFrame(rows[2 * k : 2 * k + 2], lines).coalesce(1).write.parquet(str(tmp_path / f"x{k}"))
+        (tmp_path / "lineitem.parquet").mkdir(exist_ok=True)
+        next((tmp_path / f"x{k}").glob("*.parquet")).rename(tmp_path / "lineitem.parquet" / f"part-{k}.parquet")
+    spark.createDataFrame([(1, 7)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    in_order = lambda xs: ((xs[0] + xs[1]) + xs[2]) + xs[3]
+    halves = lambda xs: (xs[0] + xs[1]) + (xs[2] + xs[3])
+    assert in_order(discounts) != halves(discounts)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(256 << 20))  # a partition for each file
+    try:
+        got = events(spark, str(tmp_path), "renders").collect()[0]
+        assert got["true_peak_db"] == -2 + 20 * (in_order(discounts) / 4)
+        notes = events(spark, str(tmp_path), "notes", at=True)
+        long_ = [0.05 + t * 10.0 for t in taxes]
+        state = profiles.vocal_state(notes.withColumn("midi", F.when(F.col("idx") == 4, 60.5).otherwise(60.0)), spark.createDataFrame([(7, 1.0)], "take_id long, spread_db double")).collect()[0]
+        assert state["in_tune"] == ((long_[0] + long_[1]) + long_[2]) / in_order(long_)
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
