@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from beatlake import constants as C
 from beatlake.functions.music import transition_before
-from beatlake.functions.scalars import clip, mapped
+from beatlake.functions.scalars import clip, interpolated, mapped
 from beatlake.functions.theory import degree_of, harmonic_function, roman_numeral
 from beatlake.operators.joins import parts, running_max
 from beatlake.sources.lineage import materialised
@@ -226,11 +226,25 @@ def transitions(levels: DataFrame, by: str) -> DataFrame:
     return levels.withColumn("jump", jump).filter("jump is not null").withColumn("effects", transition_before(F.col("label"), F.col("jump")))
 
 
+def ranked(frames: DataFrame, by: str, value: str) -> DataFrame:
+    """frames with `_rank`, the place from 0 of a value among an entity's in ascending order, and `_of`, the last place (nulls have none)."""
+    n = F.row_number().over(Window.partitionBy(by).orderBy(F.asc_nulls_last(value)))
+    return frames.withColumns({"_rank": F.when(F.col(value).isNotNull(), n - 1), "_of": F.count(value).over(Window.partitionBy(by)) - 1})
+
+
+def quantile(value: str, p: float) -> Column:
+    """The aggregate of an entity's ranked frames that is the value at a share p of the way, between neighbours by `interpolated`."""
+    at = F.col("_of") * F.lit(p)
+    of = lambda place: F.max(F.when(F.col("_rank") == place, F.col(value)))
+    return interpolated(of(F.floor(at)), of(F.ceil(at)), F.max(at - F.floor(at)))
+
+
 def longest_silence(frames: DataFrame, by: str, *tie: str) -> DataFrame:
     """Frames of the longest run under the 95th percentile less 45 dB, between the first and the last loud frame."""
-    loud = F.col("rms_db") >= F.percentile("rms_db", 0.95).over(Window.partitionBy(by)) - 45
+    top = ranked(frames.select(by, "rms_db"), by, "rms_db").groupBy(F.col(by).alias("_by")).agg(quantile("rms_db", 0.95).alias("_top"))
+    loud = F.col("rms_db") >= F.col("_top") - 45
     w = in_time(by, "time_s", *tie)
-    rows = frames.withColumn("_loud", loud).withColumn("_run", F.sum(F.col("_loud").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = frames.join(top, F.col(by).eqNullSafe(F.col("_by"))).drop("_by").withColumn("_loud", loud).withColumn("_run", F.sum(F.col("_loud").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     last = F.max("_run").over(Window.partitionBy(by))
     quiet = rows.withColumn("_last", last).filter("_run > 0 and _run < _last and not _loud").groupBy(by, "_run").agg(F.count(F.lit(1)).alias("n"))
     return frames.select(by).distinct().join(quiet.groupBy(by).agg(F.max("n").alias("n")), by, "left").select(by, F.coalesce("n", F.lit(0)).alias("silent_frames"))
