@@ -270,10 +270,14 @@ def vocal_state(notes: DataFrame, levels: DataFrame, by: str = "take_id") -> Dat
 def noise_verdict(frames: DataFrame, by: str, inside: str, approximate: bool = False) -> DataFrame:
     """Median level inside phrases less that in gaps (85th less 15th percentile with fewer than four frames of
     either), a verdict, and the noise floor (8th percentile). Under eight frames nothing is known."""
+    from beatlake.operators.sequences import quantile, ranked
+
     p = lambda x, q: percentile(x, q, approximate)
     db = F.col("rms_db")
-    x = frames.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col(inside)).alias("n_in"), p(F.when(F.col(inside), db), 0.5).alias("_in"), p(F.when(~F.col(inside), db), 0.5).alias("_out"), p(db, 0.85).alias("_hi"), p(db, 0.15).alias("_lo"), p(db, 0.08).alias("floor_db")
+    known = frames if approximate else ranked(frames, by, "rms_db")
+    whole = lambda q: p(db, q) if approximate else quantile("rms_db", q)
+    x = known.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(inside)).alias("n_in"), p(F.when(F.col(inside), db), 0.5).alias("_in"), p(F.when(~F.col(inside), db), 0.5).alias("_out"), whole(0.85).alias("_hi"), whole(0.15).alias("_lo"), whole(0.08).alias("floor_db")
     )
     both = (F.col("n_in") >= 4) & (F.col("n") - F.col("n_in") >= 4)
     snr = F.when(F.col("n") >= 8, F.when(both, F.col("_in") - F.col("_out")).otherwise(F.col("_hi") - F.col("_lo")))
