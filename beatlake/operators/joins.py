@@ -28,7 +28,8 @@ def interval_join(points: DataFrame, intervals: DataFrame, by: str, time: str =
     p = points.withColumn("_bucket", _bucket(F.col(time), width))
     i = intervals.withColumn("_at", F.explode(F.sequence(_bucket(F.col("start_s"), width), _bucket(F.col("end_s"), width)))).withColumnRenamed(by, "_by")
     inside = (F.col(time) >= F.col("start_s")) & ((F.col(time) <= F.col("end_s")) if closed else (F.col(time) < F.col("end_s")))
-    out = p.join(i, (F.col(by) == F.col("_by")) & (F.col("_bucket") == F.col("_at")) & inside, how)
+    # A join by shuffle: Spark doesn't count what explode makes of a row, and would send all of them through the driver.
+    out = p.join(i.hint("merge"), (F.col(by) == F.col("_by")) & (F.col("_bucket") == F.col("_at")) & inside, how)
     return out.drop("_bucket", "_at", "_by")
 
 
@@ -36,7 +37,7 @@ def overlap_join(a: DataFrame, b: DataFrame, by: str, width: float = BUCKET_S) -
     """Pairs of intervals with a.end > b.start and a.start < b.end; a has a_start, a_end and b has b_start, b_end.
     A pair that shares several buckets is kept in that of the later start alone."""
     spread = lambda df, x: df.withColumn("_bucket", F.explode(F.sequence(_bucket(F.col(f"{x}_start"), width), _bucket(F.col(f"{x}_end"), width))))
-    both = spread(a, "a").join(spread(b, "b"), [by, "_bucket"])
+    both = spread(a, "a").join(spread(b, "b").hint("merge"), [by, "_bucket"])
     first = _bucket(F.greatest("a_start", "b_start"), width)
     return both.filter((F.col("a_end") > F.col("b_start")) & (F.col("a_start") < F.col("b_end")) & (F.col("_bucket") == first)).drop("_bucket")
 

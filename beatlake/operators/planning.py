@@ -265,7 +265,8 @@ def assign_onsets(onsets: DataFrame, grid: DataFrame, by: str, slot_s: float, mo
     near = grid.select(F.col(by).alias("_by"), F.col("time_s").alias("slot_at"), F.floor(F.col("time_s") / most_s).alias("_k"))
     spread = onsets.select(by, "event_id", F.col("time_s").cast("double").alias("time_s"), (F.coalesce("strength", F.lit(0)) / F.lit(100.0)).alias("strength"))
     spread = spread.withColumn("_at", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda j: F.floor(F.col("time_s") / most_s) + j)))
-    pairs = spread.join(near, (F.col(by) == F.col("_by")) & (F.col("_at") == F.col("_k")) & (F.abs(F.col("time_s") - F.col("slot_at")) <= most_s))
+    # A join by shuffle: Spark doesn't count what explode makes of a row, and would send all onsets through the driver.
+    pairs = spread.join(near.hint("merge"), (F.col(by) == F.col("_by")) & (F.col("_at") == F.col("_k")) & (F.abs(F.col("time_s") - F.col("slot_at")) <= most_s))
     reach = pairs.groupBy(by, "time_s", "event_id", "strength").agg(F.array_sort(F.collect_set(F.col("slot_at").cast("double"))).alias("slots"))  # those of a fraction of a second
     cut = parts(reach, by, ["time_s", "event_id"], F.col("slots")[0], F.element_at("slots", -1))
     kind = onsets.schema["event_id"].dataType.simpleString()
