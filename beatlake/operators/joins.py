@@ -47,8 +47,11 @@ def _merged(points: DataFrame, grid: DataFrame, by: str, time: str, keep: list[s
     each span stand in the spans between them too, where they are what comes before the first point and after the last."""
     g = grid.select(F.col(by), F.col(time), F.lit(0).alias("_kind"), F.struct(F.col(time).alias("time"), *keep).alias("_grid"), F.lit(None).cast(points.schema.simpleString()).alias("_point"), _bucket(F.col(time), span).alias("_span"))
     p = points.select(F.col(by), F.col(time), F.lit(1).alias("_kind"), F.lit(None).cast(g.schema["_grid"].dataType).alias("_grid"), F.struct(*points.columns).alias("_point"), _bucket(F.col(time), span).alias("_span"))
-    # One row for each span of an entity that holds grid rows or points: its outermost grid rows.
-    ends = g.filter(F.col(time).isNotNull()).groupBy(by, "_span").agg(F.min_by("_grid", time).alias("_first"), F.max_by("_grid", time).alias("_last"))
+    # One row for each span of an entity that holds grid rows or points: its outermost grid rows, field by field, as Spark sorts all rows
+    # for an aggregate that is a struct.
+    fields = grid.select(F.col(by), F.col(time), F.col(time).alias("_time"), *keep, _bucket(F.col(time), span).alias("_span")).filter(F.col(time).isNotNull())
+    outer = lambda of: F.struct(of("_time", time).alias("time"), *(of(k, time).alias(k) for k in keep))
+    ends = fields.groupBy(by, "_span").agg(outer(F.min_by).alias("_first"), outer(F.max_by).alias("_last"))
     used = ends.unionByName(p.filter(F.col(time).isNotNull()).select(by, "_span").distinct(), allowMissingColumns=True).groupBy(by, "_span").agg(F.first("_first", ignorenulls=True).alias("_first"), F.first("_last", ignorenulls=True).alias("_last"))
     down, up = Window.partitionBy(by).orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     beside = used.select(by, "_span", F.last("_last", ignorenulls=True).over(up).alias("_before"), F.last("_first", ignorenulls=True).over(down).alias("_after"))
@@ -67,10 +70,10 @@ def asof_backward(points: DataFrame, grid: DataFrame, by: str, time: str = "time
 def between(points: DataFrame, grid: DataFrame, by: str, time: str, keep: list[str], span: float = SPAN_S) -> DataFrame:
     """Points (in `_point`, where `_kind` is 1) with the grid rows around them, `_before` and `_after`."""
     both = _merged(points, grid, by, time, keep, span)
-    # Both windows run from their own first row on, so each row costs the same whatever an entity's length.
-    running = lambda *order: Window.partitionBy(by, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("_before", F.last("_grid", ignorenulls=True).over(running(time, "_kind")))
-    return both.withColumn("_after", F.last("_grid", ignorenulls=True).over(running(F.desc(time), F.col("_kind"))))
+    # One order, so one sort, gives both sides: the last grid row so far, and the next one unless that stands at the point itself.
+    w = Window.partitionBy(by, "_span").orderBy(time, "_kind")
+    both = both.withColumns({"_before": F.last("_grid", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_after": F.expr("lead(_grid) IGNORE NULLS").over(w)})
+    return both.withColumn("_after", F.when(F.col("_before.time") == F.col(time), F.col("_before")).otherwise(F.col("_after")))
 
 
 def asof_nearest(points: DataFrame, grid: DataFrame, by: str, time: str = "time_s", keep: list[str] | None = None, span: float = SPAN_S) -> DataFrame:

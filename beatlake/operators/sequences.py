@@ -195,12 +195,18 @@ def fallback_sections(tracks: DataFrame, bars: int = 8) -> DataFrame:
     return rows.select("entity_id", "seq", start.alias("start_s"), F.least(start + F.col("bar_s") * bars, "duration_s").alias("end_s"))
 
 
+#: Labels whose energy climbs as they come again.
+CLIMBING = ["hook", "chorus", "verse"]
+
+
 def energy_levels(sections: DataFrame, by: str, genre: str | None = None) -> DataFrame:
     """Target energy of each section: repeats climb, sections before a hook lift, a hook after a bridge peaks, and the
     genre's contrast spreads all about the song's mean."""
-    w, same = in_time(by, "seq"), Window.partitionBy(by, "label").orderBy("seq")
+    w = in_time(by, "seq")
     hook = F.col("label").isin("hook", "chorus")
-    nth = F.row_number().over(same) - 1
+    # How many of its own label came before: counts along the one order of a song, so its rows are sorted once.
+    so_far = w.rowsBetween(Window.unboundedPreceding, -1)
+    nth = F.coalesce(F.get(F.array(*(F.count_if(F.col("label") == x).over(so_far) for x in CLIMBING)), F.array_position(F.lit(CLIMBING), F.col("label")).cast("int") - 1), F.lit(0))
     base = F.coalesce(mapped(C.BASE_ENERGY)[F.col("label")], F.lit(C.BASE_ENERGY["section"]))
     climb = F.when(hook, F.least(0.06 * nth, F.lit(0.12))).when(F.col("label") == "verse", F.least(0.07 * nth, F.lit(0.14))).otherwise(0.0)
     before_hook = F.coalesce(F.lead("label").over(w).isin("hook", "chorus"), F.lit(False)) & ~hook

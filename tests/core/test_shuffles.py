@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from beatlake.operators import joins, planning
+from beatlake.operators import joins, planning, sequences
 
 
 def plan(df):
@@ -24,3 +24,25 @@ def test_exploded_sides_are_not_broadcast(spark, monkeypatch):
     a, b = (spans.withColumnsRenamed({"start_s": f"{x}_start", "end_s": f"{x}_end"}) for x in "ab")
     for df in (seen[0], joins.interval_join(onsets, spans, "take_id"), joins.overlap_join(a, b, "take_id")):
         assert "Broadcast" not in plan(df)
+
+
+def sorts(df, *of):
+    return [x for x in plan(df).splitlines() if " Sort [" in x and all(o in x for o in of)]
+
+
+def test_rows_around_a_point_take_one_sort(spark):
+    points = spark.range(8).selectExpr("id % 2 AS take_id", "id / 2D AS time_s")
+    grid = spark.range(8).selectExpr("id % 2 AS take_id", "double(id) AS time_s")
+    got = joins.between(points, grid, "take_id", "time_s", [])
+    assert len(sorts(got, "_kind")) == 1
+    rows = {(r["take_id"], r["time_s"]): (r["_before"] and r["_before"]["time"], r["_after"] and r["_after"]["time"]) for r in got.filter("_kind = 1").collect()}
+    assert rows[0, 2.0] == (2.0, 2.0) and rows[0, 1.0] == (0.0, 2.0) and rows[1, 0.5] == (None, 1.0) and rows[1, 3.5] == (3.0, 5.0)
+
+
+def test_levels_take_one_sort(spark):
+    labels = ["hook", "verse", "verse", None, "hook", "chorus", "bridge", "verse", "hook"]
+    songs = spark.createDataFrame([(1, k, x) for k, x in enumerate(labels)], "entity_id long, seq long, label string")
+    got = sequences.energy_levels(songs, "entity_id")
+    assert len(sorts(got)) == 1
+    energy = [r["energy"] for r in got.orderBy("seq").collect()]
+    assert energy[0] < energy[4] < energy[8] and energy[1] < energy[7]
