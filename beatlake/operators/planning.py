@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from beatlake.constants import GENRE_PROFILES, PROFILE_FIELDS, VARIANTS
 from beatlake.functions.music import genre_slug
+from beatlake.sources.lineage import stored
 
 
 def genre_profiles(df: DataFrame) -> DataFrame:
@@ -273,6 +274,10 @@ def assign_onsets(onsets: DataFrame, grid: DataFrame, by: str, slot_s: float, mo
     return streamed(cut.select(by, "_part", "time_s", "event_id", "strength", "slots"), by, ["time_s", "event_id"], lambda: _Slots(slot_s, skip, pull), f"event_id {kind}, slot_at double")
 
 
+#: Rows of a table of harmonies (about a hundred bytes each) that may be broadcast.
+HARMONIES = 50_000
+
+
 def pitch_targets(notes: DataFrame, strength: float = 0.6) -> DataFrame:
     """Notes with root, quality, key_pc, key_mode, genre, exposed, gesture, is_melisma and salience -> decision and
     target. Gestures and runs stay; a target past 1.2 semitones is another note; under 4 cents nothing is heard. Pitch classes
@@ -284,7 +289,10 @@ def pitch_targets(notes: DataFrame, strength: float = 0.6) -> DataFrame:
     harmony = F.struct("root", "quality", "key_pc", "key_mode", "genre", "exposed")
     one = notes.select(harmony.alias("_harmony")).distinct()
     bits = F.aggregate(tuning_candidates(*(F.col(f"_harmony.{c}") for c in ("root", "quality", "key_pc", "key_mode", "genre", "exposed"))), F.lit(0), lambda s, pc: s.bitwiseOR(F.call_function("shiftleft", F.lit(1), pc.cast("int"))))
-    rows = notes.withColumn("_harmony", harmony).join(one.withColumn("_bits", bits), "_harmony").drop("_harmony")
+    # The table of harmonies is written, so that a small one (by its own count) may go to all tasks and the notes stay where they are.
+    table = stored(one.withColumn("_bits", bits))
+    table = F.broadcast(table) if table.count() <= HARMONIES else table
+    rows = notes.withColumn("_harmony", harmony).join(table, "_harmony").drop("_harmony")
     rows = rows.withColumn("_base", F.bround("midi").cast("int"))
     near = []
     for step in range(-3, 4):

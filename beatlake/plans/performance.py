@@ -12,6 +12,7 @@ from beatlake.plans.registry import query
 from beatlake.plans.sequence import _SPANS, bar_lines, note_spans
 from beatlake.sources.catalog_io import score_rows
 from beatlake.sources.fixtures import as_cte, events
+from beatlake.sources.lineage import stored
 
 _FIRST = as_cte("chords", "takes")
 _PLAN = as_cte("chords", "takes", "notes", "onsets", "sections") + _SETS[len(_FIRST) :] + f""", {_SPANS},
@@ -33,19 +34,21 @@ plan AS (SELECT h3.*, lyric, takes.bpm FROM h3 LEFT JOIN wl USING (take_id, note
 
 def performance(spark, d):
     """A row for each note, with its plan. All of it is by take and time; notes meet chords, slots and words
-    by as-of joins and overlaps in spans of time."""
-    notes = sequences.gestures(note_spans(spark, d), "take_id")
+    by as-of joins and overlaps in spans of time. Each of these reads its notes several times, so they are written between, with what
+    later steps need; notes are numbered where they stand in order anyway."""
+    number = F.row_number().over(Window.partitionBy("take_id").orderBy("start_s", "end_s")).cast("long")
+    notes = stored(sequences.gestures(note_spans(spark, d), "take_id").withColumn("note_id", number).select("take_id", "order_key", "idx", "note_id", "start_s", "end_s", "midi", "gesture", "is_melisma"))
     chords = _chords_in_key(spark, d).select(F.col("entity_id").alias("take_id"), (F.col("bar") * 4.0).alias("start_s"), "root", "quality", "key_pc", "key_mode")
     under = joins.asof_backward(notes, chords, "take_id", "start_s", ["root", "quality", "key_pc", "key_mode"])
-    placed = under.select("*", *(F.col(f"grid.{c}").alias(c) for c in ("root", "quality", "key_pc", "key_mode"))).drop("grid").withColumns({
+    placed = stored(under.select("*", *(F.col(f"grid.{c}").alias(c) for c in ("root", "quality", "key_pc", "key_mode"))).drop("grid").withColumns({
         "genre": F.when(F.col("take_id") % 3 == 0, "Hip Hop").when(F.col("take_id") % 3 == 1, "pop"), "exposed": F.col("end_s") - F.col("start_s") >= 0.3, "salience": 0.5 + F.col("idx") % 4 / F.lit(2.0),
-    })
+    }))
     slots = bar_lines(spark, d).select("take_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.col("time_s") + k * 0.25)).alias("time_s"))
-    timed = planning.time_targets(planning.pitch_targets(placed), slots, "take_id")
+    tuned = stored(planning.pitch_targets(placed).select("take_id", "order_key", "idx", "note_id", "start_s", "end_s", "midi", "salience", "decision", "target"))
+    timed = planning.time_targets(tuned, slots, "take_id").drop("salience")
     words = events(spark, d, "onsets").select("take_id", F.col("event_id").alias("word_id"), F.col("element").alias("text"), F.col("time_s").alias("a_start"), (F.col("time_s") + 0.2).alias("a_end"))
-    numbered = timed.withColumn("note_id", F.row_number().over(Window.partitionBy("take_id").orderBy("start_s")).cast("long"))
-    sung = planning.assign_words(words, numbered.select("take_id", "note_id", F.col("start_s").alias("b_start"), F.col("end_s").alias("b_end")), "take_id").select("take_id", "note_id", F.when(F.col("lyric") != "-", F.col("lyric")).alias("lyric"))
-    return numbered.join(sung, ["take_id", "note_id"], "left").join(events(spark, d, "takes").select("take_id", "bpm"), "take_id")
+    sung = planning.assign_words(words, notes.select("take_id", "note_id", F.col("start_s").alias("b_start"), F.col("end_s").alias("b_end")), "take_id").select("take_id", "note_id", F.when(F.col("lyric") != "-", F.col("lyric")).alias("lyric"))
+    return timed.join(sung, ["take_id", "note_id"], "left").join(events(spark, d, "takes").select("take_id", "bpm"), "take_id")
 
 
 @query(_PLAN + """ SELECT take_id, order_key, idx, decision, round(target + 1e-9, 6) AS target, round(start_s + shift_s + 1e-9, 6) AS new_start_s, lyric FROM plan""")

@@ -28,6 +28,13 @@ def _folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: columns compress, and a reader takes those that it needs."""
+    path = shared_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """df, written to the checkpoint folder and read again."""
     _folder(df.sparkSession)

@@ -46,3 +46,10 @@ def test_levels_take_one_sort(spark):
     assert len(sorts(got)) == 1
     energy = [r["energy"] for r in got.orderBy("seq").collect()]
     assert energy[0] < energy[4] < energy[8] and energy[1] < energy[7]
+
+
+def test_performance_reads_its_notes_from_what_it_wrote(spark):
+    from beatlake.plans import QUERIES
+
+    got = plan(QUERIES["q05_performance_notes"](spark, "/root/testdata/sf0.001"))
+    assert "lineitem.parquet" not in got and "/stored-" in got
