@@ -64,7 +64,8 @@ def best_lag(a: DataFrame, b: DataFrame, by: str, most_s: float = 20.0, bin_s: f
     meet in time buckets, so only those within most_s make pairs."""
     left = a.select(by, F.col("time_s").alias("x"), F.floor(F.col("time_s") / most_s).alias("_k"))
     right = b.select(by, F.col("time_s").alias("y"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda j: F.floor(F.col("time_s") / most_s) + j)).alias("_k"))
-    votes = left.join(right, [by, "_k"]).filter(F.abs(F.col("y") - F.col("x")) <= most_s).groupBy(by, F.round((F.col("y") - F.col("x")) / bin_s).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    # Votes are counted where their pairs meet, and go once to their entity's task, which does all that is left.
+    votes = left.join(right.hint("merge"), [by, "_k"]).filter(F.abs(F.col("y") - F.col("x")) <= most_s).groupBy(by, "_k", F.round((F.col("y") - F.col("x")) / bin_s).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).select(by, "bin", "n").repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
     smooth = votes.select(by, F.explode(F.array(*(F.col("bin") + j for j in (-1, 0, 1)))).alias("bin"), "n").groupBy(by, "bin").agg(F.sum("n").alias("n"))
     peak = smooth.groupBy(by).agg(F.max(F.struct("n", (-F.abs("bin")).alias("near"), (-F.col("bin")).alias("m"))).alias("p")).select(by, (-F.col("p.m")).alias("best"), F.col("p.n").alias("top"))
     rest = smooth.join(peak, by).filter(F.abs(F.col("bin") - F.col("best")) * bin_s > apart_s).groupBy(by).agg(F.max("n").alias("next"))

@@ -1,5 +1,7 @@
 """Steps whose rows outgrow Spark's estimates: what is exploded never goes through the driver, and what is read again is written once."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from beatlake.operators import joins, planning, sequences
@@ -53,3 +55,10 @@ def test_performance_reads_its_notes_from_what_it_wrote(spark):
 
     got = plan(QUERIES["q05_performance_notes"](spark, "/root/testdata/sf0.001"))
     assert "lineitem.parquet" not in got and "/stored-" in got
+
+
+def test_votes_of_lags_are_shuffled_once(spark):
+    onsets = spark.range(40).selectExpr("id % 2 AS take_id", "id * 0.37D AS time_s")
+    got = planning.best_lag(onsets, onsets.withColumn("time_s", F.col("time_s") + 0.7), "take_id")
+    assert not re.search(r"hashpartitioning\([^)]*bin", plan(got))
+    assert {r["take_id"]: round(r["lag_s"], 2) for r in got.collect()} == {0: 0.69, 1: 0.69}  # the least of three equal bins
