@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,9 @@ from beatlake.constants import GENRE_PROFILES, PROFILE_FIELDS, VARIANTS
 from beatlake.functions.music import genre_slug
 from beatlake.sources.lineage import stored
 
+#: Differences of times that best_lag holds at once.
+BLOCK = 1 << 18
+
 
 def genre_profiles(df: DataFrame) -> DataFrame:
     """Df with a `profile` struct by genre; unknown genres get the default. The table is a literal, so there is no join."""
@@ -61,15 +68,55 @@ def relationships(pairs: DataFrame) -> DataFrame:
 
 def best_lag(a: DataFrame, b: DataFrame, by: str, most_s: float = 20.0, bin_s: float = 0.01, apart_s: float = 0.15) -> DataFrame:
     """The lag with most pairs of onsets (smoothed over three bins) and its ratio to the best one beyond apart_s. Onsets
-    meet in time buckets, so only those within most_s make pairs."""
-    left = a.select(by, F.col("time_s").alias("x"), F.floor(F.col("time_s") / most_s).alias("_k"))
-    right = b.select(by, F.col("time_s").alias("y"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda j: F.floor(F.col("time_s") / most_s) + j)).alias("_k"))
-    # Votes are counted where their pairs meet, and go once to their entity's task, which does all that is left.
-    votes = left.join(right.hint("merge"), [by, "_k"]).filter(F.abs(F.col("y") - F.col("x")) <= most_s).groupBy(by, "_k", F.round((F.col("y") - F.col("x")) / bin_s).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).select(by, "bin", "n").repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
-    smooth = votes.select(by, F.explode(F.array(*(F.col("bin") + j for j in (-1, 0, 1)))).alias("bin"), "n").groupBy(by, "bin").agg(F.sum("n").alias("n"))
-    peak = smooth.groupBy(by).agg(F.max(F.struct("n", (-F.abs("bin")).alias("near"), (-F.col("bin")).alias("m"))).alias("p")).select(by, (-F.col("p.m")).alias("best"), F.col("p.n").alias("top"))
-    rest = smooth.join(peak, by).filter(F.abs(F.col("bin") - F.col("best")) * bin_s > apart_s).groupBy(by).agg(F.max("n").alias("next"))
-    return peak.join(rest, by, "left").select(by, (F.col("best") * bin_s).alias("lag_s"), F.when(F.col("next") > 0, F.col("top") / F.col("next")).alias("lag_ratio"))
+    meet in time buckets, so only those within most_s make pairs, and a bucket's pairs are counted in blocks."""
+    k = F.floor(F.col("time_s") / most_s)
+    left = a.select(by, k.alias("_k"), F.col("time_s").cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
+    right = b.select(by, F.explode(F.array(k - 1, k, k + 1)).alias("_k"), F.lit(None).cast("double").alias("x"), F.col("time_s").cast("double").alias("y"))
+    met = left.unionByName(right).filter(F.col(by).isNotNull() & F.col("_k").isNotNull()).groupBy(by, "_k").agg(F.collect_list("x").alias("x"), F.collect_list("y").alias("y")).filter((F.size("x") > 0) & (F.size("y") > 0))
+    kind, half = a.schema[by].dataType.simpleString(), round(most_s / bin_s) + 2
+    at = np.arange(-half, half + 1)
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, xs, ys = batch.column(0), batch.column(2), batch.column(3)
+            for i in range(len(own)):
+                x, y = np.asarray(xs[i].values), np.asarray(ys[i].values)
+                n, step = np.zeros(2 * half + 1, np.int64), max(1, BLOCK // len(y))
+                for j in range(0, len(x), step):
+                    apart = (y[None, :] - x[j : j + step, None]).ravel()
+                    lag = apart[np.abs(apart) <= most_s] / bin_s
+                    whole = np.trunc(lag)
+                    n += np.bincount((whole + np.sign(lag) * (np.abs(lag - whole) >= 0.5)).astype(np.int64) + half, minlength=2 * half + 1)
+                bins = np.flatnonzero(n)
+                if len(bins):
+                    yield pa.RecordBatch.from_arrays([own.slice(i, 1), pa.array([bins.astype(np.int32)]), pa.array([n[bins]])], names=[by, "bin", "n"])
+
+    def peaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n = None, np.zeros(2 * half + 1, np.int64)
+
+        def told() -> pa.RecordBatch:
+            smooth = n.copy()
+            smooth[1:] += n[:-1]
+            smooth[:-1] += n[1:]
+            tops = at[smooth == smooth.max()]
+            best = int(min(tops, key=lambda v: (abs(v), v)))
+            top, rest = int(smooth.max()), smooth[np.abs(at - best) * bin_s > apart_s].max(initial=0)
+            return pa.RecordBatch.from_arrays([own, pa.array([best * bin_s]), pa.array([top / int(rest) if rest else None], pa.float64())], names=[by, "lag_s", "lag_ratio"])
+
+        for batch in batches:
+            for i in range(len(batch)):
+                if own is None or batch.column(0)[i] != own[0]:
+                    if own is not None:
+                        yield told()
+                    own = pa.array([batch.column(0)[i].as_py()], batch.schema.types[0])
+                    n[:] = 0
+                n[np.asarray(batch.column(1)[i].values)] += np.asarray(batch.column(2)[i].values)
+        if own is not None:
+            yield told()
+
+    # Votes are counted where their pairs meet, and go once to their entity's task, which holds one entity's bins.
+    counted = met.mapInArrow(votes, f"`{by}` {kind}, bin array<int>, n array<long>")
+    return counted.repartition(by).sortWithinPartitions(by).mapInArrow(peaks, f"`{by}` {kind}, lag_s double, lag_ratio double")
 
 
 def offset_candidates(histogram: DataFrame, by: str, k: int = 3, apart: int = 12) -> DataFrame:

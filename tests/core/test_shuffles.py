@@ -62,3 +62,28 @@ def test_votes_of_lags_are_shuffled_once(spark):
     got = planning.best_lag(onsets, onsets.withColumn("time_s", F.col("time_s") + 0.7), "take_id")
     assert not re.search(r"hashpartitioning\([^)]*bin", plan(got))
     assert {r["take_id"]: round(r["lag_s"], 2) for r in got.collect()} == {0: 0.69, 1: 0.69}  # the least of three equal bins
+
+
+def test_votes_of_lags_are_counted_in_blocks(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(planning, "BLOCK", 64)
+    dice = random.Random(5)
+    rows = [(k, x, dice.uniform(0, 90) if dice.random() < 0.7 else dice.randrange(180) / 2 + 0.005) for k in (1, 2, None) for x in range(60)] + [(1, 98, None), (1, 99, float("nan")), (3, 0, 5.0)]
+    a = spark.createDataFrame(rows, "take_id long, event_id long, time_s double").drop("event_id")
+    b = a.withColumn("time_s", F.col("time_s") + 0.7)
+    df = planning.best_lag(a, b, "take_id")
+    assert not [x for x in plan(df).splitlines() if "bin" in x and ("Aggregate" in x or "Generate" in x)]  # neither bins nor pairs are rows
+    a.createOrReplaceTempView("lag_a")
+    votes = spark.sql("SELECT x.take_id, int(round((y.time_s + 0.7D - x.time_s) / 0.01D)) AS bin, count(*) AS n FROM lag_a x JOIN lag_a y ON x.take_id = y.take_id AND abs(y.time_s + 0.7D - x.time_s) <= 20 GROUP BY 1, 2").collect()
+    want = {}
+    for take in {v["take_id"] for v in votes}:
+        n = {}
+        for v in votes:
+            for j in (-1, 0, 1):
+                if v["take_id"] == take:
+                    n[v["bin"] + j] = n.get(v["bin"] + j, 0) + v["n"]
+        best = min(n, key=lambda k: (-n[k], abs(k), k))
+        rest = [n[k] for k in n if abs(k - best) * 0.01 > 0.15]
+        want[take] = (best * 0.01, n[best] / max(rest) if rest else None)
+    assert {r["take_id"]: (r["lag_s"], r["lag_ratio"]) for r in df.collect()} == want and len(want) == 3
