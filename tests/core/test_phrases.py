@@ -91,3 +91,23 @@ def test_tempo_ratios(spark):
         at = t * ratios / slot
         cost = np.round((np.abs(at - np.rint(at)) * slot).mean(axis=0) + 1e-4 * np.abs(ratios - 1), 9)
         assert got[take] == (ratios[cost.argmin()], pytest.approx(cost.min(), abs=2e-9))
+
+
+def test_tokens_are_few_objects_at_once(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    sides = [[None if rng.random() < 0.1 else [f"{rng.randrange(40)} word" for _ in range(rng.randrange(120))] for _ in range(4000)] for _ in "ab"]
+    a, b = (pa.array(side, pa.list_(pa.string())) for side in sides)
+    a, b, sides = a.slice(7), b.slice(7), [side[7:] for side in sides]
+    tracemalloc.start()
+    got = arrangement.line_similarity.func(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist()[:700] == [difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() if x and y else 0.0 for x, y in list(zip(*sides))[:700]]
+    assert peak < 2**21  # those tokens as strings are 30 MB
+    rows = spark.createDataFrame(phrases(rng, 1, 8), SCHEMA).select("take_id", "idx", "text", "duration_s")
+    asked = arrangement.phrase_similarity(rows, "take_id", 0.1)._jdf.queryExecution().analyzed().toString()
+    assert "line_similarity(CASE WHEN" in asked  # F.when around a UDF doesn't keep rows from it
