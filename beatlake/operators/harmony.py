@@ -7,9 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from beatlake.constants import CHORDS, SCALES
 from beatlake.functions.keys import scale_pcs
 from beatlake.functions.scalars import clip
 from beatlake.functions.theory import avoid_notes
@@ -55,52 +57,80 @@ def key_from_chroma(frames: DataFrame, by: str, tags: DataFrame | None = None) -
 
 def modulations(chords: DataFrame, by: str, window: int = 4, gain: float = 0.18) -> DataFrame:
     """Chords (bar, root, quality, duration_s) -> key regions. Scores of 24 keys over a sliding window are window sums; the
-    switch (a clearly better key of another family that lasts) depends on the key held so far, which a task carries along the
-    bars of an entity."""
-    from beatlake.functions.theory import chord_tones
-
-    keys = chords.sparkSession.range(24).select((F.col("id") % 12).cast("int").alias("key_pc"), F.when(F.col("id") < 12, "major").otherwise("minor").alias("key_mode"))
-    x = chords.crossJoin(F.broadcast(keys))  # 24 rows for each chord
-    fit = F.size(F.array_intersect(chord_tones(F.col("root"), F.col("quality")), scale_pcs(F.col("key_pc"), F.col("key_mode")))) / 3.0 + F.when(F.col("root") == F.col("key_pc"), 0.25).otherwise(0.0)
-    w = Window.partitionBy(by, "key_pc", "key_mode").orderBy("bar").rowsBetween(-window, window)
-    x = x.withColumn("_f", fit).withColumn("score", F.sum(F.col("_f") * F.col("duration_s")).over(w) / F.sum("duration_s").over(w))
-    rows = x.groupBy(by, "bar").agg(F.sort_array(F.collect_list(F.struct("key_mode", "key_pc", F.round("score", 9).alias("score")))).alias("k"))
+    switch (a clearly better key of another family that lasts) depends on the key held so far. A task streams the bars of its
+    entities and carries that key and the rows that windows still reach."""
+    keys = [(mode, pc) for mode in ("major", "minor") for pc in range(12)]
+    family = [(pc + 3 * (mode == "minor")) % 12 for mode, pc in keys]
+    scales = [{(pc + step) % 12 for step in SCALES[mode]} for mode, pc in keys]
     kind = chords.schema[by].dataType.simpleString()
     hold = max(2, window // 3)
+    fits: dict[tuple, list[float]] = {}
+
+    def fit(root: int | None, quality: str | None) -> list[float]:
+        """How a chord fits each key; a chord without a root fits none."""
+        if (root, quality) not in fits:
+            tones = {(root + step) % 12 for step in CHORDS.get(quality, CHORDS["maj"])} if root is not None else set()
+            fits[root, quality] = [len(tones & scale) / 3.0 + (0.25 if root == pc else 0.0) for scale, (_, pc) in zip(scales, keys)]
+        return fits[root, quality]
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Entities, the numbers of their runs, bars and scores, added up in the order of bars."""
+        own, bars, run, fitted, lasts, at = [], [], np.zeros(0, np.int64), np.zeros((0, 24)), np.zeros(0), 0
+
+        def upto(end: int) -> tuple:
+            total, length = np.zeros((end - at, 24)), np.zeros(end - at)
+            for apart in range(-window, window + 1):
+                lo, hi = max(at, -apart), min(end, len(run) - apart)
+                if lo < hi:
+                    same = run[lo:hi] == run[lo + apart : hi + apart]
+                    total[lo - at : hi - at] += np.where(same[:, None], fitted[lo + apart : hi + apart], 0.0)
+                    length[lo - at : hi - at] += np.where(same, lasts[lo + apart : hi + apart], 0.0)
+            score = np.divide(total, length[:, None], out=np.zeros_like(total), where=length[:, None] != 0)
+            return own[at:end], run[at:end].tolist(), bars[at:end], np.floor(score * 1e9 + 0.5) / 1e9
 
-    def told(regions: list[tuple], own: pa.DataType) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in regions], t) for k, t in enumerate((own, pa.int64(), pa.int64(), pa.int32(), pa.string()))], names=names)
+        for batch in batches:
+            mine, more, roots, qualities = (batch.column(k).to_pylist() for k in range(4))
+            long = np.nan_to_num(batch.column(4).to_numpy(zero_copy_only=False).astype(float))
+            new = np.cumsum([a != b for a, b in zip(mine, [own[-1] if own else None, *mine])]) + (run[-1] if own else 0)
+            own, bars, run, lasts = own + mine, bars + more, np.concatenate([run, new]), np.concatenate([lasts, long])
+            fitted = np.concatenate([fitted, np.array([fit(*x) for x in zip(roots, qualities)]).reshape(-1, 24) * long[:, None]])
+            if len(own) - window > at:
+                yield upto(len(own) - window)
+                cut = max(0, len(own) - 2 * window)
+                at = len(own) - window - cut
+                own, bars, run, fitted, lasts = own[cut:], bars[cut:], run[cut:], fitted[cut:], lasts[cut:]
+        if own:
+            yield upto(len(own))
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, now, own = None, None, None
-        for batch in batches:
-            own, regions = batch.schema.field(0).type, []
-            for entity, bar, scores, pcs, modes in zip(*(c.to_pylist() for c in batch.columns)):
-                s = np.array(scores)
-                best = int(s.argmax())
-                if now is None or entity != last:
+        last, now, entity = None, None, None
+        for owns, runs, bars, s in scored(batches):
+            regions = []
+            for own, run, bar, best, score in zip(owns, runs, bars, s.argmax(axis=1).tolist(), s):
+                if now is None or run != last:
                     if now is not None:
-                        regions.append((last, start, before + 1, *keys_[now]))
-                    keys_ = list(zip(pcs, modes))
-                    family = [(p + 3 * (m == "minor")) % 12 for p, m in keys_]
-                    last, now, start, count = entity, best, bar, 0
-                if family[best] != family[now] and s[best] - s[now] > gain:
+                        regions.append((entity, start, before + 1, *keys[now]))
+                    last, entity, now, start, count = run, own, best, bar, 0
+                if family[best] != family[now] and score[best] - score[now] > gain:
                     if not count:
                         first, ended = bar, before + 1
                     count += 1
                 else:
                     count = 0
                 if count >= hold:
-                    regions.append((entity, start, ended, *keys_[now]))
+                    regions.append((own, start, ended, *keys[now]))
                     now, start, count = best, first, 0
                 before = bar
-            yield told(regions, own)
+            yield told(regions)
         if now is not None:
-            yield told([(last, start, before + 1, *keys_[now])], own)
+            yield told([(entity, start, before + 1, *keys[now])])
+
+    def told(regions: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in regions], t) for k, t in ((0, entity_type), (1, pa.int64()), (2, pa.int64()), (4, pa.int32()), (3, pa.string()))], names=names)
 
-    names = [by, "start_bar", "end_bar", "key_pc", "key_mode"]
-    slim = rows.select(by, "bar", F.col("k.score").alias("score"), F.col("k.key_pc").alias("key_pc"), F.col("k.key_mode").alias("key_mode"))
-    return slim.repartition(by).sortWithinPartitions(by, "bar").mapInArrow(follow, f"{by} {kind}, start_bar long, end_bar long, key_pc int, key_mode string")
+    names, entity_type = [by, "start_bar", "end_bar", "key_pc", "key_mode"], to_arrow_type(chords.schema[by].dataType)
+    slim = chords.select(by, "bar", "root", "quality", "duration_s")
+    return slim.repartition(by).sortWithinPartitions(by, "bar").mapInArrow(follow, f"`{by}` {kind}, start_bar long, end_bar long, key_pc int, key_mode string")
 
 
 def groove_compat(pairs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from beatlake.operators import joins, planning, sequences
+from beatlake.operators import harmony, joins, planning, sequences
 
 
 def plan(df):
@@ -87,3 +87,12 @@ def test_votes_of_lags_are_counted_in_blocks(spark, monkeypatch):
         rest = [n[k] for k in n if abs(k - best) * 0.01 > 0.15]
         want[take] = (best * 0.01, n[best] / max(rest) if rest else None)
     assert {r["take_id"]: (r["lag_s"], r["lag_ratio"]) for r in df.collect()} == want and len(want) == 3
+
+
+def test_scores_of_keys_are_no_rows(spark):
+    chords = [(1, bar, 0 if bar < 20 else 6, "maj" if bar % 2 else "?", 2.0) for bar in range(40)] + [(1, 40, None, "maj", 2.0), (1, 41, 6, None, None), (2, 0, None, None, 1.0), (None, 0, 3, "min", 0.0)]
+    df = harmony.modulations(spark.createDataFrame(chords, "song long, bar long, root int, quality string, duration_s double"), "song")
+    assert "Join" not in plan(df) and "Window" not in plan(df)  # chords were multiplied by 24 keys before
+    got = sorted((tuple(r) for r in df.collect()), key=repr)
+    assert [r[3] for r in got if r[0] == 1] == [0, 6]
+    assert [r[:3] for r in got if r[0] != 1] == [(2, 0, 1), (None, 0, 1)]
