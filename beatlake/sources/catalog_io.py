@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = "2.2.0"
+#: Files that a task may hold open when it writes documents by status.
+OPEN_FILES = 8
 AUDIO = ("aac", "aif", "aiff", "flac", "m4a", "mp3", "ogg", "opus", "wav")
 
 DOCUMENT = (
@@ -104,7 +106,14 @@ def refresh_plan(assets: DataFrame, documents: DataFrame, now: dict[str, str], s
 def write_documents(df: DataFrame, path: str, kind: str = "json") -> None:
     """One document per entity, by status; failed ones keep their reason and never stop the others."""
     rows = df if "status" in df.columns else df.withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("failed"))
-    rows.write.mode("overwrite").partitionBy("status").format(kind).save(path)
+    # With a file open for each of a few statuses, tasks don't sort their documents by status; more statuses than that are sorted.
+    conf, name = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    was = conf.get(name)
+    conf.set(name, max(int(was), OPEN_FILES))
+    try:
+        rows.write.mode("overwrite").partitionBy("status").format(kind).save(path)
+    finally:
+        conf.set(name, was)
 
 
 def catalog_summary(documents: DataFrame) -> DataFrame:

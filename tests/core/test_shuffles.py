@@ -96,3 +96,22 @@ def test_scores_of_keys_are_no_rows(spark):
     got = sorted((tuple(r) for r in df.collect()), key=repr)
     assert [r[3] for r in got if r[0] == 1] == [0, 6]
     assert [r[:3] for r in got if r[0] != 1] == [(2, 0, 1), (None, 0, 1)]
+
+
+def test_documents_by_status_are_not_sorted(spark, tmp_path):
+    from beatlake.sources import catalog_io
+
+    def written(n):
+        rows = spark.range(100).selectExpr("string(id) AS beat_id", f"concat('s', id % {n}) AS status")
+        catalog_io.write_documents(rows, str(tmp_path / f"by{n}"))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        said = spark._jsparkSession.sharedState().statusStore().executionsList().last().physicalPlanDescription()
+        got = spark.read.json(str(tmp_path / f"by{n}"))
+        assert sorted((r["beat_id"], r["status"]) for r in got.collect()) == sorted((r["beat_id"], r["status"]) for r in rows.collect())
+        return said
+
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    said = written(3)
+    assert "InsertIntoHadoopFsRelationCommand" in said and "Sort" not in said
+    written(catalog_io.OPEN_FILES + 5)  # more statuses than files held open
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
