@@ -10,6 +10,7 @@ from beatlake.functions.music import render_notes
 from beatlake.plans import extra, match, more, plan, profile, rest, sequence  # noqa: F401
 from beatlake.plans.registry import ORACLE_SQL, QUERIES, query
 from beatlake.sources.fixtures import as_cte, events
+from beatlake.sources.lineage import stored
 
 
 def _sql(base: str, by: tuple[str, ...], parts: dict[str, dict[str, str]], id_of: dict[str, str] | None = None) -> str:
@@ -19,8 +20,9 @@ def _sql(base: str, by: tuple[str, ...], parts: dict[str, dict[str, str]], id_of
 
 
 def _joined(spark, d, base, by: tuple[str, ...], parts: dict[str, dict[str, str]], id_of: dict[str, str] | None = None):
-    """Left joins on one key, which all sides are shuffled by once. id_of names a part's own column for it."""
-    sides = [QUERIES[name](spark, d).selectExpr(*(f"{(id_of or {}).get(name, b)} AS {b}" for b in by), *(f"{c} AS {n}" for c, n in columns.items())) for name, columns in parts.items()]
+    """Left joins on one key. id_of names a part's own column for it. Parts are written first: as all of them end on the key, a stage
+    of all of them would hold the sorts and windows of each at once."""
+    sides = [stored(QUERIES[name](spark, d).selectExpr(*(f"{(id_of or {}).get(name, b)} AS {b}" for b in by), *(f"{c} AS {n}" for c, n in columns.items()))) for name, columns in parts.items()]
     return reduce(lambda a, b: a.join(b, list(by), "left"), sides, base.select(*by))
 
 

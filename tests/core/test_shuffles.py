@@ -115,3 +115,11 @@ def test_documents_by_status_are_not_sorted(spark, tmp_path):
     assert "InsertIntoHadoopFsRelationCommand" in said and "Sort" not in said
     written(catalog_io.OPEN_FILES + 5)  # more statuses than files held open
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
+def test_composed_queries_join_parts_that_are_written(spark):
+    from beatlake.plans import jobs
+
+    base = spark.range(3).withColumnRenamed("id", "take_id")
+    got = plan(jobs._joined(spark, "/root/testdata/sf0.001", base, ("take_id",), {"a22_take_report": {"grade": "grade"}, "w08_performance_span": {"start_s": "start_s"}}))
+    assert "Window" not in got and "events.parquet" not in got and got.count("/stored-") == 2
