@@ -123,3 +123,16 @@ def test_composed_queries_join_parts_that_are_written(spark):
     base = spark.range(3).withColumnRenamed("id", "take_id")
     got = plan(jobs._joined(spark, "/root/testdata/sf0.001", base, ("take_id",), {"a22_take_report": {"grade": "grade"}, "w08_performance_span": {"start_s": "start_s"}}))
     assert "Window" not in got and "events.parquet" not in got and got.count("/stored-") == 2
+
+
+def test_lyrics_go_through_no_shuffle(spark, tmp_path):
+    from beatlake.plans import QUERIES
+
+    rows = [(1, "aaaaa bbbbb\n\nccccccc dd", "en"), (2, None, "en"), (3, "", "en"), (4, "a " * 30 + "eeeee\nffffff", "en"), (1, "ggggg", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    words, starts = (QUERIES[q](spark, str(tmp_path)) for q in ("f11_words_of", "f11_line_starts"))
+    for df in (words, starts):
+        before = plan(df).split("Exchange")[-1]  # what is below the shuffle
+        assert "Generate" not in plan(df) and "collect_list" not in plan(df) and "partial_sum" in before
+    assert sorted(tuple(r) for r in words.collect()) == [(1, 4, 8.25, 0.0, 8.0), (3, 0, 0.0, None, None), (4, 2, 11.5, 4.0, 7.5)]
+    assert sorted(tuple(r) for r in starts.collect()) == [(1, 3, 8.0), (3, 0, 0.0), (4, 2, 11.5)]
