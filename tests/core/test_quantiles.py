@@ -58,3 +58,21 @@ def test_longest_silence_at_the_threshold(spark):
             df = spark.createDataFrame([(t, k, float(k), x) for t in (1, None) for k, x in enumerate(levels)], "take_id long, event_id long, time_s double, rms_db double")
             got = {r["take_id"]: r["silent_frames"] for r in sequences.longest_silence(df, "take_id", "event_id").collect()}
             assert got[1] == silent, (lo, hi, level)
+
+
+def test_gate_keeps_its_levels_sorted(spark):
+    rng = random.Random(8)
+    level = lambda: rng.choice([None, math.nan, 0.0, rng.uniform(-90, 0), rng.uniform(-90, 0), rng.uniform(-90, 0)])
+    rows = [(take, k, k / 8, level()) for take in (1, 2, None) for k in range(900)]
+    df = live.voice_gate(spark.createDataFrame(rows, "take_id long, event_id long, time_s double, rms_db double").repartition(3))
+    assert "collect_list" not in df._jdf.queryExecution().executedPlan().toString()  # 400 levels were gathered and sorted for each frame
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        got = {(r["take_id"], r["event_id"]): r["floor_db"] for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for take in (1, 2, None):
+        levels = [r[3] for r in rows if r[0] == take]
+        for k in range(19, 900):
+            near = sorted((x for x in levels[max(0, k - 399) : k + 1] if x is not None), key=lambda x: (x != x, x))
+            assert got[take, k] == plain(near, 0.1)
