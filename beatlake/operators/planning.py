@@ -358,7 +358,8 @@ def time_targets(notes: DataFrame, grid: DataFrame, by: str, strength: float = 0
     from beatlake.functions.scalars import clip
     from beatlake.operators.joins import asof_nearest
 
-    near = asof_nearest(notes, grid, by, "start_s") if "start_s" in grid.columns else asof_nearest(notes.withColumn("time_s", F.col("start_s")), grid, by).drop("time_s")
+    slots = grid.select(by, "start_s" if "start_s" in grid.columns else F.col("time_s").alias("start_s"))
+    near = asof_nearest(notes, slots, by, "start_s")
     move = F.when(F.abs("error_s") <= within_s, -F.col("error_s") * clip(strength * F.col("salience"), 0.0, 0.95)).otherwise(0.0)
     return near.withColumn("new_start_s", F.col("start_s") + move).withColumn("new_end_s", F.col("end_s") + move).drop("grid", "error_s")
 

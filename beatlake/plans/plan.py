@@ -224,7 +224,8 @@ SELECT take_id, order_key, idx, round(start_s + CASE WHEN abs(e) <= 0.12 THEN -e
 def w31_time_targets(spark, d):
     """Slots of a quarter second, of which two in three are late by 30 and 60 ms."""
     grid = bar_lines(spark, d).select("take_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.col("time_s") + k * 0.25 + 0.03 * (k % 3))).alias("time_s"))
-    return planning.time_targets(note_spans(spark, d).withColumn("salience", F.lit(1.0)), grid, "take_id").select("take_id", "order_key", "idx", rounded("new_start_s", 6).alias("new_start_s"))
+    notes = note_spans(spark, d).select("take_id", "order_key", "idx", "start_s", "end_s", F.lit(1.0).alias("salience"))  # whole rows go with the slots
+    return planning.time_targets(notes, grid, "take_id").select("take_id", "order_key", "idx", rounded("new_start_s", 6).alias("new_start_s"))
 
 
 @query(as_cte("onsets", "notes") + f""", {_SPANS}, nn AS (SELECT take_id, row_number() OVER (PARTITION BY take_id ORDER BY start_s) AS note_id, start_s AS b, end_s AS e FROM sn), w AS (SELECT take_id, event_id, element, time_s - 0.06::DOUBLE AS a, greatest(time_s + 0.2::DOUBLE, time_s + 0.05::DOUBLE) + 0.06::DOUBLE AS z FROM onsets),

@@ -136,3 +136,11 @@ def test_lyrics_go_through_no_shuffle(spark, tmp_path):
         assert "Generate" not in plan(df) and "collect_list" not in plan(df) and "partial_sum" in before
     assert sorted(tuple(r) for r in words.collect()) == [(1, 4, 8.25, 0.0, 8.0), (3, 0, 0.0, None, None), (4, 2, 11.5, 4.0, 7.5)]
     assert sorted(tuple(r) for r in starts.collect()) == [(1, 3, 8.0), (3, 0, 0.0), (4, 2, 11.5)]
+
+
+def test_starts_go_to_slots_without_the_rest_of_their_notes(spark):
+    from beatlake.plans import QUERIES
+
+    asked = QUERIES["w31_time_targets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    points = [x for x in asked.splitlines() if "AS _point" in x and "order_key" in x and "null AS _point" not in x]
+    assert points and not any("midi" in x or "spread_cents" in x or "time_s, time_s" in x for x in points)
