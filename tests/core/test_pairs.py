@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beatlake.operators import matching
-from beatlake.plans import match
+from beatlake.plans import QUERIES, match
 
 SF = "/root/testdata/sf0.001"
 #: Java doesn't compile methods of more bytes, so that each row of them costs some thirty times as much.
@@ -25,6 +25,24 @@ def test_what_is_made_for_each_pair_is_compiled(spark, fixed_plans):
     assert sizes and max(sizes) < COMPILED
 
 
+@pytest.mark.parametrize("name", ["j02_all_pairs", "j02_score_pairs", "j01_candidates"])
+def test_pairs_of_all_takes_are_not_shuffled(spark, fixed_plans, name):
+    lines = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = next(k for k, x in enumerate(lines) if "Generate explode" in x)
+    joins = [k for k, x in enumerate(lines) if k > at and "Join" in x]
+    assert "BroadcastHashJoin [_kind" in lines[joins[0]]
+    assert not [x for x in lines[: joins[1]] if "Exchange hashpartitioning" in x and "REPARTITION" not in x and "_part" not in x]
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_rows_of_kinds_are_those_of_all_takes(spark, monkeypatch, most):
+    monkeypatch.setattr(matching, "BROADCAST_BYTES", most)
+    by_kind = spark.range(12).selectExpr("id % 3 AS take_id", "id AS beat_id", "id / 4D AS score")
+    members = spark.range(40).selectExpr("id AS take_id", "id % 4 AS _kind")
+    want = sorted((t, b, b / 4) for t in range(40) for b in range(12) if t % 4 == b % 3)
+    assert sorted(map(tuple, matching.for_all_takes(by_kind, members).collect())) == want
+
+
 def test_the_best_of_many_are_the_best_of_all(spark):
     """With ties, and with takes of few beats."""
     rows = spark.range(3000).selectExpr("id % 7 AS take_id", "id AS beat_id", "(id * 37 % 11) / 10D AS score")
